@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, line_dedup, sharding, urlfilter
+from strandweave.llm import fingerprint, line_dedup, packing, quality, sharding, urlfilter
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -30,16 +31,26 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "is_listed")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_sharding": op3_sharding,
         "op7_url_filter": op7_url_filter,
+        "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
+        "op10_packing": op10_packing,
     }
 
 
