@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter
+from strandweave.llm import fingerprint, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -32,6 +32,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(langid.training_rows(docs.where(fold != 1)))
+    named = langid.identify(docs, model, keep=("doc_id",))
+    return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages))
@@ -55,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_line_dedup": op2_line_dedup,
         "op3_sharding": op3_sharding,
+        "op4_language_id": op4_language_id,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
