@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter
+from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -40,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
