@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter
+from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter, warc
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -40,6 +40,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records against a replica with known damage: a byte changed in some records, others missing."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    good = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    hurt = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("!"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    replica = pages.where("page_id % 193 <> 7").select("page_id", warc.record(F.col("page_id"), F.col("url"), hurt).alias("record"))
+    return warc.audit(good, replica)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
@@ -68,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
+        "op5_warc_fixity": op5_warc_fixity,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
@@ -125,5 +135,46 @@ FROM canon c LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON c.canonical =
 """
 
 
+_OP5 = """
+WITH records AS (
+  SELECT page_id, html,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+         || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), hashed AS (
+  SELECT page_id, page_id // 4096 AS archive, strlen(record)::BIGINT AS byte_length, sha256(record) AS record_sha256,
+         CASE WHEN page_id % 193 = 7 THEN 'missing'
+              WHEN page_id % 97 = 5 AND '!' || substr(html, 2) <> html THEN 'corrupt' ELSE 'intact' END AS status
+  FROM records
+)
+SELECT page_id, archive, byte_length, record_sha256, status,
+       coalesce(sum(byte_length) OVER (PARTITION BY archive ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset
+FROM hashed
+"""
+
+_OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT d.doc_id, count(s.s)::BIGINT AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sizes s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op7_url_filter": _OP7}
+    return {"op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op2_line_dedup": _OP2, "op7_url_filter": _OP7}
