@@ -109,11 +109,12 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     to the next is 0.  Columns of ``docs`` other than these two are not used.
     """
     base = docs.select(F.col(id_col).alias("_sw_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_sw_text"))
-    base = with_sketch(base, "_sw_text", "_sw_fp", scale)
     known = base.where(F.col("_sw_id").isNotNull())
     before = predecessors(docs, id_col, text_col)
-    heads = known.join(before.hint("shuffle_hash"), "_sw_id").where(F.xxhash64("_sw_text") == F.col("_sw_mark"))
-    heads = heads.select(
+    # Both sides below read one shuffle of the texts, so sketches are made behind it, and the
+    # comparison with the mark is written so that it doesn't become a second join key.
+    heads = known.join(before.hint("shuffle_hash"), "_sw_id").where(F.xxhash64("_sw_text").bitwiseXOR(F.col("_sw_mark")) == 0)
+    heads = with_sketch(heads, "_sw_text", "_sw_fp", scale).select(
         F.col("_sw_prev").alias("_sw_to"), F.expr("substring(_sw_text, 1, div(_sw_prev_n, 4))").alias("_sw_head"), F.col("_sw_fp").alias("_sw_next_fp"), "_sw_rows"
     )
     heads = heads.where("_sw_rows = 1").unionByName(heads.where("_sw_rows > 1").dropDuplicates(["_sw_to"])).drop("_sw_rows")
@@ -122,7 +123,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = joined.unionByName(alone)
     n = F.length("_sw_text")
     both = both.withColumn("_sw_edited", F.expr("concat(substring(_sw_text, 1, length(_sw_text) - div(length(_sw_text), 4)), _sw_head)"))
-    both = with_sketch(both, "_sw_edited", "_sw_efp", scale)
+    both = with_sketch(with_sketch(both, "_sw_text", "_sw_fp", scale), "_sw_edited", "_sw_efp", scale)
     return both.select(
         F.col("_sw_id").alias(id_col),
         n.cast("bigint").alias("n_chars"),
