@@ -1,0 +1 @@
+"""Analytics over large directed contact graphs and the time series recorded around them, on Spark."""
