@@ -48,7 +48,7 @@ def cohort_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
         F.count(v).alias("n"), F.count_if(~ok).alias("excluded"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most")
     )
     small = df.sparkSession.createDataFrame([(n, t_quantile(n - 1)) for n in range(2, 61)], "n bigint, t double")
-    out = out.join(F.broadcast(small), "n", "left").withColumn("t", F.coalesce("t", _large_t(F.col("n") - 1)))
+    out = out.join(F.broadcast(small), "n", "left").withColumn("t", F.coalesce("t", _large_t(F.greatest(F.col("n") - 1, F.lit(1)))))
     se = F.col("sd") / F.sqrt("n")
     enough = F.col("n") >= 2
     half = F.col("t") * se
