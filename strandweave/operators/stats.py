@@ -12,12 +12,16 @@ from strandweave.functions.tails import t_quantile
 from strandweave.operators.ordered import ranked
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation, null for a constant side."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) over rows with both values; rho is null for a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     with_ranks = ranked(ranked(both, "x", "rx"), "y", "ry")
-    flat = (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
-    return with_ranks.agg(F.count("*").alias("n"), F.when(~flat, F.corr("rx", "ry")).alias("rho"))
+    return with_ranks.agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"))
 
 
 def sign_counts(df: DataFrame, difference: Column) -> DataFrame:
@@ -82,7 +86,7 @@ def curve_metrics(model: DataFrame, reference: DataFrame, on: str) -> DataFrame:
     """Curves (on, value) on their common points: rmse, mae, Pearson r and the share of positive reference points answered."""
     j = model.select(F.col(on).alias("_on"), F.col("value").alias("m")).join(reference.select(F.col(on).alias("_on"), F.col("value").alias("r")), "_on")
     d = F.col("m") - F.col("r")
-    return j.agg(F.count("*").alias("points"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.corr("m", "r").alias("pearson"), (F.count_if((F.col("r") > 0) & (F.col("m") > 0)) / F.nullif(F.count_if(F.col("r") > 0), F.lit(0))).alias("coverage"))
+    return j.agg(F.count("*").alias("points"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), correlation("m", "r").alias("pearson"), (F.count_if((F.col("r") > 0) & (F.col("m") > 0)) / F.nullif(F.count_if(F.col("r") > 0), F.lit(0))).alias("coverage"))
 
 
 def control_summary(df: DataFrame, variant: str, value: str) -> DataFrame:
