@@ -35,8 +35,12 @@ def record(id_: Column, url: Column, payload: Column) -> Column:
 
 
 def write_archives(records: DataFrame, path: str, column: str = "record") -> None:
-    """Writes the records one behind the other, a file for each partition."""
-    records.select(column).write.option("lineSep", "").text(path)
+    """Writes the records one behind the other, a file for each partition.
+
+    The writer's line separator is the two line ends that close every record.
+    """
+    body = F.expr(f"substring(`{column}`, 1, length(`{column}`) - 4)")
+    records.select(body.alias(column)).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
