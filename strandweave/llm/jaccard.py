@@ -9,10 +9,12 @@
     set that is similar enough can avoid it: rare shingles are indexed singly; the
     frequent ones are dealt into small hash ranges and indexed as pairs within a
     range, where a range of m shingles counts m - 1 towards the prefix.
-4.  Classes with a common index entry are candidates.  First each entry's classes
-    are verified against the smallest of them, which links most near copies without
-    pairing them all; then all candidate pairs that are still in different
-    components are verified.
+4.  Classes with a common index entry are candidates.  First each class is verified
+    against the one class, smallest in some entry, with which it has most entries in
+    common; then, for some rounds, against neighbours from other components in a
+    random order.  That links groups of near copies without pairing them all.  At last
+    all candidate pairs that are still in different components are verified, but for
+    those whose number of common entries is too small for their sizes.
 
 Verification compares whole shingle sets, of 64-bit hashes.
 """
@@ -26,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.llm._common import cut, pieces_by_bytes, shuffle_partitions, utf8_of
 from strandweave.llm._words import LOWER, mixed, runs, words_of
@@ -40,10 +43,12 @@ FREQUENT = 8
 BITMAP_BITS, PART_BITS = 26, 20
 #: Frequent shingles in one range, on average.
 RANGE = 3
+#: Rounds of comparison with neighbours, and neighbours of each class in a round.
+ROUNDS, NEIGHBOURS = 3, 3
 #: Sets that one task compares with one other at a time.
 CHUNK = 64
-#: Most classes whose ids are broadcast when their texts are read again.
-BROADCAST_ROWS = 200_000
+#: Most classes, and comparisons of classes, that are broadcast when their texts are read again.
+BROADCAST_ROWS, BROADCAST_PAIRS = 200_000, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -79,19 +84,19 @@ def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Index entries of one set, given which of its ascending tokens are frequent.
+def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Index entries of one set, given which of its ascending tokens are frequent, and whether all are single tokens.
 
     A set that is similar enough misses at most n - ceil(0.75 n) tokens.
     """
     n = len(tokens)
     if n < 3:
-        return tokens[:0]  # similar enough only to an equal set
+        return tokens[:0], True  # similar enough only to an equal set
     need = n - -(-PERCENT * n // 100) + 1
     rare = tokens[~frequent][:need]
     need -= len(rare)
     if not need:
-        return rare
+        return rare, True
     entries, common = [rare], tokens[frequent]
     # Two sets divide the ranges alike if they do so for the level of the smaller one.
     smallest, largest = -(-PERCENT * n // 100), 100 * n // PERCENT
@@ -108,7 +113,17 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 break
             with np.errstate(over="ignore"):
                 entries.append(mixed(taken[:-lag][same] * np.uint64(0x9E3779B97F4A7C15) + taken[lag:][same] + np.uint64(level)))
-    return np.concatenate(entries)
+    return np.concatenate(entries), False
+
+
+def least_common(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Single-token entries that two similar sets of these sizes have in common at least.
+
+    Up to the earlier end of the two prefixes, all common tokens are entries of
+    both; behind it the set whose prefix ends there has less than 75 % of its tokens.
+    """
+    overlap = -(-PERCENT * (small + large) // (100 + PERCENT))
+    return np.maximum(1, overlap + PERCENT * -large // 100 + 1)
 
 
 def _distinct_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
@@ -138,7 +153,7 @@ def _survey(frame: DataFrame) -> DataFrame:
             part = _position(tokens) >> PART_BITS
             order = np.argsort(part, kind="stable")
             parts, starts = np.unique(part[order], return_index=True)
-            ends = [*starts[1:], len(order)]
+            ends = [*starts[1:], len(order)][: len(parts)]
             rows = [(1, int(p), 0, 0, tokens[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, a, b in zip(parts, starts, ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -169,7 +184,10 @@ def _bitmap(survey: DataFrame) -> np.ndarray:
 
 
 def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataFrame:
-    """Distinct lists of classes (ascending by size) that share an index entry."""
+    """Distinct lists of classes (ascending by size) that share an index entry, and of how many entries.
+
+    ``sizes`` holds twice a class's size, plus one if all its entries are single tokens.
+    """
     shared = frame.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +199,15 @@ def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataF
                     if len(tokens) < 3 or key in known:
                         continue
                     known[key] = tokens[:0]
-                    own = index_entries(tokens, is_frequent(tokens, shared.value))
+                    own, plain = index_entries(tokens, is_frequent(tokens, shared.value))
                     entries.append(own)
                     owners.append(np.full(len(own), key, np.int64))
-                    sizes.append(np.full(len(own), len(tokens), np.uint32))
+                    sizes.append(np.full(len(own), 2 * len(tokens) + plain, np.uint32))
             if not entries:
                 continue
             e, o, z = np.concatenate(entries), np.concatenate(owners), np.concatenate(sizes)
+            if not len(e):
+                continue
             bucket = (((mixed(e) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             which, starts = np.unique(bucket[order], return_index=True)
@@ -204,77 +224,120 @@ def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataF
         order = np.argsort(e, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], e[order][1:] != e[order][:-1]]))
         ends = np.append(starts[1:], len(e))
-        lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        lists: dict[bytes, list] = {}
         for i in np.flatnonzero(ends - starts > 1):
             at = order[starts[i] : ends[i]]
             owner, first = np.unique(o[at], return_index=True)
             if len(owner) > 1:
                 size = z[at][first]
                 by_size = np.argsort(size, kind="stable")
-                lists.setdefault(owner[by_size].tobytes(), (owner[by_size], size[by_size].astype(np.int64)))
-        return pd.DataFrame({"members": [m for m, _ in lists.values()], "sizes": [s for _, s in lists.values()]})
+                held = lists.setdefault(owner[by_size].tobytes(), [owner[by_size], size[by_size].astype(np.int64), 0])
+                held[2] += 1
+        return pd.DataFrame({"members": [x[0] for x in lists.values()], "sizes": [x[1] for x in lists.values()], "times": [x[2] for x in lists.values()]})
 
     blocks = frame.mapInArrow(emit, "bucket bigint, entries binary, owners binary, sizes binary")
-    met = blocks.groupBy("bucket").applyInPandas(meet, "members array<bigint>, sizes array<bigint>")
-    return met.groupBy(F.xxhash64("members").alias("run"), F.size("members").alias("m")).agg(F.first(F.struct("members", "sizes")).alias("r")).select("run", "r.members", "r.sizes")
-
-
-def _may_link(small: np.ndarray, large: np.ndarray | int) -> np.ndarray:
-    return 100 * small >= PERCENT * large
+    met = blocks.groupBy("bucket").applyInPandas(meet, "members array<bigint>, sizes array<bigint>, times bigint")
+    one = met.groupBy(F.xxhash64("members").alias("run"), F.size("members").alias("m")).agg(F.first(F.struct("members", "sizes")).alias("r"), F.sum("times").alias("times"))
+    return one.select("run", "r.members", "r.sizes", "times")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of each batch, as ``pick(members, sizes, components)`` chooses them."""
+    """Pairs of each batch as ``pick(members, sizes, ...)`` gives their positions, with the entries they
+    have in common in it and the least number that similar sets of these sizes would have (0: not known)."""
     for batch in batches:
-        lefts, rights = [], []
+        parts = []
         columns = [batch.column(c).to_pylist() for c in batch.schema.names]
-        for values in zip(*columns, strict=True):
-            a, b = pick(*(np.array(v, np.int64) for v in values))
-            lefts.append(np.minimum(a, b))
-            rights.append(np.maximum(a, b))
-        if lefts:
-            both = np.unique(np.stack([np.concatenate(lefts), np.concatenate(rights)], 1), axis=0)
-            for at in range(0, len(both), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 100_000, 0]), pa.array(both[at : at + 100_000, 1])], names=["a", "b"])
+        for *values, times in zip(*columns, strict=True):
+            members, sizes, *more = (np.array(v, np.int64) for v in values)
+            i, j = pick(members, sizes >> 1, *more)
+            plain = (sizes[i] & sizes[j] & 1) == 1
+            least = np.where(plain, least_common(sizes[i] >> 1, sizes[j] >> 1), 0)
+            parts.append(np.stack([np.minimum(members[i], members[j]), np.maximum(members[i], members[j]), least, np.full(len(i), times)]))
+        if parts:
+            a, b, least, times = np.concatenate(parts, axis=1)
+            order = np.lexsort((b, a))
+            a, b, least, times = a[order], b[order], least[order], times[order]
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            total = np.add.reduceat(times, starts) if len(starts) else times
+            for k in range(0, len(starts), 100_000):
+                at = starts[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(total[k : k + 100_000])], names=["a", "b", "least", "times"])
 
 
 def _star(members: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each class with the smallest before it that its size allows."""
     at = np.searchsorted(100 * sizes, PERCENT * sizes, side="left")
-    later = at < np.arange(len(sizes))
-    return members[at[later]], members[later]
+    later = np.flatnonzero(at < np.arange(len(sizes)))
+    return at[later], later
 
 
 def _across(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different components that their sizes allow."""
-    lefts, rights = [members[:0]], [members[:0]]
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     upto = np.searchsorted(PERCENT * sizes, 100 * sizes, side="right")
     for i in range(len(members) - 1):
         other = np.flatnonzero(comps[i + 1 : upto[i]] != comps[i]) + i + 1
-        lefts.append(np.full(len(other), members[i]))
-        rights.append(members[other])
+        lefts.append(np.full(len(other), i))
+        rights.append(other)
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the class pairs (a, b), those whose whole sets are similar enough."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(speakers, "cls")
-    involved = cut(involved.select(F.col("speaker").alias("_sw_speaker"), F.col("cls").alias("_sw_cls")))
-    few = involved.count() <= BROADCAST_ROWS
-    texts = frame.join(F.broadcast(involved) if few else involved.hint("shuffle_hash"), frame["_sw_id"] == involved["_sw_speaker"])
+def _neighbours(turn: int):
+    """Classes of different components next to each other in the turn's random order."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets, keys in _distinct_classes(batches):
-            held = batch.column("_sw_cls").to_pylist()
-            rows = [i for i, key in enumerate(keys) if key == held[i]]  # a repeated id may have another text
-            yield pa.RecordBatch.from_arrays([pa.array([held[i] for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["cls", "tokens"])
+    def pick(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(mixed(members.view(np.uint64) + np.uint64(turn + 1)), kind="stable")
+        i = np.concatenate([order[:-k] for k in range(1, NEIGHBOURS + 1)])
+        j = np.concatenate([order[k:] for k in range(1, NEIGHBOURS + 1)])
+        fit = (comps[i] != comps[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+        return i[fit], j[fit]
+
+    return pick
+
+
+_PAIR = "a bigint, b bigint, least bigint, times bigint"
 
-    sets = texts.select("_sw_text", "_sw_cls").mapInArrow(measure, "cls bigint, tokens binary").dropDuplicates(["cls"])
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times"))
+
+
+def _closest(pairs: DataFrame, count: int) -> DataFrame:
+    """Of each class's pairs the ``count`` with most entries in common."""
+    sides = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "times").select("p.a", "p.b", "times")
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
+    return sides.withColumn("_r", place).where(F.col("_r") <= count).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """The lists whose classes are in several components, with those."""
+    at = shared.select("run", "times", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "x.members", "x.sizes")
+    at = at.join(comps, at["members"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "members"))
+    lists = at.groupBy("run", "times").agg(F.array_sort(F.collect_list(F.struct("sizes", "members", "comp"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return lists.where("lo <> hi").select(F.col("x.members").alias("members"), F.col("x.sizes").alias("sizes"), F.col("x.comp").alias("comps"), "times")
+
+
+def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the class pairs (a, b), those whose whole sets are similar enough."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     wanted = dealt.select("a", "chunk", F.col("b").alias("cls"), F.lit(False).alias("pivot")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("cls"), F.lit(True).alias("pivot"))
     )
+    tasks = wanted.groupBy("cls").agg(F.collect_list(F.struct("a", "chunk", "pivot")).alias("_sw_tasks")).join(speakers, "cls")
+    tasks = cut(tasks.select(F.col("speaker").alias("_sw_speaker"), F.col("cls").alias("_sw_cls"), "_sw_tasks"))
+    size = tasks.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_sw_tasks")), F.lit(0)).alias("pairs")).first()
+    few = size["rows"] <= BROADCAST_ROWS and size["pairs"] <= BROADCAST_PAIRS
+    texts = frame.join(F.broadcast(tasks) if few else tasks.hint("shuffle_hash"), frame["_sw_id"] == tasks["_sw_speaker"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets, keys in _distinct_classes(batches):
+            held, todo = batch.column("_sw_cls").to_pylist(), batch.column("_sw_tasks").to_pylist()
+            # A repeated id may have another text than the one that speaks for the class.
+            rows = [(t["a"], t["chunk"], t["pivot"], held[i], sets[i].tobytes()) for i, key in enumerate(keys) if key == held[i] for t in todo[i]]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "pivot", "cls", "tokens"])
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         one = np.frombuffer(frame.loc[frame["pivot"], "tokens"].iloc[0], np.uint64)
@@ -288,7 +351,8 @@ def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFr
         rest = rest[np.array(linked, bool)]
         return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["cls"].astype("int64")})
 
-    return wanted.join(sets, "cls").groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
+    sets = texts.select("_sw_text", "_sw_cls", "_sw_tasks").mapInArrow(measure, "a bigint, chunk bigint, pivot boolean, cls bigint, tokens binary")
+    return sets.groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,17 +371,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     speakers = held.groupBy("cls").agg(F.min("id").alias("speaker"))
     known = frame.where("_sw_id is not null")
     shared = cut(_shared_entries(known, _bitmap(survey), 2 * shuffle_partitions(docs.sparkSession)))
-    first = cut(shared.select("members", "sizes").mapInArrow(lambda it: _pairs(it, _star), "a bigint, b bigint").distinct())
-    links = cut(_verified(known, speakers, first))
+    stars = _summed(shared.select("members", "sizes", "times").mapInArrow(lambda it: _pairs(it, _star), _PAIR))
+    seen = cut(_closest(stars.where("times >= least"), 1))
+    links = cut(_verified(known, speakers, seen))
     comps = cut(components(links))
-    at = shared.select("run", F.posexplode(F.arrays_zip("members", "sizes")).alias("i", "x")).select("run", "i", "x.members", "x.sizes")
-    at = at.join(comps, at["members"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "members"))
-    mixed_runs = at.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("sizes", "members", "comp"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed_runs = mixed_runs.where("lo <> hi").select(F.col("x.members").alias("members"), F.col("x.sizes").alias("sizes"), F.col("x.comp").alias("comps"))
-    second = mixed_runs.mapInArrow(lambda it: _pairs(it, _across), "a bigint, b bigint").distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = cut(links.unionByName(_verified(known, speakers, second)))
+    for turn in range(ROUNDS):
+        near = _between_components(shared, comps).mapInArrow(lambda it, turn=turn: _pairs(it, _neighbours(turn)), _PAIR)
+        more = cut(_closest(_summed(near), NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
+        found = cut(_verified(known, speakers, more))
+        seen, links = seen.unionByName(more), links.unionByName(found)
+        comps = cut(components(links))
+        if found.count() < 0.05 * more.count():
+            break
+    rest = _summed(_between_components(shared, comps).mapInArrow(lambda it: _pairs(it, _across), _PAIR)).where("times >= least").select("a", "b")
+    rest = cut(rest.join(seen, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(cut(_verified(known, speakers, rest)))
         comps = cut(components(links))
     # An id with several rows of different texts joins their classes too.
     bridges = held.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
