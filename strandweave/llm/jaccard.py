@@ -10,9 +10,9 @@
     frequent ones are dealt into small hash ranges and indexed as pairs within a
     range, where a range of m shingles counts m - 1 towards the prefix.
 4.  Classes with a common index entry are candidates.  First each class is verified
-    against the one class, smallest in some entry, with which it has most entries in
-    common; then, for some rounds, against neighbours from other components in a
-    random order.  That links groups of near copies without pairing them all.  At last
+    against hubs: the class that an entry's classes have most to do with, such as the
+    text that all copies were made from; then, for some rounds, against neighbours
+    from other components in a random order.  That links groups of near copies without pairing them all.  At last
     all candidate pairs that are still in different components are verified, but for
     those whose number of common entries is too small for their sizes.
 
@@ -117,10 +117,12 @@ def index_entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray,
 
 
 def least_common(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """Single-token entries that two similar sets of these sizes have in common at least.
+    """Entries that two similar sets of these sizes have in common at least.
 
-    Up to the earlier end of the two prefixes, all common tokens are entries of
-    both; behind it the set whose prefix ends there has less than 75 % of its tokens.
+    Take the set whose prefix ends first.  Its prefix counts n - ceil(0.75 n) + 1; each
+    of its tokens that the other set lacks takes away one at most, and it lacks
+    n - overlap at most.  What is left of the count is no more than the common
+    entries: a range with m common tokens counts m - 1 and has m (m - 1) / 2 pairs.
     """
     overlap = -(-PERCENT * (small + large) // (100 + PERCENT))
     return np.maximum(1, overlap + PERCENT * -large // 100 + 1)
@@ -243,15 +245,14 @@ def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataF
 
 def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
     """Pairs of each batch as ``pick(members, sizes, ...)`` gives their positions, with the entries they
-    have in common in it and the least number that similar sets of these sizes would have (0: not known)."""
+    have in common in it and the least number that similar sets of these sizes would have."""
     for batch in batches:
         parts = []
         columns = [batch.column(c).to_pylist() for c in batch.schema.names]
         for *values, times in zip(*columns, strict=True):
             members, sizes, *more = (np.array(v, np.int64) for v in values)
             i, j = pick(members, sizes >> 1, *more)
-            plain = (sizes[i] & sizes[j] & 1) == 1
-            least = np.where(plain, least_common(sizes[i] >> 1, sizes[j] >> 1), 0)
+            least = least_common(np.minimum(sizes[i], sizes[j]) >> 1, np.maximum(sizes[i], sizes[j]) >> 1)
             parts.append(np.stack([np.minimum(members[i], members[j]), np.maximum(members[i], members[j]), least, np.full(len(i), times)]))
         if parts:
             a, b, least, times = np.concatenate(parts, axis=1)
@@ -264,13 +265,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(total[k : k + 100_000])], names=["a", "b", "least", "times"])
 
 
-def _star(members: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each class with the smallest before it that its size allows."""
-    at = np.searchsorted(100 * sizes, PERCENT * sizes, side="left")
-    later = np.flatnonzero(at < np.arange(len(sizes)))
-    return at[later], later
-
-
 def _across(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different components that their sizes allow."""
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -309,6 +303,24 @@ def _closest(pairs: DataFrame, count: int) -> DataFrame:
     return sides.withColumn("_r", place).where(F.col("_r") <= count).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _hub_pairs(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Each class of a list with the list's hub, summed: the class of largest degree among those that its size may be
+    similar to.  The degree of a class is the number of others in its lists; with ``comps`` only lists and
+    pairs of several components count."""
+    at = shared.select("run", "times", F.size("members").alias("m"), F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "m", F.col("x.members").alias("cls"), F.col("x.sizes").alias("size"))
+    degree = at.groupBy("cls").agg(F.sum((F.col("m") - 1) * F.col("times")).alias("degree"))
+    at = at.join(degree, "cls")
+    if comps is None:
+        at = at.withColumn("comp", F.col("cls"))
+    else:
+        at = at.join(comps, at["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
+    hub = at.groupBy("run").agg(F.max(F.struct("degree", "cls", "size", "comp")).alias("hub"))
+    pairs = at.join(hub, "run").where("comp <> hub.comp")
+    small, large = F.least("size", "hub.size"), F.greatest("size", "hub.size")
+    pairs = pairs.where(100 * F.shiftright(small, 1) >= PERCENT * F.shiftright(large, 1))
+    return _summed(pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"), F.lit(0).cast("bigint").alias("least"), "times"))
+
+
 def _between_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """The lists whose classes are in several components, with those."""
     at = shared.select("run", "times", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "x.members", "x.sizes")
@@ -371,8 +383,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     speakers = held.groupBy("cls").agg(F.min("id").alias("speaker"))
     known = frame.where("_sw_id is not null")
     shared = cut(_shared_entries(known, _bitmap(survey), 2 * shuffle_partitions(docs.sparkSession)))
-    stars = _summed(shared.select("members", "sizes", "times").mapInArrow(lambda it: _pairs(it, _star), _PAIR))
-    seen = cut(_closest(stars.where("times >= least"), 1))
+    seen = cut(_closest(_hub_pairs(shared, None), 1))
     links = cut(_verified(known, speakers, seen))
     comps = cut(components(links))
     for turn in range(ROUNDS):
