@@ -14,7 +14,9 @@
     text that all copies were made from; then, for some rounds, against neighbours
     from other components in a random order.  That links groups of near copies without pairing them all.  At last
     all candidate pairs that are still in different components are verified, but for
-    those whose number of common entries is too small for their sizes.
+    those whose number of common entries is too small for their sizes.  They are kept and
+    verified by pairs of blocks of classes, so that a set is sent once for each block that
+    it is compared with.
 
 Verification compares whole shingle sets, of 64-bit hashes.
 """
@@ -47,6 +49,10 @@ RANGE = 3
 ROUNDS, NEIGHBOURS = 3, 3
 #: Sets that one task compares with one other at a time.
 CHUNK = 64
+#: Classes in a block, and bytes of their sets, about.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Candidate pairs that one task holds before it passes them on, and bytes of sets.
+HELD_PAIRS, HELD_BYTES = 500_000, 16 << 20
 #: Most classes, and comparisons of classes, that are broadcast when their texts are read again.
 BROADCAST_ROWS, BROADCAST_PAIRS = 200_000, 1_000_000
 
@@ -265,15 +271,16 @@ def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(total[k : k + 100_000])], names=["a", "b", "least", "times"])
 
 
-def _across(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different components that their sizes allow."""
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    upto = np.searchsorted(PERCENT * sizes, 100 * sizes, side="right")
-    for i in range(len(members) - 1):
-        other = np.flatnonzero(comps[i + 1 : upto[i]] != comps[i]) + i + 1
-        lefts.append(np.full(len(other), i))
-        rights.append(other)
-    return np.concatenate(lefts), np.concatenate(rights)
+def _tiles(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different components that their sizes allow, at most BLOCK * BLOCK at a time."""
+    starts = range(0, len(members), BLOCK)
+    for i in starts:
+        for j in starts[i // BLOCK :]:
+            left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+            fit = (comps[left][:, None] != comps[right][None, :]) & (100 * small >= PERCENT * large)
+            one, other = np.nonzero(np.triu(fit, 1) if i == j else fit)
+            yield one + i, other + j
 
 
 def _neighbours(turn: int):
@@ -326,16 +333,94 @@ def _between_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
     at = shared.select("run", "times", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "x.members", "x.sizes")
     at = at.join(comps, at["members"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "members"))
     lists = at.groupBy("run", "times").agg(F.array_sort(F.collect_list(F.struct("sizes", "members", "comp"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return lists.where("lo <> hi").select(F.col("x.members").alias("members"), F.col("x.sizes").alias("sizes"), F.col("x.comp").alias("comps"), "times")
+    return lists.where("lo <> hi").select(F.col("x.members").alias("members"), F.col("x.sizes").alias("sizes"), F.col("x.comp").alias("comps"), "times", "run")
 
 
-def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the class pairs (a, b), those whose whole sets are similar enough."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    wanted = dealt.select("a", "chunk", F.col("b").alias("cls"), F.lit(False).alias("pivot")).unionByName(
-        dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("cls"), F.lit(True).alias("pivot"))
-    )
+def _in_blocks(lists: DataFrame) -> DataFrame:
+    """The lists with a block for each class.
+
+    A class's home is the class of largest degree that leads one of its lists; the
+    classes of a home are dealt into blocks of bounded count and size.
+    """
+    at = lists.select("run", "times", F.size("members").alias("m"), F.explode(F.arrays_zip("members", "sizes", "comps")).alias("x")).select("run", "times", "m", "x.*")
+    degree = at.groupBy("members").agg(F.sum((F.col("m") - 1) * F.col("times")).alias("degree"))
+    at = at.join(degree, "members")
+    lead = at.groupBy("run").agg(F.max(F.struct("degree", "members")).alias("lead"))
+    home = at.join(lead, "run").groupBy("members").agg(F.max("lead")["members"].alias("home"), F.first(F.shiftright("sizes", 1)).alias("n"))
+    blocks = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    dealt = home.join(blocks, "home").select("members", F.xxhash64("home", F.pmod(F.xxhash64("members"), F.col("blocks"))).alias("block"))
+    again = at.join(dealt, "members").groupBy("run", "times").agg(F.collect_list(F.struct("members", "sizes", "comps", "block")).alias("x"))
+    return again.select("x.members", "x.sizes", "x.comps", "x.block", "times")
+
+
+_BLOCKS = "lo bigint, hi bigint, classes binary, sizes binary, pairs binary, times binary"
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of blocks: classes, their sizes, candidate pairs as positions, and the entries each pair has in common."""
+
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        lo, hi, a, b, na, nb, times = np.concatenate(parts, axis=1)
+        order = np.lexsort((b, a, hi, lo))
+        lo, hi, a, b, na, nb, times = (x[order] for x in (lo, hi, a, b, na, nb, times))
+        new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        first = np.flatnonzero(new | np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        times, groups = np.add.reduceat(times, first), np.flatnonzero(new[first])
+        lo, hi, a, b, na, nb = (x[first] for x in (lo, hi, a, b, na, nb))
+        rows = []
+        for i, j in zip(groups, [*groups[1:], len(first)], strict=True):
+            classes, one, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_index=True, return_inverse=True)
+            n = np.concatenate([na[i:j], nb[i:j]])[one]
+            pairs = back.reshape(2, -1).astype(np.uint32)
+            rows.append((int(lo[i]), int(hi[i]), classes.tobytes(), n.tobytes(), pairs.tobytes(), times[i:j].astype(np.uint32).tobytes()))
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["lo", "hi", "classes", "sizes", "pairs", "times"])
+
+    parts, held = [], 0
+    for batch in batches:
+        for *values, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            members, sizes, comps, block = (np.array(v, np.int64) for v in values)
+            sizes = sizes >> 1
+            for i, j in _tiles(members, sizes, comps):
+                if not len(i):
+                    continue
+                back = (block[i] > block[j]) | ((block[i] == block[j]) & (members[i] > members[j]))
+                i, j = np.where(back, j, i), np.where(back, i, j)
+                parts.append(np.stack([block[i], block[j], members[i], members[j], sizes[i], sizes[j], np.full(len(i), times)]))
+                held += len(i)
+                if held >= HELD_PAIRS:
+                    yield packed(parts)
+                    parts, held = [], 0
+    if parts:
+        yield packed(parts)
+
+
+def _settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """One pair of blocks: the candidate pairs that have enough entries in common."""
+    a, b, small, large, times = [], [], [], [], []
+    for row in frame.itertuples():
+        classes, n = np.frombuffer(row.classes, np.int64), np.frombuffer(row.sizes, np.int64)
+        i, j = np.frombuffer(row.pairs, np.uint32).reshape(2, -1)
+        a.append(classes[i])
+        b.append(classes[j])
+        small.append(np.minimum(n[i], n[j]))
+        large.append(np.maximum(n[i], n[j]))
+        times.append(np.frombuffer(row.times, np.uint32).astype(np.int64))
+    a, b, small, large, times = (np.concatenate(x) for x in (a, b, small, large, times))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    enough = np.add.reduceat(times[order], first) >= least_common(small[order][first], large[order][first])
+    a, b = a[first][enough], b[first][enough]
+    classes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if not len(a):
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in {"a": "int64", "chunk": "int64", "classes": object, "pairs": object}.items()})
+    pairs = back.reshape(2, -1).astype(np.uint32).tobytes()
+    return pd.DataFrame({"a": frame["lo"].iloc[:1], "chunk": frame["hi"].iloc[:1], "classes": [classes], "pairs": [pairs]})
+
+
+def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle set of each class for each task (a, chunk) that wants it, from the texts of the classes' speakers."""
     tasks = wanted.groupBy("cls").agg(F.collect_list(F.struct("a", "chunk", "pivot")).alias("_sw_tasks")).join(speakers, "cls")
     tasks = cut(tasks.select(F.col("speaker").alias("_sw_speaker"), F.col("cls").alias("_sw_cls"), "_sw_tasks"))
     size = tasks.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_sw_tasks")), F.lit(0)).alias("pairs")).first()
@@ -343,28 +428,74 @@ def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFr
     texts = frame.join(F.broadcast(tasks) if few else tasks.hint("shuffle_hash"), frame["_sw_id"] == tasks["_sw_speaker"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "pivot", "cls", "tokens"])
+
         for batch, sets, keys in _distinct_classes(batches):
             held, todo = batch.column("_sw_cls").to_pylist(), batch.column("_sw_tasks").to_pylist()
-            # A repeated id may have another text than the one that speaks for the class.
-            rows = [(t["a"], t["chunk"], t["pivot"], held[i], sets[i].tobytes()) for i, key in enumerate(keys) if key == held[i] for t in todo[i]]
+            rows, size = [], 0
+            for i, key in enumerate(keys):
+                if key != held[i]:  # a repeated id may have another text than the one that speaks for the class
+                    continue
+                tokens = sets[i].tobytes()
+                for t in todo[i]:
+                    rows.append((t["a"], t["chunk"], t["pivot"], held[i], tokens))
+                    size += len(tokens)
+                    if size >= HELD_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
             if rows:
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "pivot", "cls", "tokens"])
+                yield batch_of(rows)
+
+    return texts.select("_sw_text", "_sw_cls", "_sw_tasks").mapInArrow(measure, "a bigint, chunk bigint, pivot boolean, cls bigint, tokens binary")
+
+
+def _similar(one: np.ndarray, other: np.ndarray) -> bool:
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    common = int((one[at] == other).sum())
+    return 100 * common >= PERCENT * (len(one) + len(other) - common)
+
+
+def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the class pairs (a, b), those whose whole sets are similar enough."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    wanted = dealt.select("a", "chunk", F.col("b").alias("cls"), F.lit(False).alias("pivot")).unionByName(
+        dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("cls"), F.lit(True).alias("pivot"))
+    )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         one = np.frombuffer(frame.loc[frame["pivot"], "tokens"].iloc[0], np.uint64)
         rest = frame[~frame["pivot"]]
-        linked = []
-        for tokens in rest["tokens"]:
-            other = np.frombuffer(tokens, np.uint64)
-            at = np.minimum(np.searchsorted(one, other), len(one) - 1)
-            common = int((one[at] == other).sum())
-            linked.append(100 * common >= PERCENT * (len(one) + len(other) - common))
-        rest = rest[np.array(linked, bool)]
+        rest = rest[np.array([_similar(one, np.frombuffer(tokens, np.uint64)) for tokens in rest["tokens"]], bool)]
         return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["cls"].astype("int64")})
 
-    sets = texts.select("_sw_text", "_sw_cls", "_sw_tasks").mapInArrow(measure, "a bigint, chunk bigint, pivot boolean, cls bigint, tokens binary")
-    return sets.groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
+    return _sets(frame, speakers, wanted).groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _verified_blocks(frame: DataFrame, speakers: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same classes as all similar pairs of the tasks do."""
+
+    def compare(sets: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        known = {c: np.frombuffer(t, np.uint64) for c, t in zip(sets["cls"], sets["tokens"], strict=True)}
+        links = []
+        for classes, pairs in zip(plan["classes"], plan["pairs"], strict=True):
+            root = list(range(len(classes)))
+            for i, j in np.frombuffer(pairs, np.uint32).reshape(2, -1).T.tolist():
+                p, q = i, j
+                while root[p] != p:
+                    p = root[p] = root[root[p]]
+                while root[q] != q:
+                    q = root[q] = root[root[q]]
+                if p != q and classes[i] in known and classes[j] in known and _similar(known[classes[i]], known[classes[j]]):
+                    root[q] = p
+                    links.append((classes[i], classes[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    wanted = tasks.select("a", "chunk", F.explode("classes").alias("cls"), F.lit(False).alias("pivot"))
+    sets = _sets(frame, speakers, wanted)
+    return sets.groupBy("a", "chunk").cogroup(tasks.groupBy("a", "chunk")).applyInPandas(compare, "a bigint, b bigint")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,17 +518,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = cut(_verified(known, speakers, seen))
     comps = cut(components(links))
     for turn in range(ROUNDS):
-        near = _between_components(shared, comps).mapInArrow(lambda it, turn=turn: _pairs(it, _neighbours(turn)), _PAIR)
+        near = _between_components(shared, comps).drop("run").mapInArrow(lambda it, turn=turn: _pairs(it, _neighbours(turn)), _PAIR)
         more = cut(_closest(_summed(near), NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
         found = cut(_verified(known, speakers, more))
         seen, links = seen.unionByName(more), links.unionByName(found)
         comps = cut(components(links))
         if found.count() < 0.05 * more.count():
             break
-    rest = _summed(_between_components(shared, comps).mapInArrow(lambda it: _pairs(it, _across), _PAIR)).where("times >= least").select("a", "b")
-    rest = cut(rest.join(seen, ["a", "b"], "left_anti"))
+    blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_pairs, _BLOCKS)
+    rest = cut(blocks.groupBy("lo", "hi").applyInPandas(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
     if not rest.isEmpty():
-        links = links.unionByName(cut(_verified(known, speakers, rest)))
+        links = links.unionByName(cut(_verified_blocks(known, speakers, rest)))
         comps = cut(components(links))
     # An id with several rows of different texts joins their classes too.
     bridges = held.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
