@@ -46,7 +46,7 @@ BITMAP_BITS, PART_BITS = 26, 20
 #: Frequent shingles in one range, on average.
 RANGE = 3
 #: Rounds of comparison with neighbours, and neighbours of each class in a round.
-ROUNDS, NEIGHBOURS = 3, 3
+ROUNDS, NEIGHBOURS = 3, 1
 #: Sets that one task compares with one other at a time.
 CHUNK = 64
 #: Classes in a block, and bytes of their sets, about.
