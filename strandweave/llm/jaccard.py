@@ -52,7 +52,7 @@ CHUNK = 64
 #: Classes in a block, and bytes of their sets, about.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Candidate pairs that one task holds before it passes them on, and bytes of sets.
-HELD_PAIRS, HELD_BYTES = 500_000, 16 << 20
+HELD_PAIRS, HELD_BYTES = 1_000_000, 16 << 20
 #: Most classes, and comparisons of classes, that are broadcast when their texts are read again.
 BROADCAST_ROWS, BROADCAST_PAIRS = 200_000, 1_000_000
 
@@ -271,18 +271,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(total[k : k + 100_000])], names=["a", "b", "least", "times"])
 
 
-def _tiles(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different components that their sizes allow, at most BLOCK * BLOCK at a time."""
-    starts = range(0, len(members), BLOCK)
-    for i in starts:
-        for j in starts[i // BLOCK :]:
-            left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
-            fit = (comps[left][:, None] != comps[right][None, :]) & (100 * small >= PERCENT * large)
-            one, other = np.nonzero(np.triu(fit, 1) if i == j else fit)
-            yield one + i, other + j
-
-
 def _neighbours(turn: int):
     """Classes of different components next to each other in the turn's random order."""
 
@@ -349,7 +337,8 @@ def _in_blocks(lists: DataFrame) -> DataFrame:
     home = at.join(lead, "run").groupBy("members").agg(F.max("lead")["members"].alias("home"), F.first(F.shiftright("sizes", 1)).alias("n"))
     blocks = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
     dealt = home.join(blocks, "home").select("members", F.xxhash64("home", F.pmod(F.xxhash64("members"), F.col("blocks"))).alias("block"))
-    again = at.join(dealt, "members").groupBy("run", "times").agg(F.collect_list(F.struct("members", "sizes", "comps", "block")).alias("x"))
+    tasks = 4 * shuffle_partitions(lists.sparkSession)  # the lists are short for the pairs that they make
+    again = at.join(dealt, "members").repartition(tasks, "run", "times").groupBy("run", "times").agg(F.collect_list(F.struct("members", "sizes", "comps", "block")).alias("x"))
     return again.select("x.members", "x.sizes", "x.comps", "x.block", "times")
 
 
@@ -361,16 +350,19 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
         lo, hi, a, b, na, nb, times = np.concatenate(parts, axis=1)
-        order = np.lexsort((b, a, hi, lo))
-        lo, hi, a, b, na, nb, times = (x[order] for x in (lo, hi, a, b, na, nb, times))
-        new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        first = np.flatnonzero(new | np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        times, groups = np.add.reduceat(times, first), np.flatnonzero(new[first])
-        lo, hi, a, b, na, nb = (x[first] for x in (lo, hi, a, b, na, nb))
+        with np.errstate(over="ignore"):
+            key = mixed(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)  # of a pair, in 64 bits
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        times, one = np.add.reduceat(times[order], first), order[first]
+        order = np.lexsort((hi[one], lo[one]))
+        times, one = times[order], one[order]
+        lo, hi, a, b, na, nb = (x[one] for x in (lo, hi, a, b, na, nb))
+        groups = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         rows = []
-        for i, j in zip(groups, [*groups[1:], len(first)], strict=True):
-            classes, one, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_index=True, return_inverse=True)
-            n = np.concatenate([na[i:j], nb[i:j]])[one]
+        for i, j in zip(groups, [*groups[1:], len(one)], strict=True):
+            classes, place, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_index=True, return_inverse=True)
+            n = np.concatenate([na[i:j], nb[i:j]])[place]
             pairs = back.reshape(2, -1).astype(np.uint32)
             rows.append((int(lo[i]), int(hi[i]), classes.tobytes(), n.tobytes(), pairs.tobytes(), times[i:j].astype(np.uint32).tobytes()))
         types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -378,45 +370,50 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     parts, held = [], 0
     for batch in batches:
-        for *values, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            members, sizes, comps, block = (np.array(v, np.int64) for v in values)
-            sizes = sizes >> 1
-            for i, j in _tiles(members, sizes, comps):
-                if not len(i):
-                    continue
-                back = (block[i] > block[j]) | ((block[i] == block[j]) & (members[i] > members[j]))
-                i, j = np.where(back, j, i), np.where(back, i, j)
-                parts.append(np.stack([block[i], block[j], members[i], members[j], sizes[i], sizes[j], np.full(len(i), times)]))
-                held += len(i)
+        members, sizes, comps, block = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4))
+        length = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+        sizes, times = sizes >> 1, np.repeat(batch.column(4).to_numpy(zero_copy_only=False), length)
+        after = np.repeat(np.cumsum(length), length) - np.arange(len(members)) - 1  # members that follow in the list
+        i, lag = np.flatnonzero(after >= 1), 1
+        while len(i):
+            j = i + lag
+            fit = (comps[i] != comps[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+            p, q = i[fit], j[fit]
+            if len(p):
+                back = (block[p] > block[q]) | ((block[p] == block[q]) & (members[p] > members[q]))
+                p, q = np.where(back, q, p), np.where(back, p, q)
+                parts.append(np.stack([block[p], block[q], members[p], members[q], sizes[p], sizes[q], times[p]]))
+                held += len(p)
                 if held >= HELD_PAIRS:
                     yield packed(parts)
                     parts, held = [], 0
+            lag += 1
+            i = i[after[i] >= lag]
     if parts:
         yield packed(parts)
 
 
 def _settled(frame: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks: the candidate pairs that have enough entries in common."""
-    a, b, small, large, times = [], [], [], [], []
+    """Some pairs of blocks: the candidate pairs that have enough entries in common."""
+    parts = []
     for row in frame.itertuples():
         classes, n = np.frombuffer(row.classes, np.int64), np.frombuffer(row.sizes, np.int64)
         i, j = np.frombuffer(row.pairs, np.uint32).reshape(2, -1)
-        a.append(classes[i])
-        b.append(classes[j])
-        small.append(np.minimum(n[i], n[j]))
-        large.append(np.maximum(n[i], n[j]))
-        times.append(np.frombuffer(row.times, np.uint32).astype(np.int64))
-    a, b, small, large, times = (np.concatenate(x) for x in (a, b, small, large, times))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    enough = np.add.reduceat(times[order], first) >= least_common(small[order][first], large[order][first])
-    a, b = a[first][enough], b[first][enough]
-    classes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if not len(a):
-        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in {"a": "int64", "chunk": "int64", "classes": object, "pairs": object}.items()})
-    pairs = back.reshape(2, -1).astype(np.uint32).tobytes()
-    return pd.DataFrame({"a": frame["lo"].iloc[:1], "chunk": frame["hi"].iloc[:1], "classes": [classes], "pairs": [pairs]})
+        parts.append(np.stack([np.full(len(i), row.lo), np.full(len(i), row.hi), classes[i], classes[j], np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), np.frombuffer(row.times, np.uint32)]))
+    lo, hi, a, b, small, large, times = np.concatenate(parts, axis=1)
+    order = np.lexsort((b, a, hi, lo))
+    lo, hi, a, b, small, large, times = (x[order] for x in (lo, hi, a, b, small, large, times))
+    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    first = np.flatnonzero(new | np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    first = first[np.add.reduceat(times, first) >= least_common(small[first], large[first])]
+    lo, hi, a, b = (x[first] for x in (lo, hi, a, b))
+    starts = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(first) else first
+    rows = []
+    for i, j in zip(starts, [*starts[1:], len(first)][: len(starts)], strict=True):
+        classes, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_inverse=True)
+        rows.append((lo[i], hi[i], classes, back.reshape(2, -1).astype(np.uint32).tobytes()))
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pd.DataFrame({c: pd.Series(list(v), dtype=t) for (c, t), v in zip({"a": "int64", "chunk": "int64", "classes": object, "pairs": object}.items(), columns, strict=True)})
 
 
 def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -526,7 +523,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if found.count() < 0.05 * more.count():
             break
     blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_pairs, _BLOCKS)
-    rest = cut(blocks.groupBy("lo", "hi").applyInPandas(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
+    rest = cut(blocks.groupBy(F.pmod(F.xxhash64("lo", "hi"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInPandas(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
     if not rest.isEmpty():
         links = links.unionByName(cut(_verified_blocks(known, speakers, rest)))
         comps = cut(components(links))
