@@ -18,7 +18,7 @@
     verified by pairs of blocks of classes, so that a set is sent once for each block that
     it is compared with.
 
-Verification compares whole shingle sets, of 64-bit hashes.
+Verification compares whole shingle sets, by the upper 48 bits of their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -435,7 +435,7 @@ def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame
             for i, key in enumerate(keys):
                 if key != held[i]:  # a repeated id may have another text than the one that speaks for the class
                     continue
-                tokens = sets[i].tobytes()
+                tokens = _sent(sets[i])
                 for t in todo[i]:
                     rows.append((t["a"], t["chunk"], t["pivot"], held[i], tokens))
                     size += len(tokens)
@@ -448,6 +448,17 @@ def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame
     return texts.select("_sw_text", "_sw_cls", "_sw_tasks").mapInArrow(measure, "a bigint, chunk bigint, pivot boolean, cls bigint, tokens binary")
 
 
+def _sent(tokens: np.ndarray) -> bytes:
+    """Ascending hashes by their upper 48 bits; sets of 20,000 shingles have 0.0000014 false common ones on average."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _received(data: bytes) -> np.ndarray:
+    tokens = np.zeros((len(data) // 6, 8), np.uint8)
+    tokens[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return tokens.reshape(-1).view("<u8")
+
+
 def _similar(one: np.ndarray, other: np.ndarray) -> bool:
     at = np.minimum(np.searchsorted(one, other), len(one) - 1)
     common = int((one[at] == other).sum())
@@ -463,9 +474,9 @@ def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFr
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        one = np.frombuffer(frame.loc[frame["pivot"], "tokens"].iloc[0], np.uint64)
+        one = _received(frame.loc[frame["pivot"], "tokens"].iloc[0])
         rest = frame[~frame["pivot"]]
-        rest = rest[np.array([_similar(one, np.frombuffer(tokens, np.uint64)) for tokens in rest["tokens"]], bool)]
+        rest = rest[np.array([_similar(one, _received(tokens)) for tokens in rest["tokens"]], bool)]
         return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["cls"].astype("int64")})
 
     return _sets(frame, speakers, wanted).groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
@@ -475,7 +486,7 @@ def _verified_blocks(frame: DataFrame, speakers: DataFrame, tasks: DataFrame) ->
     """Links (a, b) that join the same classes as all similar pairs of the tasks do."""
 
     def compare(sets: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        known = {c: np.frombuffer(t, np.uint64) for c, t in zip(sets["cls"], sets["tokens"], strict=True)}
+        known = {c: _received(t) for c, t in zip(sets["cls"], sets["tokens"], strict=True)}
         links = []
         for classes, pairs in zip(plan["classes"], plan["pairs"], strict=True):
             root = list(range(len(classes)))
