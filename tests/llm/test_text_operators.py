@@ -280,6 +280,24 @@ def test_compression_bands():
     assert quality.compression(mostly, press)[2] >= 3
 
 
+def _words(rnd, n):
+    return ["".join(rnd.choices("etaoinshrdlu", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3], k=rnd.randint(2, 9))) for _ in range(n)]
+
+
+def test_compression_rejects_word_runs():
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rnd = random.Random(3)
+    for copies in range(5, 9):
+        for n in (180, 240, 300, 700, 1500, 3000, 8000, 40000):
+            runs = " ".join(" ".join([w] * copies) for w in _words(rnd, n // copies))[:n]
+            assert not quality.compression(runs.encode(), press)[0], (copies, n)
+            assert quality.compression(" ".join(_words(rnd, n))[:n].encode(), press)[1] < 2.2
+    plain = " ".join(_words(rnd, 4000))
+    assert quality.compression(plain[:5000].encode(), press)[2:] == (0, 0, 2)
+    assert quality.compression((plain[:4096] + "again " * 600).encode(), press)[2:] == (0, 1, 2)
+    assert quality.compression("".join(rnd.choices("абвгдежзиклмнопрст ", range(19, 0, -1), k=3000)).encode(), press)[0]
+
+
 def test_fingerprints(frame):
     own = [r for r in ROWS if r[0] not in (3,)]
     out = {r["doc_id"]: r for r in fingerprint.compare_with_next(frame(own)).collect()}
