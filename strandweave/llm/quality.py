@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from strandweave.llm._common import pieces_by_bytes, utf8_of
 from strandweave.llm._words import runs, words_of
 
-#: (bytes below which the band holds, least ratio, largest ratio).  The largest ratio lies 15 to 25 % above that of clean prose of the length.
+#: (bytes below which the band holds, least ratio, largest ratio).  The largest ratio lies 15 to 25 % above that of clean prose of the length;
+#: the least one lies between clean prose and random letters and digits.  Below 128 bytes the two cannot be told apart.
 BANDS = (
-    (192, 0.0, 1.9), (256, 0.0, 2.0), (384, 1.1, 2.2), (512, 1.1, 2.4), (1024, 1.1, 2.65), (1536, 1.2, 2.9), (2048, 1.2, 3.0),
-    (4096, 1.2, 3.1), (16384, 1.3, 3.3), (65536, 1.3, 3.5), (1 << 62, 1.3, 3.6),
+    (128, 0.0, 1.9), (192, 1.0, 1.9), (256, 1.12, 2.0), (384, 1.18, 2.2), (512, 1.25, 2.4), (768, 1.32, 2.65), (1024, 1.4, 2.65), (1536, 1.52, 2.9),
+    (2048, 1.56, 3.0), (4096, 1.6, 3.1), (16384, 1.7, 3.3), (65536, 1.7, 3.5), (1 << 62, 1.7, 3.6),
 )
 CHUNK = 4096
-CHUNK_BAND = (1.2, 3.2)
+CHUNK_BAND = (1.65, 3.2)
+#: Texts of more bytes a code point than this have a least ratio smaller by WIDE_FLOOR: words of a few letters from a large set look like noise.
+WIDE, WIDE_FLOOR = 1.5, 1.3
 CHUNK_SHARE = 0.5
 LEVEL = 3
 MIN_WORDS = 20
@@ -95,15 +98,16 @@ def compression(text: bytes, press: zstandard.ZstdCompressor) -> tuple[bool, flo
     whole = n / len(press.compress(text)) if n else 0.0
     # Scripts of two or three bytes a letter compress the better for it.
     wide = n / max(1, len(text.decode("utf-8", "replace")))
+    floor = WIDE_FLOOR if wide > WIDE else 1.0
     low = high = chunks = 0
     if n > CHUNK:
         for at in range(0, n, CHUNK):
             at = min(at, n - CHUNK)
             ratio = CHUNK / len(press.compress(text[at : at + CHUNK]))
             chunks += 1
-            low += ratio < CHUNK_BAND[0]
+            low += ratio < CHUNK_BAND[0] / floor
             high += ratio > CHUNK_BAND[1] * wide
-    good = least <= whole <= most * wide
+    good = least / floor <= whole <= most * wide
     return good and low + high <= CHUNK_SHARE * chunks, whole, low, high, chunks
 
 

@@ -1,9 +1,11 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import base64
 import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -298,6 +300,23 @@ def test_compression_rejects_word_runs():
     assert quality.compression("".join(rnd.choices("абвгдежзиклмнопрст ", range(19, 0, -1), k=3000)).encode(), press)[0]
 
 
+def test_compression_rejects_noise_in_letters():
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rnd = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    for n in (300, 406, 600, 949, 1300, 1800, 2700, 5000, 8192, 30000, 81000):
+        alnum = " ".join("".join(rnd.choices(letters, k=rnd.randint(3, 10))) for _ in range(n // 3))[:n]
+        for noise in (base64.encodebytes(rnd.randbytes(n))[:n], alnum.encode(), bytes(rnd.choices(range(33, 127), k=n))):
+            good, _, low, _, chunks = quality.compression(noise, press)
+            assert not good and low == chunks, n
+        # Hex has 4 bits a letter and compresses like prose: no ratio tells it from clean text.
+        assert quality.compression(rnd.randbytes(n).hex().encode()[:n], press)[1] > 1.5
+    han = [chr(0x4E00 + 7 * i) for i in range(2500)]
+    for n in (60, 200, 1000, 5000):
+        text = "".join(rnd.choices(han, [1 / (i + 5) for i in range(2500)], k=n))
+        assert quality.compression(text.encode(), press)[0], n
+
+
 def test_fingerprints(frame):
     own = [r for r in ROWS if r[0] not in (3,)]
     out = {r["doc_id"]: r for r in fingerprint.compare_with_next(frame(own)).collect()}
