@@ -59,6 +59,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "is_listed")
 
 
+def op7_url_filter_junk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op7_url_filter``, with the URLs of hosts of every junk category in the list."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages, urlfilter.JUNK_LABELS))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "is_listed")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
 
@@ -80,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc_fixity": op5_warc_fixity,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_url_filter": op7_url_filter,
+        "op7_url_filter_junk_labels": op7_url_filter_junk_labels,
         "op8_quality_rules": op8_quality_rules,
         "op9_fingerprints": op9_fingerprints,
         "op10_packing": op10_packing,
@@ -134,6 +142,8 @@ SELECT c.page_id, c.host, c.path, f.rule,
 FROM canon c LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON c.canonical = l.canonical
 """
 
+_OP7_JUNK = _OP7.replace("['spam-farm', 'casino-win']", "['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']")
+
 
 _OP5 = """
 WITH records AS (
@@ -177,4 +187,4 @@ SELECT s.doc_id, s.n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op2_line_dedup": _OP2, "op7_url_filter": _OP7}
+    return {"op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op2_line_dedup": _OP2, "op7_url_filter": _OP7, "op7_url_filter_junk_labels": _OP7_JUNK}

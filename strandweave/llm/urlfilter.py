@@ -29,6 +29,8 @@ DEFAULT_RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Labels that name a junk category, as hosts bear them.
+JUNK_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def _after_scheme(url: Column) -> Column:

@@ -254,6 +254,15 @@ def test_bloom_has_no_false_negatives(spark):
     assert hits.where("is_listed").count() == 5000
 
 
+def test_junk_labels_decide_pages_without_a_rule(spark, tmp_path):
+    from strandweave.llm import queries
+
+    hosts = ["blog.adult-x.example.net", "cheap-pills.org", "a.free-bets.org", "ads-track.org", "spam-farm.org", "x.casino-win.org", "ok.org", "notspam-farm.org"]
+    spark.createDataFrame([(i, f"http://{h}/en/{i}.html", "") for i, h in enumerate(hosts)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["is_listed"]) for r in queries.queries()["op7_url_filter_junk_labels"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, "block" if i < 6 else "allow", i < 6) for i in range(len(hosts))}
+
+
 def test_quality_counts(frame):
     out = quality.judge_quality(frame(ROWS), keep=("doc_id", "text")).collect()
     assert len(out) == len(ROWS)
