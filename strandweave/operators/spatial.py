@@ -103,6 +103,10 @@ def unit_box(points: DataFrame, group: list[str]) -> DataFrame:
     return own.withColumns({c: (F.col(c) - (F.col(f"_lo{c}") + F.col(f"_hi{c}")) / 2) / F.col("_s") for c in axes}).drop("_s", *[f"_{n}{c}" for c in axes for n in ("lo", "hi")])
 
 
+#: Most objects of a scene that are broadcast to each point.
+SCENE = 10_000
+
+
 def clearest_direction(path: DataFrame, obstacles: DataFrame, candidates: int) -> DataFrame:
     """(candidate, clearance), the direction whose median clearance over the path is largest first.
 
@@ -110,7 +114,18 @@ def clearest_direction(path: DataFrame, obstacles: DataFrame, candidates: int) -
     """
     c = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))
     rays = path.withColumn("candidate", c).withColumn("_t", F.col("candidate") * (2 * math.pi / candidates))
-    o = F.broadcast(obstacles) if obstacles.limit(10_001).count() <= 10_000 else obstacles
-    d = F.abs((F.col("ox") - F.col("x")) * F.sin("_t") - (F.col("oy") - F.col("y")) * F.cos("_t"))
-    least = rays.join(o, F.lit(True)).groupBy("candidate", "point_id").agg(F.min(d).alias("_c"))
+    if obstacles.limit(SCENE + 1).count() <= SCENE:
+        d = F.abs((F.col("ox") - F.col("x")) * F.sin("_t") - (F.col("oy") - F.col("y")) * F.cos("_t"))
+        least = rays.join(F.broadcast(obstacles), F.lit(True)).groupBy("candidate", "point_id").agg(F.min(d).alias("_c"))
+    else:
+        # Many obstacles are sorted by their distance to the ray's line through the origin; only the next on each side counts.
+        own = rays.select("candidate", "point_id", (F.col("x") * F.sin("_t") - F.col("y") * F.cos("_t")).alias("_p"), F.lit(None).cast("double").alias("_o"))
+        others = obstacles.withColumn("candidate", c).withColumn("_t", F.col("candidate") * (2 * math.pi / candidates))
+        others = others.select("candidate", (F.col("ox") * F.sin("_t") - F.col("oy") * F.cos("_t")).alias("_p")).withColumn("_o", F.col("_p"))
+        both = own.unionByName(others, allowMissingColumns=True).withColumn("_path", F.col("_o").isNull())
+        w = Window.partitionBy("candidate")
+        up, down = w.orderBy("_p"), w.orderBy(F.desc("_p"))
+        both = both.withColumn("_lo", F.max("_o").over(up)).withColumn("_hi", F.min("_o").over(down)).where("_path")
+        gap = F.least(F.col("_p") - F.col("_lo"), F.col("_hi") - F.col("_p"))
+        least = both.groupBy("candidate", "point_id").agg(F.min(gap).alias("_c"))
     return least.groupBy("candidate").agg(F.median("_c").alias("clearance"))

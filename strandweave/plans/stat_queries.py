@@ -253,6 +253,14 @@ def clearance_search(spark: SparkSession, sf_dir: str) -> DataFrame:  # P3-7
     return _rounded(spatial.clearest_direction(path, p.where("vec_id % 50 = 0").select(F.col("x").alias("ox"), F.col("y").alias("oy")), 12), 6, "clearance")
 
 
+@query()
+def clearance_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:  # P3-7
+    """Every point has a role: those of even labels are the path, those of odd ones the obstacles."""
+    p = points(spark, sf_dir)
+    path = p.where("label % 2 = 0").select(F.col("vec_id").alias("point_id"), "x", "y")
+    return _rounded(spatial.clearest_direction(path, p.where("label % 2 = 1").select(F.col("x").alias("ox"), F.col("y").alias("oy")), 12), 6, "clearance")
+
+
 # Integrity
 
 
@@ -272,14 +280,26 @@ _LEGS = """legs AS (SELECT 'g' || l_linenumber AS gate, l_orderkey * 10 + l_line
  CASE l_linenumber % 3 WHEN 0 THEN l_quantity WHEN 1 THEN 0 ELSE 50 END::DOUBLE AS "limit", l_quantity::DOUBLE AS value, l_tax > 0.07 AS retired FROM lineitem WHERE l_orderkey < 40)"""
 
 
-@query(f"""WITH {_LEGS}, s AS (SELECT *, CASE kind WHEN 'expect' THEN value = "limit" WHEN 'at_least' THEN value >= "limit" ELSE value < "limit" END AS passed FROM legs)
-SELECT gate, count(*) AS legs, count(*) FILTER (WHERE NOT passed AND NOT retired) AS failed, count(*) FILTER (WHERE NOT passed AND NOT retired) = 0 AS passed FROM s GROUP BY gate""")
-def gate_legs(spark: SparkSession, sf_dir: str) -> DataFrame:  # P08
+_GATES = """s AS (SELECT *, CASE kind WHEN 'expect' THEN value = "limit" WHEN 'at_least' THEN value >= "limit" ELSE value < "limit" END AS passed FROM legs)
+SELECT gate, count(*) AS legs, count(*) FILTER (WHERE NOT passed AND NOT retired) AS failed, count(*) FILTER (WHERE NOT passed AND NOT retired) = 0 AS passed FROM s GROUP BY gate"""
+
+
+def _legs(lines: DataFrame) -> DataFrame:
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double")
     kind = F.when(n % 3 == 0, "expect").when(n % 3 == 1, "at_least").otherwise("below")
     limit = F.when(n % 3 == 0, q).when(n % 3 == 1, 0.0).otherwise(50.0)
-    legs = table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.concat(F.lit("g"), n).alias("gate"), (F.col("l_orderkey") * 10 + n).alias("leg"), kind.alias("kind"), limit.alias("limit"), q.alias("value"), (F.col("l_tax") > 0.07).alias("retired"))
-    return integrity.gates(legs)
+    return lines.select(F.concat(F.lit("g"), n).alias("gate"), (F.col("l_orderkey") * 10 + n).alias("leg"), kind.alias("kind"), limit.alias("limit"), q.alias("value"), (F.col("l_tax") > 0.07).alias("retired"))
+
+
+@query(f"WITH {_LEGS.replace(' WHERE l_orderkey < 40', '')}, {_GATES}")
+def gate_legs_all(spark: SparkSession, sf_dir: str) -> DataFrame:  # P08
+    return integrity.gates(_legs(table(spark, sf_dir, "lineitem")))
+
+
+@query(f"""WITH {_LEGS}, s AS (SELECT *, CASE kind WHEN 'expect' THEN value = "limit" WHEN 'at_least' THEN value >= "limit" ELSE value < "limit" END AS passed FROM legs)
+SELECT gate, count(*) AS legs, count(*) FILTER (WHERE NOT passed AND NOT retired) AS failed, count(*) FILTER (WHERE NOT passed AND NOT retired) = 0 AS passed FROM s GROUP BY gate""")
+def gate_legs(spark: SparkSession, sf_dir: str) -> DataFrame:  # P08
+    return integrity.gates(_legs(table(spark, sf_dir, "lineitem").where("l_orderkey < 40")))
 
 
 @query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 3 = 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -288,6 +308,12 @@ def consumed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:  # U09
     return integrity.overlap(table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key")), spent, "key")
 
 
+@query("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def consumed_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:  # U09
+    spent = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    return integrity.overlap(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), spent, "key")
+
+
 @query("""WITH e AS (SELECT user_id AS subject, event_type AS tier, value > 20 AS valid FROM events), r(tier, k) AS (VALUES ('view', 1), ('click', 2), ('signup', 3), ('purchase', 4), ('error', 5))
 SELECT subject, arg_max(tier, k) AS tier FROM e JOIN r USING (tier) WHERE valid GROUP BY subject""")
 def supported_tier(spark: SparkSession, sf_dir: str) -> DataFrame:  # O04 P07
