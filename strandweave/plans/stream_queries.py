@@ -81,10 +81,19 @@ def sensory_bus(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM10 SM11
 @query("""WITH f AS (SELECT min(epoch_us(ts)) - CASE WHEN user_id = 3 THEN 9000000000000000 ELSE 0 END AS t_us, list(event_type) AS ids, count(*) - CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'Hz' END AS units FROM events WHERE event_id < 400 GROUP BY user_id)
 SELECT t_us, fault FROM (SELECT t_us, unnest(list_filter([CASE WHEN t_us < 0 THEN 'time' END, CASE WHEN len(ids) <> n THEN 'length' END, CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated' END, CASE WHEN units = '' THEN 'units' END], lambda x: x IS NOT NULL)) AS fault FROM f)""")
 def frame_contract(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM13
+    return S.frame_faults(_frames(table(spark, sf_dir, "events").where("event_id < 400")))
+
+
+def _frames(events: DataFrame) -> DataFrame:
     u = F.col("user_id")
-    own = table(spark, sf_dir, "events").where("event_id < 400").groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), F.collect_list("event_type").alias("ids"), F.count("*").alias("n"))
-    frames = own.select((F.col("t") - F.when(u == 3, F.lit(9_000_000_000_000_000)).otherwise(0)).alias("t_us"), "ids", F.array_repeat(F.lit(1.0), (F.col("n") - F.when(u % 11 == 0, 1).otherwise(0)).cast("int")).alias("values"), F.when(u % 13 == 0, "").otherwise("Hz").alias("units"), F.array(F.lit("A1")).alias("assumptions"))
-    return S.frame_faults(frames)
+    own = events.groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), F.collect_list("event_type").alias("ids"), F.count("*").alias("n"))
+    return own.select((F.col("t") - F.when(u == 3, F.lit(9_000_000_000_000_000)).otherwise(0)).alias("t_us"), "ids", F.array_repeat(F.lit(1.0), (F.col("n") - F.when(u % 11 == 0, 1).otherwise(0)).cast("int")).alias("values"), F.when(u % 13 == 0, "").otherwise("Hz").alias("units"), F.array(F.lit("A1")).alias("assumptions"))
+
+
+@query("""WITH f AS (SELECT min(epoch_us(ts)) - CASE WHEN user_id = 3 THEN 9000000000000000 ELSE 0 END AS t_us, list(event_type) AS ids, count(*) - CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'Hz' END AS units FROM events GROUP BY user_id)
+SELECT t_us, fault FROM (SELECT t_us, unnest(list_filter([CASE WHEN t_us < 0 THEN 'time' END, CASE WHEN len(ids) <> n THEN 'length' END, CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated' END, CASE WHEN units = '' THEN 'units' END], lambda x: x IS NOT NULL)) AS fault FROM f)""")
+def frame_contract_all(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM13
+    return S.frame_faults(_frames(table(spark, sf_dir, "events")))
 
 
 # Fits
@@ -118,7 +127,7 @@ def family_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST20 ST23
 
 @query()
 def family_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
-    return fits.leave_one_out(spark, _observed()[:6], ["depression"])
+    return fits.leave_one_out(spark, _observed(), ["depression"])
 
 
 @query()

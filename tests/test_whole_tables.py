@@ -2,6 +2,7 @@
 
 import math
 import statistics
+from collections import Counter
 
 import pytest
 
@@ -41,3 +42,17 @@ def test_clearance_by_label_uses_every_point(run, monkeypatch, scene):
         t = k * 2 * math.pi / 12
         least = [min(abs((ox - x) * math.sin(t) - (oy - y) * math.cos(t)) for o, ox, oy in p if o % 2) for label, x, y in p if label % 2 == 0]
         assert got[k] == pytest.approx(statistics.median(least), abs=2e-6)
+
+
+def test_frame_contract_all_checks_every_user(run):
+    """Event 400 and later count: users 22 and 26 have no earlier one."""
+    events = [(i, u, f"2024-01-01 00:00:{i % 60:02d}", "click", 1.0) for i, u in [(1, 1), (400, 22), (401, 26), (402, 27), (403, 27)]]
+    got = Counter(r["fault"] for r in run("frame_contract_all", events=(events, "event_id long, user_id long, ts string, event_type string, value double")))
+    assert got == {"length": 1, "units": 1, "repeated": 1}
+
+
+def test_leave_one_out_takes_all_observations(spark):
+    from strandweave.plans.stream_queries import _observed
+
+    out = catalog.queries()["family_leave_one_out"](spark, "").collect()
+    assert sorted(r["left_out"] for r in out) == list(range(len(_observed()))) == list(range(15))
