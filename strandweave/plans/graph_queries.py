@@ -217,11 +217,44 @@ def population_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:  # G04
     return graph.population_path_union(user_graph(spark, sf_dir, 2), _users(spark, 0, 3, 7), _users(spark, 5, 9), 4)
 
 
+def _ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Inputs and readouts by label: all users whose commonest event is a click, and all whose commonest is a view."""
+    labels = cut(user_labels(spark, sf_dir))
+    return labels.where("label = 'click'").select("node"), labels.where("label = 'view'").select("node")
+
+
+@query()
+def hop_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G02 U02 U03
+    return graph.hops(user_graph(spark, sf_dir), _ends(spark, sf_dir)[0], 4)
+
+
+@query()
+def shortest_path_circuit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G01
+    return graph.shortest_path_circuit(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
+
+
+@query()
+def bounded_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G03
+    return graph.bounded_path_circuit(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
+
+
+@query()
+def population_path_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G04
+    return graph.population_path_union(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
+
+
+@query()
+def endpoint_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G05 J06
+    """Every user against what the inputs reach in one step."""
+    edges = user_graph(spark, sf_dir)
+    kept = edges.join(_ends(spark, sf_dir)[0].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    return graph.endpoint_status(user_labels(spark, sf_dir).select("node"), edges, kept)
+
+
 @query("SELECT 0::BIGINT AS only_bounded, 0::BIGINT AS only_shortest")
 def bounded_equals_shortest_k1(spark: SparkSession, sf_dir: str) -> DataFrame:  # U07
     edges = user_graph(spark, sf_dir)
-    one = edges.orderBy("src", "dst").limit(1).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    a, b = one.select(F.col("a").alias("node")), one.select(F.col("b").alias("node"))
+    a, b = _ends(spark, sf_dir)
     bounded, shortest = graph.bounded_path_circuit(edges, a, b, 1).select("node"), graph.shortest_path_circuit(edges, a, b, 1).select("node")
     x = bounded.exceptAll(shortest).agg(F.count("*").alias("only_bounded"))
     return x.join(F.broadcast(shortest.exceptAll(bounded).agg(F.count("*").alias("only_shortest"))))

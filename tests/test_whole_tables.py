@@ -56,3 +56,37 @@ def test_leave_one_out_takes_all_observations(spark):
 
     out = catalog.queries()["family_leave_one_out"](spark, "").collect()
     assert sorted(r["left_out"] for r in out) == list(range(len(_observed()))) == list(range(15))
+
+
+def _walk(edges, seeds, limit):
+    hop, layer = {n: 0 for n in seeds}, set(seeds)
+    for k in range(1, limit + 1):
+        layer = {b for a, b in edges if a in layer} - set(hop)
+        hop |= {n: k for n in layer}
+    return hop
+
+
+def test_paths_over_single_contacts(run):
+    """A chain of single contacts: click 1 -> 2 -> 3 -> view 4, and a spur 1 -> 5 that reaches no view."""
+    kind = {1: "click", 2: "error", 3: "signup", 4: "view", 5: "error"}
+    order = [1, 2, 3, 4, 1, 5]
+    rows = [(i, u, f"2024-01-01 00:00:{i:02d}", kind[u], 1.0) for i, u in enumerate(order)]
+    events = (rows, "event_id long, user_id long, ts string, event_type string, value double")
+    edges = set(zip(order, order[1:]))
+    forward, backward = _walk(edges, {1}, 4), _walk({(b, a) for a, b in edges}, {4}, 4)
+    assert {r["node"]: r["hop"] for r in run("hop_distance_whole", events=events)} == forward
+    assert {r["node"] for r in run("bounded_path_whole")} == {n for n in forward if n in backward and forward[n] + backward[n] <= 4} == {1, 2, 3, 4}
+    assert {r["node"]: r["hop"] for r in run("shortest_path_circuit_whole")} == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert {r["node"] for r in run("population_path_union_whole")} == {1, 2, 3, 4}
+    assert {r["node"]: r["status"] for r in run("endpoint_status_whole")} == {1: "pathless", 2: "kept", 3: "pathless", 4: "pathless", 5: "kept"}
+
+
+def test_control_takes_whole_sets(spark, run, monkeypatch):
+    from strandweave.operators import graph
+
+    seen = []
+    real = graph.bounded_path_circuit
+    monkeypatch.setattr(graph, "bounded_path_circuit", lambda e, a, b, k: seen.append((a.count(), b.count())) or real(e, a, b, k))
+    rows = [(i, i % 6, f"2024-01-01 00:00:{i:02d}", "click" if i % 6 < 3 else "view", 1.0) for i in range(30)]
+    got = run("bounded_equals_shortest_k1", events=(rows, "event_id long, user_id long, ts string, event_type string, value double"))
+    assert [tuple(r) for r in got] == [(0, 0)] and seen == [(3, 3)]
