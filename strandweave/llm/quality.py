@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from strandweave.llm._common import pieces_by_bytes, utf8_of
 from strandweave.llm._words import runs, words_of
 
-#: (bytes below which the band holds, least ratio, largest ratio).  The largest ratio lies 15 to 25 % above that of clean prose of the length;
+#: (bytes below which the band holds, least ratio, largest ratio).  The largest ratio lies above that of clean prose of the length, from 1 KiB on also above prose of few syllables (3.3 to 3.9);
 #: the least one lies between clean prose and random letters and digits.  Below 128 bytes the two cannot be told apart.
 BANDS = (
-    (128, 0.0, 1.9), (192, 1.0, 1.9), (256, 1.12, 2.0), (384, 1.18, 2.2), (512, 1.25, 2.4), (768, 1.32, 2.65), (1024, 1.4, 2.65), (1536, 1.52, 2.9),
-    (2048, 1.56, 3.0), (4096, 1.6, 3.1), (16384, 1.7, 3.3), (65536, 1.7, 3.5), (1 << 62, 1.7, 3.6),
+    (128, 0.0, 1.9), (192, 1.0, 1.9), (256, 1.12, 2.0), (384, 1.18, 2.2), (512, 1.25, 2.4), (768, 1.32, 2.65), (1024, 1.4, 2.65), (1536, 1.52, 3.6),
+    (2048, 1.56, 4.2), (4096, 1.6, 4.2), (16384, 1.7, 4.3), (65536, 1.7, 4.4), (1 << 62, 1.7, 4.5),
 )
 CHUNK = 4096
-CHUNK_BAND = (1.65, 3.2)
+CHUNK_BAND = (1.65, 4.2)
 #: Texts of more bytes a code point than this have a least ratio smaller by WIDE_FLOOR: words of a few letters from a large set look like noise.
 WIDE, WIDE_FLOOR = 1.5, 1.3
 CHUNK_SHARE = 0.5
