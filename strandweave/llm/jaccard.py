@@ -14,11 +14,16 @@
     text that all copies were made from; then, for some rounds, against neighbours
     from other components in a random order.  That links groups of near copies without pairing them all.  At last
     all candidate pairs that are still in different components are verified, but for
-    those whose number of common entries is too small for their sizes.  They are kept and
-    verified by pairs of blocks of classes, so that a set is sent once for each block that
-    it is compared with.
-
-Verification compares whole shingle sets, by the upper 48 bits of their 64-bit hashes.
+    those whose number of common entries is too small for their sizes.  Classes are dealt into
+    blocks; what is sent for a pair of blocks is the lists with members in both, and one product
+    of matrices counts the common entries of all its pairs.  They are verified by pairs of blocks
+    too, so that a set is sent once for each block that it is compared with.
+
+Classes are named by 64 bits of a 128-bit key; names that two keys share are found and
+replaced by the other half, so classes are told apart by 128 bits.  Verification compares
+whole shingle sets, by the upper 48 bits of their 64-bit hashes: over c comparisons of sets of n
+and m shingles, n * m * c / 2**48 false common shingles are expected, each of which counts only
+where a pair is one shingle short of a link.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandweave.llm._common import cut, pieces_by_bytes, shuffle_partitions, utf8_of
+from strandweave.llm._common import cut, pieces_by_bytes, release, shuffle_partitions, utf8_of
 from strandweave.llm._words import LOWER, mixed, runs, words_of
 from strandweave.llm.components import components
 
@@ -43,6 +48,8 @@ PERCENT = 75
 FREQUENT = 8
 #: Bits of the bitmap of frequent shingles, and of each part of it that one task fills.
 BITMAP_BITS, PART_BITS = 26, 20
+#: Bytes of shingles that are counted by one task, and of index entries that meet in one, about.
+PART_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Frequent shingles in one range, on average.
 RANGE = 3
 #: Rounds of comparison with neighbours, and neighbours of each class in a round.
@@ -51,8 +58,12 @@ ROUNDS, NEIGHBOURS = 3, 1
 CHUNK = 64
 #: Classes in a block, and bytes of their sets, about.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
-#: Candidate pairs that one task holds before it passes them on, and bytes of sets.
+#: Members of lists that one task holds before it passes them on, and bytes of sets.
 HELD_PAIRS, HELD_BYTES = 1_000_000, 16 << 20
+#: Lists whose common members are counted by one product of matrices.
+LISTS = 4096
+#: More clashing keys than this point to broken hashes.
+MAX_CLASHES = 100_000
 #: Most classes, and comparisons of classes, that are broadcast when their texts are read again.
 BROADCAST_ROWS, BROADCAST_PAIRS = 200_000, 1_000_000
 
@@ -73,12 +84,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def class_key(tokens: np.ndarray) -> int:
-    """A signed 64-bit key of a set."""
+def class_key(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit keys of a set, independent of each other."""
     with np.errstate(over="ignore"):
-        total = mixed(tokens).sum(dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        fold = np.bitwise_xor.reduce(mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), initial=np.uint64(len(tokens)))
-        return int(mixed(np.array([total ^ fold], np.uint64)).view(np.int64)[0])
+        one, other = mixed(tokens), mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        total = one.sum(dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+        fold = np.bitwise_xor.reduce(other, initial=np.uint64(len(tokens)))
+        again = other.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(one, initial=np.uint64(len(tokens)))
+        return tuple(mixed(np.array([total ^ fold, again], np.uint64)).view(np.int64).tolist())
 
 
 def _position(tokens: np.ndarray) -> np.ndarray:
@@ -134,25 +147,28 @@ def least_common(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return np.maximum(1, overlap + PERCENT * -large // 100 + 1)
 
 
-def _distinct_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
+def _distinct_classes(batches: Iterator[pa.RecordBatch], clash: frozenset[int]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
     for big in batches:
         for batch in pieces_by_bytes(big, "_sw_text"):
             sets = shingle_sets(*utf8_of(batch.column("_sw_text")))
-            yield batch, sets, [class_key(s) for s in sets]
+            keys = [class_key(s) for s in sets]
+            yield batch, sets, [other if one in clash else one for one, other in keys]
 
 
 def _survey(frame: DataFrame) -> DataFrame:
     """For each document (kind 0) its class; for each batch (kind 1) the shingles held twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "cls", "tokens", "counts"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["kind", "id", "n", "cls", "other", "tokens", "counts"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for big in batches:
-            known: dict[int, np.ndarray] = {}
-            for batch, sets, keys in _distinct_classes(iter([big])):
+            known: dict[tuple[int, int], np.ndarray] = {}
+            for batch in pieces_by_bytes(big, "_sw_text"):
+                sets = shingle_sets(*utf8_of(batch.column("_sw_text")))
+                keys = [class_key(s) for s in sets]
                 known.update(zip(keys, sets, strict=True))
                 m = batch.num_rows
-                values = [[0] * m, batch.column("_sw_id"), [len(s) for s in sets], keys, [None] * m, [None] * m]
+                values = [[0] * m, batch.column("_sw_id"), [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [None] * m, [None] * m]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
             if not known:
                 continue
@@ -162,15 +178,35 @@ def _survey(frame: DataFrame) -> DataFrame:
             order = np.argsort(part, kind="stable")
             parts, starts = np.unique(part[order], return_index=True)
             ends = [*starts[1:], len(order)][: len(parts)]
-            rows = [(1, int(p), 0, 0, tokens[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, a, b in zip(parts, starts, ends, strict=True)]
+            rows = [(1, int(p), 0, 0, 0, tokens[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, a, b in zip(parts, starts, ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return frame.mapInArrow(run, "kind int, id bigint, n bigint, cls bigint, tokens binary, counts binary")
+    return frame.mapInArrow(run, "kind int, id bigint, n bigint, cls bigint, other bigint, tokens binary, counts binary")
 
 
 def _bitmap(survey: DataFrame) -> np.ndarray:
-    """The bitmap of frequent shingles, 2**BITMAP_BITS bits whatever the corpus holds."""
+    """The bitmap of frequent shingles, 2**BITMAP_BITS bits whatever the corpus holds.
+
+    A task fills a part of it, the smaller the more there is to count.
+    """
+    marks = survey.where("kind = 1").select("id", "tokens", "counts")
+    size = marks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    bits = PART_BITS
+    while bits > 3 and size >> (BITMAP_BITS - bits) > PART_BYTES:
+        bits -= 1
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tokens, counts in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                t, c = np.frombuffer(tokens, np.uint64), np.frombuffer(counts, np.uint32)
+                part = _position(t) >> bits
+                order = np.argsort(part, kind="stable")
+                parts, starts = np.unique(part[order], return_index=True)
+                rows += [(int(p), t[order[a:b]].tobytes(), c[order[a:b]].tobytes()) for p, a, b in zip(parts, starts, [*starts[1:], len(order)], strict=True)]
+            types = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "tokens", "counts"])
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["tokens"]])
@@ -179,19 +215,19 @@ def _bitmap(survey: DataFrame) -> np.ndarray:
         tokens, counts = tokens[order], counts[order]
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         often = tokens[starts][np.add.reduceat(counts.astype(np.int64), starts) >= FREQUENT]
-        bits = np.zeros(1 << PART_BITS, np.uint8)
-        bits[_position(often) & ((1 << PART_BITS) - 1)] = 1
-        return pd.DataFrame({"part": [int(frame["id"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
-
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    filled = survey.where("kind = 1").groupBy("id").applyInPandas(fill, "part bigint, bits binary")
-    size = 1 << (PART_BITS - 3)
-    for row in filled.toLocalIterator():  # at most 2**(BITMAP_BITS - PART_BITS) rows of 2**(PART_BITS - 3) bytes
-        bitmap[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        held = np.zeros(1 << bits, np.uint8)
+        held[_position(often) & ((1 << bits) - 1)] = 1
+        return pd.DataFrame({"part": [int(frame["id"].iloc[0])], "bits": [np.packbits(held).tobytes()]})
+
+    if bits < PART_BITS:
+        marks = marks.mapInArrow(split, "id bigint, tokens binary, counts binary")
+    bitmap, step = np.zeros(1 << (BITMAP_BITS - 3), np.uint8), 1 << (bits - 3)
+    for row in marks.groupBy("id").applyInPandas(fill, "part bigint, bits binary").collect():  # 2**BITMAP_BITS bits in all
+        bitmap[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
     return bitmap
 
 
-def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataFrame:
+def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int, clash: frozenset[int]) -> DataFrame:
     """Distinct lists of classes (ascending by size) that share an index entry, and of how many entries.
 
     ``sizes`` holds twice a class's size, plus one if all its entries are single tokens.
@@ -202,7 +238,7 @@ def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int) -> DataF
         for big in batches:
             known: dict[int, np.ndarray] = {}
             entries, owners, sizes = [], [], []
-            for _, sets, keys in _distinct_classes(iter([big])):
+            for _, sets, keys in _distinct_classes(iter([big]), clash):
                 for tokens, key in zip(sets, keys, strict=True):
                     if len(tokens) < 3 or key in known:
                         continue
@@ -342,81 +378,128 @@ def _in_blocks(lists: DataFrame) -> DataFrame:
     return again.select("x.members", "x.sizes", "x.comps", "x.block", "times")
 
 
-_BLOCKS = "lo bigint, hi bigint, classes binary, sizes binary, pairs binary, times binary"
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pairs of blocks: classes, their sizes, candidate pairs as positions, and the entries each pair has in common."""
-
-    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        lo, hi, a, b, na, nb, times = np.concatenate(parts, axis=1)
-        with np.errstate(over="ignore"):
-            key = mixed(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)  # of a pair, in 64 bits
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        times, one = np.add.reduceat(times[order], first), order[first]
-        order = np.lexsort((hi[one], lo[one]))
-        times, one = times[order], one[order]
-        lo, hi, a, b, na, nb = (x[one] for x in (lo, hi, a, b, na, nb))
-        groups = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        rows = []
-        for i, j in zip(groups, [*groups[1:], len(one)], strict=True):
-            classes, place, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_index=True, return_inverse=True)
-            n = np.concatenate([na[i:j], nb[i:j]])[place]
-            pairs = back.reshape(2, -1).astype(np.uint32)
-            rows.append((int(lo[i]), int(hi[i]), classes.tobytes(), n.tobytes(), pairs.tobytes(), times[i:j].astype(np.uint32).tobytes()))
-        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["lo", "hi", "classes", "sizes", "pairs", "times"])
+_BLOCKS = "lo bigint, hi bigint, classes binary, sizes binary, comps binary, late binary, members binary, lengths binary, times binary"
+_BLOCK_TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+
+
+def _bounds(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and the end."""
+    n = len(keys[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _block_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of blocks: their classes, and the lists that have members in both."""
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        heads, members = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
+        lo, hi, times, length = heads
+        order = np.lexsort((hi, lo))
+        # Members follow their lists.
+        begin = np.cumsum(length) - length
+        at = np.repeat(begin[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(members.shape[1])
+        lo, hi, times, length = heads[:, order]
+        cls, size, comp, late = members[:, at]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        groups, rows = _bounds(lo, hi), []
+        for i, j in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            p, q = upto[i], upto[j]
+            classes, place, back = np.unique(cls[p:q], return_index=True, return_inverse=True)
+            rows.append((int(lo[i]), int(hi[i]), classes.tobytes(), size[p:q][place].tobytes(), comp[p:q][place].tobytes(), late[p:q][place].astype(np.uint8).tobytes(), back.astype(np.uint32).tobytes(), length[i:j].astype(np.uint32).tobytes(), times[i:j].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     parts, held = [], 0
     for batch in batches:
         members, sizes, comps, block = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4))
         length = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-        sizes, times = sizes >> 1, np.repeat(batch.column(4).to_numpy(zero_copy_only=False), length)
-        after = np.repeat(np.cumsum(length), length) - np.arange(len(members)) - 1  # members that follow in the list
-        i, lag = np.flatnonzero(after >= 1), 1
+        run = np.repeat(np.arange(len(length)), length)
+        order = np.lexsort((members, block, run))
+        members, sizes, comps, block, run = (x[order] for x in (members, sizes >> 1, comps, block, run))
+        edge = _bounds(run, block)
+        first, last = edge[:-1], edge[1:]
+        if not len(first):
+            continue
+        owner, where, times = run[first], block[first], batch.column(4).to_numpy(zero_copy_only=False)[run[first]]
+        least, most = np.minimum.reduceat(comps, first), np.maximum.reduceat(comps, first)
+        i, lag = np.arange(len(first)), 0
         while len(i):
             j = i + lag
-            fit = (comps[i] != comps[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+            fit = np.minimum(least[i], least[j]) < np.maximum(most[i], most[j])  # several components
             p, q = i[fit], j[fit]
-            if len(p):
-                back = (block[p] > block[q]) | ((block[p] == block[q]) & (members[p] > members[q]))
-                p, q = np.where(back, q, p), np.where(back, p, q)
-                parts.append(np.stack([block[p], block[q], members[p], members[q], sizes[p], sizes[q], times[p]]))
-                held += len(p)
+            start, count = np.stack([first[p], first[q]], 1), np.stack([last[p] - first[p], (last[q] - first[q]) * (lag > 0)], 1)
+            for k in _pieces(count.sum(1), HELD_PAIRS):
+                c = count[k].ravel()
+                at = np.repeat(start[k].ravel() - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                late = np.repeat(np.tile([0, 1], len(c) // 2), c)
+                parts.append((np.stack([where[p[k]], where[q[k]], times[p[k]], count[k].sum(1)]), np.stack([members[at], sizes[at], comps[at], late])))
+                held += len(at)
                 if held >= HELD_PAIRS:
                     yield packed(parts)
                     parts, held = [], 0
             lag += 1
-            i = i[after[i] >= lag]
+            i = i[i + lag < len(first)]
+            i = i[owner[i + lag] == owner[i]]
     if parts:
         yield packed(parts)
 
 
+def _pieces(weights: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive slices of about ``limit`` in weight."""
+    upto, a = np.cumsum(weights), 0
+    while a < len(weights):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def _settled(frame: pd.DataFrame) -> pd.DataFrame:
     """Some pairs of blocks: the candidate pairs that have enough entries in common."""
-    parts = []
-    for row in frame.itertuples():
-        classes, n = np.frombuffer(row.classes, np.int64), np.frombuffer(row.sizes, np.int64)
-        i, j = np.frombuffer(row.pairs, np.uint32).reshape(2, -1)
-        parts.append(np.stack([np.full(len(i), row.lo), np.full(len(i), row.hi), classes[i], classes[j], np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), np.frombuffer(row.times, np.uint32)]))
-    lo, hi, a, b, small, large, times = np.concatenate(parts, axis=1)
-    order = np.lexsort((b, a, hi, lo))
-    lo, hi, a, b, small, large, times = (x[order] for x in (lo, hi, a, b, small, large, times))
-    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-    first = np.flatnonzero(new | np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    first = first[np.add.reduceat(times, first) >= least_common(small[first], large[first])]
-    lo, hi, a, b = (x[first] for x in (lo, hi, a, b))
-    starts = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(first) else first
     rows = []
-    for i, j in zip(starts, [*starts[1:], len(first)][: len(starts)], strict=True):
-        classes, back = np.unique(np.concatenate([a[i:j], b[i:j]]), return_inverse=True)
-        rows.append((lo[i], hi[i], classes, back.reshape(2, -1).astype(np.uint32).tobytes()))
+    for (lo, hi), own in frame.groupby(["lo", "hi"], sort=False):
+        every = np.concatenate([np.frombuffer(x, np.int64) for x in own["classes"]])
+        classes, place, back = np.unique(every, return_index=True, return_inverse=True)
+        n, comp = (np.concatenate([np.frombuffer(x, np.int64) for x in own[c]])[place] for c in ("sizes", "comps"))
+        late = np.concatenate([np.frombuffer(x, np.uint8) for x in own["late"]])[place].astype(bool)
+        one = np.flatnonzero(~late)
+        other = np.flatnonzero(late) if lo != hi else one
+        if not (len(one) and len(other)):
+            continue
+        row_of = np.zeros(len(classes), np.int64)
+        row_of[one], common, base = np.arange(len(one)), np.zeros((len(one), len(other)), np.float32), 0
+        col_of = np.zeros(len(classes), np.int64)
+        col_of[other] = np.arange(len(other))
+        for c, m, k, t in zip(own["classes"], own["members"], own["lengths"], own["times"], strict=True):
+            member = back[base + np.frombuffer(m, np.uint32).astype(np.int64)]
+            base += len(c) // 8
+            length, times = np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(t, np.uint32)
+            upto = np.concatenate([[0], np.cumsum(length)])
+            for a in range(0, len(length), LISTS):
+                b = min(a + LISTS, len(length))
+                x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
+                left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
+                first = ~late[x]
+                left[of[first], row_of[x[first]]] = 1.0
+                second = late[x] if lo != hi else first
+                right[of[second], col_of[x[second]]] = 1.0
+                common += (left * times[a:b, None]).T @ right
+        i, j = np.nonzero(common)
+        p, q = one[i], other[j]
+        if lo == hi:
+            i, j, p, q = (x[p < q] for x in (i, j, p, q))
+        small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+        fit = (comp[p] != comp[q]) & (100 * small >= PERCENT * large) & (common[i, j] >= least_common(small, large))
+        p, q = p[fit], q[fit]
+        if len(p):
+            held, back = np.unique(np.concatenate([p, q]), return_inverse=True)
+            rows.append((lo, hi, classes[held], back.reshape(2, -1).astype(np.uint32).tobytes()))
     columns = zip(*rows, strict=True) if rows else [()] * 4
     return pd.DataFrame({c: pd.Series(list(v), dtype=t) for (c, t), v in zip({"a": "int64", "chunk": "int64", "classes": object, "pairs": object}.items(), columns, strict=True)})
 
 
-def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame, clash: frozenset[int]) -> DataFrame:
     """The shingle set of each class for each task (a, chunk) that wants it, from the texts of the classes' speakers."""
     tasks = wanted.groupBy("cls").agg(F.collect_list(F.struct("a", "chunk", "pivot")).alias("_sw_tasks")).join(speakers, "cls")
     tasks = cut(tasks.select(F.col("speaker").alias("_sw_speaker"), F.col("cls").alias("_sw_cls"), "_sw_tasks"))
@@ -429,7 +512,7 @@ def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame) -> DataFrame
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "pivot", "cls", "tokens"])
 
-        for batch, sets, keys in _distinct_classes(batches):
+        for batch, sets, keys in _distinct_classes(batches, clash):
             held, todo = batch.column("_sw_cls").to_pylist(), batch.column("_sw_tasks").to_pylist()
             rows, size = [], 0
             for i, key in enumerate(keys):
@@ -465,24 +548,36 @@ def _similar(one: np.ndarray, other: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(one) + len(other) - common)
 
 
-def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the class pairs (a, b), those whose whole sets are similar enough."""
+def _verified(frame: DataFrame, speakers: DataFrame, pairs: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """Of the class pairs (a, b), those whose whole sets are similar enough.
+
+    Sets are sorted behind the one that they are compared with, so a task holds that one and a batch.
+    """
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     wanted = dealt.select("a", "chunk", F.col("b").alias("cls"), F.lit(False).alias("pivot")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("cls"), F.lit(True).alias("pivot"))
     )
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        one = _received(frame.loc[frame["pivot"], "tokens"].iloc[0])
-        rest = frame[~frame["pivot"]]
-        rest = rest[np.array([_similar(one, _received(tokens)) for tokens in rest["tokens"]], bool)]
-        return pd.DataFrame({"a": rest["a"].astype("int64"), "b": rest["cls"].astype("int64")})
-
-    return _sets(frame, speakers, wanted).groupBy("a", "chunk").applyInPandas(compare, "a bigint, b bigint")
-
-
-def _verified_blocks(frame: DataFrame, speakers: DataFrame, tasks: DataFrame) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one = None, None
+        for batch in batches:
+            a, chunk, cls = (batch.column(c).to_pylist() for c in ("a", "chunk", "cls"))
+            found = []
+            for i, pivot in enumerate(batch.column("pivot").to_pylist()):
+                if now != (a[i], chunk[i]):  # a repeated id may have hidden the text of its pivot
+                    now, one = (a[i], chunk[i]), None
+                if pivot:
+                    one = _received(batch.column("tokens")[i].as_py())
+                elif one is not None and _similar(one, _received(batch.column("tokens")[i].as_py())):
+                    found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in found], pa.int64()) for x in (a, cls)], names=["a", "b"])
+
+    sets = _sets(frame, speakers, wanted, clash).repartition(shuffle_partitions(frame.sparkSession), "a", "chunk")
+    return sets.sortWithinPartitions("a", "chunk", F.desc("pivot")).mapInArrow(compare, "a bigint, b bigint")
+
+
+def _verified_blocks(frame: DataFrame, speakers: DataFrame, tasks: DataFrame, clash: frozenset[int]) -> DataFrame:
     """Links (a, b) that join the same classes as all similar pairs of the tasks do."""
 
     def compare(sets: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
@@ -502,10 +597,24 @@ def _verified_blocks(frame: DataFrame, speakers: DataFrame, tasks: DataFrame) ->
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     wanted = tasks.select("a", "chunk", F.explode("classes").alias("cls"), F.lit(False).alias("pivot"))
-    sets = _sets(frame, speakers, wanted)
+    sets = _sets(frame, speakers, wanted, clash)
     return sets.groupBy("a", "chunk").cogroup(tasks.groupBy("a", "chunk")).applyInPandas(compare, "a bigint, b bigint")
 
 
+def _clashes(survey: DataFrame) -> frozenset[int]:
+    """First keys that sets of different second keys share: of n sets, n * n / 2**65 are expected."""
+    each = survey.where("kind = 0 and n > 0").groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
+    found = each.where("lo <> hi").select("cls").limit(MAX_CLASHES + 1).collect()
+    if len(found) > MAX_CLASHES:
+        raise ValueError("more keys clash than hashes of 64 bits can explain")
+    return frozenset(r["cls"] for r in found)
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links (a, b)."""
+    return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -517,32 +626,37 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     frame = docs.select(F.col(id_col).cast("bigint").alias("_sw_id"), F.col(text_col).alias("_sw_text"))
     survey = cut(_survey(frame))
-    rows = survey.where("kind = 0").select("id", "n", "cls")
+    clash = _clashes(survey)
+    cls = F.when(F.col("cls").isin(list(clash)), F.col("other")).otherwise(F.col("cls")) if clash else F.col("cls")
+    rows = survey.where("kind = 0").select("id", "n", cls.alias("cls"))
     held = rows.where("id is not null and n > 0")
     speakers = held.groupBy("cls").agg(F.min("id").alias("speaker"))
     known = frame.where("_sw_id is not null")
-    shared = cut(_shared_entries(known, _bitmap(survey), 2 * shuffle_partitions(docs.sparkSession)))
+    # About a quarter of a set is indexed, by 20 bytes an entry.
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-5 * (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES))
+    shared = cut(_shared_entries(known, _bitmap(survey), buckets, clash))
+    release(docs.sparkSession)
     seen = cut(_closest(_hub_pairs(shared, None), 1))
-    links = cut(_verified(known, speakers, seen))
-    comps = cut(components(links))
+    comps = components(cut(_verified(known, speakers, seen, clash)))
     for turn in range(ROUNDS):
+        release(docs.sparkSession)
         near = _between_components(shared, comps).drop("run").mapInArrow(lambda it, turn=turn: _pairs(it, _neighbours(turn)), _PAIR)
         more = cut(_closest(_summed(near), NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
-        found = cut(_verified(known, speakers, more))
-        seen, links = seen.unionByName(more), links.unionByName(found)
-        comps = cut(components(links))
+        found = cut(_verified(known, speakers, more, clash))
+        seen, comps = seen.unionByName(more), _joined(comps, found)
         if found.count() < 0.05 * more.count():
             break
-    blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_pairs, _BLOCKS)
+    release(docs.sparkSession)
+    blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_lists, _BLOCKS)
     rest = cut(blocks.groupBy(F.pmod(F.xxhash64("lo", "hi"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInPandas(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
+    release(docs.sparkSession)
     if not rest.isEmpty():
-        links = links.unionByName(cut(_verified_blocks(known, speakers, rest)))
-        comps = cut(components(links))
+        comps = _joined(comps, cut(_verified_blocks(known, speakers, rest, clash)))
     # An id with several rows of different texts joins their classes too.
     bridges = held.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
     bridges = bridges.join(held, "id").select("a", F.col("cls").alias("b")).where("a <> b")
     if not bridges.isEmpty():
-        comps = cut(components(links.unionByName(bridges)))
+        comps = _joined(comps, bridges)
     labelled = speakers.join(comps, speakers["cls"] == comps["node"], "left").select("cls", "speaker", F.coalesce("component", "cls").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("speaker").alias("component_id"))
     by_class = labelled.join(least, "comp").select("cls", "component_id")
