@@ -10,16 +10,20 @@ as many tasks as there are groups; each group leaves a few windows unfilled.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm._common import cut
+from strandweave.llm._common import cut, pieces_by_bytes
 
 WINDOW = 2048
 #: About so many documents are packed together by one task.
@@ -79,26 +83,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = WINDOW) -> tuple[np
     return place, offset, windows
 
 
+@functools.lru_cache(maxsize=2)
 def encoder(path: str):
     """Function from text to an array of unsigned 32-bit ids for a byte-level BPE of the tokenizers library.
 
     The merges are run by tiktoken with the ranks read from the same file, which
-    gives the same ids about five times as fast; strings of special tokens are
-    ordinary text.
+    gives the same ids about five times as fast.  The file's added tokens are found in
+    a text before all else, as the library does whether or not it is to add special
+    tokens of its own; those with flags that widen or narrow the match are refused.
+    A worker process keeps the encoder.
     """
-    import json
-
-    import public_tokenizers
-    import tiktoken
-
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    if any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or file["normalizer"]:
+        raise ValueError("only plain added tokens and no normalizer are known here")
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if all(c in to_byte for c in token)}
-    ranks.pop(b"<|endoftext|>", None)
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_to_numpy(text, disallowed_special=())
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added and all(c in to_byte for c in token)}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: fast.encode_to_numpy(text, allowed_special="all")
 
 
 def pieces_of(ids: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -114,7 +118,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (piece for big in batches for piece in pieces_by_bytes(big, "_sw_text")):
             rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
@@ -131,7 +135,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Columns: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A
     document's ids are those of its text followed by the end id; a null text is
     empty and has that id alone.  Repeated rows and null ids are packed like any
-    others.  Columns of ``docs`` other than these two are not used.
+    others, so a row's group follows from its place in the partitions: the same rows
+    in another layout have the same pieces, but may share sequences with other ones.
+    An empty table gives an empty one.  Columns of ``docs`` other than these two are not used.
     """
     pieces = cut(tokenised_pieces(docs, tokenizer, id_col, text_col, window))
     groups = max(1, -(-pieces.count() // group_docs))

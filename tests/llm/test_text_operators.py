@@ -73,6 +73,9 @@ def test_sentencepiece_fuzz():
             packed = codec.with_ends(codec.encode(t))
             assert np.frombuffer(packed, "<u4").tolist() == ids, t
             assert codec.decode(packed) == codec.model.decode(ids), t
+    texts = ["".join(rnd.choice("therinosdé") for _ in range(n)) for n in (255, 256, 257, 3000)] + ["a " * 5000, "▁" * 300, "é" * 700, "", " "]
+    for t, packed in zip(texts * 2, codec.encode_batch(texts * 2), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == codec.model.encode(t), t[:50]
     odd = np.array([codec.byte_ids[0xC3], codec.byte_ids[0x28], 450], "<u4")
     assert codec.decode(odd.tobytes()) == codec.model.decode(odd.tolist())
 
@@ -363,10 +366,10 @@ def test_sketches_merge(spark):
 def test_packing(frame):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
-    out = packing.pack(frame(ROWS), path, window=64, group_docs=20).collect()
+    rows = [*ROWS, (9001, "x <|endoftext|>y<|endoftext|>", None), (9002, "<|endoftext|>" + "long word " * 20_000, None)]
+    out = packing.pack(frame(rows), path, window=64, group_docs=20).collect()
     want = collections.Counter()
-    for i, t, _ in ROWS:
+    for i, t, _ in rows:
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 1]
         for a in range(0, len(ids), 64):
             want[(i, a, len(ids[a : a + 64]), zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes()), len(ids))] += 1
@@ -381,6 +384,10 @@ def test_packing(frame):
             at += length
         assert at <= 64
     assert packing.pack(frame(EMPTY), path).count() == 0
+    # In another layout the pieces are the same, and about as many windows are opened.
+    other = packing.pack(frame(rows).repartition(7), path, window=64, group_docs=20).collect()
+    assert want == collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in other)
+    assert abs(len({r["sequence_id"] for r in other}) - len(windows)) <= 0.05 * len(windows) + 3
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -404,9 +411,13 @@ def test_best_fit_takes_the_tightest_window():
 def test_encoder_is_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     encode = packing.encoder(path)
     rnd = random.Random(1)
     for _ in range(1500):
         t = "".join(rnd.choice("ab AB\n\t  é中文𝒳'’.,;!?0123   \r\n<|endoftext|>'s'lĺß") for _ in range(rnd.randint(0, 60)))
         assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", "<|", " ", "  ", "\n", "ab", "'s", "12", "é", "中"]
+    for _ in range(1500):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    assert encode("hello <|endoftext|> x").tolist() == [31373, 220, 50256, 2124]
