@@ -14,5 +14,9 @@ class IntegrityError(EngineError):
     code = "integrity"
 
 
+class LimitError(EngineError):
+    code = "limit"
+
+
 class CausalityError(EngineError):
     code = "causality"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.errors import IntegrityError
+from strandweave.operators import ordered
 from strandweave.operators.ordered import cut
 
 # Signs of transmitters.
@@ -16,9 +17,6 @@ EXCITATORY = ("acetylcholine", "dopamine", "octopamine", "serotonin")
 INHIBITORY = ("gaba", "glutamate")
 UNCLEAR = "unclear"
 
-#: Nodes up to which a node table is broadcast to the edges.
-BROADCAST_NODES = 2_000_000
-
 
 def aggregated(rows: DataFrame, src: str, dst: str, weight: Column | None = None) -> DataFrame:
     """One edge for each ordered pair, weights (or rows) summed."""
@@ -40,11 +38,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small(nodes: DataFrame) -> DataFrame:
-    """A node set, broadcast if a count says that it is small."""
-    return F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
-
-
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     inside = nodes.select("node").distinct()
@@ -65,15 +58,15 @@ def hops(edges: DataFrame, seeds: DataFrame, limit: int, reverse: bool = False)
     a, b = ("dst", "src") if reverse else ("src", "dst")
     links = cut(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
     present = nodes_of(edges)
-    reached = cut(seeds.select("node").distinct().join(present, "node", "left_semi").withColumn("hop", F.lit(0)))
-    layer = reached
+    layers = [cut(seeds.select("node").distinct().join(present, "node", "left_semi").withColumn("hop", F.lit(0)))]
     for hop in range(1, limit + 1):
-        step = links.join(layer.select(F.col("node").alias("_a")), "_a", "left_semi").select(F.col("_b").alias("node")).distinct()
-        layer = cut(step.join(reached, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        step = links.join(layers[-1].select(F.col("node").alias("_a")), "_a", "left_semi").select(F.col("_b").alias("node")).distinct()
+        met = reduce(DataFrame.unionByName, layers)
+        layer = cut(step.join(met, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if layer.isEmpty():
             break
-        reached = cut(reached.unionByName(layer))
-    return reached
+        layers.append(layer)
+    return reduce(DataFrame.unionByName, layers)
 
 
 def shortest_path_circuit(edges: DataFrame, inputs: DataFrame, readouts: DataFrame, limit: int) -> DataFrame:
@@ -187,10 +180,18 @@ def matched_draws(bins: DataFrame, sources: DataFrame, draws: int, seed: str = "
     The order within a draw is that of md5(draw:node:seed), so any engine draws alike.
     """
     wanted = bins.join(sources.select("node").distinct(), "node", "left_semi").groupBy("bin").agg(F.count("*").alias("_want"))
-    pool = bins.join(F.broadcast(wanted), "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    key = F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("node").cast("string"), F.lit(seed)))
-    place = F.row_number().over(Window.partitionBy("draw", "bin").orderBy(key, "node"))
-    return pool.withColumn("_r", place).where("_r <= _want").select("draw", "node")
+    sizes = bins.groupBy("bin").agg(F.count("*").alias("_all")).join(wanted, "bin")
+    # The first of a draw are among the nodes whose hash is small; of the others only few are ranked.
+    share = (F.col("_want") + 8 * F.sqrt("_want") + 32) / F.col("_all")
+    pool = bins.join(F.broadcast(sizes.withColumn("_share", share)), "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    pool = pool.withColumn("_k", F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("node").cast("string"), F.lit(seed))))
+    first = cut(pool.where(F.conv(F.substring("_k", 1, 8), 16, 10).cast("double") < F.col("_share") * float(1 << 32)).select("draw", "bin", "node", "_k", "_want"))
+    short = sizes.select("bin", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).join(first.groupBy("draw", "bin").agg(F.count("*").alias("_n")), ["draw", "bin"], "left")
+    short = cut(short.where(F.coalesce("_n", F.lit(0)) < F.col("_want")).select("draw", "bin"))
+    if not short.isEmpty():  # those draws rank all of the bin
+        first = first.join(short, ["draw", "bin"], "left_anti").unionByName(pool.join(short, ["draw", "bin"], "left_semi").select("draw", "bin", "node", "_k", "_want"))
+    place = F.row_number().over(Window.partitionBy("draw", "bin").orderBy("_k", "node"))
+    return first.withColumn("_r", place).where("_r <= _want").select("draw", "node")
 
 
 def null_ratio(observed: DataFrame, null: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -258,13 +259,13 @@ def type_pairs(edges: DataFrame, source_labels: DataFrame, target_labels: DataFr
 
 def scaled(pairs: DataFrame, scales: DataFrame, fallback: float) -> DataFrame:
     """Adds ``multiplier``: the type pair's scale over the fallback, which holds where there is none."""
-    joined = pairs.join(F.broadcast(scales), ["src_type", "dst_type"], "left")
+    joined = pairs.join(scales, ["src_type", "dst_type"], "left")
     return joined.withColumn("multiplier", F.coalesce("scale", F.lit(fallback)) / fallback).drop("scale")
 
 
 def uniform_weights(edges: DataFrame) -> DataFrame:
     """Every weight the rounded (half to even) median, at least 1."""
-    one = edges.agg(F.greatest(F.bround(F.median("weight")), F.lit(1.0)).cast("bigint").alias("weight"))
+    one = ordered.quantiles(edges, [], "weight", (0.5,)).select(F.greatest(F.bround(F.get("q", F.lit(0))), F.lit(1.0)).cast("bigint").alias("weight"))
     return edges.select("src", "dst").join(F.broadcast(one))
 
 
@@ -285,43 +286,36 @@ def type_only(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "src_type").join(b, "dst_type").where("src <> dst").select("src", "dst", "weight")
 
 
-def shuffled_targets(edges: DataFrame, seed: str = "shuffle") -> DataFrame:
-    """Targets permuted over the edges: sources keep their number of edges, targets theirs, weights stay with the source.
+def _dealt_anew(edges: DataFrame, column: str, seed: str) -> DataFrame:
+    """Edges with ``column`` permuted over the whole table: the k-th edge in order gets that of the k-th one by hash."""
+    rows = cut(edges.select("src", "dst", "weight").withColumn("_k", F.md5(F.concat_ws(":", "src", "dst", F.lit(seed)))))
+    left = ordered.positions(rows.drop("_k"), ["src", "dst", "weight"]).drop(column)
+    right = ordered.positions(rows.select("_k", "src", "dst", column), ["_k", "src", "dst", column]).select("position", column)
+    return left.join(right, "position").select("src", "dst", "weight")
 
-    The permutation deals targets by hash within buckets of sorted edges, one bucket for each hash range.
-    """
-    buckets = max(1, edges.count() // 50_000)
-    key = F.md5(F.concat_ws(":", "src", "dst", F.lit(seed)))
-    b = F.pmod(F.xxhash64("src", "dst"), F.lit(buckets))
-    rows = edges.withColumn("_b", b).withColumn("_k", key)
-    left = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("src", "dst"))).select("_b", "_i", "src", "weight")
-    right = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_k"))).select("_b", "_i", "dst")
-    return left.join(right, ["_b", "_i"]).select("src", "dst", "weight")
+
+def shuffled_targets(edges: DataFrame, seed: str = "shuffle") -> DataFrame:
+    """Targets permuted over all edges: sources keep their number of edges, targets theirs, weights stay with the source."""
+    return _dealt_anew(edges, "dst", seed)
 
 
 def permuted_weights(edges: DataFrame, seed: str = "weights") -> DataFrame:
-    buckets = max(1, edges.count() // 50_000)
-    rows = edges.withColumn("_b", F.pmod(F.xxhash64("src", "dst"), F.lit(buckets))).withColumn("_k", F.md5(F.concat_ws(":", "src", "dst", F.lit(seed))))
-    left = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("src", "dst"))).select("_b", "_i", "src", "dst")
-    right = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_k"))).select("_b", "_i", "weight")
-    return left.join(right, ["_b", "_i"]).select("src", "dst", "weight")
+    """Weights permuted over all edges."""
+    return _dealt_anew(edges, "weight", seed)
 
 
 def preservation(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(property, preserved) of a control: edge count, out-degrees, weights, in-degrees."""
-    def same(a: DataFrame, b: DataFrame) -> DataFrame:
-        gone = a.exceptAll(b).agg(F.count("*").alias("x"))
-        new = b.exceptAll(a).agg(F.count("*").alias("y"))
-        return gone.join(F.broadcast(new)).select((F.col("x") + F.col("y") == 0).alias("preserved"))
-
-    by = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n"))
-    checks = [
-        ("edge_count", same(before.agg(F.count("*").alias("n")), after.agg(F.count("*").alias("n")))),
-        ("out_degree", same(by(before, "src"), by(after, "src"))),
-        ("in_degree", same(by(before, "dst"), by(after, "dst"))),
-        ("weights", same(by(before, "weight"), by(after, "weight"))),
-    ]
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("property"), "preserved") for name, df in checks])
+    """(property, preserved, moved) of a control: edge count, out-degrees, in-degrees and weights, each with the number
+    of edges whose target or weight is not the one of before (as bags of edges)."""
+    sides = before.select("src", "dst", "weight", F.lit(1).alias("side")).unionByName(after.select("src", "dst", "weight", F.lit(-1).alias("side")))
+    sides = cut(sides.groupBy("src", "dst", "weight").agg(F.sum("side").alias("gap")))
+    moved = F.sum(F.greatest("gap", F.lit(0))).alias("moved")
+
+    def check(name: str, key: list[str]) -> DataFrame:
+        gaps = sides.groupBy(*key).agg(F.sum("gap").alias("own"), moved)
+        return gaps.agg(F.lit(name).alias("property"), F.coalesce(F.max(F.abs("own")) == 0, F.lit(True)).alias("preserved"), F.coalesce(F.sum("moved"), F.lit(0)).cast("bigint").alias("moved"))
+
+    return reduce(DataFrame.unionByName, [check("edge_count", []), check("out_degree", ["src"]), check("in_degree", ["dst"]), check("weights", ["weight"])])
 
 
 def depressing(pairs: DataFrame, rules: list[dict]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.errors import IntegrityError
+from strandweave.operators.ordered import cut
 
 NULL_MARK = "\\N"
 
@@ -22,14 +23,26 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns]), 256)
 
 
-def logical_digest(df: DataFrame, columns: list[str], prefix: int = 2) -> DataFrame:
+#: Row digests that one group holds, about.
+GROUP_ROWS = 4096
+
+
+def logical_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, digest) independent of layout and order.
 
-    Row digests are sorted and hashed within each group of equal first digits, then
-    the groups' hashes in order, so no task holds more than its group.
+    Equal row digests are counted.  The digests (with their counts, where above 1) are sorted and hashed within each
+    group of equal first digits, as many as make groups of about ``GROUP_ROWS``, 2 at least; then the groups' hashes within groups
+    of two digits less, and so on, so no task holds more than a few thousand of them.
     """
-    rows = df.select(row_digest(columns).alias("d"))
-    group = rows.groupBy(F.substring("d", 1, prefix).alias("g")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
+    rows = cut(df.groupBy(row_digest(columns).alias("d")).agg(F.count("*").alias("n")))
+    prefix = 2
+    while GROUP_ROWS * 16**prefix < rows.count():
+        prefix += 2
+    spelled = F.when(F.col("n") > 1, F.concat_ws("*", "d", F.col("n").cast("string"))).otherwise(F.col("d"))
+    group = rows.groupBy(F.substring("d", 1, prefix).alias("g")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(spelled)), ""), 256).alias("h"))
+    for k in range(prefix - 2, 0, -2):
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
+        group = group.groupBy(F.substring("g", 1, k).alias("g")).agg(F.sum("n").alias("n"), F.sha2(ordered, 256).alias("h"))
     return group.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
 
 

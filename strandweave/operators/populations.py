@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.errors import IntegrityError
 from strandweave.functions.predicates import combined
+from strandweave.operators import ordered
 
 
 def resolve(annotations: DataFrame, registry: list[dict], key: str) -> DataFrame:
@@ -79,6 +80,6 @@ def union_of(filters: dict[str, Column], annotations: DataFrame, key: str) -> Da
 
 def quantile_bins(values: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """(key, value, bin): bins between exact quantiles; equal values share a bin, and the largest falls in the last."""
-    edges = values.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q"))
+    edges = ordered.quantiles(values, [], value, tuple(i / bins for i in range(bins + 1)))
     at = F.size(F.filter("q", lambda e: e <= F.col(value))) - 1
     return values.join(F.broadcast(edges)).select(key, value, F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))

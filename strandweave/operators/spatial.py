@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandweave.errors import LimitError
+from strandweave.operators.ordered import cut
+
+
+#: Most objects of a scene that are broadcast to each point.
+SCENE = 10_000
+
+
+def _scene(objects: DataFrame) -> DataFrame:
+    if objects.limit(SCENE + 1).count() > SCENE:
+        raise LimitError(f"a scene has at most {SCENE} objects")
+    return F.broadcast(objects)
+
 
 def occupied(points: DataFrame, group: list[str], edge: float, bin_volume: float) -> DataFrame:
     """(group, bins, volume): distinct bins of the given edge, counted by an aggregate on the bins themselves."""
@@ -31,14 +45,36 @@ def rarefied(points: DataFrame, group: list[str], key: str, size: int, repeats:
 def nearest(points: DataFrame, objects: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     """Each point (point_id) with its nearest object (object_id, kind, radius); ties go to the lowest id.
 
-    The objects are the small side: their number is checked before they are broadcast.
+    Objects are dealt into grid cells, two to a cell on average.  A point meets those of its own and the
+    neighbouring cells; what it finds there within a cell's edge is its nearest.  The other points go on with cells
+    of twice the edge, until all have found theirs.  Points and objects without all coordinates are left out.
     """
-    few = objects.limit(100_001).count() <= 100_000
-    o = objects.select("object_id", "kind", "radius", *[F.col(a).alias(f"_{a}") for a in axes])
-    d = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0)))
-    joined = points.join(F.broadcast(o) if few else o, F.lit(True)).withColumn("distance", d)
+    lost = lambda df: reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes])
+    o = cut(objects.where(lost(objects)).select("object_id", "kind", "radius", *[F.col(a).cast("double").alias(f"_{a}") for a in axes]))
+    left = cut(points.where(lost(points)).select("point_id", *[F.col(a).cast("double").alias(a) for a in axes]))
+    box = o.agg(F.count("*").alias("n"), *[f(f"_{a}").alias(f"{k}{a}") for a in axes for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    reach = left.agg(*[f(a).alias(f"{k}{a}") for a in axes for k, f in (("lo", F.min), ("hi", F.max))]).first()
     best = F.min_by(F.struct("object_id", "kind", "distance", (F.col("distance") - F.col("radius")).alias("gap")), F.struct("distance", "object_id"))
-    return joined.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.*")
+    found = []
+    if box["n"] and reach[f"lo{axes[0]}"] is not None:
+        sides = [max(box[f"hi{a}"] - box[f"lo{a}"], 1e-9) for a in axes]
+        far = math.dist([min(box[f"lo{a}"], reach[f"lo{a}"]) for a in axes], [max(box[f"hi{a}"], reach[f"hi{a}"]) for a in axes])
+        edge = max((math.prod(sides) * 2 / box["n"]) ** (1 / len(axes)), far / (1 << 30), 1e-9)
+        d = F.sqrt(sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0)))
+        while True:
+            cells = [F.floor(F.col(f"_{a}") / edge).alias(f"_c{a}") for a in axes]
+            near = left
+            for a in axes:
+                near = near.withColumn(f"_c{a}", F.explode(F.array(*[F.floor(F.col(a) / edge) + k for k in (-1, 0, 1)])))
+            met = near.join(o.select("*", *cells), [f"_c{a}" for a in axes]).withColumn("distance", d)
+            near = cut(met.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.*").where((F.col("distance") <= edge) | F.lit(edge > far)))
+            found.append(near)
+            left = cut(left.join(near.select("point_id"), "point_id", "left_anti"))
+            if edge > far or left.isEmpty():
+                break
+            edge *= 2
+    nothing = left.limit(0).join(o.limit(0).withColumn("distance", F.lit(0.0)), F.lit(True)).select("point_id", "object_id", "kind", "distance", (F.col("distance") - F.col("radius")).alias("gap"))
+    return reduce(DataFrame.unionByName, found, nothing)
 
 
 def overlaps(discs: DataFrame, cell: float) -> DataFrame:
@@ -68,9 +104,9 @@ def angular_radius(radius: Column, distance: Column) -> Column:
 def field_drive(cells: DataFrame, objects: DataFrame, blur: float, per_degree: float, half: float, base: float, span: float) -> DataFrame:
     """(cell, rate): each cell takes its strongest object, a Gaussian of its distance times loom times gain.
 
-    Objects (ox, oy, alpha, gain) are a scene's few; their number is checked.
+    Objects (ox, oy, alpha, gain) are a scene's few, all of which every cell sees; more than ``SCENE`` are refused.
     """
-    o = F.broadcast(objects) if objects.limit(10_001).count() <= 10_000 else objects
+    o = _scene(objects)
     sigma = F.lit(blur) + F.col("alpha") * per_degree
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     drive = F.exp(-d2 / (2 * sigma * sigma)) * (F.col("alpha") / (F.col("alpha") + half)) * F.col("gain")
@@ -79,8 +115,8 @@ def field_drive(cells: DataFrame, objects: DataFrame, blur: float, per_degree: f
 
 
 def odour(points: DataFrame, sources: DataFrame, soften: float) -> DataFrame:
-    """(point_id, odour): saturating sum of strength / (d2 + soften) over the sources."""
-    o = F.broadcast(sources) if sources.limit(10_001).count() <= 10_000 else sources
+    """(point_id, odour): saturating sum of strength / (d2 + soften) over the sources, ``SCENE`` at most."""
+    o = _scene(sources)
     d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
     raw = points.join(o, F.lit(True)).groupBy("point_id").agg(F.sum(F.col("strength") / (d2 + soften)).alias("_c"))
     return raw.select("point_id", (F.col("_c") / (1 + F.col("_c"))).alias("odour"))
@@ -88,10 +124,10 @@ def odour(points: DataFrame, sources: DataFrame, soften: float) -> DataFrame:
 
 def visible(agents: DataFrame, objects: DataFrame) -> DataFrame:
     """(agent, seen, kind): every other agent and every visible object, for the agents of one scene."""
-    a = F.broadcast(agents.select(F.col("agent").alias("seen"), "scene", F.lit("agent").alias("kind")))
+    a = agents.select(F.col("agent").alias("seen"), "scene", F.lit("agent").alias("kind"))
     others = agents.join(a, "scene").where("agent <> seen").select("agent", "seen", "kind")
     o = objects.where("visible").select(F.col("object").alias("seen"), "scene", "kind")
-    return others.unionByName(agents.join(F.broadcast(o), "scene").select("agent", "seen", "kind"))
+    return others.unionByName(agents.join(o, "scene").select("agent", "seen", "kind"))
 
 
 def unit_box(points: DataFrame, group: list[str]) -> DataFrame:
@@ -103,10 +139,6 @@ def unit_box(points: DataFrame, group: list[str]) -> DataFrame:
     return own.withColumns({c: (F.col(c) - (F.col(f"_lo{c}") + F.col(f"_hi{c}")) / 2) / F.col("_s") for c in axes}).drop("_s", *[f"_{n}{c}" for c in axes for n in ("lo", "hi")])
 
 
-#: Most objects of a scene that are broadcast to each point.
-SCENE = 10_000
-
-
 def clearest_direction(path: DataFrame, obstacles: DataFrame, candidates: int) -> DataFrame:
     """(candidate, clearance), the direction whose median clearance over the path is largest first.
 

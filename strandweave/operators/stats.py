@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.predicates import finite
 from strandweave.functions.tails import t_quantile
+from strandweave.operators import ordered
 from strandweave.operators.ordered import ranked
 
 
@@ -95,8 +96,7 @@ def control_summary(df: DataFrame, variant: str, value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, group: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
     """Exact quantiles with linear interpolation, one column for each."""
-    q = F.percentile(value, F.array(*[F.lit(a) for a in at]))
-    return df.groupBy(*group).agg(q.alias("_q")).select(*group, *[F.get("_q", F.lit(i)).alias(f"q{int(round(a * 100))}") for i, a in enumerate(at)])
+    return ordered.quantiles(df, group, value, at, "_q").select(*group, *[F.get("_q", F.lit(i)).alias(f"q{int(round(a * 100))}") for i, a in enumerate(at)])
 
 
 def log_linear_fit(df: DataFrame, group: list[str], at: Column, remaining: Column, low: float, high: float, least_r2: float) -> DataFrame:

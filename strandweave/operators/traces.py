@@ -6,7 +6,9 @@ All windows are partitioned by key, so keys run in parallel.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,13 +38,23 @@ def is_peak(value: Column) -> Column:
 
 def peaks(trace: DataFrame, prominence: float, width: int, refractory: int, least: float | None = None) -> DataFrame:
     """(key, i, value) of peaks that rise ``prominence`` above the ``width`` samples before them and lie more
-    than ``refractory`` samples behind the last accepted one, which each key decides in one fold."""
+    than ``refractory`` samples behind the last accepted one, which one pass along each key decides."""
     rise = F.col("value") - trailing_min(F.col("value"), width, current=False)
     found = trace.withColumn("_ok", is_peak(F.col("value")) & (rise >= prominence)).where("_ok")
     found = found.where(F.col("value") >= least) if least is not None else found
-    lists = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("c"))
-    fold = F.expr(f"aggregate(c, cast(array() as array<struct<i:bigint,value:double>>), (a, x) -> if(size(a) = 0 or x.i - element_at(a, -1).i > {refractory}, array_append(a, x), a))")
-    return lists.select("key", F.explode(fold).alias("p")).select("key", "p.i", "p.value")
+    found = found.select("key", "i", "value").repartition("key").sortWithinPartitions("key", "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            taken = []
+            for k, (key, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now or last is None or i - last > refractory:
+                    now, last = key, i
+                    taken.append(k)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return found.mapInArrow(run, found.schema)
 
 
 def intervals(events: DataFrame, at: str = "t_us") -> DataFrame:
@@ -175,10 +187,21 @@ def decayed_sum(value: Column, span: int, decay: float) -> Column:
 
 
 def exponential_filter(trace: DataFrame, value: Column, a: float, out: str) -> DataFrame:
-    """r[i] = r[i-1] * a + x[i] * (1 - a), from 0, as one fold for each key."""
-    lists = trace.withColumn("_x", value.cast("double")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "_x"))).alias("s"))
-    fold = F.expr(f"aggregate(s, cast(array() as array<struct<i:bigint,r:double>>), (acc, x) -> array_append(acc, named_struct('i', x.i, 'r', coalesce(element_at(if(size(acc) = 0, array(named_struct('i', 0L, 'r', 0D)), acc), -1).r, 0D) * {a}D + x._x * {1 - a}D)))")
-    return lists.select("key", F.explode(fold).alias("e")).select("key", "e.i", F.col("e.r").alias(out))
+    """r[i] = r[i-1] * a + x[i] * (1 - a), from 0, in one pass along each key that carries r from batch to batch."""
+    own = trace.select("key", "i", value.cast("double").alias(out)).repartition("key").sortWithinPartitions("key", "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, r, begun = None, 0.0, False
+        for batch in batches:
+            filtered = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or key != now:
+                    now, r, begun = key, 0.0, True
+                r = None if x is None or r is None else r * a + x * (1 - a)
+                filtered.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(filtered, pa.float64())], names=["key", "i", out])
+
+    return own.mapInArrow(run, own.schema)
 
 
 def time_mean(value: Column, width_us: int) -> Column:
@@ -253,9 +276,13 @@ def event_rates(ids: DataFrame, events: DataFrame, seconds: float) -> DataFrame:
 def trial_rates(trials: DataFrame, ids: DataFrame, events: DataFrame, seconds: float) -> DataFrame:
     """(key, mean_rate, sd_rate) over all trials, those without events counting 0; population deviation."""
     counts = events.groupBy("key", "trial").agg(F.count("*").alias("_n"))
-    grid = ids.select("key").distinct().join(F.broadcast(trials.select("trial").distinct()))
-    rate = F.coalesce("_n", F.lit(0)) / seconds
-    return grid.join(counts, ["key", "trial"], "left").groupBy("key").agg(F.avg(rate).alias("mean_rate"), F.stddev_pop(rate).alias("sd_rate"))
+    # Trials without events add nothing but their number, so ids and trials need not be crossed.
+    number = trials.select("trial").distinct()
+    known = counts.join(number, "trial", "left_semi").groupBy("key").agg(F.sum("_n").alias("_s"), F.sum(F.col("_n") * F.col("_n")).alias("_q"))
+    n = number.count()
+    own = ids.select("key").distinct().join(known, "key", "left")
+    mean, square = F.coalesce("_s", F.lit(0)) / F.lit(n), F.coalesce("_q", F.lit(0)) / F.lit(n)
+    return own.select("key", (mean / seconds).alias("mean_rate"), (F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) / seconds).alias("sd_rate"))
 
 
 def raster(points: DataFrame, x: Column, y: Column, width: int, height: int, weight: Column, halo: float = 0.5) -> DataFrame:

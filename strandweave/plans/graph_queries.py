@@ -348,15 +348,25 @@ def control_graph_type_only(spark: SparkSession, sf_dir: str) -> DataFrame:  # G
     return graph.type_only(user_graph(spark, sf_dir), labels)
 
 
-@query("SELECT * FROM (VALUES ('edge_count', true), ('out_degree', true), ('in_degree', true), ('weights', true)) v(property, preserved)")
+def _permuted(column: str, seed: str) -> str:
+    own = "src, weight" if column == "dst" else "src, dst"
+    same = lambda c: f"NOT EXISTS (SELECT 1 FROM gaps GROUP BY {c} HAVING sum(gap) <> 0)"
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS property, {test} AS preserved, (SELECT sum(greatest(gap, 0)) FROM gaps)::BIGINT AS moved" for name, test in (("edge_count", "(SELECT sum(gap) = 0 FROM gaps)"), ("out_degree", same("src")), ("in_degree", same("dst")), ("weights", same("weight"))))
+    return f"""WITH {_E}, l AS (SELECT {own}, row_number() OVER (ORDER BY src, dst, weight) AS i FROM e),
+r AS (SELECT {column}, row_number() OVER (ORDER BY md5(src || ':' || dst || ':{seed}'), src, dst, {column}) AS i FROM e),
+n AS (SELECT src, dst, weight FROM l JOIN r USING (i)),
+gaps AS (SELECT src, dst, weight, sum(s) AS gap FROM (SELECT src, dst, weight, 1 AS s FROM e UNION ALL SELECT src, dst, weight, -1 FROM n) GROUP BY ALL) {rows}"""
+
+
+@query(_permuted("dst", "shuffle"))
 def control_shuffle_preserves(spark: SparkSession, sf_dir: str) -> DataFrame:  # G13
-    edges = bipartite(spark, sf_dir)
+    edges = user_graph(spark, sf_dir)
     return graph.preservation(edges, graph.shuffled_targets(edges))
 
 
-@query("SELECT * FROM (VALUES ('edge_count', true), ('out_degree', true), ('in_degree', true), ('weights', true)) v(property, preserved)")
+@query(_permuted("weight", "weights"))
 def control_permuted_weights_preserves(spark: SparkSession, sf_dir: str) -> DataFrame:  # G11
-    edges = bipartite(spark, sf_dir)
+    edges = user_graph(spark, sf_dir)
     return graph.preservation(edges, graph.permuted_weights(edges))
 
 
