@@ -28,6 +28,7 @@ where a pair is one shingle short of a link.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -404,11 +405,16 @@ def _block_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, times, length = heads[:, order]
         cls, size, comp, late = members[:, at]
         upto = np.concatenate([[0], np.cumsum(length)])
-        groups, rows = _bounds(lo, hi), []
-        for i, j in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-            p, q = upto[i], upto[j]
-            classes, place, back = np.unique(cls[p:q], return_index=True, return_inverse=True)
-            rows.append((int(lo[i]), int(hi[i]), classes.tobytes(), size[p:q][place].tobytes(), comp[p:q][place].tobytes(), late[p:q][place].astype(np.uint8).tobytes(), back.astype(np.uint32).tobytes(), length[i:j].astype(np.uint32).tobytes(), times[i:j].astype(np.uint32).tobytes()))
+        groups, rows, late = _bounds(lo, hi), [], late.astype(np.uint8)
+        held = [(x.tobytes(), x.itemsize) for x in (cls, size, comp, late)]
+        counts, weights = (x.astype(np.uint32).tobytes() for x in (length, times))
+        for i, j, p, q, m, n in zip(*(x.tolist() for x in (groups[:-1], groups[1:], upto[groups[:-1]], upto[groups[1:]], lo[groups[:-1]], hi[groups[:-1]])), strict=True):
+            if j - i == 1:  # the members of one list differ
+                of_classes, back = [x[k * p : k * q] for x, k in held], np.arange(q - p)
+            else:
+                classes, place, back = np.unique(cls[p:q], return_index=True, return_inverse=True)
+                of_classes = [classes.tobytes(), *(x[p:q][place].tobytes() for x in (size, comp, late))]
+            rows.append((m, n, *of_classes, back.astype(np.uint32).tobytes(), counts[4 * i : 4 * j], weights[4 * i : 4 * j]))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     parts, held = [], 0
@@ -455,48 +461,88 @@ def _pieces(weights: np.ndarray, limit: int) -> Iterator[slice]:
         a = b
 
 
-def _settled(frame: pd.DataFrame) -> pd.DataFrame:
-    """Some pairs of blocks: the candidate pairs that have enough entries in common."""
-    rows = []
-    for (lo, hi), own in frame.groupby(["lo", "hi"], sort=False):
-        every = np.concatenate([np.frombuffer(x, np.int64) for x in own["classes"]])
-        classes, place, back = np.unique(every, return_index=True, return_inverse=True)
-        n, comp = (np.concatenate([np.frombuffer(x, np.int64) for x in own[c]])[place] for c in ("sizes", "comps"))
-        late = np.concatenate([np.frombuffer(x, np.uint8) for x in own["late"]])[place].astype(bool)
-        one = np.flatnonzero(~late)
-        other = np.flatnonzero(late) if lo != hi else one
-        if not (len(one) and len(other)):
-            continue
-        row_of = np.zeros(len(classes), np.int64)
-        row_of[one], common, base = np.arange(len(one)), np.zeros((len(one), len(other)), np.float32), 0
-        col_of = np.zeros(len(classes), np.int64)
-        col_of[other] = np.arange(len(other))
-        for c, m, k, t in zip(own["classes"], own["members"], own["lengths"], own["times"], strict=True):
-            member = back[base + np.frombuffer(m, np.uint32).astype(np.int64)]
-            base += len(c) // 8
-            length, times = np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(t, np.uint32)
-            upto = np.concatenate([[0], np.cumsum(length)])
-            for a in range(0, len(length), LISTS):
-                b = min(a + LISTS, len(length))
-                x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
-                left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
-                first = ~late[x]
-                left[of[first], row_of[x[first]]] = 1.0
-                second = late[x] if lo != hi else first
-                right[of[second], col_of[x[second]]] = 1.0
-                common += (left * times[a:b, None]).T @ right
-        i, j = np.nonzero(common)
-        p, q = one[i], other[j]
-        if lo == hi:
-            i, j, p, q = (x[p < q] for x in (i, j, p, q))
-        small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-        fit = (comp[p] != comp[q]) & (100 * small >= PERCENT * large) & (common[i, j] >= least_common(small, large))
-        p, q = p[fit], q[fit]
-        if len(p):
-            held, back = np.unique(np.concatenate([p, q]), return_inverse=True)
-            rows.append((lo, hi, classes[held], back.reshape(2, -1).astype(np.uint32).tobytes()))
-    columns = zip(*rows, strict=True) if rows else [()] * 4
-    return pd.DataFrame({c: pd.Series(list(v), dtype=t) for (c, t), v in zip({"a": "int64", "chunk": "int64", "classes": object, "pairs": object}.items(), columns, strict=True)})
+def _common_lists(lo: int, hi: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of one pair of blocks the classes and pairs of them (as places) that have enough entries in common."""
+    every = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+    classes, place, back = np.unique(every, return_index=True, return_inverse=True)
+    n, comp = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows])[place] for k in (1, 2))
+    late = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])[place].astype(bool)
+    one = np.flatnonzero(~late)
+    other = np.flatnonzero(late) if lo != hi else one
+    if not (len(one) and len(other)):
+        return None
+    at = np.zeros(len(classes), np.int64)  # row of a class in the matrix, or column
+    at[one] = np.arange(len(one))
+    at[other] = np.arange(len(other))
+    common, base = np.zeros((len(one), len(other)), np.float32), 0
+    for c, _, _, _, m, k, t in rows:
+        member = back[base + np.frombuffer(m, np.uint32).astype(np.int64)]
+        base += len(c) // 8
+        length, times = np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(t, np.uint32)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        for a in range(0, len(length), LISTS):
+            b = min(a + LISTS, len(length))
+            x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
+            left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
+            first = ~late[x]
+            left[of[first], at[x[first]]] = 1.0
+            second = ~first if lo != hi else first
+            right[of[second], at[x[second]]] = 1.0
+            common += (left * times[a:b, None]).T @ right
+    i, j = np.nonzero(common)
+    p, q = one[i], other[j]
+    if lo == hi:
+        i, j, p, q = (x[p < q] for x in (i, j, p, q))
+    small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+    fit = (comp[p] != comp[q]) & (100 * small >= PERCENT * large) & (common[i, j] >= least_common(small, large))
+    if not fit.any():
+        return None
+    held, back = np.unique(np.concatenate([p[fit], q[fit]]), return_inverse=True)
+    return classes[held], back.reshape(2, -1)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidate pairs that have enough entries in common, of rows sorted by pairs of blocks."""
+
+    def runs_of() -> Iterator[tuple[int, int, list[tuple]]]:
+        now, held = None, []
+        for batch in batches:
+            lo, hi, *rest = (batch.column(k).to_pylist() for k in range(len(_BLOCK_TYPES)))
+            for key, row in zip(zip(lo, hi, strict=True), zip(*rest, strict=True), strict=True):
+                if key != now and held:
+                    yield *now, held
+                    held = []
+                now = key
+                held.append(row)
+        if held:
+            yield *now, held
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "classes", "pairs"])
+
+    rows, size = [], 0
+    for lo, hi, own in runs_of():
+        if len(own) == 1 and len(own[0][0]) == 16:  # two classes; all their lists have both
+            (n, m), (x, y) = struct.unpack("<qq", own[0][1]), struct.unpack("<qq", own[0][2])
+            count = sum(struct.unpack(f"<{len(own[0][6]) // 4}I", own[0][6]))
+            small, large = min(n, m), max(n, m)
+            overlap = -(-PERCENT * (small + large) // (100 + PERCENT))
+            if x == y or 100 * small < PERCENT * large or count < max(1, overlap + PERCENT * -large // 100 + 1):
+                continue
+            found = struct.unpack("<qq", own[0][0]), b"\0\0\0\0\1\0\0\0"
+        else:
+            found = _common_lists(lo, hi, own)
+            if found is None:
+                continue
+            found = found[0].tolist(), found[1].astype(np.uint32).tobytes()
+        rows.append((lo, hi, *found))
+        size += len(found[1])
+        if size >= HELD_BYTES:
+            yield batch_of(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
 
 
 def _sets(frame: DataFrame, speakers: DataFrame, wanted: DataFrame, clash: frozenset[int]) -> DataFrame:
@@ -648,7 +694,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
     release(docs.sparkSession)
     blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_lists, _BLOCKS)
-    rest = cut(blocks.groupBy(F.pmod(F.xxhash64("lo", "hi"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInPandas(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
+    blocks = blocks.repartition(4 * shuffle_partitions(docs.sparkSession), "lo", "hi").sortWithinPartitions("lo", "hi")
+    rest = cut(blocks.mapInArrow(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
     release(docs.sparkSession)
     if not rest.isEmpty():
         comps = _joined(comps, cut(_verified_blocks(known, speakers, rest, clash)))
