@@ -4,8 +4,12 @@ Each word's emission is the sum of learned weights of its byte trigrams (those
 at its ends hold the boundary), its affixes and its entry in a hashed lexicon;
 learned transitions tie neighbouring words together, so that a passage in another
 language inside a text gets its own label.  Forward-backward gives every word's
-label probabilities; a document's language is the one with the largest mean, and
-that mean is the score.
+label probabilities (``label_words``); a document's language is the one with the
+largest mean, and that mean is the score.
+
+The training texts have one language each.  So that the transitions see switches,
+chains of code-switched text are made of passages of several of them, in a fixed
+random order, beside the texts themselves.
 
 Chains are long and short, so they are cut into chunks that advance in lockstep:
 first every chunk's transfer matrix, then the states at the chunk edges, then the
@@ -14,6 +18,7 @@ states inside.  The result is that of one pass along the whole text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from strandweave.llm._common import pieces_by_bytes, utf8_of
 from strandweave.llm._words import Words, words_of
 
-#: Bounds of the training sample: documents for each language, code points for each document, languages.
+#: Bounds of the training sample: documents for each language, code points of a document, and of all together.
 TRAIN_DOCS = 150
 TRAIN_CHARS = 20_000
-MAX_LANGS = 64
+TRAIN_TOTAL = 4_000_000
+#: More labels than this are refused.
+MAX_LANGS = 200
+#: Code-switched chains for each training text, passages in one, and words of a passage.
+MIXED, PASSAGES, PASSAGE_WORDS = 0.5, 4, (2, 40)
 EPOCHS = 25
 RATE = 0.3
 DECAY = 1e-4
@@ -169,12 +181,32 @@ def posteriors(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray) -> n
     return _scaled(alpha * beta) if len(alpha) else alpha
 
 
+def mixed_chains(rows: list[tuple[str, str]], seed: int = 7) -> list[list[tuple[str, str]]]:
+    """Chains of passages (text, lang) from texts of different languages, in a fixed random order."""
+    rng = np.random.default_rng(seed)
+    words = [(lang, parts) for text, lang in rows if (parts := text.split())]
+    if len({lang for lang, _ in words}) < 2:
+        return []
+    chains = []
+    for _ in range(int(MIXED * len(words))):
+        chain: list[tuple[str, str]] = []
+        while len(chain) < PASSAGES:
+            lang, parts = words[rng.integers(len(words))]
+            if not chain or chain[-1][1] != lang:
+                size, start = rng.integers(*PASSAGE_WORDS), rng.integers(len(parts))
+                chain.append((" ".join(parts[start : start + size]), lang))
+        chains.append(chain)
+    return chains
+
+
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     """A model of texts with one language each, by full-batch adaptive gradient ascent."""
     langs = sorted({lang for _, lang in rows})
-    raw = [text.encode() for text, _ in rows]
+    chains = [[row] for row in rows] + mixed_chains(rows)
+    raw = [(text + " ").encode() for chain in chains for text, _ in chain]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     f = features_of(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    first = f.first[np.concatenate([[0], np.cumsum([len(chain) for chain in chains])]).astype(np.int64)]
     k = len(langs)
     model = Model(
         langs,
@@ -187,28 +219,18 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     n = len(f.prefix)
     if not n:
         return model
-    label = np.array([langs.index(lang) for _, lang in rows])
-    word_label = np.repeat(label, np.diff(f.first))
-    truth = np.zeros((n, k))
-    truth[np.arange(n), word_label] = 1.0
-    gram_word = np.repeat(np.arange(n), np.diff(np.concatenate([f.gram_word, [len(f.grams)]])))
-    opening = np.zeros(n, bool)
-    opening[f.first[:-1][np.diff(f.first) > 0]] = True
-    follows = np.flatnonzero(~opening)
-    seen = np.zeros((k, k))
-    np.add.at(seen, (word_label[follows - 1], word_label[follows]), 1.0)
+    number = {lang: j for j, lang in enumerate(langs)}
+    word_label = np.repeat(np.array([number[lang] for chain in chains for _, lang in chain]), np.diff(f.first))
+    gram_word = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.concatenate([f.gram_word, [len(f.grams)]])))
     tables = [(model.grams, f.grams, gram_word), (model.prefix, f.prefix, None), (model.suffix, f.suffix, None), (model.lexicon, f.lexicon, None)]
     squares = [np.full_like(t, 1e-8) for t, _, _ in tables] + [np.full_like(model.trans, 1e-8)]
     for _ in range(epochs):
-        alpha, beta, weight = forward_backward(model.emissions(f), model.trans, f.first)
-        error = truth - _scaled(alpha * beta)
-        left, right, step = alpha[follows - 1], (weight * beta)[follows], np.exp(model.trans.astype(np.float64))
-        mass = ((left @ step) * right).sum(1, keepdims=True)
+        error, trans = gradient(model.emissions(f), model.trans, first, word_label)
         grads = []
         for t, ids, words in tables:
-            each = error if words is None else error[words]
-            grads.append(np.stack([np.bincount(ids, each[:, j], len(t)) for j in range(k)], 1))
-        grads.append(seen - ((left / mass).T @ right) * step)
+            each = (np.ascontiguousarray(error[:, j]) for j in range(k))  # one label at a time
+            grads.append(np.stack([np.bincount(ids, x if words is None else x[words], len(t)) for x in each], 1))
+        grads.append(trans)
         for t, g, s in zip([model.grams, model.prefix, model.suffix, model.lexicon, model.trans], grads, squares, strict=True):
             g = (g / n - DECAY * t / len(grads)).astype(np.float32)
             s += g * g
@@ -216,43 +238,89 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The bounded sample: for each language about ``TRAIN_DOCS`` documents of smallest id hash.
+def log_likelihood(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray, labels: np.ndarray) -> float:
+    """Of the labels of all chains, by a plain forward pass; the first state is uniform behind a uniform one."""
+    total, k = 0.0, emissions.shape[1]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b > a:
+            state = np.log(np.exp(trans.astype(np.float64)).sum(0) / k) + emissions[a]
+            own = np.log(np.exp(trans.astype(np.float64)).sum(0) / k)[labels[a]] + emissions[a, labels[a]]
+            for t in range(a + 1, b):
+                state = np.logaddexp.reduce(state[:, None] + trans, axis=0) + emissions[t]
+                own += trans[labels[t - 1], labels[t]] + emissions[t, labels[t]]
+            total += own - np.logaddexp.reduce(state)
+    return total
+
+
+def gradient(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the labels' log-likelihood, by the emissions and by the transitions between words."""
+    n, k = emissions.shape
+    alpha, beta, weight = forward_backward(emissions, trans, first)
+    error = -_scaled(alpha * beta)
+    error[np.arange(n), labels] += 1.0
+    opening = np.zeros(n, bool)
+    opening[first[:-1][np.diff(first) > 0]] = True
+    follows = np.flatnonzero(~opening)
+    left, right, step = alpha[follows - 1], (weight * beta)[follows], np.exp(trans.astype(np.float64))
+    mass = ((left @ step) * right).sum(1, keepdims=True)
+    seen = np.zeros((k, k))
+    np.add.at(seen, (labels[follows - 1], labels[follows]), 1.0)
+    return error, seen - ((left / mass).T @ right) * step
+
+
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The bounded sample (t, l): for each language at most ``TRAIN_DOCS`` different texts of smallest hash of id and
+    text, ``TRAIN_TOTAL`` code points in all (but one text a language at least).
 
-    The filter on the hash is set from the language's row count, so no more than
+    Rows without a text or a language are left out; without any others the sample is empty.  The filter on the hash is set from the language's row count, so no more than
     a small multiple of the sample is ever moved.
     """
     fit = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return []
+    counts = {r["lang"]: r["n"] for r in fit.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     where = F.lit(False)
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30))
+    share = TRAIN_TOTAL // max(1, len(counts))
     for lang, n in counts.items():
         where = where | ((F.col(lang_col) == lang) & (draw < int(min(1.0, 1.5 * TRAIN_DOCS / n + 20 / n) * (1 << 30))))
-    got = fit.where(where).select(draw.alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(3 * TRAIN_DOCS * len(counts)).collect()
-    rows: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(got, key=lambda r: (r["d"], r["t"])):
-        if len(rows[r["l"]]) < TRAIN_DOCS:
-            rows[r["l"]].append(r["t"])
-    return [(t, lang) for lang, texts in rows.items() for t in texts]
+    got = fit.where(where).groupBy(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).agg(F.min(draw).alias("d"))
+    upto = F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("d", "t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("d", "t"))
+    kept = got.withColumn("upto", upto).withColumn("place", place).where((F.col("place") <= TRAIN_DOCS) & ((F.col("upto") <= share) | (F.col("place") == 1)))
+    return kept.select("d", "t", "l")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = EPOCHS) -> Model:
+    """A model trained on the bounded sample of ``docs``, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(tuple(r.values()) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, lang) for lang, _, t in rows], epochs))], pa.binary())], names=["model"])
+
+    sample = training_sample(docs, id_col, text_col, lang_col).select("l", "d", "t")
+    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([])
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict_batch(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; texts without a letter get ``und`` and 0."""
+def predict_batch(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and number of switches between words of each text; texts without a letter get ``und`` and 0."""
     f = features_of(data, offsets)
     n = len(offsets) - 1
-    means = np.zeros((n, len(model.langs)))
+    means, switches = np.zeros((n, len(model.langs))), np.zeros(n, np.int64)
     if len(f.prefix):
         probability = posteriors(model.emissions(f), model.trans, f.first)
         total = np.concatenate([np.zeros((1, probability.shape[1])), np.cumsum(probability, 0)])
         count = np.diff(f.first)
         some = count > 0
         means[some] = (total[f.first[1:]] - total[f.first[:-1]])[some] / count[some, None]
+        label = probability.argmax(1)
+        turns = np.concatenate([[0, 0], np.cumsum(label[1:] != label[:-1])])  # before each word, the last before the text's end
+        switches[some] = turns[f.first[1:][some]] - turns[f.first[:-1][some] + 1]
     best = means.argmax(1)
     score = np.clip(means[np.arange(n), best], 0.0, 1.0)
     names = [model.langs[b] for b in best]
@@ -260,30 +328,69 @@ def predict_batch(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
         # ASCII letters are told by their bytes; other texts are looked at as code points.
         own = data[offsets[i] : offsets[i + 1]]
         if score[i] == 0.0 or (not ((own | 0x20) - np.uint8(97) < 26).any() and not has_letter(own.tobytes().decode())):
-            names[i], score[i] = UNKNOWN, 0.0
-    return names, score
-
+            names[i], score[i], switches[i] = UNKNOWN, 0.0, 0
+    return names, score, switches
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default) with ``lang_pred`` and ``score``.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is every
-    text if the model knows no language.  Repeated rows are labelled alike.  Of
-    clashing names, the columns made here win.
-    """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+def word_labels(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
+    """For each text its words: start and end as code points, label and its probability."""
+    f = features_of(data, offsets)
+    if not len(f.prefix):
+        return [[] for _ in offsets[1:]]
+    probability = posteriors(model.emissions(f), model.trans, f.first)
+    found = words_of(_LETTERS[data], offsets)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(f.first))
+    start, end = (before[x] - before[offsets[text]] for x in (found.start, found.end))
+    label = probability.argmax(1)
+    rows = [{"start": a, "end": b, "label": model.langs[j], "probability": p} for a, b, j, p in zip(start.tolist(), end.tolist(), label.tolist(), probability.max(1).tolist(), strict=True)]
+    return [rows[a:b] for a, b in zip(f.first[:-1].tolist(), f.first[1:].tolist(), strict=True)]
+
+
+def _over_batches(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...] | None, made: dict[str, str], work) -> DataFrame:
+    """``keep`` columns of ``docs`` with those that ``work(model, bytes, offsets)`` makes, as lists by name."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     frame = docs.select(*names, F.col(text_col).alias("_sw_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["lang_pred string, score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + [f"{c} {t}" for c, t in made.items()])
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(", ".join(f"{c} {t}" for c, t in made.items())))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces_by_bytes(big, "_sw_text", 1 << 20):
-                if shared.value.langs:
-                    lang, score = predict_batch(shared.value, *utf8_of(batch.column("_sw_text")))
-                else:
-                    lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                columns = [*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
+                values = work(shared.value, *utf8_of(batch.column("_sw_text")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, values, types)], names=[*names, *made])
 
     return frame.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) with ``lang_pred``, ``score`` and ``n_switches``, how often
+    neighbouring words differ in label.
+
+    Null texts and texts without a letter are ``und`` with score 0; so is every
+    text if the model knows no language.  Repeated rows are labelled alike.  Of
+    clashing names, the columns made here win.
+    """
+
+    def work(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        if model.langs:
+            return predict_batch(model, data, offsets)
+        n = len(offsets) - 1
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
+
+    return _over_batches(docs, model, text_col, keep, {"lang_pred": "string", "score": "double", "n_switches": "bigint"}, work)
+
+
+def label_words(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) with ``words``: start and end (code points, from 0), label and
+    probability of each word, in order.
+
+    Words are runs of letters and of code points beyond ASCII.  Null texts, texts without words and all
+    texts if the model knows no language have none.  Of clashing names, ``words`` made here wins.
+    """
+
+    def work(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        return ((word_labels(model, data, offsets) if model.langs else [[] for _ in offsets[1:]]),)
+
+    return _over_batches(docs, model, text_col, keep, {"words": "array<struct<start: bigint, end: bigint, label: string, probability: double>>"}, work)
