@@ -26,7 +26,7 @@ def with_sketch(df: DataFrame, text_col: str, out_col: str, scale: int = SCALE)
     A text of fewer than five words has one shingle, its whole word sequence; a
     null text or one without words has an empty sketch.
     """
-    limit = -(1 << 63) + (1 << 64) // scale
+    limit = _limit(scale)
     following = ", ".join(f"get(_sw_w, i + {k})" for k in range(1, SHINGLE))
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     shingles = F.expr(
@@ -44,20 +44,39 @@ def with_sketch(df: DataFrame, text_col: str, out_col: str, scale: int = SCALE)
     )
 
 
-def merged(a: Column, b: Column) -> Column:
+def _limit(scale: int) -> int:
+    """Hashes below this are kept."""
+    return -(1 << 63) + (1 << 64) // scale
+
+
+def _settled(hashes: Column, scale: int) -> Column:
+    """The sketch of the shingles whose sketches' hashes these are: those below the threshold, or else the least."""
+    below = F.filter(hashes, lambda h: h < _limit(scale))
+    least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
+    return F.when(F.size(below) > 0, below).otherwise(least)
+
+
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.array_sort(_settled(F.array_union(a, b), scale))
+
 
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated Jaccard similarity, 1 for two empty sketches: the share of the joint sketch that both hold."""
+    joint = _settled(F.array_union(a, b), scale)
+    both = F.size(F.array_intersect(joint, F.array_intersect(a, b)))
+    return F.when(F.size(joint) == 0, F.lit(1.0)).otherwise(both / F.size(joint)).cast("double")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity, 1 for two empty sketches."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union).cast("double")
 
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of ``a``'s shingles that ``b`` has, 1 for an empty ``a``.
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has, 1 for an empty ``a``."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    Of a text so short that none of its hashes is below the threshold, ``b`` holds a sample only if it
+    is as short; otherwise the result is null.
+    """
+    told = (F.size(b) == 0) | (F.array_min(a) < _limit(scale)) | (F.array_min(b) >= _limit(scale))
+    share = (F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(told, share)
 
 
 def as_text(sketch: Column) -> Column:
@@ -130,7 +149,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.sha2(F.col("_sw_edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("_sw_fp")).alias("fingerprint"),
         as_text(F.col("_sw_efp")).alias("edited_fingerprint"),
-        likeness(F.col("_sw_fp"), F.col("_sw_efp")).alias("near_edited"),
-        F.coalesce(likeness(F.col("_sw_fp"), F.col("_sw_next_fp")), F.lit(0.0)).alias("near_next"),
-        containment(F.col("_sw_fp"), F.col("_sw_efp")).alias("contained_edited"),
+        likeness(F.col("_sw_fp"), F.col("_sw_efp"), scale).alias("near_edited"),
+        F.coalesce(likeness(F.col("_sw_fp"), F.col("_sw_next_fp"), scale), F.lit(0.0)).alias("near_next"),
+        containment(F.col("_sw_fp"), F.col("_sw_efp"), scale).alias("contained_edited"),
     )

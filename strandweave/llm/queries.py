@@ -35,18 +35,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    model = langid.train(langid.training_rows(docs.where(fold != 1)))
+    model = langid.fit(docs.where(fold != 1))
     named = langid.identify(docs, model, keep=("doc_id",))
-    return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+    return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records against a replica with known damage: a byte changed in some records, others missing."""
+    """The pages as WARC records against a replica with known damage: a byte changed in some records, others gone from their places."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    good = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     hurt = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("!"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    replica = pages.where("page_id % 193 <> 7").select("page_id", warc.record(F.col("page_id"), F.col("url"), hurt).alias("record"))
-    return warc.audit(good, replica)
+    good, bad = (warc.record(F.col("page_id"), F.col("url"), body) for body in (F.col("html"), hurt))
+    both = pages.select("page_id", good.alias("record"), bad.alias("bad"))
+    sizes = [F.octet_length("bad").cast("bigint").alias("bad_length"), F.sha2(F.col("bad").cast("binary"), 256).alias("bad_sha256")]
+    laid = warc.lay_out(both.select(F.col("page_id").alias("id"), F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), *sizes))
+    replica = laid.where("coalesce(id % 193 <> 7, true)").select("archive", "offset", F.col("bad_length").alias("length"), F.col("bad_sha256").alias("sha256"), "id")
+    found = warc.audit(laid, replica)
+    return found.select(F.col("id").alias("page_id"), "archive", F.col("offset").alias("byte_offset"), F.col("length").alias("byte_length"), F.col("sha256").alias("record_sha256"), "status")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +58,16 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of hosts of every junk category, and a sixteenth of all URLs by digest, which no rule on hosts implies."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages))
+    judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages).unionByName(urlfilter.listed_by_digest(pages)))
     return judged.select("page_id", "host", "path", "rule", "verdict", "is_listed")
 
 
 def op7_url_filter_junk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op7_url_filter``, with the URLs of hosts of every junk category in the list."""
+    """As ``op7_url_filter``, with the URLs of hosts of every junk category alone in the list."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages, urlfilter.JUNK_LABELS))
+    judged = urlfilter.judge_urls(pages, urlfilter.listed_by_label(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict", "is_listed")
 
 
@@ -70,10 +75,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
 
 
+def op8_quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_quality_rules`` that SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op9_fingerprints`` that SQL can express."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -89,7 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op7_url_filter_junk_labels": op7_url_filter_junk_labels,
         "op8_quality_rules": op8_quality_rules,
+        "op8_quality_base": op8_quality_base,
         "op9_fingerprints": op9_fingerprints,
+        "op9_edited_texts": op9_edited_texts,
         "op10_packing": op10_packing,
     }
 
@@ -129,7 +146,8 @@ WITH parts AS (
          || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical
   FROM split
 ), listed AS (
-  SELECT DISTINCT canonical FROM canon WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'casino-win'])
+  SELECT DISTINCT canonical FROM canon WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+     OR md5(canonical)[1] = '7'
 ), rules(rule, rule_host, rule_path, verdict) AS (
   VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
          ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
@@ -142,7 +160,7 @@ SELECT c.page_id, c.host, c.path, f.rule,
 FROM canon c LEFT JOIN fit f USING (page_id) LEFT JOIN listed l ON c.canonical = l.canonical
 """
 
-_OP7_JUNK = _OP7.replace("['spam-farm', 'casino-win']", "['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']")
+_OP7_JUNK = _OP7.replace("     OR md5(canonical)[1] = '7'\n", "")
 
 
 _OP5 = """
@@ -154,14 +172,16 @@ WITH records AS (
          || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages
 ), hashed AS (
-  SELECT page_id, page_id // 4096 AS archive, strlen(record)::BIGINT AS byte_length, sha256(record) AS record_sha256,
+  SELECT page_id, strlen(record)::BIGINT AS byte_length, sha256(record) AS record_sha256,
          CASE WHEN page_id % 193 = 7 THEN 'missing'
               WHEN page_id % 97 = 5 AND '!' || substr(html, 2) <> html THEN 'corrupt' ELSE 'intact' END AS status
   FROM records
+), placed AS (
+  SELECT *, coalesce(sum(byte_length) OVER (ORDER BY page_id NULLS FIRST, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM hashed
 )
-SELECT page_id, archive, byte_length, record_sha256, status,
-       coalesce(sum(byte_length) OVER (PARTITION BY archive ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset
-FROM hashed
+SELECT page_id, start // 16777216 AS archive, start - min(start) OVER (PARTITION BY start // 16777216) AS byte_offset, byte_length, record_sha256, status
+FROM placed
 """
 
 _OP6 = r"""
@@ -186,5 +206,38 @@ SELECT s.doc_id, s.n AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_
 """
 
 
+_OP8 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g
+  FROM words WHERE len(w) >= 8
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM grams) WHERE times > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos)::BIGINT AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM twice) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)
+"""
+
+_OP9 = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next
+  FROM documents
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 4) || substr(next, 1, length(text) // 4)) AS edited_sha256
+FROM texts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op2_line_dedup": _OP2, "op7_url_filter": _OP7, "op7_url_filter_junk_labels": _OP7_JUNK}
+    return {
+        "op2_line_dedup": _OP2, "op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op7_url_filter": _OP7, "op7_url_filter_junk_labels": _OP7_JUNK,
+        "op8_quality_base": _OP8, "op9_edited_texts": _OP9,
+    }

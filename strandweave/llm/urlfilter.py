@@ -2,8 +2,9 @@
 
 The list is canonicalised and written into a blocked Bloom filter: a table of
 64-bit blocks in which each URL sets ``PROBES`` bits of one block.  Pages probe
-the one block their hash names; only possible hits go on to the exact hash join
-with the list, which removes the false positives.
+the one block their hash names.  Those that the filter rejects are done; only possible
+hits go on to the exact hash join with the list, which removes the false positives.
+The pages' URLs are read once for each of the two parts.
 """
 
 from __future__ import annotations
@@ -98,12 +99,13 @@ def listed_hits(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> Da
     filt = F.broadcast(filt) if blocks <= BROADCAST_BLOCKS else filt
     probe = pages.drop("is_listed").withColumn("_sw_key", canonical(F.col(url_col)))
     probe = probe.withColumn("_sw_probe", _block(F.col("_sw_key"), blocks))
-    possible = probe.join(filt, probe["_sw_probe"] == filt["_sw_block"], "left").withColumn(
-        "_sw_maybe", F.when(F.coalesce(F.col("_sw_mask").bitwiseAND(_bits(F.col("_sw_key"))) == _bits(F.col("_sw_key")), F.lit(False)), F.col("_sw_key"))
-    )
-    # A row that the filter rejects has a null key here, which joins with nothing.
-    exact = possible.join(keys, possible["_sw_maybe"] == keys["_sw_listed"], "left")
-    return exact.select(*[c for c in pages.columns if c != "is_listed"], F.col("_sw_listed").isNotNull().alias("is_listed"))
+    mask = F.col("_sw_mask").bitwiseAND(_bits(F.col("_sw_key")))
+    probe = probe.join(filt, probe["_sw_probe"] == filt["_sw_block"], "left").withColumn("_sw_maybe", F.coalesce(mask == _bits(F.col("_sw_key")), F.lit(False)))
+    names = [F.col(c) for c in pages.columns if c != "is_listed"]
+    rejected = probe.where(~F.col("_sw_maybe")).select(*names, F.lit(False).alias("is_listed"))
+    possible = probe.where("_sw_maybe")
+    exact = possible.join(keys, possible["_sw_key"] == keys["_sw_listed"], "left")
+    return rejected.unionByName(exact.select(*names, F.col("_sw_listed").isNotNull().alias("is_listed")))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = DEFAULT_RULES, url_col: str = "url") -> DataFrame:
@@ -121,7 +123,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str,
     return parts.withColumn("rule", F.col("_sw_rule.rule")).withColumn("verdict", verdict).drop("_sw_rule")
 
 
-def listed_by_label(pages: DataFrame, labels: tuple[str, ...] = ("spam-farm", "casino-win"), url_col: str = "url") -> DataFrame:
+def listed_by_label(pages: DataFrame, labels: tuple[str, ...] = JUNK_LABELS, url_col: str = "url") -> DataFrame:
     """A list made from the pages themselves: URLs of hosts with one of ``labels`` among their labels."""
     labelled = F.arrays_overlap(F.split(host_of(F.col(url_col)), "[.]"), F.array(*[F.lit(x) for x in labels]))
     return pages.where(labelled).select(F.col(url_col).alias("url"))
+
+
+def listed_by_digest(pages: DataFrame, digits: tuple[str, ...] = ("7",), url_col: str = "url") -> DataFrame:
+    """A list that no rule on hosts implies: canonical URLs whose MD5 begins with one of ``digits``."""
+    return pages.where(F.substring(F.md5(canonical(F.col(url_col)).cast("binary")), 1, 1).isin(*digits)).select(F.col(url_col).alias("url"))

@@ -1,21 +1,37 @@
-"""WARC records, and a fixity audit of replicas by Merkle trees.
-
-Records are hashed, and so are ordered ranges of them: ``FANOUT`` consecutive ids
-make a range, ``FANOUT`` ranges a larger one, up to the archive, whose hash is the
-root.  Two replicas are compared by root; only where roots differ are the ranges
-below looked at, down to the records, so an intact archive costs one comparison.
+"""WARC archives, and a fixity audit of replicas by Merkle trees over ranges of offsets.
+
+Records lie one behind the other in archives.  A record's place is the archive and
+the byte offset at which it starts.  The records that start within ``RANGE_BYTES`` of
+an archive make a range, whose hash is that of their offsets, lengths and SHA-256 in
+order; ``FANOUT`` consecutive ranges make a branch, and all branches the archive's root.
+The nodes of both replicas are built once, in one table.  Roots are compared first,
+then the branches of archives whose roots differ, then the ranges of differing
+branches, and only the records of differing ranges, so an intact archive costs one
+comparison.  Offsets are hashed too, so records that moved or were padded are found.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandweave.llm._common import cut
+
 FANOUT = 16
-#: Levels above the records; an archive spans FANOUT ** LEVELS ids.
-LEVELS = 3
+RANGE_BYTES = 64 << 10
+#: A record that starts beyond this many bytes goes to the next archive.
+ARCHIVE_BYTES = RANGE_BYTES * FANOUT * FANOUT
 _MAGIC = "WARC/1.0\r\n"
+#: Bytes of records that the reader passes on at a time.
+BATCH_BYTES = 4 << 20
+_LENGTH = re.compile(rb"^Content-Length: *(\d+) *\r?$", re.I | re.M)
+_ID = re.compile(rb"^WARC-Record-ID: *<urn:page:(-?\d{1,18})> *\r?$", re.I | re.M)
+_URL = re.compile(rb"^WARC-Target-URI: *([^\r\n]*)", re.I | re.M)
 
 
 def record(id_: Column, url: Column, payload: Column) -> Column:
@@ -34,87 +50,166 @@ def record(id_: Column, url: Column, payload: Column) -> Column:
     )
 
 
+def hashed(records: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
+    """Columns id, length (bytes) and sha256 of each record."""
+    return records.select(F.col(id_col).alias("id"), F.octet_length(record_col).cast("bigint").alias("length"), F.sha2(F.col(record_col).cast("binary"), 256).alias("sha256"))
+
+
+def lay_out(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """``records`` (with id, length, sha256 and any other columns) with ``archive`` and ``offset``.
+
+    Records follow each other by id (nulls first), then hash; a record starts in the archive that its distance
+    from the first one names, and offsets count from the archive's first record.  Rows that repeat
+    lie one behind the other.  Records are sorted by range partition, and only the bytes of each
+    partition are passed on.  Of clashing names, the columns made here win.
+    """
+    order = ["id", "sha256", "_sw_tie"]
+    base = cut(records.drop("archive", "offset")).withColumn("_sw_tie", F.xxhash64(F.monotonically_increasing_id()))
+    parts = cut(base.repartitionByRange(*order).withColumn("_sw_part", F.spark_partition_id()))
+    # One row for each partition.
+    before = F.sum("bytes").over(Window.orderBy("_sw_part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = parts.groupBy("_sw_part").agg(F.sum("length").alias("bytes")).select("_sw_part", F.coalesce(before, F.lit(0)).alias("_sw_before"))
+    inner = F.sum("length").over(Window.partitionBy("_sw_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.withColumn("_sw_inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(carry), "_sw_part").withColumn("_sw_start", F.col("_sw_before") + F.col("_sw_inner"))
+    placed = placed.withColumn("archive", F.floor(F.col("_sw_start") / archive_bytes).cast("bigint"))
+    placed = placed.withColumn("offset", F.col("_sw_start") - F.min("_sw_start").over(Window.partitionBy("archive")))
+    return cut(placed.drop("_sw_tie", "_sw_part", "_sw_before", "_sw_inner", "_sw_start"))
+
+
 def write_archives(records: DataFrame, path: str, column: str = "record") -> None:
-    """Writes the records one behind the other, a file for each partition.
+    """Writes records (archive, offset and ``column``) one behind the other, a folder with one file for each archive.
 
     The writer's line separator is the two line ends that close every record.
     """
     body = F.expr(f"substring(`{column}`, 1, length(`{column}`) - 4)")
-    records.select(body.alias(column)).write.option("lineSep", "\r\n\r\n").text(path)
+    dealt = records.repartition("archive").sortWithinPartitions("archive", "offset")
+    dealt.select("archive", body.alias(column)).write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
+
+
+def frames(data: bytes) -> Iterator[tuple[int, int, int, str | None]]:
+    """Start, end, start of the payload and flaw of each record of an archive; together they cover all of its bytes.
+
+    Records are framed by their Content-Length, so a payload may hold anything.  Where that does not lead to
+    the record's closing line ends, the record is ``truncated`` and ends before the next line
+    ``WARC/1.0``; bytes that no record's head begins are ``garbage``.
+    """
+    magic, at, n = _MAGIC.encode(), 0, len(data)
+    while at < n:
+        head = data.find(b"\r\n\r\n", at) if data.startswith(magic, at) else -1
+        length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
+        body = head + 4 if length else at
+        if length and data[body + int(length[1]) : body + int(length[1]) + 4] == b"\r\n\r\n":
+            end, flaw = body + int(length[1]) + 4, None
+        else:
+            end = data.find(magic, max(body, at + 1))
+            end, flaw = n if end < 0 else end, "truncated" if length else "garbage"
+        yield at, end, body, flaw
+        at = end
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records (record, url, payload) of WARC files; files are split between records.
+    """All records of the archives below ``path``, an archive in a task.
 
-    A payload that holds the line ``WARC/1.0`` is put out as a record that fails its
-    length and is left out.
+    Columns: archive (of the folder ``archive=...``, else the path), offset, id, url, record (binary), payload
+    (binary) and flaw, null for a sound record; see ``frames``.  Flawed ones are returned like the others.
     """
-    raw = spark.read.option("lineSep", _MAGIC).text(path).where("value <> ''")
-    head = F.regexp_extract("value", r"(?s)^(.*?)\r\n\r\n", 1)
-    length = F.regexp_extract(head, r"Content-Length: (\d+)", 1)
-    body = F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)")
-    found = raw.select(
-        F.concat(F.lit(_MAGIC), "value").alias("record"), F.regexp_extract(head, r"WARC-Target-URI: ([^\r\n]*)", 1).alias("url"),
-        F.regexp_extract(head, r"urn:page:(-?\d+)", 1).try_cast("bigint").alias("page_id"), F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4, length(value) - instr(value, '\\r\\n\\r\\n') - 7)").alias("payload"), length.alias("_sw_length"), body.alias("_sw_body"),
-    )
-    return found.where(F.octet_length("payload").cast("string") == F.col("_sw_length")).drop("_sw_length", "_sw_body")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("path", "offset", "id", "url", "record", "payload", "flaw")
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, rows, size = content.as_py(), [], 0
+                for a, b, body, flaw in frames(data):
+                    head = data[a:body]
+                    id_, url = _ID.search(head), _URL.search(head)
+                    payload = data[body : b if flaw else b - 4] if body > a else b""
+                    rows.append((name, a, int(id_[1]) if id_ else None, url[1].decode("utf-8", "replace") if url else None, data[a:b], payload, flaw))
+                    size += b - a
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
+    found = files.mapInArrow(run, "path string, offset bigint, id bigint, url string, record binary, payload binary, flaw string")
+    named = F.regexp_extract("path", "/archive=([^/]*)/[^/]*$", 1)
+    return found.select(F.when(named != "", named).otherwise(F.col("path")).alias("archive"), "offset", "id", "url", "record", "payload", "flaw")
 
-def leaves(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """One row (node, hash) for each id: the record's SHA-256, of several the hash of their sorted hashes."""
-    each = records.select(F.col(id_col).alias("node"), F.sha2(F.col(record_col).cast("binary"), 256).alias("h")).where("node is not null")
-    counted = each.groupBy("node", "h").agg(F.count("*").alias("times"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "times"))), lambda x: F.concat_ws("*", x.h, x.times.cast("string"))), "")
-    return counted.groupBy("node").agg(F.when(F.sum("times") == 1, F.max("h")).otherwise(F.sha2(joined, 256)).alias("hash"))
 
+def leaves(read: DataFrame) -> DataFrame:
+    """Columns archive, offset, length, sha256 and id of records with ``archive`` and ``offset``."""
+    return read.select("archive", "offset", F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), "id")
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The level above: each range's hash is that of its children's ids and hashes in order."""
-    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.node.cast("string"), c.hash)), ";")
-    return nodes.groupBy(F.floor(F.col("node") / FANOUT).cast("bigint").alias("parent")).agg(F.sha2(text, 256).alias("hash")).withColumnRenamed("parent", "node")
 
+def _digest(children: Column, text) -> Column:
+    return F.sha2(F.array_join(F.transform(children, text), ";"), 256)
 
-def tree(records: DataFrame, id_col: str, record_col: str, levels: int = LEVELS) -> list[DataFrame]:
-    """Levels from the records up to the roots."""
-    out = [leaves(records, id_col, record_col)]
-    for _ in range(levels):
-        out.append(parents(out[-1]))
-    return out
 
+def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Nodes (archive, level, node, hash) of leaves: ranges (level 0), branches (1) and the root (2)."""
+    at = F.floor(F.col("offset") / range_bytes).cast("bigint").alias("node")
+    ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "sha256")))
+    ranges = records.groupBy("archive", at).agg(_digest(ordered, lambda r: F.concat_ws(":", r.offset.cast("string"), r.length.cast("string"), r.sha256)).alias("hash"))
+    own = ranges.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c0"))
+    spell = lambda c: F.concat_ws(":", c.node.cast("string"), c.hash)
+    above = lambda c: F.shiftright(c.node, FANOUT.bit_length() - 1)
+    branch = lambda p: F.struct(p.alias("node"), _digest(F.filter("c0", lambda c: above(c) == p), spell).alias("hash"))
+    own = own.withColumn("c1", F.transform(F.array_distinct(F.transform("c0", above)), branch))
+    own = own.withColumn("c2", F.array(F.struct(F.lit(0).cast("bigint").alias("node"), _digest(F.col("c1"), spell).alias("hash"))))
 
-def mismatches(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """Ids whose records differ, as (node, fault): ``corrupt``, ``missing`` or ``extra`` in ``right``."""
-    branch = None
-    for level in range(len(left) - 1, -1, -1):
-        a, b = left[level], right[level].select("node", F.col("hash").alias("other"))
-        if branch is not None:
-            above = branch.select(F.col("node").alias("_above"))
-            a = a.join(above, F.floor(a["node"] / FANOUT).cast("bigint") == above["_above"], "left_semi")
-            b = b.join(above, F.floor(b["node"] / FANOUT).cast("bigint") == above["_above"], "left_semi")
-        branch = a.join(b, "node", "full_outer").where(~F.col("hash").eqNullSafe(F.col("other")))
-    fault = F.when(F.col("other").isNull(), F.lit("missing")).when(F.col("hash").isNull(), F.lit("extra")).otherwise(F.lit("corrupt"))
-    return branch.select("node", fault.alias("fault"))
+    def level(k: int) -> Column:
+        return F.transform(f"c{k}", lambda c: F.struct(F.lit(k).alias("level"), c.node.alias("node"), c.hash.alias("hash")))
 
+    levels = [level(k) for k in range(3)]
+    return own.select("archive", F.explode(F.concat(*levels)).alias("n")).select("archive", "n.level", "n.node", "n.hash")
 
-def audit(primary: DataFrame, replica: DataFrame, id_col: str = "page_id", record_col: str = "record", levels: int = LEVELS) -> DataFrame:
-    """Each record of ``primary`` with its archive, byte offset, byte length, SHA-256 and status.
 
-    The status is ``intact`` or the fault found in the replica; ``extra`` records of
-    the replica have no row.  Records are laid out by id, then hash, in archives of
-    FANOUT ** levels ids.  Rows that repeat an id share its status.  Rows with a
-    null id are no part of a tree: their archive is null and their status ``unkeyed``.
+def mismatches(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Places (archive, offset) whose records differ, and the fault of the right side.
+
+    ``missing``: nothing starts there; ``corrupt``: another record does; ``moved``: one of the two, but the record
+    stands elsewhere in the archive, where the left side has another; ``extra``: only the right side has one.
     """
-    span = FANOUT**levels
-    faults = mismatches(tree(primary, id_col, record_col, levels), tree(replica, id_col, record_col, levels))
-    rows = primary.select(
-        F.col(id_col).alias("_id"),
-        F.floor(F.col(id_col) / span).cast("bigint").alias("archive"),
-        F.octet_length(record_col).cast("bigint").alias("byte_length"),
-        F.sha2(F.col(record_col).cast("binary"), 256).alias("record_sha256"),
+    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    nodes = cut(tree(left, range_bytes).withColumn("side", F.lit(0)).unionByName(tree(right, range_bytes).withColumn("side", F.lit(1))))
+
+    def differing(level: int) -> DataFrame:
+        return nodes.where(F.col("level") == level).drop("level")
+
+    def compared(found: DataFrame) -> DataFrame:
+        by_side = [F.max(F.when(F.col("side") == k, F.col("hash"))).alias(f"h{k}") for k in (0, 1)]
+        return found.groupBy("archive", "node").agg(*by_side).where(~F.col("h0").eqNullSafe(F.col("h1"))).select("archive", "node")
+
+    roots = compared(differing(2)).select("archive")
+    branches = compared(differing(1).join(roots, "archive", "left_semi")).withColumnRenamed("node", "branch")
+    ranges = differing(0).withColumn("branch", F.shiftright("node", FANOUT.bit_length() - 1)).join(branches, ["archive", "branch"], "left_semi")
+    ranges = cut(compared(ranges))
+    near = sides.withColumn("node", F.floor(F.col("offset") / range_bytes).cast("bigint")).join(ranges, ["archive", "node"], "left_semi")
+    what = F.struct("length", "sha256")
+    found = near.groupBy("archive", "offset").agg(
+        F.max(F.when(F.col("side") == 0, what)).alias("own"), F.min(F.when(F.col("side") == 1, what)).alias("lo"), F.max(F.when(F.col("side") == 1, what)).alias("hi")
     )
-    before = F.sum("byte_length").over(Window.partitionBy("archive").orderBy("_id", "record_sha256").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("byte_offset", F.when(F.col("archive").isNotNull(), F.coalesce(before, F.lit(0))).cast("bigint"))
-    joined = placed.join(faults, placed["_id"] == faults["node"], "left")
-    status = F.when(F.col("_id").isNull(), F.lit("unkeyed")).otherwise(F.coalesce("fault", F.lit("intact")))
-    return joined.select(F.col("_id").alias(id_col), "archive", "byte_offset", "byte_length", "record_sha256", status.alias("status"))
+    found = cut(found.where(~(F.col("own").eqNullSafe(F.col("lo")) & F.col("own").eqNullSafe(F.col("hi")))))
+    stray = found.select("archive", F.explode(F.array("lo", "hi")).alias("own")).where("own is not null").distinct().withColumn("_sw_stray", F.lit(True))
+    fault = F.when(F.col("own").isNull(), "extra").when(F.col("_sw_stray"), "moved").when(F.col("hi").isNull(), "missing").otherwise("corrupt")
+    return found.join(stray, ["archive", "own"], "left").select("archive", "offset", fault.alias("fault"))
+
+
+def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The primary's leaves (archive, offset, length, sha256, id) with ``status``: ``intact`` or the fault found in the replica.
+
+    Both sides are leaves, as ``lay_out`` or ``leaves`` give them; ``extra`` records of the replica have no row.
+    Rows with a null id or an id that repeats have places of their own and are judged like any others.  An
+    empty primary gives an empty table; against an empty replica everything is ``missing``.  Records of any
+    length are one leaf.  Columns other than these five are not used.
+    """
+    names = ["archive", "offset", "length", "sha256", "id"]
+    primary, replica = primary.select(*names), replica.select(*names)
+    faults = mismatches(primary, replica, range_bytes)
+    return primary.join(faults, ["archive", "offset"], "left").select(*names, F.coalesce("fault", F.lit("intact")).alias("status"))

@@ -1,7 +1,9 @@
+import collections
 import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +51,24 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.select("doc_id").distinct().count() >= 40
+
+
+def test_stages_take_odd_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("n_words", "kept", "ratio", "lang_pred", "score", "kept_text", "n_lines", "n_dropped", "_sw_text", "component_id", "a", "id")
+    rows = docs.collect()
+    odd = docs.unionByName(docs.limit(3)).unionByName(docs.where("doc_id = 5").selectExpr("7L as doc_id", "text", "lang", "source", "n_chars"))
+    odd = odd.unionByName(docs.where("doc_id = 6").selectExpr("cast(null as bigint) as doc_id", "text", "cast(null as string) as lang", "source", "n_chars"))
+    for n in names:
+        odd = odd.withColumn(n, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd.limit(0), folder)
+        assert empty.count() == 0, name
+        out = stage(spark, odd, folder)
+        if name != "packing":
+            assert out.columns == odd.columns, name
+            assert all(r[n] == "x" for r in out.collect() for n in names), name
+        ids = collections.Counter(r["doc_id"] for r in out.collect())
+        if name == "ngram_jaccard_join":
+            assert max(ids.values()) == 1 and ids[None] == 1
+    assert len(rows) == docs.count()

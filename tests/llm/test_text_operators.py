@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import string
 import zlib
 
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter, warc
+from strandweave.llm import components, fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,11 +127,28 @@ def test_sharding_keeps_groups_together(frame):
     assert whole >= 18
 
 
+def test_sharding_cuts_far_fewer_groups_than_chance(frame):
+    rnd = random.Random(9)
+    rows = [(i, f"group {rnd.randrange(150)}", None) for i in range(900)] + [(1000 + i, f"single {i}", None) for i in range(300)]
+    text = {i: t for i, t, _ in rows}
+    shard = {r["doc_id"]: r["shard"] for r in sharding.balanced_shards(frame(rows), 8).collect()}
+
+    def cut(place):
+        """Pairs of equal texts in different shards."""
+        whole, own = collections.Counter(), collections.Counter()
+        for i, t in text.items():
+            whole[t] += 1
+            own[t, place[i]] += 1
+        return sum(n * (n - 1) // 2 for n in whole.values()) - sum(n * (n - 1) // 2 for n in own.values())
+
+    assert cut(shard) <= 0.2 * cut({i: rnd.randrange(8) for i in text})
+
+
 def test_language_id(frame):
     rnd = random.Random(3)
     make = {"en": lambda: "the " + rnd.choice(["thing", "other", "that", "with"]), "es": lambda: "la " + rnd.choice(["ción", "mente", "niño", "que"])}
     rows = [(i, " ".join(make[lang]() for _ in range(rnd.randint(5, 200))), lang) for i in range(60) for lang in [rnd.choice(["en", "es"])]]
-    model = langid.train(langid.training_rows(frame(rows)), epochs=10)
+    model = langid.fit(frame(rows), epochs=10)
     odd = [(900, None, None), (901, "", None), (902, "12 34 $$", None), (903, "the thing " * 40 + "la mente que " * 3, None), (904, "ß", None)]
     got = {r["doc_id"]: r for r in langid.identify(frame(rows + odd), model).collect()}
     assert sum(got[i]["lang_pred"] == lang for i, _, lang in rows) >= 58
@@ -138,7 +156,7 @@ def test_language_id(frame):
     assert got[903]["lang_pred"] == "en" and got[903]["score"] < got[rows[0][0]]["score"]
     assert got[904]["lang_pred"] in ("en", "es")
     assert langid.identify(frame(EMPTY), model).count() == 0
-    nothing = langid.train(langid.training_rows(frame(odd)))
+    nothing = langid.fit(frame(odd))
     assert {r["lang_pred"] for r in langid.identify(frame(rows), nothing).collect()} == {"und"}
 
 
@@ -162,26 +180,128 @@ def test_forward_backward_is_one_pass_along_each_chain():
             y /= y.sum()
 
 
-def test_merkle_audit(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(600)] + [(7, "again", None), (None, "u", "x"), (700, None, "é")], "page_id long, url string, html string")
-    make = lambda df: df.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    other = pages.where("page_id is null or page_id <> 55").withColumn("html", F.when(F.col("page_id") == 300, "bad").otherwise(F.col("html")))
-    got = collections.defaultdict(set)
-    for r in warc.audit(make(pages), make(other)).collect():
-        got[r["status"]].add(r["page_id"])
-    assert (got["missing"], got["corrupt"], got["unkeyed"]) == ({55}, {300}, {None})
-    extra = warc.mismatches(warc.tree(make(other), "page_id", "record"), warc.tree(make(pages), "page_id", "record"))
-    assert {(r["node"], r["fault"]) for r in extra.collect()} == {(55, "extra"), (300, "corrupt")}
-    assert warc.audit(make(pages.limit(0)), make(pages)).count() == 0
-
-
-def test_warc_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/", "line\r\n\r\nmore é"), (2, "http://b/", "")], "page_id long, url string, html string")
-    rec = pages.select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    warc.write_archives(rec, str(tmp_path / "w"))
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    first = np.array([0, 3, 3, 4, 74])
+    e, a, labels = rng.normal(size=(74, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 74)
+    by_e, by_a = langid.gradient(e, a, first, labels)
+    for x, got in ((e, by_e), (a, by_a)):
+        for at in [tuple(rng.integers(0, n) for n in x.shape) for _ in range(8)]:
+            old, ends = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = old + step
+                ends.append(langid.log_likelihood(e, a, first, labels))
+            x[at] = old
+            inside = got[at]
+            if x is a:  # the likelihood also has the step into a chain's first word, which ``gradient`` leaves out
+                share = np.exp(a) / np.exp(a).sum(0)
+                post = langid.posteriors(e, a, first)
+                opening = first[:-1][np.diff(first) > 0]
+                inside += share[at] * sum((labels[t] == at[1]) - post[t, at[1]] for t in opening)
+            assert inside == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-4)
+
+
+def test_words_of_mixed_texts_get_their_own_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.where("text is not null and lang is not null").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = langid.fit(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) != 1))
+    assert (model.trans[~np.eye(len(model.langs), dtype=bool)] < 0).all() and np.diag(model.trans).min() > 0
+    out = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    own = [(i, lang) for i, _, lang in rows if held(i)]
+    assert sum(out[i]["lang_pred"] == lang for i, lang in own) >= 0.98 * len(own)
+    chains = langid.mixed_chains([(t, lang) for i, t, lang in rows if held(i)], seed=5)
+    mixed = spark.createDataFrame([(k, " ".join(t for t, _ in c), "x") for k, c in enumerate(chains)], "doc_id long, text string, words string")
+    words = {r["doc_id"]: r for r in langid.label_words(mixed, model).collect()}
+    switches = {r["doc_id"]: r["n_switches"] for r in langid.identify(mixed, model).collect()}
+    right = total = found = 0
+    for k, chain in enumerate(chains):
+        text, truth = words[k]["text"], [lang for t, lang in chain for _ in range(len(t) + 1)]
+        for w in words[k]["words"]:
+            assert re.fullmatch(r"[a-zA-Z\x80-\U0010ffff]+", text[w["start"] : w["end"]]) and 0.0 <= w["probability"] <= 1.0
+            right += w["label"] == truth[w["start"]]
+        total += len(words[k]["words"])
+        labels = [w["label"] for w in words[k]["words"]]
+        assert switches[k] == sum(x != y for x, y in zip(labels, labels[1:]))
+        found += len(set(labels)) > 1
+    assert right >= 0.96 * total and found >= 0.9 * len(chains)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 $")], "doc_id long, text string")
+    assert [r["words"] for r in langid.label_words(odd, model).collect()] == [[], [], []]
+    assert langid.label_words(odd.limit(0), model).count() == 0
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 400)
+    rows = [(i, "same text", "en") for i in range(300)] + [(i, f"texte {i} " * 5, "fr") for i in range(300, 400)] + [(1, "y" * 5000, "de"), (2, "x", None), (3, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(r["l"] for r in langid.training_sample(docs).collect())
+    assert got["en"] == 1 and 1 <= got["fr"] <= 3 and got["de"] == 1 and len(got) == 3
+    assert sorted(map(tuple, langid.training_sample(docs.repartition(7)).collect())) == sorted(map(tuple, langid.training_sample(docs).collect()))
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    with pytest.raises(ValueError):
+        langid.training_sample(docs)
+
+
+def brute_faults(left, right):
+    """Statuses of the left side's (archive, offset, length, hash), by looking at each place."""
+    there = collections.defaultdict(set)
+    for a, o, n, h in right:
+        there[(a, o)].add((n, h))
+    own = {(a, o): (n, h) for a, o, n, h in left}
+    wrong = {k for k in {*own, *there} if there[k] != ({own[k]} if k in own else set())}
+    stray = {(k[0], x) for k in wrong for x in there[k]}
+    status = lambda k: "intact" if k not in wrong else "moved" if (k[0], own[k]) in stray else "corrupt" if there[k] else "missing"
+    return {k: status(k) for k in own}
+
+
+def test_warc_audit(spark):
+    rnd = random.Random(6)
+    rows = [(None, None, None), (None, "u", "x"), (7, "u", ""), (7, "u", ""), (8, "u", "é" * 50_000), *((i, f"http://h/{i}", "body " * rnd.randint(0, 80)) for i in range(20, 400))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("x")).withColumn("node", F.lit("x"))
+    records = pages.select("page_id", "archive", "node", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    laid = warc.lay_out(warc.hashed(records), 20_000)
+    left = sorted((r["archive"], r["offset"], r["length"], r["sha256"]) for r in laid.collect())
+    assert len(left) == len(rows)
+    for k, (a, o, n, _) in enumerate(left):
+        assert o == 0 if k == 0 or left[k - 1][0] != a else o == left[k - 1][1] + left[k - 1][2]
+    hurt = [(a, o, n, h if rnd.random() > 0.05 else "0" + h[1:]) for a, o, n, h in left if rnd.random() > 0.03]
+    shifted = [(a, o + 3 if a == 2 else o, n, h) for a, o, n, h in left if (a, o) != left[30][:2]]  # all of one archive moved
+    closed_up = [(a, o - left[30][2] if a == left[30][0] and o > left[30][1] else o, n, h) for a, o, n, h in left if (a, o) != left[30][:2]]
+    for right in (hurt, shifted, closed_up, left, [], left + left[:5], hurt + [(99, 0, 5, "x")]):
+        other = spark.createDataFrame([(*r, None) for r in right], "archive long, offset long, length long, sha256 string, id long")
+        got = {(r["archive"], r["offset"]): r["status"] for r in warc.audit(laid, other, 500).collect()}
+        assert got == brute_faults(left, right)
+    other = spark.createDataFrame([(*r, None) for r in left[:-1]], "archive long, offset long, length long, sha256 string, id long")
+    assert [tuple(r) for r in warc.mismatches(other, laid.select(*other.columns), 500).collect()] == [(*left[-1][:2], "extra")]
+    assert warc.audit(laid.limit(0), laid).count() == 0
+
+
+def test_warc_archives(spark, tmp_path):
+    rows = [(1, "http://a/", "line\r\n\r\nmore é"), (2, "http://b/", ""), (3, "", "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 900\r\n\r\nx"), *((i, f"u{i}", "y" * i) for i in range(4, 60))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rec = pages.select("page_id", warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    laid = warc.lay_out(rec.select(F.col("page_id").alias("id"), F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), "record"), 3000)
+    warc.write_archives(laid, str(tmp_path / "w"))
     back = warc.read_archives(spark, str(tmp_path / "w"))
-    assert sorted((r["page_id"], r["url"], r["payload"]) for r in back.collect()) == [(1, "http://a/", "line\r\n\r\nmore é"), (2, "http://b/", "")]
-    assert sorted(r["record"] for r in back.collect()) == sorted(r["record"] for r in rec.collect())
+    assert sorted((r["id"], r["url"], bytes(r["payload"]).decode(), r["flaw"]) for r in back.collect()) == [(*r, None) for r in rows]
+    key = lambda df: sorted((int(r["archive"]), r["offset"], r["length"], r["sha256"], r["id"]) for r in df.select("archive", "offset", "length", "sha256", "id").collect())
+    assert key(warc.leaves(back)) == key(laid)
+    # A cut-off file, a flipped byte, and padding between records.
+    shutil.copytree(tmp_path / "w", tmp_path / "v")
+    files = sorted((int(f.parent.name.split("=")[1]), f) for f in (tmp_path / "v").rglob("*.txt"))
+    for n, (_, f) in enumerate(files[:3]):
+        data = f.read_bytes()
+        f.write_bytes([data[:-9], data.replace(b"yyyy", b"yyzy", 1), data.replace(b"WARC/1.0", b"pad WARC/1.0", 2)][n])
+    for crc in (tmp_path / "v").rglob(".*.crc"):
+        crc.unlink()
+    other = warc.read_archives(spark, str(tmp_path / "v"))
+    flaws = collections.Counter((int(r["archive"]), r["flaw"]) for r in other.where("flaw is not null").collect())
+    assert flaws[(files[0][0], "truncated")] == 1 and flaws[(files[2][0], "garbage")] == 2 and (files[1][0], "truncated") not in flaws
+    left, right = (sorted((r["archive"], r["offset"], r["length"], r["sha256"]) for r in warc.leaves(x).collect()) for x in (back, other))
+    got = {(r["archive"], r["offset"]): r["status"] for r in warc.audit(warc.leaves(back), warc.leaves(other), 500).collect()}
+    assert got == brute_faults(left, right)
+    assert {"corrupt", "moved"} <= set(got.values())
 
 
 def brute_links(rows):
@@ -203,6 +323,57 @@ def brute_links(rows):
     return {i: root(i) for i, _ in sets}
 
 
+def test_stars():
+    rnd = random.Random(8)
+    for _ in range(50):
+        edges = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(rnd.randint(0, 40))]
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        u, v = components.stars(*np.array(edges, np.int64).reshape(-1, 2).T)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: root(x) for e in edges for x in e if root(x) != x}
+
+
+@pytest.mark.parametrize("task_edges", [10, 1000])
+def test_components(spark, task_edges):
+    rnd = random.Random(12)
+    edges = [(i, i + 1) for i in range(0, 90) if i % 30 < 29] + [(500, 600 + i) for i in range(40)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)] + [(7, None), (None, 3), (5, 5)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r["node"]: r["component"] for r in components.components(df, task_edges=task_edges).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_clashing_class_keys_are_told_apart(frame, monkeypatch):
+    own = jaccard.class_key
+    monkeypatch.setattr(jaccard, "class_key", lambda tokens: (own(tokens)[0] % 5, own(tokens)[1]))
+    sets = [np.arange(k, k + 9, dtype=np.uint64) for k in range(40)]
+    keys = [jaccard.class_key(s) for s in sets]
+    clash = {one for one, _ in keys if len({b for a, b in keys if a == one}) > 1}
+    assert clash and len({b if a in clash else a for a, b in keys}) == 40
+    spark = frame([]).sparkSession
+    survey = spark.createDataFrame([(0, a, b, 9) for a, b in keys], "kind int, cls long, other long, n long")
+    assert jaccard._clashes(survey) == clash
+
+
 @pytest.mark.parametrize("frequent", [1, 8, 1000])
 def test_jaccard_join(frame, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
@@ -354,13 +525,27 @@ def shingles_cased(text):
 
 
 def test_sketches_merge(spark):
-    x, y = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(300, 420))
-    df = spark.createDataFrame([(x, y, x + "\n" + y)], "x string, y string, z string")
+    # x and y share four words, so the shingles of the whole are those of the two parts.
+    rnd, rows = random.Random(4), []
+    for case in range(120):
+        m, n = rnd.choice([(5, 5), (5, 6), (6, 200), (5, 200), (40, 7), (150, 300)])
+        w = [f"w{case}x{i}" for i in range(m + n - 4)]
+        rows.append((" ".join(w[:m]), " ".join(w[m - 4 :]), " ".join(w)))
+    rows += [("", "a b c d e", "a b c d e"), ("", "", "")]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
     for c in "xyz":
         df = fingerprint.with_sketch(df, c, "s" + c)
-    r = df.select("sx", "sy", "sz", fingerprint.merged(F.col("sx"), F.col("sy")).alias("m"), fingerprint.containment(F.col("sy"), F.col("sx")).alias("c")).first()
-    assert set(r["m"]) <= set(r["sz"]) and len(set(r["sz"]) - set(r["m"])) <= 4
-    assert abs(r["c"] - 96 / 116) < 0.25
+    x, y, z = map(F.col, ("sx", "sy", "sz"))
+    out = df.select("sx", "sy", "sz", fingerprint.merged(x, y).alias("m"), fingerprint.likeness(x, z).alias("like"), fingerprint.containment(x, z).alias("in_z"), fingerprint.containment(z, x).alias("in_x")).collect()
+    limit = fingerprint._limit(fingerprint.SCALE)
+    for r in out:
+        assert r["m"] == r["sz"]
+        below = [{h for h in r[c] if h < limit} for c in ("sx", "sz")]
+        if below[0]:
+            assert r["in_z"] == 1.0 and r["like"] == r["in_x"] == len(below[0]) / len(below[1])
+        elif r["sx"] and below[1]:
+            assert r["in_z"] is None and r["like"] == 0.0
+    assert (out[-1]["like"], out[-1]["in_z"]) == (1.0, 1.0)
 
 
 def test_packing(frame):
