@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.tails import chi_square_upper
+from strandweave.operators import plasticity
 
 
 def geometric_grid(low: float, high: float, steps: int) -> list[float]:
@@ -84,47 +85,20 @@ def kernel_grid_fit(curves: DataFrame, group: str, rises: list[float], decays: l
     return curves.groupBy(group).applyInPandas(fit, f"`{group}` {curves.schema[group].dataType.simpleString()}, rise double, decay double, loss double")
 
 
-# Short-term plasticity: responses to a pulse train of equal gaps, as multiples of the first.
+# Short-term plasticity.  An observation is (gap, pulse, mean, error): the response to a pulse of a train of equal gaps as a
+# multiple of the first, or, with pulse 0, the ratio of pairs of pulses under the recorded protocol.
 
 
-def depression(p: np.ndarray, gap: float, pulses: int) -> np.ndarray:
-    """p = (release, recovery): resources fall by the release and come back exponentially."""
-    u, tau = p
-    out, r = [], 1.0
-    for _ in range(pulses):
-        out.append(u * r)
-        r = 1 - (1 - r * (1 - u)) * math.exp(-gap / tau)
-    return np.array(out) / out[0]
+def predicted(family: str, theta: Sequence[float], observed: list[tuple[float, int, float, float]]) -> np.ndarray:
+    """The values that a family gives for the observations."""
+    most: dict[float, int] = {}
+    for gap, pulse, _, _ in observed:
+        most[gap] = max(most.get(gap, 0), pulse)
+    trains = {gap: plasticity.train(family, theta, gap, n) for gap, n in most.items() if n}
+    return np.array([trains[gap][pulse - 1] if pulse else plasticity.paired_pulse(family, theta, gap) for gap, pulse, _, _ in observed])
 
 
-def facilitation_depression(p: np.ndarray, gap: float, pulses: int) -> np.ndarray:
-    """p = (release, recovery, facilitation): the release itself steps up at each pulse and relaxes back."""
-    base, tau, facil = p
-    out, r, u = [], 1.0, base
-    for _ in range(pulses):
-        out.append(u * r)
-        r = 1 - (1 - r * (1 - u)) * math.exp(-gap / tau)
-        u = base + (u + base * (1 - u) - base) * math.exp(-gap / facil)
-    return np.array(out) / out[0]
-
-
-def parallel_depression(p: np.ndarray, gap: float, pulses: int) -> np.ndarray:
-    """p = (release, recovery, second release, second recovery, share): two pools side by side."""
-    a = np.array([1.0]) if pulses == 1 else None
-    u1, t1, u2, t2, w = p
-    first = [u * depression(np.array([u, t]), gap, pulses) for u, t in ((u1, t1), (u2, t2))] if a is None else [a * u1, a * u2]
-    total = w * first[0] + (1 - w) * first[1]
-    return total / total[0]
-
-
-FAMILIES: dict[str, tuple[Callable[[np.ndarray, float, int], np.ndarray], list[tuple[float, float]]]] = {
-    "depression": (depression, [(0.02, 0.98), (5.0, 5000.0)]),
-    "facilitation_depression": (facilitation_depression, [(0.02, 0.98), (5.0, 5000.0), (5.0, 2000.0)]),
-    "parallel_depression": (parallel_depression, [(0.02, 0.98), (5.0, 5000.0), (0.02, 0.98), (5.0, 5000.0), (0.05, 0.95)]),
-}
-
-
-def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 0.5, rounds: int = 400, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 0.5, rounds: int = 1000, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
     """Downhill simplex search without derivatives."""
     points = [start, *(start + size * e for e in np.eye(len(start)))]
     values = [f(p) for p in points]
@@ -161,20 +135,17 @@ def _into_box(x: np.ndarray, box: list[tuple[float, float]]) -> np.ndarray:
 
 
 def fit_family(name: str, observed: list[tuple[float, int, float, float]], seed: int, starts: int = 8) -> tuple[float, np.ndarray, bool]:
-    """Least weighted squares of (gap, pulse, mean, error) observations from stratified starts: (loss, parameters, at an edge)."""
-    model, box = FAMILIES[name]
-    gaps = sorted({o[0] for o in observed})
-    most = {g: max(o[1] for o in observed if o[0] == g) for g in gaps}
+    """Least weighted squares of trains and pairs together, from stratified starts: (loss, parameters, at an edge)."""
+    box = list(plasticity.FAMILIES[name][1].values())
+    mean, error = (np.array([o[k] for o in observed]) for k in (2, 3))
 
     def loss(x: np.ndarray) -> float:
-        p = _into_box(x, box)
-        curves = {g: model(p, g, most[g]) for g in gaps}
-        return sum(((y - curves[g][k - 1]) / e) ** 2 for g, k, y, e in observed)
+        return float((((mean - predicted(name, _into_box(x, box), observed)) / error) ** 2).sum())
 
     rng = np.random.default_rng(seed)
     strata = np.stack([rng.permutation(starts) for _ in box], 1)
     tries = (strata + rng.random(strata.shape)) / starts
-    found = [simplex(loss, np.log(t / (1 - t))) for t in np.clip(tries, 0.02, 0.98)]
+    found = [simplex(loss, np.log(t / (1 - t))) for t in np.maximum(tries, 1e-9)]
     x, value = min(found, key=lambda r: r[1])
     p = _into_box(x, box)
     edge = any(min(abs(v - lo), abs(hi - v)) < 1e-3 * (hi - lo) for v, (lo, hi) in zip(p, box, strict=True))
@@ -193,15 +164,17 @@ def _jobs(spark: SparkSession, jobs: list[tuple[str, int]], run: Callable[[str,
 
 
 def fit_families(spark: SparkSession, observed: list[tuple[float, int, float, float]], families: list[str], restarts: int = 4) -> DataFrame:
-    """(family, loss, parameters, at_edge, gof_p): the best of the restarts for each family."""
-    degrees = {f: max(1, len(observed) - len(FAMILIES[f][1])) for f in families}
+    """(family, loss, parameters, at_edge, gof_p, first_use): the best of the restarts for each family, over all observations,
+    trains and pairs alike; without a degree of freedom there is no ``gof_p``."""
+    degrees = {f: len(observed) - len(plasticity.FAMILIES[f][1]) for f in families}
 
     def run(family: str, seed: int) -> list[tuple]:
         loss, p, edge = fit_family(family, observed, seed)
-        return [(family, loss, p.tolist(), edge, chi_square_upper(loss, degrees[family]))]
+        gof = chi_square_upper(loss, degrees[family]) if degrees[family] > 0 else None
+        return [(family, loss, p.tolist(), edge, gof, plasticity.terms(family, p).first_use())]
 
-    rows = _jobs(spark, [(f, k) for f in families for k in range(restarts)], run, "family string, loss double, parameters array<double>, at_edge boolean, gof_p double")
-    return best(rows, ["family"], "loss", ["parameters", "at_edge", "gof_p"])
+    rows = _jobs(spark, [(f, k) for f in families for k in range(restarts)], run, "family string, loss double, parameters array<double>, at_edge boolean, gof_p double, first_use double")
+    return best(rows, ["family"], "loss", ["parameters", "at_edge", "gof_p", "first_use"])
 
 
 def leave_one_out(spark: SparkSession, observed: list[tuple[float, int, float, float]], families: list[str]) -> DataFrame:
@@ -209,20 +182,20 @@ def leave_one_out(spark: SparkSession, observed: list[tuple[float, int, float, f
 
     def run(family: str, k: int) -> list[tuple]:
         _, p, _ = fit_family(family, observed[:k] + observed[k + 1 :], k)
-        g, n, y, e = observed[k]
-        return [(family, k, float((y - FAMILIES[family][0](p, g, n)[n - 1]) / e))]
+        _, _, y, e = observed[k]
+        return [(family, k, float((y - predicted(family, p, observed[k : k + 1])[0]) / e))]
 
     return _jobs(spark, [(f, k) for f in families for k in range(len(observed))], run, "family string, left_out int, residual double")
 
 
-def bootstrap_band(spark: SparkSession, observed: list[tuple[float, int, float, float]], family: str, gap: float, pulses: int, replicates: int = 40) -> DataFrame:
+def bootstrap_band(spark: SparkSession, observed: list[tuple[float, int, float, float]], family: str, gap: float, pulses: int, replicates: int = 200) -> DataFrame:
     """(pulse, low, middle, high): 5, 50 and 95 % of predictions refitted to observations drawn around the given ones."""
 
     def run(name: str, k: int) -> list[tuple]:
         rng = np.random.default_rng(1000 + k)
         drawn = [(g, n, y + e * rng.standard_normal(), e) for g, n, y, e in observed]
         _, p, _ = fit_family(name, drawn, k, starts=4)
-        return [(i + 1, float(v)) for i, v in enumerate(FAMILIES[name][0](p, gap, pulses))]
+        return [(i + 1, float(v)) for i, v in enumerate(plasticity.train(name, p, gap, pulses))]
 
     rows = _jobs(spark, [(family, k) for k in range(replicates)], run, "pulse int, value double")
     q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
@@ -233,13 +206,28 @@ def recovery(spark: SparkSession, family: str, truth: list[float], gaps: list[fl
     """(replicate, worst_relative_error) of parameters recovered from synthetic observations."""
     def run(name: str, k: int) -> list[tuple]:
         rng = np.random.default_rng(k)
-        data = [(g, i + 1, float(v + error * rng.standard_normal()), error) for g in gaps for i, v in enumerate(FAMILIES[name][0](np.array(truth), g, pulses))]
+        data = [(g, i + 1, float(v + error * rng.standard_normal()), error) for g in gaps for i, v in enumerate(plasticity.train(name, truth, g, pulses))]
         _, p, _ = fit_family(name, data, k)
         return [(k, float(np.max(np.abs(p - truth) / np.abs(truth))))]
 
     return _jobs(spark, [(family, k) for k in range(replicates)], run, "replicate int, worst_relative_error double")
 
 
+def discrimination(spark: SparkSession, family: str, truth: list[float], rival: str, observed: list[tuple[float, int, float, float]], replicates: int = 200, starts: int = 4) -> DataFrame:
+    """(wins, median_margin, high_margin): how often ``family`` fits data that it made better than ``rival`` does, and by how
+    much (median and 95 %) of weighted squares.  The data are drawn around its values with the observations' errors."""
+    values = predicted(family, truth, observed)
+
+    def run(name: str, k: int) -> list[tuple]:
+        rng = np.random.default_rng(k)
+        drawn = [(g, n, float(v + e * rng.standard_normal()), e) for (g, n, _, e), v in zip(observed, values, strict=True)]
+        return [(k, fit_family(rival, drawn, k, starts)[0] - fit_family(name, drawn, k, starts)[0])]
+
+    rows = _jobs(spark, [(family, k) for k in range(replicates)], run, "replicate int, margin double")
+    q = F.percentile("margin", F.array(F.lit(0.5), F.lit(0.95)))
+    return rows.agg(F.avg((F.col("margin") > 0).cast("double")).alias("wins"), q.alias("q")).select("wins", F.get("q", F.lit(0)).alias("median_margin"), F.get("q", F.lit(1)).alias("high_margin"))
+
+
 def rate_grid_fit(curves: DataFrame, specimen: str, grids: dict[str, list[float]], model: Callable[..., Column]) -> DataFrame:
     """Per specimen of (specimen, x, y): the grid point with the least root mean square error of ``model(x, **parameters)``."""
     spark = curves.sparkSession

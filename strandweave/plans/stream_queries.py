@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.operators import fits
+from strandweave.operators import fits, plasticity
 from strandweave.operators.ordered import cut
 from strandweave.plans._registry import query, table
 from strandweave.plans.graph_queries import _E, bipartite, user_graph
@@ -115,14 +115,58 @@ def kernel_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST12
 
 
 def _observed() -> list[tuple[float, int, float, float]]:
-    import numpy as np
+    return [(g, i + 1, float(v), 0.02) for g in (20.0, 50.0, 200.0) for i, v in enumerate(plasticity.train("depression", (0.4, 150.0), g, 6)) if i]
 
-    return [(g, i + 1, float(v), 0.02) for g in (20.0, 50.0, 200.0) for i, v in enumerate(fits.depression(np.array([0.4, 150.0]), g, 6)) if i]
+
+@query()
+def family_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST20
+    return fits.fit_families(spark, _observed(), list(plasticity.FAMILIES), 2)
+
+
+@query()
+def joint_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST23
+    pairs = [(g, 0, plasticity.paired_pulse("depression", (0.4, 150.0), g), 0.02) for g in (10.0, 30.0, 100.0, 300.0)]
+    return fits.fit_families(spark, _observed() + pairs, ["depression", "facilitation_depression", "two_time_facilitation"], 2)
 
 
 @query()
-def family_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST20 ST23
-    return fits.fit_families(spark, _observed(), ["depression", "facilitation_depression"], 2)
+def family_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
+    return fits.discrimination(spark, "depression", [0.4, 150.0], "published_depression", _observed(), 40)
+
+
+#: A setting of each family.
+THETA = {
+    "depression": (0.4, 150.0), "facilitation_depression": (0.2, 0.3, 60.0, 400.0), "tied_facilitation": (0.3, 60.0, 400.0), "parallel_pools": (0.8, 50.0, 0.4, 300.0),
+    "published_depression": (0.15, 80.0), "two_time_facilitation": (1.5, 0.4, 120.0, 0.3), "two_time_facilitation_free": (1.5, 12.0, 0.4, 120.0, 0.3),
+}
+
+
+def _trains_sql() -> str:
+    """All families side by side, a pulse a step of the recursion."""
+    first, later, read = [], [], []
+    for k, (family, theta) in enumerate(THETA.items()):
+        t = plasticity.terms(family, theta)
+        relaxed = lambda c, rest, tau: f"({rest} + ({c}{k} - {rest}) * exp(-p.gap / {tau}))"  # noqa: B023, E731
+        pool = {True: "1.0::DOUBLE", False: relaxed("pool", 1.0, t.pool_ms)}
+        level, fast, slow = relaxed("level", t.rest, t.level_ms), relaxed("fast", 0.0, t.fast_ms), relaxed("slow", 0.0, t.slow_ms)
+        for start, out in ((True, first), (False, later)):
+            at = f"({t.rest}::DOUBLE + {t.jump} * (1 - {t.rest}))" if start else f"({level} + {t.jump} * (1 - {level}))"
+            f, s = ("0.0::DOUBLE", "0.0::DOUBLE") if start else (fast, slow)
+            value = {"pool": pool[start], "level": f"{at} * {pool[start]}", "sum": f"{plasticity.SHARE} * (1 + {f}) + {1 - plasticity.SHARE} * {pool[start]}", "product": f"(1 + {f} + {s}) * {pool[start]}"}[t.mode]
+            used = at if t.mode == "level" else str(t.use)
+            out += [f"{at} AS level{k}, {f} + {t.fast} AS fast{k}, {s} + {t.slow} AS slow{k}, {pool[start]} * (1 - {used}) AS pool{k}, {value} AS r{k}, " + (f"{value} AS one{k}" if start else f"one{k}")]
+        read += [f"round(r{k} / one{k}, 9) AS {family}"]
+    return f"""WITH RECURSIVE p AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, 5 + value % 95 AS gap FROM events),
+s AS (SELECT p.key, p.i, {', '.join(first)} FROM p WHERE i = 0 UNION ALL SELECT p.key, p.i, {', '.join(later)} FROM s JOIN p ON p.key = s.key AND p.i = s.i + 1)
+SELECT key, i, {', '.join(read)} FROM s"""
+
+
+@query(_trains_sql())
+def plasticity_trains(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST19
+    from strandweave.plans.trace_queries import trace
+
+    pulses = trace(spark, sf_dir).select("key", "i", (5 + F.col("value") % 95).alias("gap"))
+    return plasticity.respond(pulses, THETA).select("key", "i", *[F.round(f, 9).alias(f) for f in THETA])
 
 
 @query()
@@ -132,7 +176,7 @@ def family_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
 
 @query()
 def bootstrap_band(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
-    return fits.bootstrap_band(spark, _observed(), "depression", 100.0, 5, 16)
+    return fits.bootstrap_band(spark, _observed(), "depression", 100.0, 5)
 
 
 @query("""WITH c AS (SELECT l_returnflag AS specimen, l_linenumber::DOUBLE AS x, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY ALL), g AS (SELECT a, b FROM (SELECT unnest([20.0, 24.0, 25.0, 26.0]::DOUBLE[]) AS a), (SELECT unnest([-0.5, 0.0, 0.5]::DOUBLE[]) AS b)),
