@@ -263,6 +263,18 @@ def scaled(pairs: DataFrame, scales: DataFrame, fallback: float) -> DataFrame:
     return joined.withColumn("multiplier", F.coalesce("scale", F.lit(fallback)) / fallback).drop("scale")
 
 
+def functional_weights(edges: DataFrame, sign: DataFrame, scale: float, multiplier: str | None = None) -> DataFrame:
+    """(src, dst, value): weight times the source's sign times the edge's multiplier times the scale; sources without a sign give
+    nothing.  A multiplier that is null, not finite or below 0 is refused."""
+    m = F.col(multiplier).cast("double") if multiplier else F.lit(1.0)
+    if multiplier:
+        good = F.coalesce((m >= 0) & (m < float("inf")) & ~F.isnan(m), F.lit(False))
+        if edges.where(~good).limit(1).collect():
+            raise IntegrityError("multipliers are finite and at least 0")
+    joined = edges.join(sign.select(F.col("node").alias("src"), F.col("sign").alias("_sign")), "src", "left")
+    return joined.select("src", "dst", (F.col("weight") * F.coalesce("_sign", F.lit(0)) * m * scale).alias("value"))
+
+
 def uniform_weights(edges: DataFrame) -> DataFrame:
     """Every weight the rounded (half to even) median, at least 1."""
     one = ordered.quantiles(edges, [], "weight", (0.5,)).select(F.greatest(F.bround(F.get("q", F.lit(0))), F.lit(1.0)).cast("bigint").alias("weight"))

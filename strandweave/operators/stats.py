@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.functions.predicates import finite
 from strandweave.functions.tails import t_quantile
@@ -166,3 +167,23 @@ def grouped_curves(df: DataFrame, specimen: str, x: str, y: str) -> DataFrame:
     lists = df.groupBy(specimen).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p"))
     grids = lists.select(F.transform("p", lambda s: s["x"]).alias("g")).distinct().agg((F.count("*") == 1).alias("shared"))
     return lists.join(F.broadcast(grids)).select(specimen, F.transform("p", lambda s: s["y"]).alias("curve"), "shared")
+
+
+def sensitivity(df: DataFrame, value: str, others: list[str], factors: tuple[float, ...], registered: float) -> DataFrame:
+    """(factor, median, rho_<other>..., invariant): ``value`` times registered / factor for each factor: its median, and its rank
+    correlation with the other columns, which such a rescaling must not move."""
+    rows = []
+    for f in factors:
+        own = df.withColumn("_v", F.col(value) * (registered / f))
+        row = ordered.quantiles(own, [], "_v", (0.5,)).select(F.lit(float(f)).alias("factor"), F.get("q", F.lit(0)).alias("median"))
+        for o in others:
+            row = row.join(F.broadcast(spearman(own, "_v", o).select(F.col("rho").alias(f"rho_{o}"))))
+        rows.append(row)
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    spread = [F.max(f"rho_{o}").over(Window.partitionBy(F.lit(1))) - F.min(f"rho_{o}").over(Window.partitionBy(F.lit(1))) for o in others]  # a row for each factor
+    steady = F.lit(True)
+    for x in spread:
+        steady = steady & F.coalesce(x <= 1e-9, F.lit(True))
+    return out.withColumn("invariant", steady)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandweave.plans import contact_queries, graph_queries, stat_queries, stream_queries, trace_queries  # noqa: F401  they register their queries
+from strandweave.plans import contact_queries, graph_queries, sensing_queries, stat_queries, stream_queries, trace_queries  # noqa: F401  they register their queries
 from strandweave.plans._registry import ORACLES, QUERIES
 
 
