@@ -19,7 +19,6 @@ e AS MATERIALIZED (
   SELECT src, dst, count(*)::BIGINT AS weight FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events)
   WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL
 )"""
-_T = "t AS MATERIALIZED (SELECT src, dst, weight FROM e WHERE weight >= 2)"
 _B = "b AS MATERIALIZED (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, count(*)::BIGINT AS weight FROM lineitem GROUP BY ALL)"
 _LABEL = """
 lab AS MATERIALIZED (
@@ -186,78 +185,61 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:  # J05 G05
     return graph.induced(user_graph(spark, sf_dir), nodes)
 
 
-_HOP = f"""{_E}, {_T},
-walk(node, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, hop + 1 FROM walk JOIN t ON src = node WHERE hop < 4),
+_HOP = f"""{_E}, {_LABEL},
+seed AS MATERIALIZED (SELECT node FROM lab WHERE label = 'click'), readout AS MATERIALIZED (SELECT node FROM lab WHERE label = 'view'), present AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+walk(node, hop) AS (SELECT node, 0 FROM seed WHERE node IN (SELECT node FROM present) UNION SELECT dst, hop + 1 FROM walk JOIN e ON src = node WHERE hop < 4),
 f AS MATERIALIZED (SELECT node, min(hop)::INTEGER AS hop FROM walk GROUP BY node),
-back(node, hop) AS (SELECT x, 0 FROM (VALUES (5::BIGINT), (9::BIGINT)) v(x) WHERE x IN (SELECT src FROM t UNION SELECT dst FROM t) UNION SELECT src, hop + 1 FROM back JOIN t ON dst = node WHERE hop < 4),
+back(node, hop) AS (SELECT node, 0 FROM readout WHERE node IN (SELECT node FROM present) UNION SELECT src, hop + 1 FROM back JOIN e ON dst = node WHERE hop < 4),
 r AS MATERIALIZED (SELECT node, min(hop)::INTEGER AS hop FROM back GROUP BY node)"""
 
 
-@query(f"WITH RECURSIVE {_HOP} SELECT node, hop FROM f")
-def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:  # G02 U02 U03
-    return graph.hops(user_graph(spark, sf_dir, 2), _users(spark, 0), 4)
-
-
-@query(f"""WITH RECURSIVE {_HOP}, dep AS (SELECT min(hop) AS d FROM f WHERE node IN (5, 9)),
-bk(node, hop) AS (SELECT node, hop FROM f, dep WHERE hop = d AND node IN (5, 9) UNION SELECT f.node, f.hop FROM bk JOIN t ON t.dst = bk.node JOIN f ON f.node = t.src AND f.hop = bk.hop - 1)
-SELECT node, hop FROM bk""")
-def shortest_path_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:  # G01
-    return graph.shortest_path_circuit(user_graph(spark, sf_dir, 2), _users(spark, 0), _users(spark, 5, 9), 4)
-
-
-@query(f"WITH RECURSIVE {_HOP} SELECT f.node, f.hop AS forward, r.hop AS backward FROM f JOIN r USING (node) WHERE f.hop + r.hop <= 4")
-def bounded_path(spark: SparkSession, sf_dir: str) -> DataFrame:  # G03
-    return graph.bounded_path_circuit(user_graph(spark, sf_dir, 2), _users(spark, 0), _users(spark, 5, 9), 4)
-
-
-@query(f"""WITH RECURSIVE {_HOP}, dn(node, hop) AS (SELECT node, hop FROM r WHERE node IN (0, 3, 7)
-UNION SELECT r.node, r.hop FROM dn JOIN t ON t.src = dn.node JOIN r ON r.node = t.dst AND r.hop = dn.hop - 1)
-SELECT DISTINCT node FROM (SELECT node FROM dn UNION SELECT x FROM (VALUES (5::BIGINT), (9::BIGINT)) v(x))""")
-def population_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:  # G04
-    return graph.population_path_union(user_graph(spark, sf_dir, 2), _users(spark, 0, 3, 7), _users(spark, 5, 9), 4)
-
-
 def _ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Inputs and readouts by label: all users whose commonest event is a click, and all whose commonest is a view."""
     labels = cut(user_labels(spark, sf_dir))
     return labels.where("label = 'click'").select("node"), labels.where("label = 'view'").select("node")
 
 
-@query()
-def hop_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G02 U02 U03
+@query(f"WITH RECURSIVE {_HOP} SELECT node, hop FROM f")
+def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:  # G02 U02 U03
     return graph.hops(user_graph(spark, sf_dir), _ends(spark, sf_dir)[0], 4)
 
 
-@query()
-def shortest_path_circuit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G01
+@query(f"""WITH RECURSIVE {_HOP}, dep AS (SELECT min(hop) AS d FROM f WHERE hop > 0 AND node IN (SELECT node FROM readout)),
+bk(node, hop) AS (SELECT node, hop FROM f, dep WHERE hop = d AND node IN (SELECT node FROM readout) UNION SELECT f.node, f.hop FROM bk JOIN e ON e.dst = bk.node JOIN f ON f.node = e.src AND f.hop = bk.hop - 1)
+SELECT node, hop FROM bk""")
+def shortest_path_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:  # G01
     return graph.shortest_path_circuit(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
 
 
-@query()
-def bounded_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G03
+@query(f"WITH RECURSIVE {_HOP} SELECT f.node, f.hop AS forward, r.hop AS backward FROM f JOIN r USING (node) WHERE f.hop + r.hop <= 4")
+def bounded_path(spark: SparkSession, sf_dir: str) -> DataFrame:  # G03
     return graph.bounded_path_circuit(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
 
 
-@query()
-def population_path_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G04
+@query(f"""WITH RECURSIVE {_HOP}, dn(node, hop) AS (SELECT node, hop FROM r WHERE node IN (SELECT node FROM seed) UNION SELECT r.node, r.hop FROM dn JOIN e ON e.src = dn.node JOIN r ON r.node = e.dst AND r.hop = dn.hop - 1)
+SELECT node FROM dn UNION SELECT node FROM readout""")
+def population_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:  # G04
     return graph.population_path_union(user_graph(spark, sf_dir), *_ends(spark, sf_dir), 4)
 
 
-@query()
-def endpoint_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # G05 J06
+@query(f"""WITH {_E}, {_LABEL}, k AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM lab WHERE label = 'click')), p AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, CASE WHEN node IN (SELECT node FROM k) THEN 'kept' WHEN node IN (SELECT node FROM p) THEN 'pathless' ELSE 'unavailable' END AS status FROM lab""")
+def endpoint_status(spark: SparkSession, sf_dir: str) -> DataFrame:  # G05 J06
     """Every user against what the inputs reach in one step."""
     edges = user_graph(spark, sf_dir)
     kept = edges.join(_ends(spark, sf_dir)[0].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
     return graph.endpoint_status(user_labels(spark, sf_dir).select("node"), edges, kept)
 
 
-@query("SELECT 0::BIGINT AS only_bounded, 0::BIGINT AS only_shortest")
+@query(f"""WITH RECURSIVE {_HOP}, g AS (SELECT count(*) AS links FROM e WHERE src IN (SELECT node FROM seed) AND dst IN (SELECT node FROM readout)),
+k AS (SELECT DISTINCT src AS node FROM e WHERE src IN (SELECT node FROM seed) AND dst IN (SELECT node FROM readout) UNION SELECT dst FROM e WHERE src IN (SELECT node FROM seed) AND dst IN (SELECT node FROM readout))
+SELECT 0::BIGINT AS only_bounded, 0::BIGINT AS only_shortest, (SELECT count(*) FROM k) AS bounded, (SELECT count(*) FROM k) AS shortest""")
 def bounded_equals_shortest_k1(spark: SparkSession, sf_dir: str) -> DataFrame:  # U07
     edges = user_graph(spark, sf_dir)
     a, b = _ends(spark, sf_dir)
     bounded, shortest = graph.bounded_path_circuit(edges, a, b, 1).select("node"), graph.shortest_path_circuit(edges, a, b, 1).select("node")
-    x = bounded.exceptAll(shortest).agg(F.count("*").alias("only_bounded"))
-    return x.join(F.broadcast(shortest.exceptAll(bounded).agg(F.count("*").alias("only_shortest"))))
+    sides = bounded.withColumn("b", F.lit(1)).unionByName(shortest.withColumn("b", F.lit(0))).groupBy("node").agg(F.count_if(F.col("b") == 1).alias("b"), F.count_if(F.col("b") == 0).alias("s"))
+    return sides.agg(F.count_if(F.col("b") > F.col("s")).alias("only_bounded"), F.count_if(F.col("s") > F.col("b")).alias("only_shortest"), F.sum("b").alias("bounded"), F.sum("s").alias("shortest"))
 
 
 _FLOW = f"""{_E}, i AS (SELECT dst, sum(weight) AS w FROM e GROUP BY dst), sh AS MATERIALIZED (SELECT src, e.dst, weight / greatest(w, 1) AS share FROM e JOIN i ON i.dst = e.dst),
@@ -394,10 +376,3 @@ def top_routes(spark: SparkSession, sf_dir: str) -> DataFrame:  # O02
 @query(f"WITH {_E} SELECT src, arg_max(dst, struct_pack(w := weight, d := -dst)) AS best, max(weight) AS weight FROM e GROUP BY src")
 def argbest_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:  # O03 O05
     return user_graph(spark, sf_dir).groupBy("src").agg(F.max_by("dst", F.struct("weight", -F.col("dst"))).alias("best"), F.max("weight").alias("weight"))
-
-
-@query(f"""WITH {_E}, {_T}, r(node) AS (SELECT unnest([0, 5, 9, 100000]::BIGINT[])), p AS (SELECT src AS node FROM t UNION SELECT dst FROM t), k AS (SELECT dst AS node FROM t WHERE src = 0)
-SELECT r.node, CASE WHEN r.node IN (SELECT node FROM k) THEN 'kept' WHEN r.node IN (SELECT node FROM p) THEN 'pathless' ELSE 'unavailable' END AS status FROM r""")
-def endpoint_status(spark: SparkSession, sf_dir: str) -> DataFrame:  # G05 J06
-    edges = user_graph(spark, sf_dir, 2)
-    return graph.endpoint_status(_users(spark, 0, 5, 9, 100000), edges, edges.where("src = 0").select(F.col("dst").alias("node")))

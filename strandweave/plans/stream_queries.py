@@ -78,12 +78,6 @@ def sensory_bus(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM10 SM11
     return S.channel_drive(samples, bindings).withColumn("rate", F.round("rate", 9))
 
 
-@query("""WITH f AS (SELECT min(epoch_us(ts)) - CASE WHEN user_id = 3 THEN 9000000000000000 ELSE 0 END AS t_us, list(event_type) AS ids, count(*) - CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'Hz' END AS units FROM events WHERE event_id < 400 GROUP BY user_id)
-SELECT t_us, fault FROM (SELECT t_us, unnest(list_filter([CASE WHEN t_us < 0 THEN 'time' END, CASE WHEN len(ids) <> n THEN 'length' END, CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated' END, CASE WHEN units = '' THEN 'units' END], lambda x: x IS NOT NULL)) AS fault FROM f)""")
-def frame_contract(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM13
-    return S.frame_faults(_frames(table(spark, sf_dir, "events").where("event_id < 400")))
-
-
 def _frames(events: DataFrame) -> DataFrame:
     u = F.col("user_id")
     own = events.groupBy("user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), F.collect_list("event_type").alias("ids"), F.count("*").alias("n"))
@@ -92,7 +86,7 @@ def _frames(events: DataFrame) -> DataFrame:
 
 @query("""WITH f AS (SELECT min(epoch_us(ts)) - CASE WHEN user_id = 3 THEN 9000000000000000 ELSE 0 END AS t_us, list(event_type) AS ids, count(*) - CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'Hz' END AS units FROM events GROUP BY user_id)
 SELECT t_us, fault FROM (SELECT t_us, unnest(list_filter([CASE WHEN t_us < 0 THEN 'time' END, CASE WHEN len(ids) <> n THEN 'length' END, CASE WHEN len(list_distinct(ids)) <> len(ids) THEN 'repeated' END, CASE WHEN units = '' THEN 'units' END], lambda x: x IS NOT NULL)) AS fault FROM f)""")
-def frame_contract_all(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM13
+def frame_contract(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM13
     return S.frame_faults(_frames(table(spark, sf_dir, "events")))
 
 
@@ -195,8 +189,8 @@ def adaptive_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST16
 
 @query()
 def small_network(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM14
-    edges = user_graph(spark, sf_dir, 2).where("src < 60 AND dst < 60").withColumn("circuit", F.lit(0))
-    return fits.small_network(edges, "circuit", {0: [0, 20], 5: [3]}, 60, 0.8, 3.0, 2, 3)
+    edges = user_graph(spark, sf_dir).withColumn("circuit", F.lit(0))
+    return fits.small_network(edges, "circuit", {0: [0, 20], 5: [3]}, 60, 0.8, 40.0, 2, 3)
 
 
 @query(f"WITH {_E}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT step::INTEGER AS step, node FROM n, range(0, 40) t(step) WHERE ('0x' || md5(step || ':' || node || ':stim')[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.1")

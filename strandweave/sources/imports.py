@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.errors import IntegrityError
 from strandweave.operators.graph import aggregated
+from strandweave.operators.integrity import additive_digest
+from strandweave.operators.ordered import cut
 from strandweave.schema import normalised_ids, require_valid
 
 
@@ -41,5 +44,61 @@ def import_contacts(raw: DataFrame, path: str, order: list[str], rows_per_file:
     return raw.sparkSession.read.parquet(path)
 
 
+def import_sharded(raw: DataFrame, path: str, order: list[str], shards: int, rows_per_group: int = 131_072) -> DataFrame:
+    """Writes ``raw`` in ``shards`` hash shards of the first order column, each sorted, and a manifest; what an earlier call has finished is kept.
+
+    A shard is finished once the manifest (shard, rows, digest) has it.  Only the shards that are not are written (again); the
+    manifest is then extended from what was read back.  A finished shard whose rows or digest have changed raises.
+    """
+    spark = raw.sparkSession
+    df = normalised_ids(raw).withColumn("shard", F.pmod(F.xxhash64(order[0]), F.lit(shards)).cast("int"))
+    schema = "shard int, rows bigint, digest string"
+    manifest = f"{path}/_manifest"
+
+    def measured(rows: DataFrame) -> DataFrame:
+        columns = sorted(c for c in rows.columns if c != "shard")
+        return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+    try:
+        done = cut(spark.read.schema(schema).json(manifest))
+    except AnalysisException:
+        done = spark.createDataFrame([], schema)
+    finished = [r["shard"] for r in done.collect()]  # at most ``shards`` rows
+    if len(finished) < shards:
+        rest = df.where(~F.col("shard").isin(finished)) if finished else df
+        writer = rest.repartition(shards, "shard").sortWithinPartitions("shard", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("shard").option("compression", "zstd").option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.write-checksum.enabled", "true").parquet(f"{path}/data")
+    written = spark.read.schema(df.schema).parquet(f"{path}/data")
+    now = cut(measured(written))
+    if finished:
+        bad = done.join(now.withColumnRenamed("rows", "_n").withColumnRenamed("digest", "_d"), "shard", "left").where("not (rows <=> _n and digest <=> _d)").limit(1).collect()
+        if bad:
+            raise IntegrityError(f"shard {bad[0]['shard']} is not what the manifest says")
+    new = now.join(done.select("shard"), "shard", "left_anti")
+    empty = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(now.select("shard"), "shard", "left_anti").join(done.select("shard"), "shard", "left_anti")
+    new.unionByName(empty.select("shard", F.lit(0).cast("bigint").alias("rows"), F.lit("0").alias("digest"))).coalesce(1).write.mode("append").json(manifest)
+    return written.drop("shard")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as Parquet, with their digests beside them."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
+        back = nodes.sparkSession.read.parquet(f"{path}/{name}")
+        additive_digest(back, sorted(back.columns)).write.mode("errorifexists").json(f"{path}/{name}.digest")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that ``write_graph`` wrote; content that its digest does not fit raises."""
+    out = []
+    for name in ("nodes", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        want = spark.read.schema("rows bigint, digest string").json(f"{path}/{name}.digest").first()
+        if additive_digest(df, sorted(df.columns)).first() != want:
+            raise IntegrityError(f"{name} of {path} are not those that were written")
+        out.append(df)
+    return out[0], out[1]
+
+
 def write_trace(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)

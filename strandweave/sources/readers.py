@@ -6,16 +6,21 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from strandweave.errors import IntegrityError, SchemaError
+from strandweave.operators.ordered import positions
 from strandweave.schema import edge_columns, normalised_ids
 
 
@@ -47,7 +52,8 @@ def trace_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def numbers(spark: SparkSession, path: str, header: bool = False, scale: float = 1.0) -> DataFrame:
     """(line, value) of a text file with one number to a line; anything else is an error."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("_row", F.monotonically_increasing_id())
+    rows = positions(raw, ["file_path", "file_block_start", "_row"], "line").select(F.col("line").cast("int").alias("line"), F.regexp_replace("value", "\r$", "").alias("text")).where("trim(text) <> ''")
     rows = rows.where("line > 0") if header else rows
     found = rows.select("line", F.trim("text").alias("text"), F.expr("try_cast(trim(text) AS double)").alias("value"))
     bad = found.where("value IS NULL").limit(1).collect()
@@ -66,12 +72,29 @@ def swc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def swc_faults(tree: DataFrame) -> DataFrame:
-    """(file, node, fault): repeated nodes, parents that do not exist, radii that are not positive."""
+    """(file, node, fault): repeated nodes, parents that do not exist, radii that are not positive, nodes on or above a cycle.
+
+    A skeleton's file is one group for the last.
+    """
+
+    def cycles(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, parent = frame["node"].to_numpy(), frame["parent"].to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        at = np.minimum(np.searchsorted(nodes[order], parent), len(nodes) - 1)
+        known = nodes[order][at] == parent
+        up = np.where(known, order[at], -1)
+        for _ in range(len(nodes).bit_length()):  # twice as far up each time
+            up = np.where(up >= 0, up[up], -1)
+        bad = nodes[up >= 0]
+        text = lambda x: pd.Series([x] * len(bad), dtype=object)
+        return pd.DataFrame({"file": text(frame["file"].iloc[0]), "node": bad, "fault": text("cycle")})
+
     nodes = tree.select("file", F.col("node").alias("parent"))
     lost = tree.where("parent <> -1").join(nodes, ["file", "parent"], "left_anti").select("file", "node", F.lit("parent").alias("fault"))
     twice = tree.groupBy("file", "node").count().where("count > 1").select("file", "node", F.lit("repeated").alias("fault"))
     thin = tree.where("radius <= 0").select("file", "node", F.lit("radius").alias("fault"))
-    return lost.unionByName(twice).unionByName(thin)
+    ring = tree.where("node is not null and parent is not null").groupBy("file").applyInPandas(cycles, "file string, node bigint, fault string")
+    return lost.unionByName(twice).unionByName(thin).unionByName(ring)
 
 
 def _cell_column(reference: str) -> int:
@@ -133,6 +156,96 @@ def zip_member_csv(spark: SparkSession, path: str, member: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row int, cells array<string>")
 
 
+def _plain(schema: pa.Schema) -> pa.Schema:
+    """Unsigned integers become 64-bit ones and dictionaries their values."""
+    kind = lambda t: pa.int64() if pa.types.is_unsigned_integer(t) else t.value_type if pa.types.is_dictionary(t) else t
+    return pa.schema([pa.field(f.name, kind(f.type), f.nullable) for f in schema])
+
+
+def _tables(spark: SparkSession, path: str, columns: list[str] | None, opened: Callable[[bytes, list[str] | None], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of files that ``opened`` turns into record batches, a file in a task; only Spark touches the store."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def schema(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                first = next(opened(content.as_py(), columns))
+                yield pa.RecordBatch.from_arrays([pa.array([_plain(first.schema).serialize().to_pybytes()])], names=["schema"])
+
+    found = files.mapInArrow(schema, "schema binary").first()
+    if found is None:
+        raise IntegrityError(f"{path} holds no file")
+    plain = pa.ipc.read_schema(pa.py_buffer(bytes(found["schema"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for part in opened(content.as_py(), columns):
+                    arrays = [(c.dictionary_decode() if pa.types.is_dictionary(c.type) else c).cast(f.type) for c, f in zip(part.columns, plain, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=plain)
+
+    return files.mapInArrow(run, from_arrow_schema(plain))
+
+
+def _ipc_batches(content: bytes, columns: list[str] | None) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_file(pa.py_buffer(content)) as f:
+        names = f.schema.names
+    options = pa.ipc.IpcReadOptions(included_fields=[names.index(c) for c in columns] if columns else None)
+    with pa.ipc.open_file(pa.py_buffer(content), options=options) as f:
+        order = [f.schema.names.index(c) for c in columns] if columns else list(range(len(f.schema.names)))
+        if not f.num_record_batches:
+            yield pa.RecordBatch.from_pylist([], _plain(f.schema)).select(order)
+        for k in range(f.num_record_batches):
+            yield f.get_batch(k).select(order)
+
+
+def ipc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Feather and Arrow IPC files in any store that Spark reads, with only the wanted columns; unsigned integers become bigint."""
+    return _tables(spark, path, columns, _ipc_batches)
+
+
+def zip_member_parquet(spark: SparkSession, path: str, member: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of one Parquet member of zip archives; it must be there exactly once."""
+
+    def opened(content: bytes, columns: list[str] | None) -> Iterator[pa.RecordBatch]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            found = [n for n in z.namelist() if n == member or n.endswith("/" + member)]
+            if len(found) != 1:
+                raise IntegrityError(f"{len(found)} members named {member}")
+            data = z.read(found[0])
+        f = pq.ParquetFile(pa.py_buffer(data))
+        yield from f.iter_batches(columns=columns)
+        if not f.metadata.num_rows:
+            yield from pa.Table.from_batches([], f.schema_arrow).select(columns or f.schema_arrow.names).combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], f.schema_arrow)]
+
+    return _tables(spark, path, columns, opened)
+
+
+def describe_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, member, columns, rows) of CSV files, of the CSV members of zip archives and of the first sheets of workbooks: header and number of
+    rows, no values.  Other members have null columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shape(grid: Iterator[list[str]]) -> tuple[list[str], int]:
+            return next(grid, []), sum(1 for _ in grid)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name.lower().endswith(".xlsx"):
+                    rows.append((name, None, *shape(iter(xlsx_rows(content)))))
+                elif name.lower().endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for n in z.namelist():
+                            rows.append((name, n, *(shape(csv.reader(io.StringIO(z.read(n).decode()))) if n.lower().endswith(".csv") else (None, None))))
+                else:
+                    rows.append((name, None, *shape(csv.reader(io.StringIO(content.decode())))))
+            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=["file", "member", "columns", "rows"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, member string, columns array<string>, rows bigint")
+
+
 def describe_csv(spark: SparkSession, path: str) -> dict:
     """Header and number of rows, no values."""
     df = spark.read.option("header", True).csv(path)
@@ -178,8 +291,6 @@ class ArrowFile(DataSource):
         return "arrow_file"
 
     def schema(self) -> StructType:
-        from pyspark.sql.pandas.types import from_arrow_schema
-
         with pa.memory_map(self.options["path"].split(",")[0]) as f:
             schema = pa.ipc.open_file(f).schema
         plain = lambda t: pa.int64() if pa.types.is_unsigned_integer(t) else t.value_type if pa.types.is_dictionary(t) else t

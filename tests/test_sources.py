@@ -77,3 +77,97 @@ def test_import_is_sorted_and_refuses_overwriting(spark, tmp_path):
         imports.import_contacts(spark.createDataFrame([(-1, 0)], "body long, x int"), str(tmp_path / "n"), ["body"])
     shards = imports.import_contacts(spark.range(10).select(F.col("id").alias("point_id")), str(tmp_path / "p"), ["point_id"], rows_per_file=4)
     assert shards.count() == 10
+
+
+def test_ipc_files_with_column_pruning(spark, tmp_path):
+    import pyarrow as pa
+
+    t = pa.table({"body": pa.array([1, 2, 3], pa.uint64()), "kind": pa.array(["a", "b", "a"]).dictionary_encode(), "conf": pa.array([0.5, None, 1.0])})
+    for k in range(2):
+        with pa.OSFile(str(tmp_path / f"{k}.arrow"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+            w.write_table(t, max_chunksize=2)
+    df = readers.ipc(spark, str(tmp_path / "*.arrow"), ["conf", "body"])
+    assert df.dtypes == [("conf", "double"), ("body", "bigint")]
+    assert sorted((r["body"], r["conf"]) for r in df.collect() if r["conf"]) == [(1, 0.5), (1, 0.5), (3, 1.0), (3, 1.0)]
+    assert readers.ipc(spark, str(tmp_path / "*.arrow")).select("kind").distinct().count() == 2
+    with pa.OSFile(str(tmp_path / "empty.feather"), "wb") as f, pa.ipc.new_file(f, t.schema):
+        pass
+    assert readers.ipc(spark, str(tmp_path / "empty.feather")).count() == 0
+
+
+def test_zip_members_and_descriptions(spark, tmp_path):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from strandweave.errors import IntegrityError
+
+    data = io.BytesIO()
+    pq.write_table(pa.table({"a": [1, 2], "b": ["x", "y"]}), data)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/one.parquet", data.getvalue())
+        z.writestr("two.csv", "p,q\n1,2\n3,4\n")
+    assert [tuple(r) for r in readers.zip_member_parquet(spark, str(tmp_path / "z.zip"), "one.parquet", ["b"]).collect()] == [("x",), ("y",)]
+    with pytest.raises(Exception, match="members named"):
+        readers.zip_member_parquet(spark, str(tmp_path / "z.zip"), "none.parquet").collect()
+    got = {r["member"]: (r["columns"], r["rows"]) for r in readers.describe_files(spark, str(tmp_path / "z.zip")).collect()}
+    assert got == {"in/one.parquet": (None, None), "two.csv": (["p", "q"], 2)}
+    assert issubclass(IntegrityError, Exception)
+
+
+def test_long_number_files_are_split(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("head\r\n" + "".join(f"{i}.5\r\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.numbers(spark, str(tmp_path / "n.txt"), header=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["line"], r["value"]) for r in rows) == [(i + 1, i + 0.5) for i in range(5000)]
+
+
+def test_skeletons_with_cycles(spark):
+    rows = [("f", 1, -1), ("f", 2, 1), ("f", 3, 4), ("f", 4, 5), ("f", 5, 3), ("f", 6, 5), ("g", 1, -1)]
+    tree = spark.createDataFrame([(f, n, 1, 0.0, 0.0, 0.0, 1.0, p) for f, n, p in rows], "file string, node long, kind int, x double, y double, z double, radius double, parent long")
+    assert sorted((r["file"], r["node"], r["fault"]) for r in readers.swc_faults(tree).collect()) == [("f", n, "cycle") for n in (3, 4, 5, 6)]
+
+
+def test_sharded_import_resumes(spark, tmp_path):
+    from strandweave.errors import IntegrityError
+    from strandweave.sources import imports
+
+    raw = spark.createDataFrame([(i % 50, i, float(i)) for i in range(400)], "body_pre long, body_post long, w double")
+    path = str(tmp_path / "out")
+    assert imports.import_sharded(raw, path, ["body_pre", "body_post"], 6).count() == 400
+    manifest = sorted(tmp_path.glob("out/_manifest/*.json"))
+    lines = [x for f in manifest for x in f.read_text().splitlines()]
+    assert len(lines) == 6
+    # As if the run had ended after four shards: the others are written again, those stay.
+    kept = {int(f.parent.name.split("=")[1]): f.stat().st_mtime_ns for f in tmp_path.glob("out/data/shard=*/*.parquet")}
+    for f in [*manifest, *tmp_path.glob("out/_manifest/.*.crc")]:
+        f.unlink()
+    (tmp_path / "out/_manifest/a.json").write_text("\n".join(lines[:4]))
+    assert imports.import_sharded(raw, path, ["body_pre", "body_post"], 6).count() == 400
+    import json
+
+    old = {json.loads(x)["shard"] for x in lines[:4]}
+    now = {int(f.parent.name.split("=")[1]): f.stat().st_mtime_ns for f in tmp_path.glob("out/data/shard=*/*.parquet")}
+    assert {k for k in now if now[k] == kept[k]} == old & set(now)
+    assert imports.import_sharded(raw, path, ["body_pre", "body_post"], 6).count() == 400
+    (tmp_path / "out/_manifest/b.json").write_text('{"shard": 0, "rows": 1, "digest": "5"}')
+    with pytest.raises(IntegrityError):
+        imports.import_sharded(raw, path, ["body_pre", "body_post"], 6)
+
+
+def test_graphs_are_checked_when_loaded(spark, tmp_path):
+    from strandweave.errors import IntegrityError
+    from strandweave.sources import imports
+
+    nodes, edges = spark.range(5).withColumnRenamed("id", "node"), spark.createDataFrame([(0, 1, 2), (3, 4, 5)], "src long, dst long, weight long")
+    imports.write_graph(nodes, edges, str(tmp_path / "g"))
+    a, b = imports.load_graph(spark, str(tmp_path / "g"))
+    assert a.count() == 5 and b.count() == 2
+    edges.limit(1).write.mode("append").parquet(str(tmp_path / "g/edges"))
+    with pytest.raises(IntegrityError):
+        imports.load_graph(spark, str(tmp_path / "g"))

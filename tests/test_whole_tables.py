@@ -22,13 +22,13 @@ def run(spark, tmp_path):
 
 def test_gate_legs_all_reads_every_order(run):
     lines = [(k, n, float(k % 60), 0.08 if k % 5 == 0 else 0.01) for k in range(1, 200) for n in (1, 2, 3)]
-    got = {r["gate"]: (r["legs"], r["failed"]) for r in run("gate_legs_all", lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double"))}
+    got = {r["gate"]: (r["legs"], r["failed"]) for r in run("gate_legs", lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double"))}
     failed = sum(q >= 50 and t <= 0.07 for _, n, q, t in lines if n == 2)
     assert failed and got == {"g1": (199, 0), "g2": (199, failed), "g3": (199, 0)}
 
 
 def test_consumed_guard_all_asks_for_every_customer(run):
-    got = run("consumed_guard_all", customer=([(i,) for i in range(1, 8)], "c_custkey long"), orders=([(1, "P"), (2, "F"), (5, "P"), (6, "P")], "o_custkey long, o_orderstatus string"))
+    got = run("consumed_guard", customer=([(i,) for i in range(1, 8)], "c_custkey long"), orders=([(1, "P"), (2, "F"), (5, "P"), (6, "P")], "o_custkey long, o_orderstatus string"))
     assert sorted(r["key"] for r in got) == [1, 5, 6]
 
 
@@ -36,7 +36,7 @@ def test_consumed_guard_all_asks_for_every_customer(run):
 def test_clearance_by_label_uses_every_point(run, monkeypatch, scene):
     monkeypatch.setattr(spatial, "SCENE", scene)
     rows = [(i, i % 3, [((i * 37) % 101) / 100, ((i * 53) % 89) / 100, 0.0]) for i in range(40)]
-    got = {r["candidate"]: r["clearance"] for r in run("clearance_by_label", embeddings=(rows, "vec_id long, label int, embedding array<double>"))}
+    got = {r["candidate"]: r["clearance"] for r in run("clearance_search", embeddings=(rows, "vec_id long, label int, embedding array<double>"))}
     p = [(label, math.floor(e[0] * 1000), math.floor(e[1] * 1000)) for _, label, e in rows]
     for k in range(12):
         t = k * 2 * math.pi / 12
@@ -47,7 +47,7 @@ def test_clearance_by_label_uses_every_point(run, monkeypatch, scene):
 def test_frame_contract_all_checks_every_user(run):
     """Event 400 and later count: users 22 and 26 have no earlier one."""
     events = [(i, u, f"2024-01-01 00:00:{i % 60:02d}", "click", 1.0) for i, u in [(1, 1), (400, 22), (401, 26), (402, 27), (403, 27)]]
-    got = Counter(r["fault"] for r in run("frame_contract_all", events=(events, "event_id long, user_id long, ts string, event_type string, value double")))
+    got = Counter(r["fault"] for r in run("frame_contract", events=(events, "event_id long, user_id long, ts string, event_type string, value double")))
     assert got == {"length": 1, "units": 1, "repeated": 1}
 
 
@@ -74,11 +74,11 @@ def test_paths_over_single_contacts(run):
     events = (rows, "event_id long, user_id long, ts string, event_type string, value double")
     edges = set(zip(order, order[1:]))
     forward, backward = _walk(edges, {1}, 4), _walk({(b, a) for a, b in edges}, {4}, 4)
-    assert {r["node"]: r["hop"] for r in run("hop_distance_whole", events=events)} == forward
-    assert {r["node"] for r in run("bounded_path_whole")} == {n for n in forward if n in backward and forward[n] + backward[n] <= 4} == {1, 2, 3, 4}
-    assert {r["node"]: r["hop"] for r in run("shortest_path_circuit_whole")} == {1: 0, 2: 1, 3: 2, 4: 3}
-    assert {r["node"] for r in run("population_path_union_whole")} == {1, 2, 3, 4}
-    assert {r["node"]: r["status"] for r in run("endpoint_status_whole")} == {1: "pathless", 2: "kept", 3: "pathless", 4: "pathless", 5: "kept"}
+    assert {r["node"]: r["hop"] for r in run("hop_distance", events=events)} == forward
+    assert {r["node"] for r in run("bounded_path")} == {n for n in forward if n in backward and forward[n] + backward[n] <= 4} == {1, 2, 3, 4}
+    assert {r["node"]: r["hop"] for r in run("shortest_path_circuit")} == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert {r["node"] for r in run("population_path_union")} == {1, 2, 3, 4}
+    assert {r["node"]: r["status"] for r in run("endpoint_status")} == {1: "pathless", 2: "kept", 3: "pathless", 4: "pathless", 5: "kept"}
 
 
 def test_control_takes_whole_sets(spark, run, monkeypatch):
