@@ -22,10 +22,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    A stage's input goes once its output is written; the last stage's stays until the caller has read the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return STAGES[-1][1](spark, docs, sf_dir)

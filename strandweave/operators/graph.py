@@ -112,20 +112,20 @@ def pair_completeness(edges: DataFrame, sources: DataFrame, targets: DataFrame)
     possible pairs.  ``orphans`` are targets that no cognate source reaches;
     ``reverse_pairs`` are edges from targets to sources.
     """
-    present = nodes_of(edges)
-    s = sources.select("node", "label").distinct().join(present, "node", "left_semi")
-    t = targets.select("node", "label").distinct().join(present, "node", "left_semi")
-
-    def between(a: DataFrame, b: DataFrame) -> DataFrame:
-        x = edges.join(a.select(F.col("node").alias("src"), "label"), "src")
-        return x.join(b.select(F.col("node").alias("dst"), F.col("label").alias("_l")), "dst").where("label = _l").drop("_l")
-
-    forward = between(s, t)
+    both = sources.select("node", "label", F.lit(1).alias("is_source")).unionByName(targets.select("node", "label", F.lit(0).alias("is_source"))).distinct()
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("node")).join(both.select("node"), "node", "left_semi").distinct()
+    both = cut(both.join(touched, "node", "left_semi"))
+    s, t = both.where("is_source = 1").drop("is_source"), both.where("is_source = 0").drop("is_source")
+    ends = edges.join(both.select(F.col("node").alias("src"), "label", F.col("is_source").alias("_a")), "src")
+    ends = ends.join(both.select(F.col("node").alias("dst"), F.col("label").alias("_l"), F.col("is_source").alias("_b")), "dst").where("label = _l and _a <> _b")
+    pairs = cut(ends.select("label", "src", "dst", "weight", "_a"))
+    forward = pairs.where("_a = 1")
     twice = forward.groupBy("label", "src", "dst").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise IntegrityError("duplicate edges")
-    f = forward.groupBy("label").agg(F.count("*").alias("realised"), F.sum("weight").alias("contacts"), F.median("weight").alias("median_contacts"), F.count_distinct("dst").alias("reached"))
-    r = between(t, s).groupBy("label").agg(F.count("*").alias("reverse_pairs"))
+    middle = ordered.quantiles(forward, ["label"], "weight", (0.5,)).select("label", F.get("q", F.lit(0)).alias("median_contacts"))
+    f = forward.groupBy("label").agg(F.count("*").alias("realised"), F.sum("weight").alias("contacts"), F.count_distinct("dst").alias("reached")).join(middle, "label", "left")
+    r = pairs.where("_a = 0").groupBy("label").agg(F.count("*").alias("reverse_pairs"))
     base = s.groupBy("label").agg(F.count("*").alias("sources")).join(t.groupBy("label").agg(F.count("*").alias("targets")), "label", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     out = base.join(f, "label", "left").join(r, "label", "left").select("label", *[zero(c) for c in ("sources", "targets", "realised", "contacts", "reverse_pairs", "reached")], "median_contacts")

@@ -37,7 +37,7 @@ def user_graph(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
 
 def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") + 1000000).alias("part"))
-    return graph.aggregated(rows, "l_suppkey", "part")
+    return cut(graph.aggregated(rows, "l_suppkey", "part"))
 
 
 def user_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
