@@ -11,6 +11,8 @@ the counts even at the end.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +36,7 @@ def _quotas(demand: list[list[float]], room: list[int]) -> list[list[float]]:
 
 def _cells_after_moves(cells: DataFrame, shards: int, capacity: list[int], rounds: int) -> DataFrame:
     """Cells once no group gains by moving, or after ``rounds`` rounds."""
-    for _ in range(rounds):
+    for turn in range(rounds):
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # at most ``shards`` rows
         room = [max(0, capacity[s] - load.get(s, 0)) for s in range(shards)]
         # The target is the fullest shard of the group that still has room; a cell moves only to one that holds more than it, or as much and comes first.
@@ -57,6 +59,8 @@ def _cells_after_moves(cells: DataFrame, shards: int, capacity: list[int], round
         flows = wish.withColumn("moved", moved)
         parts = F.array(F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("moved")).alias("n")), F.struct(F.coalesce(F.col("to"), F.col("shard")).cast("int").alias("shard"), F.col("moved").alias("n")))
         cells = cut(flows.select("g", F.explode(parts).alias("p")).select("g", "p.shard", "p.n").where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n")))
+        if turn == rounds - 1:
+            logging.getLogger(__name__).warning("after %d rounds some groups could still move together", rounds)
     return cells
 
 
@@ -75,7 +79,8 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col:
 
     Row counts of the shards differ by at most one; slots are gapless from 0 in
     each shard.  Equal texts share a shard as far as the counts allow: a group
-    that outgrows the room of one shard fills further ones.
+    that outgrows the room of one shard fills further ones.  Moves end after ``rounds`` rounds; if groups could
+    still gain by moving, a warning is logged.
 
     Null text counts as empty.  Repeated rows and null ids are placed like any
     others.  Columns of ``docs`` other than these two are not used.
