@@ -7,8 +7,9 @@ comes back is a compressed bitmap per document, not text: 64 lines to a word,
 and only the words in which some line goes.
 
 A key that fills a third of all rows is handled by salt: in a first pass it is
-spread by document over ``SALT`` places of the hash ring, and only the lines of
-the first document of each place go on to the second, unsalted pass.
+spread by document over places of the hash ring, about a quarter as many as there are
+partitions, and only the lines of the first document of each place go on to the
+second, unsalted pass.  The first pass is written down, so texts are split once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandweave.llm._common import ASCII_SPACE, lower_ascii, shuffle_partitions
+from strandweave.llm._common import ASCII_SPACE, cut, lower_ascii, shuffle_partitions
 
-#: Places over which the documents of one key are spread; a power of two.
+#: Least bits of the number of places over which the documents of one key are spread.
 SALT_BITS = 4
 
 
@@ -62,8 +63,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     slots = shuffle_partitions(spark)
     keys = line_keys(docs, id_col, text_col, min_chars)
-    salt = F.shiftleft(F.xxhash64("_sw_doc").bitwiseAND(F.lit((1 << SALT_BITS) - 1)), 64 - SALT_BITS)
+    bits = max(SALT_BITS, (slots // 4).bit_length())
+    salt = F.shiftleft(F.xxhash64("_sw_doc").bitwiseAND(F.lit((1 << bits) - 1)), 64 - bits)
     spread = _first_holder(keys.withColumn("_sw_place", F.col("_sw_hash").bitwiseXOR(salt)), "_sw_place", slots)
+    # Of lines that go only the place is needed further on.
+    goes = F.col("_sw_doc") > F.col("_sw_first")
+    kept = [F.when(~goes, F.col(c)).alias(c) for c in ("_sw_hash", "_sw_check")]
+    spread = cut(spread.select("_sw_doc", "_sw_pos", "_sw_first", *kept))
     later = spread.where("_sw_doc > _sw_first").select("_sw_doc", "_sw_pos")
     firsts = spread.where("_sw_doc = _sw_first").select("_sw_doc", "_sw_pos", "_sw_hash", "_sw_check")
     beaten = _first_holder(firsts, "_sw_hash", slots).where("_sw_doc > _sw_first").select("_sw_doc", "_sw_pos")
