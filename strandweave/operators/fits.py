@@ -85,6 +85,64 @@ def kernel_grid_fit(curves: DataFrame, group: str, rises: list[float], decays: l
     return curves.groupBy(group).applyInPandas(fit, f"`{group}` {curves.schema[group].dataType.simpleString()}, rise double, decay double, loss double")
 
 
+def two_decay_kernel(t: np.ndarray, onset: float, rise: float, fast: float, slow: float, share: float) -> np.ndarray:
+    """One rise and two decays, the fast one with ``share`` of the weight, 0 before the onset, peak 1."""
+    x = np.maximum(0.0, t - onset)
+    k = np.where(t >= onset, share * np.exp(-x / fast) + (1 - share) * np.exp(-x / slow) - np.exp(-x / rise), 0.0)
+    return k / k.max() if k.max() > 0 else k
+
+
+def huber_mean(d: np.ndarray, delta: float) -> np.ndarray:
+    """Mean Huber loss over the last axis."""
+    a = np.abs(d)
+    return np.where(a <= delta, a * a / 2, delta * (a - delta / 2)).mean(-1)
+
+
+def two_decay_fit(curves: DataFrame, group: str, onsets: list[float], rises: list[float], fasts: list[float], slows: list[float], shares: list[float], delta: float = 1.0) -> DataFrame:
+    """Per curve set (group, curve, t, y; the curves of a set have the same times) the kernel that, scaled to each curve by a non-negative
+    projection, leaves the least mean Huber loss: onset, rise, fast, slow, share, half_decay, amplitude (median over the curves) and loss.
+
+    Candidates that do not rise faster than they decay, or whose decays are not in order, are left out; a set with none has no row.
+    """
+    grid = [(o, r, f, s, w) for o in onsets for r in rises for f in fasts for s in slows for w in shares if r < f < s and 0 < w <= 1]
+    kind = curves.schema[group].dataType.simpleString()
+    columns = [group, "onset", "rise", "fast", "slow", "share", "half_decay", "amplitude", "loss"]
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot(index="curve", columns="t", values="y")
+        t, y = wide.columns.to_numpy(float), wide.to_numpy(float)
+        found = []
+        for c in grid:
+            k = two_decay_kernel(t, *c)
+            if k.any():
+                amplitude = np.maximum(0.0, y @ k / (k @ k))
+                found.append((float(huber_mean(y - amplitude[:, None] * k, delta).mean()), *c, float(np.median(amplitude))))
+        if not found:
+            return pd.DataFrame(columns=columns).astype({c: float for c in columns[1:]})
+        loss, *c, amplitude = min(found)
+        k = two_decay_kernel(t, *c)
+        top = int(np.argmax(k))
+        below = np.flatnonzero(k[top:] <= 0.5)
+        half = float(t[top + below[0]] - t[top]) if len(below) else None
+        return pd.DataFrame([(frame[group].iloc[0], *c, half, amplitude, loss)], columns=columns).astype({"half_decay": float})
+
+    return curves.groupBy(group).applyInPandas(fit, f"`{group}` {kind}, " + ", ".join(f"{c} double" for c in columns[1:]))
+
+
+def interval_scores(observed: DataFrame, predicted: DataFrame, at: str, widest: float) -> DataFrame:
+    """(at, mean, predicted, inside, residual, underpowered, null_residual, ratio) of observations (at, mean, low, high, se): whether the
+    interval holds the prediction, the residuals of the model and of the flat line of inverse-variance mean in errors, whether half of the
+    interval is wider than ``widest``, and the ratio of the summed squares of the two."""
+    w = 1 / (F.col("se") * F.col("se"))
+    flat = observed.agg((F.sum(w * F.col("mean")) / F.sum(w)).alias("_flat"))
+    own = observed.join(predicted.select(at, F.col("value").alias("predicted")), at).crossJoin(F.broadcast(flat))
+    own = own.withColumn("residual", (F.col("predicted") - F.col("mean")) / F.col("se")).withColumn("null_residual", (F.col("_flat") - F.col("mean")) / F.col("se"))
+    both = own.agg((F.sum(F.col("residual") * F.col("residual")) / F.nullif(F.sum(F.col("null_residual") * F.col("null_residual")), F.lit(0.0))).alias("ratio"))
+    return own.crossJoin(F.broadcast(both)).select(
+        at, "mean", "predicted", F.col("predicted").between(F.col("low"), F.col("high")).alias("inside"), "residual", ((F.col("high") - F.col("low")) / 2 > widest).alias("underpowered"), "null_residual", "ratio",
+    )
+
+
 # Short-term plasticity.  An observation is (gap, pulse, mean, error): the response to a pulse of a train of equal gaps as a
 # multiple of the first, or, with pulse 0, the ratio of pairs of pulses under the recorded protocol.
 
@@ -259,10 +317,11 @@ def adaptive_ramp(parameters: DataFrame, slope: float, dt_ms: float, steps: int)
     return parameters.mapInPandas(run, "candidate bigint, spikes bigint, first_ms double")
 
 
-def small_network(edges: DataFrame, circuit: str, stimulus: dict[int, list[int]], steps: int, decay: float, threshold: float, delay: int, refractory: int) -> DataFrame:
+def small_network(edges: DataFrame, circuit: str, stimulus: dict[int, list[int]], steps: int, decay: float, threshold: float, delay: int, refractory: int, use: float = 0.0, recovery: float = math.inf) -> DataFrame:
     """(circuit, step, node) spikes of leaky integrators on each small circuit of ``edges`` (circuit, src, dst, weight).
 
-    One circuit is one group; ``stimulus`` gives the steps at which a node is made to fire.
+    One circuit is one group, which must fit into a task; ``stimulus`` gives the steps at which a node is made to fire.  A source's spike
+    delivers its weights times its resources, of which it uses the share ``use``; they come back with the time constant ``recovery`` (in steps).
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -275,15 +334,17 @@ def small_network(edges: DataFrame, circuit: str, stimulus: dict[int, list[int]]
                 forced[[s for s in at if s < steps], i] = True
         v, rest = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
         arriving = np.zeros((steps + delay + 1, len(nodes)))
-        rows = []
+        rows, pool = [], np.ones(len(nodes))
         for k in range(steps):
+            pool = 1 + (pool - 1) * math.exp(-1 / recovery)
             v = np.where(rest > 0, 0.0, v * decay + arriving[k])
             fired = forced[k] | ((v >= threshold) & (rest <= 0))
             rest = np.where(fired, refractory, rest - 1)
             v = np.where(fired, 0.0, v)
             rows += [(frame[circuit].iloc[0], k, int(n)) for n in nodes[fired]]
             hit = fired[src]
-            np.add.at(arriving[k + delay], dst[hit], weight[hit])
+            np.add.at(arriving[k + delay], dst[hit], weight[hit] * pool[src[hit]])
+            pool = np.where(fired, pool * (1 - use), pool)
         return pd.DataFrame(rows, columns=[circuit, "step", "node"])
 
     kind = edges.schema[circuit].dataType.simpleString()

@@ -11,6 +11,7 @@ from strandweave.operators import fits, plasticity
 from strandweave.operators.ordered import cut
 from strandweave.plans._registry import query, table
 from strandweave.plans.graph_queries import _E, bipartite, user_graph
+from strandweave.streaming import controllers
 from strandweave.streaming import operators as S
 
 
@@ -198,3 +199,59 @@ def stimulus_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM15
     from strandweave.operators.graph import nodes_of
 
     return fits.stimulus_schedule(nodes_of(user_graph(spark, sf_dir)), 40, 0.1)
+
+
+# Controllers: along each user's events, error and purchase are the signals of grooming and feeding, view and click those of the two sides.
+
+_STEPS = """st AS MATERIALIZED (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 10 AS t_us,
+  CASE event_type WHEN 'error' THEN value ELSE 0 END AS groom, CASE event_type WHEN 'purchase' THEN value ELSE 0 END AS feed, CASE event_type WHEN 'view' THEN value ELSE 6 END AS "left", CASE event_type WHEN 'click' THEN value ELSE 5 END AS "right" FROM events)"""
+_ARBITER = """CASE WHEN {s} <> 'GROOM' AND x.groom >= 20 THEN 'GROOM' WHEN {s} = 'GROOM' THEN CASE WHEN x.groom > 2 THEN 'GROOM' ELSE 'RESUME' END
+  WHEN {s} = 'RESUME' THEN CASE WHEN x.t_us - {since} < 30 THEN 'RESUME' ELSE 'SEEK' END WHEN {s} = 'FEED' THEN CASE WHEN x.feed > 4 THEN 'FEED' ELSE 'SEEK' END WHEN x.feed >= 10 THEN 'FEED' ELSE 'SEEK' END"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.plans.trace_queries import trace
+
+    kind = F.col("event_type")
+    given = [("groom", "error", 0.0), ("feed", "purchase", 0.0), ("left", "view", 6.0), ("right", "click", 5.0)]
+    signals = F.create_map(*[x for name, event, rest in given for x in (F.lit(name), F.when(kind == event, F.col("value")).otherwise(rest))])
+    return trace(spark, sf_dir).select("key", (F.col("i") * 10).alias("t_us"), signals.alias("signals"))
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, a AS (SELECT key, i, t_us, new AS state, new <> 'SEEK' AS changed, CASE WHEN new <> 'SEEK' THEN t_us ELSE 0 END AS since FROM (SELECT *, {_ARBITER.format(s="'SEEK'", since='0')} AS new FROM st x) WHERE i = 0
+UNION ALL SELECT key, i, t_us, new, new <> state, CASE WHEN new <> state THEN t_us ELSE since END FROM (SELECT x.key, x.i, x.t_us, a.state, a.since, {_ARBITER.format(s='a.state', since='a.since')} AS new FROM a JOIN st x ON x.key = a.key AND x.i = a.i + 1))
+SELECT key, t_us, state, changed FROM a""")
+def arbiter_states(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM08
+    return controllers.Arbiter((20.0, 2.0), (10.0, 4.0), 30).run(_steps(spark, sf_dir))
+
+
+_MOVES = """CASE WHEN {s} = 'QUIESCENT' THEN CASE WHEN x.t_us >= 40 THEN 'WATCHING' ELSE 'QUIESCENT' END
+  WHEN {s} = 'WATCHING' AND (x."left" + x."right") / 2 >= 5.5 AND {above} IS NOT NULL AND x.t_us - {above} >= 20 THEN 'MOVING' ELSE {s} END AS new,
+  CASE WHEN {s} <> 'WATCHING' THEN {above} WHEN (x."left" + x."right") / 2 < 5.5 THEN NULL ELSE coalesce({above}, x.t_us) END AS up"""
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, a AS (SELECT key, i, t_us, new AS state, up AS above, "left", "right" FROM (SELECT *, {_MOVES.format(s="'QUIESCENT'", above='NULL::BIGINT')} FROM st x) WHERE i = 0
+UNION ALL SELECT key, i, t_us, new, up, "left", "right" FROM (SELECT x.key, x.i, x.t_us, x."left", x."right", {_MOVES.format(s='a.state', above='a.above')} FROM a JOIN st x ON x.key = a.key AND x.i = a.i + 1))
+SELECT key, t_us, state, round(CASE WHEN state = 'MOVING' THEN ("left" + "right") / 2 / (("left" + "right") / 2 + 30) ELSE 0 END, 9) AS forward, round(CASE WHEN state = 'MOVING' THEN greatest(-1, least(1, 0.5 * ("left" - "right") / 8)) ELSE 0 END, 9) AS turn FROM a""")
+def steering_commands(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM09
+    out = controllers.Steering(40, 5.5, 20, 30.0, 0.5, 8.0).run(_steps(spark, sf_dir))
+    return out.withColumn("forward", F.round("forward", 9)).withColumn("turn", F.round("turn", 9))
+
+
+@query()
+def two_decay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST12
+    t = F.explode(F.sequence(F.lit(0), F.lit(120))).alias("t")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("curve"), t)
+    x, fast, slow = F.greatest(F.col("t") - 20, F.lit(0)), 6.0 + F.col("g"), 40.0 + 10 * F.col("g")
+    y = (1 + F.col("curve")) * F.when(F.col("t") >= 20, 0.7 * F.exp(-x / fast) + 0.3 * F.exp(-x / slow) - F.exp(-x / 1.5)).otherwise(0.0)
+    return fits.two_decay_fit(rows.select("g", "curve", F.col("t").cast("double").alias("t"), y.alias("y")), "g", [18.0, 20.0, 22.0], [1.0, 1.5, 2.0], [5.0, 6.0, 7.0, 8.0, 9.0, 10.0], [30.0, 40.0, 50.0, 60.0, 70.0, 80.0], [0.5, 0.7, 0.9])
+
+
+@query("""WITH o AS (SELECT l_linenumber AS x, avg(l_quantity) AS mean, stddev_samp(l_quantity) / sqrt(count(*)) AS se FROM lineitem GROUP BY ALL), f AS (SELECT *, 25 + 0.02 * x AS predicted, (SELECT sum(mean / se ** 2) / sum(1 / se ** 2) FROM o) AS flat FROM o)
+SELECT x, round(mean, 9) AS mean, round(predicted, 9) AS predicted, abs(predicted - mean) <= 1.96 * se AS inside, round((predicted - mean) / se, 6) AS residual, 1.96 * se > 0.3 AS underpowered, round((flat - mean) / se, 6) AS null_residual,
+       round((SELECT sum(((predicted - mean) / se) ** 2) / sum(((flat - mean) / se) ** 2) FROM f), 6) AS ratio FROM f""")
+def interval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST22
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("x")).agg(F.avg("l_quantity").alias("mean"), (F.stddev_samp("l_quantity") / F.sqrt(F.count("*"))).alias("se"))
+    observed = own.withColumn("low", F.col("mean") - 1.96 * F.col("se")).withColumn("high", F.col("mean") + 1.96 * F.col("se"))
+    out = fits.interval_scores(observed, own.select("x", (25 + 0.02 * F.col("x")).alias("value")), "x", 0.3)
+    return out.select("x", F.round("mean", 9).alias("mean"), F.round("predicted", 9).alias("predicted"), "inside", F.round("residual", 6).alias("residual"), "underpowered", F.round("null_residual", 6).alias("null_residual"), F.round("ratio", 6).alias("ratio"))

@@ -98,3 +98,22 @@ def test_small_network_chain(spark):
     edges = spark.createDataFrame([(0, 1, 2, 5.0), (0, 2, 3, 5.0)], "c int, src long, dst long, weight double")
     out = fits.small_network(edges, "c", {1: [0]}, 10, 0.9, 4.0, 2, 1)
     assert sorted((r["step"], r["node"]) for r in out.collect()) == [(0, 1), (2, 2), (4, 3)]
+
+
+def test_two_decays_are_found(spark):
+    t = np.arange(0.0, 100.0)
+    rows = [("g", c, float(x), float((c + 1) * y)) for c in range(3) for x, y in zip(t, fits.two_decay_kernel(t, 12.0, 1.5, 8.0, 40.0, 0.7))]
+    df = spark.createDataFrame(rows, "g string, curve long, t double, y double")
+    r = fits.two_decay_fit(df, "g", [10.0, 12.0, 14.0], [1.0, 1.5], [5.0, 8.0], [20.0, 40.0], [0.5, 0.7]).first()
+    assert (r["onset"], r["rise"], r["fast"], r["slow"], r["share"]) == (12.0, 1.5, 8.0, 40.0, 0.7)
+    assert r["amplitude"] == pytest.approx(2.0) and r["loss"] < 1e-12 and 3 < r["half_decay"] < 15
+    assert fits.two_decay_fit(df, "g", [10.0], [9.0], [5.0], [4.0], [0.5]).count() == 0
+    assert fits.huber_mean(np.array([0.5, -3.0]), 1.0) == pytest.approx((0.125 + 2.5) / 2)
+
+
+def test_small_network_depresses(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 5.0)], "c int, src long, dst long, weight double")
+    fired = lambda **k: sorted((r["step"], r["node"]) for r in fits.small_network(edges, "c", {1: [0, 1, 2]}, 8, 0.0, 4.0, 2, 0, **k).collect() if r["node"] == 2)
+    assert fired() == [(2, 2), (3, 2), (4, 2)]
+    assert fired(use=0.5) == [(2, 2)]
+    assert fired(use=0.5, recovery=0.1) == [(2, 2), (3, 2), (4, 2)]
