@@ -182,7 +182,9 @@ def rate_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST18
     return out.withColumn("rmse", F.round("rmse", 6))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS candidate, 5.0::DOUBLE + p_size AS tau, p_size / 20.0::DOUBLE AS jump, 0 AS k, 0.0::DOUBLE AS v, 0.0::DOUBLE AS w, 0::BIGINT AS n, NULL::DOUBLE AS first FROM part
+UNION ALL SELECT candidate, tau, jump, k + 1, CASE WHEN x >= 10 THEN 0 ELSE x END, y + CASE WHEN x >= 10 THEN jump ELSE 0 END, n + (x >= 10)::INTEGER, CASE WHEN x >= 10 AND n = 0 THEN k * 0.5::DOUBLE ELSE first END
+FROM (SELECT *, v + 0.5::DOUBLE / tau * (0.2::DOUBLE * k * 0.5::DOUBLE - w - v) AS x, w - 0.5::DOUBLE / 80.0::DOUBLE * w AS y FROM s WHERE k < 400)) SELECT candidate, n AS spikes, first AS first_ms FROM s WHERE k = 400""")
 def adaptive_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST16
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate"), (5.0 + F.col("p_size")).alias("tau"), F.lit(10.0).alias("threshold"), (F.col("p_size") / 20).alias("adapt"), F.lit(80.0).alias("adapt_tau"))
     return fits.adaptive_ramp(p, 0.2, 0.5, 400)

@@ -62,6 +62,26 @@ def numbers(spark: SparkSession, path: str, header: bool = False, scale: float =
     return found.select("line", (F.col("value") * scale).alias("value"))
 
 
+def matrix(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(line, column, value) of a text file with numbers in columns, as many in each line; anything else is an error."""
+    raw = spark.read.text(path).where("trim(value) <> ''").select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("_row", F.monotonically_increasing_id())
+    lines = positions(raw, ["file_path", "file_block_start", "_row"], "line")
+    cells = F.split(F.regexp_replace("value", "\r$", ""), re.escape(separator), -1)
+    found = lines.select("line", F.size(cells).alias("_n"), F.posexplode(cells).alias("column", "_text")).select("line", "_n", "column", F.expr("try_cast(trim(_text) AS double)").alias("value"))
+    bad = found.agg(F.min("_n").alias("least"), F.max("_n").alias("most"), F.min(F.when(F.col("value").isNull(), F.col("line"))).alias("line")).first()
+    if bad["line"] is not None:
+        raise IntegrityError(f"line {bad['line']} holds something that is not a number")
+    if bad["least"] != bad["most"]:
+        raise IntegrityError(f"lines of {bad['least']} and of {bad['most']} columns")
+    return found.select("line", "column", "value")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(artifact, digest, bytes) of files: name, SHA-256 of the stored bytes, and their number, a file in a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("artifact"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+
+
 def swc(spark: SparkSession, path: str) -> DataFrame:
     """(file, node, kind, x, y, z, radius, parent) of SWC trees; comments and blank lines are skipped."""
     raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v")).where("v <> '' AND v NOT LIKE '#%'")

@@ -171,3 +171,24 @@ def test_graphs_are_checked_when_loaded(spark, tmp_path):
     edges.limit(1).write.mode("append").parquet(str(tmp_path / "g/edges"))
     with pytest.raises(IntegrityError):
         imports.load_graph(spark, str(tmp_path / "g"))
+
+
+def test_matrices_and_file_digests(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "m.csv").write_text("1, 2.5,3\r\n\r\n4,5,-6e1\n")
+    got = {(r["line"], r["column"]): r["value"] for r in readers.matrix(spark, str(tmp_path / "m.csv")).collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 2.5, (0, 2): 3.0, (1, 0): 4.0, (1, 1): 5.0, (1, 2): -60.0}
+    for bad in ("1,2\n3\n", "1,x\n2,3\n"):
+        (tmp_path / "bad.csv").write_text(bad)
+        with pytest.raises(IntegrityError):
+            readers.matrix(spark, str(tmp_path / "bad.csv"))
+    r = readers.file_digests(spark, str(tmp_path / "m.csv")).first()
+    data = (tmp_path / "m.csv").read_bytes()
+    assert (r["artifact"], r["digest"], r["bytes"]) == ("m.csv", hashlib.sha256(data).hexdigest(), len(data))
+
+
+def test_only_wanted_columns_are_read(spark, tmp_path):
+    spark.range(5).selectExpr("id AS body", "id * 2 AS x", "id * 3 AS y").write.parquet(str(tmp_path / "p"))
+    plan = readers.parquet(spark, str(tmp_path / "p"), ["body", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<body:bigint,y:bigint>" in plan
