@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm._common import lower_ascii
+from strandweave.llm._common import cut, lower_ascii
 
 #: Bits that one URL sets in its block.
 PROBES = 4
@@ -92,7 +92,7 @@ def listed_hits(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> Da
     Null URLs and URLs without ``://`` are never listed.  Rows of ``listed`` may
     repeat.  Of clashing names, ``is_listed`` made here wins.
     """
-    keys = listed.select(canonical(F.col("url")).alias("_sw_listed")).where(F.col("_sw_listed").isNotNull()).distinct()
+    keys = cut(listed.select(canonical(F.col("url")).alias("_sw_listed")).where(F.col("_sw_listed").isNotNull()).distinct())
     count = keys.count()
     blocks = max(1, -(-count // PER_BLOCK))
     filt = bloom_blocks(keys, "_sw_listed", blocks)

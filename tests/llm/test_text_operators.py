@@ -180,6 +180,22 @@ def test_forward_backward_is_one_pass_along_each_chain():
             y /= y.sum()
 
 
+def test_rejected_pages_skip_the_exact_join(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/{i}") for i in range(400)] + [(900, None), (901, "no scheme")], "page_id long, url string")
+    listed = pages.where("page_id between 10 and 30").select("url")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = urlfilter.listed_hits(pages, listed)
+        assert {r["page_id"] for r in out.where("is_listed").collect()} == set(range(10, 31)) and out.count() == 402
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        exact = plan[plan.index("Join LeftOuter, (_sw_key") :]
+        # What goes into the exact join comes from a filter on the mask of the Bloom filter's block.
+        assert "_sw_mask" in exact.split("Filter", 1)[1].split("\n", 1)[0] or "_sw_maybe" in exact.split("Filter", 1)[1].split("\n", 1)[0], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(2)
     first = np.array([0, 3, 3, 4, 74])
