@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,7 +244,8 @@ def unit_box(spark: SparkSession, sf_dir: str) -> DataFrame:  # P3-8
     return spatial.unit_box(points(spark, sf_dir), ["label"]).select("vec_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query()
+@query(f"""WITH {_PTS}, c AS (SELECT p.vec_id, k AS candidate, min(abs((q.x - p.x) * sin(k * 2 * pi() / 12) - (q.y - p.y) * cos(k * 2 * pi() / 12))) AS c FROM p, p q, range(0, 12) t(k) WHERE p.label % 2 = 0 AND q.label % 2 = 1 GROUP BY ALL)
+SELECT candidate::INTEGER AS candidate, round(median(c), 6) AS clearance FROM c GROUP BY candidate""")
 def clearance_search(spark: SparkSession, sf_dir: str) -> DataFrame:  # P3-7
     """Every point has a role: those of even labels are the path, those of odd ones the obstacles."""
     p = points(spark, sf_dir)

@@ -100,13 +100,21 @@ def truncated_nb_grid(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST09
     return fits.truncated_nb(h, ["label"])
 
 
-@query()
+_KERNELS = """d AS (SELECT n_regionkey AS g, n_nationkey AS curve, t::DOUBLE AS t, (1 + n_nationkey) * (exp(-t / (8.0::DOUBLE + 4 * n_regionkey)) - exp(-t / (1.0::DOUBLE + n_regionkey))) AS y FROM nation, range(0, 61) r(t)),
+k AS (SELECT rise::DOUBLE AS rise, decay::DOUBLE AS decay, rise * decay / (decay - rise)::DOUBLE * ln(decay / rise::DOUBLE) AS top FROM (SELECT unnest([1, 2, 3, 4, 5]) AS rise), (SELECT unnest([6, 8, 12, 16, 20, 24]) AS decay)),
+v AS (SELECT g, curve, rise, decay, y, (exp(-t / decay) - exp(-t / rise)) / (exp(-top / decay) - exp(-top / rise)) AS k FROM d, k),
+a AS (SELECT g, curve, rise, decay, greatest(0, sum(y * k) / sum(k * k)) AS a, greatest(1e-12, max(abs(y)) * 0.1) AS s FROM v GROUP BY ALL),
+l AS (SELECT g, curve, rise, decay, avg(CASE WHEN abs(y - a * k) <= s THEN (y - a * k) ** 2 / 2 ELSE s * (abs(y - a * k) - s / 2) END) AS l FROM v JOIN a USING (g, curve, rise, decay) GROUP BY ALL),
+m AS (SELECT g, rise, decay, avg(l) AS l FROM l GROUP BY ALL)"""
+
+
+@query(f"WITH {_KERNELS} SELECT g, arg_min(rise, l) AS rise, arg_min(decay, l) AS decay, round(min(l), 9) AS loss FROM m GROUP BY g")
 def kernel_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST12
     t = F.explode(F.sequence(F.lit(0), F.lit(60))).alias("t")
     rows = table(spark, sf_dir, "nation").select((F.col("n_regionkey")).alias("g"), F.col("n_nationkey").alias("curve"), t)
     rise, decay = 1.0 + F.col("g"), 8.0 + 4 * F.col("g")
     rows = rows.select("g", "curve", F.col("t").cast("double").alias("t"), ((1 + F.col("curve")) * (F.exp(-F.col("t") / decay) - F.exp(-F.col("t") / rise))).alias("y"))
-    return fits.kernel_grid_fit(rows, "g", [1.0, 2.0, 3.0, 4.0, 5.0], [6.0, 8.0, 12.0, 16.0, 20.0, 24.0])
+    return fits.kernel_grid_fit(rows, "g", [1.0, 2.0, 3.0, 4.0, 5.0], [6.0, 8.0, 12.0, 16.0, 20.0, 24.0]).withColumn("loss", F.round("loss", 9))
 
 
 def _observed() -> list[tuple[float, int, float, float]]:
@@ -190,10 +198,16 @@ def adaptive_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST16
     return fits.adaptive_ramp(p, 0.2, 0.5, 400)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+s AS (SELECT node, -1 AS step, 0.0::DOUBLE AS v, 0::BIGINT AS rest, false AS fired, false AS before FROM n
+UNION ALL SELECT node, step, CASE WHEN f THEN 0 ELSE x END, CASE WHEN f THEN 3 ELSE rest - 1 END, f, fired FROM (
+  SELECT *, (node = 0 AND step IN (0, 20)) OR (node = 5 AND step = 3) OR (x >= 2 AND rest <= 0) AS f FROM (
+    SELECT s.node, s.step + 1 AS step, CASE WHEN s.rest > 0 THEN 0 ELSE s.v * 0.8::DOUBLE + coalesce(a.w, 0) END AS x, s.rest, s.fired
+    FROM s LEFT JOIN (SELECT e.dst, sum(e.weight)::DOUBLE AS w FROM s z JOIN e ON e.src = z.node WHERE z.before GROUP BY e.dst) a ON a.dst = s.node WHERE s.step < 59)))
+SELECT 0 AS circuit, step::INTEGER AS step, node FROM s WHERE fired""")
 def small_network(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM14
     edges = user_graph(spark, sf_dir).withColumn("circuit", F.lit(0))
-    return fits.small_network(edges, "circuit", {0: [0, 20], 5: [3]}, 60, 0.8, 40.0, 2, 3)
+    return fits.small_network(edges, "circuit", {0: [0, 20], 5: [3]}, 60, 0.8, 2.0, 2, 3)
 
 
 @query(f"WITH {_E}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT step::INTEGER AS step, node FROM n, range(0, 40) t(step) WHERE ('0x' || md5(step || ':' || node || ':stim')[1:8])::BIGINT / 4294967296.0::DOUBLE < 0.1")
