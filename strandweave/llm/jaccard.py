@@ -28,13 +28,12 @@ where a pair is one shingle short of a link.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,19 +47,23 @@ PERCENT = 75
 #: A shingle is frequent if it is counted this often in the classes of batches that hold it at least twice.
 FREQUENT = 8
 #: Bits of the bitmap of frequent shingles, and of each part of it that one task fills.
-BITMAP_BITS, PART_BITS = 26, 20
+BITMAP_BITS, PART_BITS = 26, 18
 #: Bytes of shingles that are counted by one task, and of index entries that meet in one, about.
-PART_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+PART_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Frequent shingles in one range, on average.
 RANGE = 3
+#: An entry that so many classes of one batch have is dealt over several buckets.
+HOT = 1024
 #: Rounds of comparison with neighbours, and neighbours of each class in a round.
 ROUNDS, NEIGHBOURS = 3, 1
+#: Members of a list that are put in one order.
+ORDERED = 65_536
 #: Sets that one task compares with one other at a time.
 CHUNK = 64
 #: Classes in a block, and bytes of their sets, about.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
-#: Members of lists that one task holds before it passes them on, and bytes of sets.
-HELD_PAIRS, HELD_BYTES = 1_000_000, 16 << 20
+#: Bytes of sets or pairs that one task holds before it passes them on.
+HELD_BYTES = 16 << 20
 #: Lists whose common members are counted by one product of matrices.
 LISTS = 4096
 #: More clashing keys than this point to broken hashes.
@@ -229,9 +232,11 @@ def _bitmap(survey: DataFrame) -> np.ndarray:
 
 
 def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int, clash: frozenset[int]) -> DataFrame:
-    """Distinct lists of classes (ascending by size) that share an index entry, and of how many entries.
+    """Lists (run, members, sizes, times) of classes that share an index entry, and how many entries share them.
 
-    ``sizes`` holds twice a class's size, plus one if all its entries are single tokens.
+    ``sizes`` holds twice a class's size, plus one if all its entries are single tokens.  A batch deals an entry that ``HOT`` of
+    its classes have to a bucket of its own choice, and leaves a mark in the entry's bucket.  The parts of such an entry
+    have the same run; other lists that are equal become one.
     """
     shared = frame.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -254,78 +259,72 @@ def _shared_entries(frame: DataFrame, bitmap: np.ndarray, buckets: int, clash: f
             if not len(e):
                 continue
             bucket = (((mixed(e) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            which, starts = np.unique(bucket[order], return_index=True)
+            kind = np.zeros(len(e), np.int64)
+            if len(known) >= HOT:
+                slot = (mixed(e) & np.uint64((1 << 20) - 1)).astype(np.int64)
+                near = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= HOT)
+                each, back, count = np.unique(e[near], return_inverse=True, return_counts=True)
+                hot = count >= HOT
+                if hot.any():
+                    at = near[hot[back]]
+                    marks, place = each[hot], (((mixed(each[hot]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                    own_choice = mixed(e[at] ^ np.uint64(next(iter(known)) & (2**64 - 1)))
+                    kind[at], bucket[at] = 1, (((own_choice >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                    e, o, z = np.concatenate([e, marks]), np.concatenate([o, np.zeros(len(marks), np.int64)]), np.concatenate([z, np.zeros(len(marks), np.uint32)])
+                    bucket, kind = np.concatenate([bucket, place]), np.concatenate([kind, np.full(len(marks), 2)])
+            deal = 3 * bucket + kind
+            order = np.argsort(deal, kind="stable")
+            which, starts = np.unique(deal[order], return_index=True)
             for b, i, j in zip(which, starts, [*starts[1:], len(order)], strict=True):
                 at = order[i:j]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(b)], pa.int64()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (e, o, z))], names=["bucket", "entries", "owners", "sizes"]
+                    [pa.array([int(b) // 3], pa.int64()), pa.array([int(b) % 3], pa.int64()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (e, o, z))],
+                    names=["bucket", "kind", "entries", "owners", "sizes"],
                 )
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        e = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["entries"]])
-        o = np.concatenate([np.frombuffer(x, np.int64) for x in frame["owners"]])
-        z = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["sizes"]])
-        order = np.argsort(e, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], e[order][1:] != e[order][:-1]]))
-        ends = np.append(starts[1:], len(e))
+        def column(name: str, kind: int, dtype) -> np.ndarray:
+            return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x, dtype) for x in frame.loc[frame["kind"] == kind, name]]])
+
+        marks = np.unique(column("entries", 2, np.uint64))
         lists: dict[bytes, list] = {}
-        for i in np.flatnonzero(ends - starts > 1):
-            at = order[starts[i] : ends[i]]
-            owner, first = np.unique(o[at], return_index=True)
-            if len(owner) > 1:
+        parts: list[list] = []
+        for kind in (0, 1):
+            e, o, z = column("entries", kind, np.uint64), column("owners", kind, np.int64), column("sizes", kind, np.uint32)
+            order = np.argsort(e, kind="stable")
+            ranked = e[order]
+            starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(e) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(e))[: len(starts)]
+            split = np.isin(ranked[starts], marks) | (kind == 1)
+            for i in np.flatnonzero((ends - starts > 1) | split):
+                at = order[starts[i] : ends[i]]
+                owner, first = np.unique(o[at], return_index=True)
                 size = z[at][first]
-                by_size = np.argsort(size, kind="stable")
-                held = lists.setdefault(owner[by_size].tobytes(), [owner[by_size], size[by_size].astype(np.int64), 0])
-                held[2] += 1
-        return pd.DataFrame({"members": [x[0] for x in lists.values()], "sizes": [x[1] for x in lists.values()], "times": [x[2] for x in lists.values()]})
-
-    blocks = frame.mapInArrow(emit, "bucket bigint, entries binary, owners binary, sizes binary")
-    met = blocks.groupBy("bucket").applyInPandas(meet, "members array<bigint>, sizes array<bigint>, times bigint")
-    one = met.groupBy(F.xxhash64("members").alias("run"), F.size("members").alias("m")).agg(F.first(F.struct("members", "sizes")).alias("r"), F.sum("times").alias("times"))
+                if split[i]:
+                    parts.append([int(ranked[starts[i]].view(np.int64)), owner, size.astype(np.int64), 1])
+                elif len(owner) > 1:
+                    by_size = np.argsort(size, kind="stable")
+                    held = lists.setdefault(owner[by_size].tobytes(), [None, owner[by_size], size[by_size].astype(np.int64), 0])
+                    held[3] += 1
+        rows = [*lists.values(), *parts]
+        return pd.DataFrame({"run": pd.Series([x[0] for x in rows], dtype=object), "members": [x[1] for x in rows], "sizes": [x[2] for x in rows], "times": [x[3] for x in rows]})
+
+    blocks = frame.mapInArrow(emit, "bucket bigint, kind bigint, entries binary, owners binary, sizes binary")
+    met = blocks.groupBy("bucket").applyInPandas(meet, "run bigint, members array<bigint>, sizes array<bigint>, times bigint")
+    # Of a divided entry each part stays by itself; its members are a part of the key only so that all parts do.
+    name = F.coalesce("run", F.xxhash64("members"))
+    one = met.groupBy(name.alias("run"), F.xxhash64("members").alias("part"), F.size("members").alias("m")).agg(F.first(F.struct("members", "sizes")).alias("r"), F.sum("times").alias("times"))
     return one.select("run", "r.members", "r.sizes", "times")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
-    """Pairs of each batch as ``pick(members, sizes, ...)`` gives their positions, with the entries they
-    have in common in it and the least number that similar sets of these sizes would have."""
-    for batch in batches:
-        parts = []
-        columns = [batch.column(c).to_pylist() for c in batch.schema.names]
-        for *values, times in zip(*columns, strict=True):
-            members, sizes, *more = (np.array(v, np.int64) for v in values)
-            i, j = pick(members, sizes >> 1, *more)
-            least = least_common(np.minimum(sizes[i], sizes[j]) >> 1, np.maximum(sizes[i], sizes[j]) >> 1)
-            parts.append(np.stack([np.minimum(members[i], members[j]), np.maximum(members[i], members[j]), least, np.full(len(i), times)]))
-        if parts:
-            a, b, least, times = np.concatenate(parts, axis=1)
-            order = np.lexsort((b, a))
-            a, b, least, times = a[order], b[order], least[order], times[order]
-            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-            total = np.add.reduceat(times, starts) if len(starts) else times
-            for k in range(0, len(starts), 100_000):
-                at = starts[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(least[at]), pa.array(total[k : k + 100_000])], names=["a", "b", "least", "times"])
-
-
-def _neighbours(turn: int):
-    """Classes of different components next to each other in the turn's random order."""
-
-    def pick(members: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(mixed(members.view(np.uint64) + np.uint64(turn + 1)), kind="stable")
-        i = np.concatenate([order[:-k] for k in range(1, NEIGHBOURS + 1)])
-        j = np.concatenate([order[k:] for k in range(1, NEIGHBOURS + 1)])
-        fit = (comps[i] != comps[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
-        return i[fit], j[fit]
-
-    return pick
-
-
-_PAIR = "a bigint, b bigint, least bigint, times bigint"
+def _memberships(shared: DataFrame) -> DataFrame:
+    """Rows (run, times, m, cls, size)."""
+    at = shared.select("run", "times", F.size("members").alias("m"), F.explode(F.arrays_zip("members", "sizes")).alias("x"))
+    return at.select("run", "times", "m", F.col("x.members").alias("cls"), F.col("x.sizes").alias("size"))
 
 
 def _summed(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times"))
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("times"))
 
 
 def _closest(pairs: DataFrame, count: int) -> DataFrame:
@@ -335,52 +334,63 @@ def _closest(pairs: DataFrame, count: int) -> DataFrame:
     return sides.withColumn("_r", place).where(F.col("_r") <= count).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hub_pairs(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Each class of a list with the list's hub, summed: the class of largest degree among those that its size may be
-    similar to.  The degree of a class is the number of others in its lists; with ``comps`` only lists and
-    pairs of several components count."""
-    at = shared.select("run", "times", F.size("members").alias("m"), F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "m", F.col("x.members").alias("cls"), F.col("x.sizes").alias("size"))
+def _fit(size: str, other: str) -> Column:
+    """Whether two classes of these (doubled) sizes may be similar."""
+    small, large = F.least(size, other), F.greatest(size, other)
+    return 100 * F.shiftright(small, 1) >= PERCENT * F.shiftright(large, 1)
+
+
+def _ordered_pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), F.col("times")]
+
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Each class of a list with the list's hub, summed: the class of largest degree, where their sizes may be similar.  The degree of a
+    class is the number of others in its lists."""
+    at = _memberships(shared)
     degree = at.groupBy("cls").agg(F.sum((F.col("m") - 1) * F.col("times")).alias("degree"))
     at = at.join(degree, "cls")
-    if comps is None:
-        at = at.withColumn("comp", F.col("cls"))
-    else:
-        at = at.join(comps, at["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
-    hub = at.groupBy("run").agg(F.max(F.struct("degree", "cls", "size", "comp")).alias("hub"))
-    pairs = at.join(hub, "run").where("comp <> hub.comp")
-    small, large = F.least("size", "hub.size"), F.greatest("size", "hub.size")
-    pairs = pairs.where(100 * F.shiftright(small, 1) >= PERCENT * F.shiftright(large, 1))
-    return _summed(pairs.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"), F.lit(0).cast("bigint").alias("least"), "times"))
+    hub = at.groupBy("run").agg(F.max(F.struct("degree", "cls", "size")).alias("hub"))
+    pairs = at.join(hub, "run").select("times", "cls", "size", F.col("hub.cls").alias("to"), F.col("hub.size").alias("to_size"))
+    return _summed(pairs.where((F.col("cls") != F.col("to")) & _fit("size", "to_size")).select(*_ordered_pair("cls", "to")))
 
 
 def _between_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """The lists whose classes are in several components, with those."""
-    at = shared.select("run", "times", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("run", "times", "x.members", "x.sizes")
-    at = at.join(comps, at["members"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "members"))
-    lists = at.groupBy("run", "times").agg(F.array_sort(F.collect_list(F.struct("sizes", "members", "comp"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return lists.where("lo <> hi").select(F.col("x.members").alias("members"), F.col("x.sizes").alias("sizes"), F.col("x.comp").alias("comps"), "times", "run")
+    """Memberships (run, times, m, cls, size, comp, members) of the lists whose classes are in several components."""
+    at = _memberships(shared)
+    at = at.join(comps, at["cls"] == comps["node"], "left").select(*at.columns, F.coalesce("component", "cls").alias("comp"))
+    runs = at.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    return at.join(runs.select("run", "members"), "run")
 
 
-def _in_blocks(lists: DataFrame) -> DataFrame:
-    """The lists with a block for each class.
+def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """Classes of different components next to each other in the turn's random order of a list; long lists are divided."""
+    part = F.pmod(F.xxhash64(F.lit(turn), "cls"), F.ceil(F.col("members") / ORDERED))
+    own = Window.partitionBy("run", "_part").orderBy(F.xxhash64("cls", F.lit(turn + 1)), "cls")
+    before = {f"{c}_before": F.lag(c).over(own) for c in ("cls", "size", "comp")}
+    met = rows.withColumn("_part", part).withColumns(before).where(F.col("comp") != F.col("comp_before"))
+    return met.where(_fit("size", "size_before")).select(*_ordered_pair("cls", "cls_before"))
 
-    A class's home is the class of largest degree that leads one of its lists; the
-    classes of a home are dealt into blocks of bounded count and size.
-    """
-    at = lists.select("run", "times", F.size("members").alias("m"), F.explode(F.arrays_zip("members", "sizes", "comps")).alias("x")).select("run", "times", "m", "x.*")
-    degree = at.groupBy("members").agg(F.sum((F.col("m") - 1) * F.col("times")).alias("degree"))
-    at = at.join(degree, "members")
-    lead = at.groupBy("run").agg(F.max(F.struct("degree", "members")).alias("lead"))
-    home = at.join(lead, "run").groupBy("members").agg(F.max("lead")["members"].alias("home"), F.first(F.shiftright("sizes", 1)).alias("n"))
-    blocks = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
-    dealt = home.join(blocks, "home").select("members", F.xxhash64("home", F.pmod(F.xxhash64("members"), F.col("blocks"))).alias("block"))
-    tasks = 4 * shuffle_partitions(lists.sparkSession)  # the lists are short for the pairs that they make
-    again = at.join(dealt, "members").repartition(tasks, "run", "times").groupBy("run", "times").agg(F.collect_list(F.struct("members", "sizes", "comps", "block")).alias("x"))
-    return again.select("x.members", "x.sizes", "x.comps", "x.block", "times")
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks (lo, hi) with the members ``x`` and ``y`` that a list has in them, where they are of several components.
 
-_BLOCKS = "lo bigint, hi bigint, classes binary, sizes binary, comps binary, late binary, members binary, lengths binary, times binary"
-_BLOCK_TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+    A class's home is the class of largest degree that leads one of its lists; the classes of a home are dealt into
+    blocks of bounded count and size.  ``y`` is empty if both blocks are one.
+    """
+    degree = rows.groupBy("cls").agg(F.sum((F.col("m") - 1) * F.col("times")).alias("degree"))
+    at = rows.join(degree, "cls")
+    lead = at.groupBy("run").agg(F.max(F.struct("degree", "cls")).alias("lead"))
+    home = at.join(lead, "run").groupBy("cls").agg(F.max("lead")["cls"].alias("home"), F.first(F.shiftright("size", 1)).alias("n"))
+    blocks = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks"))
+    dealt = home.join(blocks, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block"))
+    inside = rows.join(dealt, "cls").groupBy("run", "block").agg(
+        F.collect_list(F.struct("cls", F.shiftright("size", 1).alias("n"), "comp")).alias("x"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("times").alias("times")
+    )
+    other = inside.select(F.col("run").alias("_run"), F.col("block").alias("hi"), F.col("x").alias("y"), F.col("least").alias("_least"), F.col("most").alias("_most"))
+    pairs = inside.join(other, (F.col("run") == F.col("_run")) & (F.col("block") <= F.col("hi"))).where(F.least("least", "_least") < F.greatest("most", "_most"))
+    same = F.col("block") == F.col("hi")
+    return pairs.select(F.col("block").alias("lo"), "hi", "times", "x", F.when(same, F.slice("y", 1, 0)).otherwise(F.col("y")).alias("y"))
 
 
 def _bounds(*keys: np.ndarray) -> np.ndarray:
@@ -392,106 +402,36 @@ def _bounds(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _block_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For pairs of blocks: their classes, and the lists that have members in both."""
-
-    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        heads, members = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
-        lo, hi, times, length = heads
-        order = np.lexsort((hi, lo))
-        # Members follow their lists.
-        begin = np.cumsum(length) - length
-        at = np.repeat(begin[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(members.shape[1])
-        lo, hi, times, length = heads[:, order]
-        cls, size, comp, late = members[:, at]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        groups, rows, late = _bounds(lo, hi), [], late.astype(np.uint8)
-        held = [(x.tobytes(), x.itemsize) for x in (cls, size, comp, late)]
-        counts, weights = (x.astype(np.uint32).tobytes() for x in (length, times))
-        for i, j, p, q, m, n in zip(*(x.tolist() for x in (groups[:-1], groups[1:], upto[groups[:-1]], upto[groups[1:]], lo[groups[:-1]], hi[groups[:-1]])), strict=True):
-            if j - i == 1:  # the members of one list differ
-                of_classes, back = [x[k * p : k * q] for x, k in held], np.arange(q - p)
-            else:
-                classes, place, back = np.unique(cls[p:q], return_index=True, return_inverse=True)
-                of_classes = [classes.tobytes(), *(x[p:q][place].tobytes() for x in (size, comp, late))]
-            rows.append((m, n, *of_classes, back.astype(np.uint32).tobytes(), counts[4 * i : 4 * j], weights[4 * i : 4 * j]))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOCK_TYPES, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
-
-    parts, held = [], 0
-    for batch in batches:
-        members, sizes, comps, block = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4))
-        length = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-        run = np.repeat(np.arange(len(length)), length)
-        order = np.lexsort((members, block, run))
-        members, sizes, comps, block, run = (x[order] for x in (members, sizes >> 1, comps, block, run))
-        edge = _bounds(run, block)
-        first, last = edge[:-1], edge[1:]
-        if not len(first):
-            continue
-        owner, where, times = run[first], block[first], batch.column(4).to_numpy(zero_copy_only=False)[run[first]]
-        least, most = np.minimum.reduceat(comps, first), np.maximum.reduceat(comps, first)
-        i, lag = np.arange(len(first)), 0
-        while len(i):
-            j = i + lag
-            fit = np.minimum(least[i], least[j]) < np.maximum(most[i], most[j])  # several components
-            p, q = i[fit], j[fit]
-            start, count = np.stack([first[p], first[q]], 1), np.stack([last[p] - first[p], (last[q] - first[q]) * (lag > 0)], 1)
-            for k in _pieces(count.sum(1), HELD_PAIRS):
-                c = count[k].ravel()
-                at = np.repeat(start[k].ravel() - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                late = np.repeat(np.tile([0, 1], len(c) // 2), c)
-                parts.append((np.stack([where[p[k]], where[q[k]], times[p[k]], count[k].sum(1)]), np.stack([members[at], sizes[at], comps[at], late])))
-                held += len(at)
-                if held >= HELD_PAIRS:
-                    yield packed(parts)
-                    parts, held = [], 0
-            lag += 1
-            i = i[i + lag < len(first)]
-            i = i[owner[i + lag] == owner[i]]
-    if parts:
-        yield packed(parts)
-
-
-def _pieces(weights: np.ndarray, limit: int) -> Iterator[slice]:
-    """Consecutive slices of about ``limit`` in weight."""
-    upto, a = np.cumsum(weights), 0
-    while a < len(weights):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + limit, side="right")))
-        yield slice(a, b)
-        a = b
-
-
-def _common_lists(lo: int, hi: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
-    """Of one pair of blocks the classes and pairs of them (as places) that have enough entries in common."""
-    every = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-    classes, place, back = np.unique(every, return_index=True, return_inverse=True)
-    n, comp = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows])[place] for k in (1, 2))
-    late = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])[place].astype(bool)
+def _common_lists(lists: list[tuple[np.ndarray, ...]], same: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of one pair of blocks the classes and pairs of them (as places) that have enough entries in common.
+
+    ``lists`` holds, some lists at a time: class, size, component and side (1 for the later block) of all members, the members of each
+    list, and the times of each.
+    """
+    cls, n, comp, side, length, times = (np.concatenate(x) for x in zip(*lists, strict=True))
+    classes, place, member = np.unique(cls, return_index=True, return_inverse=True)
+    n, comp, late = n[place], comp[place], side[place].astype(bool)
     one = np.flatnonzero(~late)
-    other = np.flatnonzero(late) if lo != hi else one
+    other = one if same else np.flatnonzero(late)
     if not (len(one) and len(other)):
         return None
     at = np.zeros(len(classes), np.int64)  # row of a class in the matrix, or column
     at[one] = np.arange(len(one))
     at[other] = np.arange(len(other))
-    common, base = np.zeros((len(one), len(other)), np.float32), 0
-    for c, _, _, _, m, k, t in rows:
-        member = back[base + np.frombuffer(m, np.uint32).astype(np.int64)]
-        base += len(c) // 8
-        length, times = np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(t, np.uint32)
-        upto = np.concatenate([[0], np.cumsum(length)])
-        for a in range(0, len(length), LISTS):
-            b = min(a + LISTS, len(length))
-            x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
-            left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
-            first = ~late[x]
-            left[of[first], at[x[first]]] = 1.0
-            second = ~first if lo != hi else first
-            right[of[second], at[x[second]]] = 1.0
-            common += (left * times[a:b, None]).T @ right
+    common = np.zeros((len(one), len(other)), np.float32)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    for a in range(0, len(length), LISTS):
+        b = min(a + LISTS, len(length))
+        x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
+        left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
+        first = ~late[x]
+        left[of[first], at[x[first]]] = 1.0
+        second = first if same else ~first
+        right[of[second], at[x[second]]] = 1.0
+        common += (left * times[a:b, None]).T @ right
     i, j = np.nonzero(common)
     p, q = one[i], other[j]
-    if lo == hi:
+    if same:
         i, j, p, q = (x[p < q] for x in (i, j, p, q))
     small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
     fit = (comp[p] != comp[q]) & (100 * small >= PERCENT * large) & (common[i, j] >= least_common(small, large))
@@ -502,45 +442,60 @@ def _common_lists(lo: int, hi: int, rows: list[tuple]) -> tuple[np.ndarray, np.n
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidate pairs that have enough entries in common, of rows sorted by pairs of blocks."""
-
-    def runs_of() -> Iterator[tuple[int, int, list[tuple]]]:
-        now, held = None, []
-        for batch in batches:
-            lo, hi, *rest = (batch.column(k).to_pylist() for k in range(len(_BLOCK_TYPES)))
-            for key, row in zip(zip(lo, hi, strict=True), zip(*rest, strict=True), strict=True):
-                if key != now and held:
-                    yield *now, held
-                    held = []
-                now = key
-                held.append(row)
-        if held:
-            yield *now, held
+    """The candidate pairs that have enough entries in common, of lists sorted by pairs of blocks."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "classes", "pairs"])
 
-    rows, size = [], 0
-    for lo, hi, own in runs_of():
-        if len(own) == 1 and len(own[0][0]) == 16:  # two classes; all their lists have both
-            (n, m), (x, y) = struct.unpack("<qq", own[0][1]), struct.unpack("<qq", own[0][2])
-            count = sum(struct.unpack(f"<{len(own[0][6]) // 4}I", own[0][6]))
-            small, large = min(n, m), max(n, m)
-            overlap = -(-PERCENT * (small + large) // (100 + PERCENT))
-            if x == y or 100 * small < PERCENT * large or count < max(1, overlap + PERCENT * -large // 100 + 1):
-                continue
-            found = struct.unpack("<qq", own[0][0]), b"\0\0\0\0\1\0\0\0"
-        else:
-            found = _common_lists(lo, hi, own)
-            if found is None:
+    rows: list[tuple] = []
+    open_, lists = None, []
+
+    def closed() -> None:
+        if lists:
+            found = _common_lists(lists, open_[0] == open_[1])
+            if found is not None:
+                rows.append((*open_, found[0].tolist(), found[1].astype(np.uint32).tobytes()))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lo, hi, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        nx, ny = (batch.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+        parts = [[batch.column(k).flatten().field(f).to_numpy(zero_copy_only=False) for f in range(3)] for k in (3, 4)]
+        # Members of a list: those of x, then those of y.
+        total = nx + ny
+        begin = np.cumsum(total) - total
+        where = [np.repeat(begin - (np.cumsum(nx) - nx), nx) + np.arange(nx.sum()), np.repeat(begin + nx - (np.cumsum(ny) - ny), ny) + np.arange(ny.sum())]
+        members = np.empty((4, int(total.sum())), np.int64)
+        for k in (0, 1):
+            for f in range(3):
+                members[f, where[k]] = parts[k][f]
+            members[3, where[k]] = k
+        upto = np.append(begin, total.sum())
+        groups = _bounds(lo, hi)
+        # Most pairs of blocks have one list of two members in common; those are settled at once.
+        single = (total == 2) & (np.diff(groups)[np.searchsorted(groups, np.arange(len(lo)), side="right") - 1] == 1)
+        single[[0, -1]] = False  # the first and the last pair of blocks may go on in another batch
+        at = begin[np.flatnonzero(single)]
+        n, m = members[1, at], members[1, at + 1]
+        small, large = np.minimum(n, m), np.maximum(n, m)
+        good = (members[2, at] != members[2, at + 1]) & (100 * small >= PERCENT * large) & (times[single] >= least_common(small, large))
+        for a, c, one, other in zip(lo[single][good].tolist(), hi[single][good].tolist(), members[0, at][good].tolist(), members[0, at + 1][good].tolist(), strict=True):
+            rows.append((a, c, [one, other], b"\0\0\0\0\1\0\0\0"))
+        for i, j in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            if single[i]:
                 continue
-            found = found[0].tolist(), found[1].astype(np.uint32).tobytes()
-        rows.append((lo, hi, *found))
-        size += len(found[1])
-        if size >= HELD_BYTES:
+            key = (int(lo[i]), int(hi[i]))
+            if key != open_:
+                closed()
+                open_, lists = key, []
+            p, q = upto[i], upto[j]
+            lists.append((*members[:, p:q], total[i:j], times[i:j]))
+        if sum(len(r[3]) for r in rows) >= HELD_BYTES:
             yield batch_of(rows)
-            rows, size = [], 0
+            rows.clear()
+    closed()
     if rows:
         yield batch_of(rows)
 
@@ -682,18 +637,18 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(shuffle_partitions(docs.sparkSession), -(-5 * (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES))
     shared = cut(_shared_entries(known, _bitmap(survey), buckets, clash))
     release(docs.sparkSession)
-    seen = cut(_closest(_hub_pairs(shared, None), 1))
+    seen = cut(_closest(_hub_pairs(shared), 1))
     comps = components(cut(_verified(known, speakers, seen, clash)))
     for turn in range(ROUNDS):
         release(docs.sparkSession)
-        near = _between_components(shared, comps).drop("run").mapInArrow(lambda it, turn=turn: _pairs(it, _neighbours(turn)), _PAIR)
+        near = _neighbours(_between_components(shared, comps), turn)
         more = cut(_closest(_summed(near), NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
         found = cut(_verified(known, speakers, more, clash))
         seen, comps = seen.unionByName(more), _joined(comps, found)
         if found.count() < 0.05 * more.count():
             break
     release(docs.sparkSession)
-    blocks = _in_blocks(cut(_between_components(shared, comps))).mapInArrow(_block_lists, _BLOCKS)
+    blocks = _in_blocks(cut(_between_components(shared, comps)))
     blocks = blocks.repartition(4 * shuffle_partitions(docs.sparkSession), "lo", "hi").sortWithinPartitions("lo", "hi")
     rest = cut(blocks.mapInArrow(_settled, "a bigint, chunk bigint, classes array<bigint>, pairs binary"))
     release(docs.sparkSession)

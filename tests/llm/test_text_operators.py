@@ -401,6 +401,27 @@ def test_jaccard_join(frame, monkeypatch, frequent):
     assert jaccard.link_documents(frame(EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("hot, ordered, block, rounds, frequent", [(2, 3, 4, 0, 1), (2, 1000, 2, 1, 4), (5, 4, 100, 2, 1000), (10**6, 2, 5, 0, 2)])
+def test_families_around_the_threshold(frame, monkeypatch, hot, ordered, block, rounds, frequent):
+    """Near copies with all numbers of edits, whose lists and blocks are divided as those of large families are."""
+    for name, value in (("HOT", hot), ("ORDERED", ordered), ("BLOCK", block), ("ROUNDS", rounds), ("FREQUENT", frequent), ("LISTS", 3), ("CHUNK", 2), ("HELD_BYTES", 200)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(hot + block)
+    rows = []
+    for family in range(5):
+        n = rnd.choice([25, 40, 90])
+        base = [f"f{family}w{k}" for k in range(n)]
+        for _ in range(28):
+            words = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                words[rnd.randrange(n)] = f"e{rnd.randrange(40)}"
+            rows.append((len(rows), " ".join(words[rnd.randint(0, 3) :]), None))
+    want = brute_links(rows)
+    out = jaccard.link_documents(frame(rows).repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+    assert 5 < len(set(want.values())) < len(rows)
+
+
 def test_similar_sets_share_entries():
     """Any two sets that are similar enough have an index entry in common, whatever tokens count as frequent."""
     rng = np.random.default_rng(4)
