@@ -89,4 +89,5 @@ def test_control_takes_whole_sets(spark, run, monkeypatch):
     monkeypatch.setattr(graph, "bounded_path_circuit", lambda e, a, b, k: seen.append((a.count(), b.count())) or real(e, a, b, k))
     rows = [(i, i % 6, f"2024-01-01 00:00:{i:02d}", "click" if i % 6 < 3 else "view", 1.0) for i in range(30)]
     got = run("bounded_equals_shortest_k1", events=(rows, "event_id long, user_id long, ts string, event_type string, value double"))
-    assert [tuple(r) for r in got] == [(0, 0)] and seen == [(3, 3)]
+    # The one edge from a click to a view is that from 2 to 3.
+    assert [tuple(r) for r in got] == [(0, 0, 2, 2)] and seen == [(3, 3)]
