@@ -49,7 +49,7 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(offsets) else (data[:0], np.zeros(1, np.int64))
 
 
-def pieces_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text; one row is never split."""
     _, offsets = utf8_of(batch.column(batch.schema.get_field_index(text)))
     start = 0

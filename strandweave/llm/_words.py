@@ -11,6 +11,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of text whose words are hashed at a time, unless one word is longer.
+SPAN = 1 << 18
 #: An odd multiplier and its inverse modulo 2**64, for polynomial word hashes.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -46,14 +48,20 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverses = _tables(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
-            return mixed((sums[self.end] - sums[self.start]) * inverses[self.start])
+        """A 64-bit hash of each word's bytes, some words at a time."""
+        n, i = len(self.start), 0
+        out = np.empty(n, np.uint64)
+        while i < n:
+            a = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, a + SPAN, side="right")))
+            part, start, end = self.data[a : int(self.end[j - 1])], self.start[i:j] - a, self.end[i:j] - a
+            powers, inverses = _tables(len(part) + 1)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=sums[1:])
+                out[i:j] = mixed((sums[end] - sums[start]) * inverses[start])
+            i = j
+        return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:

@@ -72,6 +72,9 @@ MAX_CLASHES = 100_000
 BROADCAST_ROWS, BROADCAST_PAIRS = 200_000, 1_000_000
 
 
+_FIRST = np.ones(1, bool)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Ascending distinct shingle hashes of each text; empty without words."""
     found = words_of(LOWER[data], offsets)
@@ -80,7 +83,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     sets = []
     for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            sets.append(np.unique(grams[a : b - SHINGLE + 1]))
+            own = np.sort(grams[a : b - SHINGLE + 1])
+            sets.append(own[np.concatenate([_FIRST, own[1:] != own[:-1]])])
         elif b > a:
             sets.append(runs(np.concatenate([hashes[a:b], np.array([b - a], np.uint64)]), b - a + 1)[:1])
         else:
@@ -88,14 +92,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def class_key(tokens: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit keys of a set, independent of each other."""
+def class_keys(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Two signed 64-bit keys of each set, independent of each other."""
+    size = np.array([len(x) for x in sets], np.int64)
+    sums, folds = np.zeros((2, len(sets)), np.uint64), np.zeros((2, len(sets)), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        tokens = np.concatenate(sets)
+        begin = (np.cumsum(size) - size)[full]
+        for k, x in enumerate((mixed(tokens), mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
+            sums[k, full], folds[k, full] = np.add.reduceat(x, begin), np.bitwise_xor.reduceat(x, begin)
+    folds ^= size.astype(np.uint64)
     with np.errstate(over="ignore"):
-        one, other = mixed(tokens), mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        total = one.sum(dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        fold = np.bitwise_xor.reduce(other, initial=np.uint64(len(tokens)))
-        again = other.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(one, initial=np.uint64(len(tokens)))
-        return tuple(mixed(np.array([total ^ fold, again], np.uint64)).view(np.int64).tolist())
+        one = sums[0] * np.uint64(0xFF51AFD7ED558CCD) ^ folds[1]
+        other = sums[1] * np.uint64(0x9E3779B97F4A7C15) + folds[0]
+    return list(zip(mixed(one).view(np.int64).tolist(), mixed(other).view(np.int64).tolist(), strict=True))
+
+
+def class_key(tokens: np.ndarray) -> tuple[int, int]:
+    return class_keys([tokens])[0]
 
 
 def _position(tokens: np.ndarray) -> np.ndarray:
@@ -155,8 +170,7 @@ def _distinct_classes(batches: Iterator[pa.RecordBatch], clash: frozenset[int])
     for big in batches:
         for batch in pieces_by_bytes(big, "_sw_text"):
             sets = shingle_sets(*utf8_of(batch.column("_sw_text")))
-            keys = [class_key(s) for s in sets]
-            yield batch, sets, [other if one in clash else one for one, other in keys]
+            yield batch, sets, [other if one in clash else one for one, other in class_keys(sets)]
 
 
 def _survey(frame: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ def _survey(frame: DataFrame) -> DataFrame:
             known: dict[tuple[int, int], np.ndarray] = {}
             for batch in pieces_by_bytes(big, "_sw_text"):
                 sets = shingle_sets(*utf8_of(batch.column("_sw_text")))
-                keys = [class_key(s) for s in sets]
+                keys = class_keys(sets)
                 known.update(zip(keys, sets, strict=True))
                 m = batch.num_rows
                 values = [[0] * m, batch.column("_sw_id"), [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [None] * m, [None] * m]
