@@ -64,8 +64,8 @@ CHUNK = 64
 BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Bytes of sets or pairs that one task holds before it passes them on.
 HELD_BYTES = 16 << 20
-#: Lists whose common members are counted by one product of matrices.
-LISTS = 4096
+#: Lists whose common members are counted by one product of matrices, and members of lists that are looked at together.
+LISTS, MEMBERS = 4096, 200_000
 #: More clashing keys than this point to broken hashes.
 MAX_CLASHES = 100_000
 #: Most classes, and comparisons of classes, that are broadcast when their texts are read again.
@@ -416,43 +416,75 @@ def _bounds(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _common_lists(lists: list[tuple[np.ndarray, ...]], same: bool) -> tuple[np.ndarray, np.ndarray] | None:
-    """Of one pair of blocks the classes and pairs of them (as places) that have enough entries in common.
-
-    ``lists`` holds, some lists at a time: class, size, component and side (1 for the later block) of all members, the members of each
-    list, and the times of each.
-    """
-    cls, n, comp, side, length, times = (np.concatenate(x) for x in zip(*lists, strict=True))
-    classes, place, member = np.unique(cls, return_index=True, return_inverse=True)
-    n, comp, late = n[place], comp[place], side[place].astype(bool)
-    one = np.flatnonzero(~late)
-    other = one if same else np.flatnonzero(late)
-    if not (len(one) and len(other)):
-        return None
-    at = np.zeros(len(classes), np.int64)  # row of a class in the matrix, or column
-    at[one] = np.arange(len(one))
-    at[other] = np.arange(len(other))
-    common = np.zeros((len(one), len(other)), np.float32)
-    upto = np.concatenate([[0], np.cumsum(length)])
-    for a in range(0, len(length), LISTS):
-        b = min(a + LISTS, len(length))
-        x, of = member[upto[a] : upto[b]], np.repeat(np.arange(b - a), length[a:b])
-        left, right = np.zeros((b - a, len(one)), np.float32), np.zeros((b - a, len(other)), np.float32)
-        first = ~late[x]
-        left[of[first], at[x[first]]] = 1.0
-        second = first if same else ~first
-        right[of[second], at[x[second]]] = 1.0
-        common += (left * times[a:b, None]).T @ right
-    i, j = np.nonzero(common)
-    p, q = one[i], other[j]
-    if same:
-        i, j, p, q = (x[p < q] for x in (i, j, p, q))
-    small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-    fit = (comp[p] != comp[q]) & (100 * small >= PERCENT * large) & (common[i, j] >= least_common(small, large))
-    if not fit.any():
-        return None
-    held, back = np.unique(np.concatenate([p[fit], q[fit]]), return_inverse=True)
-    return classes[held], back.reshape(2, -1)
+class _Side:
+    """The classes of one block in the order in which they are met."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, int] = {}
+        self.rows: list[tuple[int, int, int]] = []
+
+    def places(self, cls: np.ndarray, n: np.ndarray, comp: np.ndarray) -> np.ndarray:
+        each, first, back = np.unique(cls, return_index=True, return_inverse=True)
+        found = np.empty(len(each), np.int64)
+        for k, (c, f) in enumerate(zip(each.tolist(), first.tolist(), strict=True)):
+            if c not in self.at:
+                self.at[c] = len(self.rows)
+                self.rows.append((c, int(n[f]), int(comp[f])))
+            found[k] = self.at[c]
+        return found[back]
+
+    def columns(self) -> np.ndarray:
+        return np.array(self.rows, np.int64).reshape(-1, 3).T
+
+
+class _Tally:
+    """Common entries of the classes of a pair of blocks.  It grows with the blocks, not with the lists that are added."""
+
+    def __init__(self, same: bool):
+        self.same, self.one = same, _Side()
+        self.other = self.one if same else _Side()
+        self.common = np.zeros((0, 0), np.float32)
+
+    def add(self, members: np.ndarray, length: np.ndarray, times: np.ndarray) -> None:
+        """Lists: class, size, component and side (1 for the later block) of all members, the members of each list, and its times."""
+        late = members[3].astype(bool)
+        list_of = np.repeat(np.arange(len(length)), length)
+        x = self.one.places(*members[:3, ~late]), list_of[~late]
+        y = x if self.same else (self.other.places(*members[:3, late]), list_of[late])
+        shape = len(self.one.rows), len(self.other.rows)
+        if shape != self.common.shape:
+            old, self.common = self.common, np.zeros(shape, np.float32)
+            self.common[: old.shape[0], : old.shape[1]] = old
+        for a in range(0, len(length), LISTS):
+            b = min(a + LISTS, len(length))
+            left, right = np.zeros((b - a, shape[0]), np.float32), np.zeros((b - a, shape[1]), np.float32)
+            for table, (place, of) in ((left, x), (right, y)):
+                i, j = np.searchsorted(of, (a, b))  # members lie in the order of their lists
+                table[of[i:j] - a, place[i:j]] = 1.0
+            self.common += (left * times[a:b, None]).T @ right
+
+    def found(self) -> tuple[list[int], bytes] | None:
+        """The classes, and pairs of them as places, that have enough entries in common."""
+        i, j = np.nonzero(self.common)
+        if self.same:
+            i, j = i[i < j], j[i < j]
+        (c, n, comp), (d, m, other) = self.one.columns(), self.other.columns()
+        small, large = np.minimum(n[i], m[j]), np.maximum(n[i], m[j])
+        fit = (comp[i] != other[j]) & (100 * small >= PERCENT * large) & (self.common[i, j] >= least_common(small, large))
+        if not fit.any():
+            return None
+        held, back = np.unique(np.concatenate([c[i[fit]], d[j[fit]]]), return_inverse=True)
+        return held.tolist(), back.reshape(2, -1).astype(np.uint32).tobytes()
+
+
+def _by_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``MEMBERS`` members of lists."""
+    for batch in batches:
+        upto, a = np.cumsum(sum(batch.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MEMBERS, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,17 +495,14 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "chunk", "classes", "pairs"])
 
     rows: list[tuple] = []
-    open_, lists = None, []
+    open_, tally = None, None
 
     def closed() -> None:
-        if lists:
-            found = _common_lists(lists, open_[0] == open_[1])
-            if found is not None:
-                rows.append((*open_, found[0].tolist(), found[1].astype(np.uint32).tobytes()))
+        found = tally.found() if tally is not None else None
+        if found is not None:
+            rows.append((*open_, *found))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _by_members(batches):
         lo, hi, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         nx, ny = (batch.column(k).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
         parts = [[batch.column(k).flatten().field(f).to_numpy(zero_copy_only=False) for f in range(3)] for k in (3, 4)]
@@ -503,9 +532,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (int(lo[i]), int(hi[i]))
             if key != open_:
                 closed()
-                open_, lists = key, []
-            p, q = upto[i], upto[j]
-            lists.append((*members[:, p:q], total[i:j], times[i:j]))
+                open_, tally = key, _Tally(key[0] == key[1])
+            tally.add(members[:, upto[i] : upto[j]], total[i:j], times[i:j])
         if sum(len(r[3]) for r in rows) >= HELD_BYTES:
             yield batch_of(rows)
             rows.clear()

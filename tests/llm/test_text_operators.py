@@ -403,7 +403,7 @@ def test_jaccard_join(frame, monkeypatch, frequent):
 @pytest.mark.parametrize("hot, ordered, block, rounds, frequent", [(2, 3, 4, 0, 1), (2, 1000, 2, 1, 4), (5, 4, 100, 2, 1000), (10**6, 2, 5, 0, 2)])
 def test_families_around_the_threshold(frame, monkeypatch, hot, ordered, block, rounds, frequent):
     """Near copies with all numbers of edits, whose lists and blocks are divided as those of large families are."""
-    for name, value in (("HOT", hot), ("ORDERED", ordered), ("BLOCK", block), ("ROUNDS", rounds), ("FREQUENT", frequent), ("LISTS", 3), ("CHUNK", 2), ("HELD_BYTES", 200)):
+    for name, value in (("HOT", hot), ("ORDERED", ordered), ("BLOCK", block), ("ROUNDS", rounds), ("FREQUENT", frequent), ("LISTS", 3), ("MEMBERS", 7), ("CHUNK", 2), ("HELD_BYTES", 200)):
         monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(hot + block)
     rows = []
