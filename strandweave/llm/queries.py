@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, sentencepiece_codec, sharding, urlfilter, warc
+from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, runs, sentencepiece_codec, sharding, urlfilter, warc
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -93,6 +96,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def periodic_tails(ids: pa.Array, first: np.ndarray) -> np.ndarray:
+    """The word that stands at each place once a tenth of the texts, by crc32 of the id, repeat a stretch of theirs to the end."""
+    source = np.arange(first[-1])
+    for doc_id, start, n in zip(ids.to_pylist(), first[:-1].tolist(), np.diff(first).tolist(), strict=True):
+        h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            source[start + a : start + n] = start + a + np.arange(n - a) % p
+    return source
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_tails)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    length, period = -F.col("best.length"), F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.expr("-best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -108,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9_fingerprints,
         "op9_edited_texts": op9_edited_texts,
         "op10_packing": op10_packing,
+        "op12_word_runs": op12_word_runs,
     }
 
 
