@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, jaccard, langid, line_dedup, packing, quality, runs, sentencepiece_codec, sharding, urlfilter, warc
+from strandweave.llm import fingerprint, jaccard, langid, line_dedup, negatives, packing, quality, runs, sentencepiece_codec, sharding, urlfilter, warc
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -120,6 +120,12 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("id") % 100 == 0, "vec_id", "embedding", "label", scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -136,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_edited_texts": op9_edited_texts,
         "op10_packing": op10_packing,
         "op12_word_runs": op12_word_runs,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -264,8 +271,27 @@ FROM texts
 """
 
 
+_OP13 = """
+WITH known AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM known a JOIN known b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), found AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": _OP2, "op5_warc_fixity": _OP5, "op6_ngram_jaccard_join": _OP6, "op7_url_filter": _OP7, "op7_url_filter_junk_labels": _OP7_JUNK,
-        "op8_quality_base": _OP8, "op9_edited_texts": _OP9,
+        "op8_quality_base": _OP8, "op9_edited_texts": _OP9, "op13_hard_negatives": _OP13,
     }
