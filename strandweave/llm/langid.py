@@ -307,9 +307,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict_batch(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and number of switches between words of each text; texts without a letter get ``und`` and 0."""
-    f = features_of(data, offsets)
+def predict_batch(model: Model, data: np.ndarray, offsets: np.ndarray, f: Features | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and number of switches between words of each text; texts without a letter get ``und`` and 0.
+
+    ``f`` are the texts' features where they are known already.
+    """
+    f = features_of(data, offsets) if f is None else f
     n = len(offsets) - 1
     means, switches = np.zeros((n, len(model.langs))), np.zeros(n, np.int64)
     if len(f.prefix):
@@ -347,7 +350,7 @@ def word_labels(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[lis
     return [rows[a:b] for a, b in zip(f.first[:-1].tolist(), f.first[1:].tolist(), strict=True)]
 
 
-def _over_batches(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...] | None, made: dict[str, str], work) -> DataFrame:
+def over_batches(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...] | None, made: dict[str, str], work) -> DataFrame:
     """``keep`` columns of ``docs`` with those that ``work(model, bytes, offsets)`` makes, as lists by name."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     frame = docs.select(*names, F.col(text_col).alias("_sw_text"))
@@ -379,7 +382,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         n = len(offsets) - 1
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
 
-    return _over_batches(docs, model, text_col, keep, {"lang_pred": "string", "score": "double", "n_switches": "bigint"}, work)
+    return over_batches(docs, model, text_col, keep, {"lang_pred": "string", "score": "double", "n_switches": "bigint"}, work)
 
 
 def label_words(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -393,4 +396,4 @@ def label_words(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
     def work(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
         return ((word_labels(model, data, offsets) if model.langs else [[] for _ in offsets[1:]]),)
 
-    return _over_batches(docs, model, text_col, keep, {"words": "array<struct<start: bigint, end: bigint, label: string, probability: double>>"}, work)
+    return over_batches(docs, model, text_col, keep, {"words": "array<struct<start: bigint, end: bigint, label: string, probability: double>>"}, work)

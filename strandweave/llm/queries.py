@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import fingerprint, jaccard, langid, line_dedup, negatives, packing, quality, runs, sentencepiece_codec, sharding, urlfilter, warc
+from strandweave.llm import fingerprint, jaccard, langid, line_dedup, negatives, packing, quality, runs, sentencepiece_codec, sharding, toxicity, urlfilter, warc
 from strandweave.llm._common import table
 
 SHARDS = 24
@@ -96,6 +96,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = toxicity.fold_of(F.col("doc_id"), 4)
+    model = toxicity.fit(docs.where(fold != 2), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model, keep=("doc_id",))
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted", "lang_pred")
+
+
 def periodic_tails(ids: pa.Array, first: np.ndarray) -> np.ndarray:
     """The word that stands at each place once a tenth of the texts, by crc32 of the id, repeat a stretch of theirs to the end."""
     source = np.arange(first[-1])
@@ -141,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9_fingerprints,
         "op9_edited_texts": op9_edited_texts,
         "op10_packing": op10_packing,
+        "op11_toxicity": op11_toxicity,
         "op12_word_runs": op12_word_runs,
         "op13_hard_negatives": op13_hard_negatives,
     }
