@@ -13,7 +13,8 @@ random order, beside the texts themselves.
 
 Chains are long and short, so they are cut into chunks that advance in lockstep:
 first every chunk's transfer matrix, then the states at the chunk edges, then the
-states inside.  The result is that of one pass along the whole text.
+states inside.  The result is that of one pass along the whole text.  With many languages
+whole chains advance in lockstep.
 """
 
 from __future__ import annotations
@@ -33,19 +34,26 @@ from pyspark.sql.window import Window
 from strandweave.llm._common import pieces_by_bytes, utf8_of
 from strandweave.llm._words import Words, words_of
 
-#: Bounds of the training sample: documents for each language, code points of a document, and of all together.
+#: Bounds of the training sample: documents for each language, code points of a document (a passage of a longer one), of all together,
+#: and of all together times the number of languages.
 TRAIN_DOCS = 150
 TRAIN_CHARS = 20_000
 TRAIN_TOTAL = 4_000_000
+TRAIN_CELLS = 64_000_000
+#: Words times languages whose states training holds at a time, unless one text has more.
+BATCH_CELLS = 1 << 21
 #: More labels than this are refused.
 MAX_LANGS = 200
+#: Bytes of text times languages whose states a task holds at a time, unless one text has more.
+PIECE_CELLS = 1 << 23
 #: Code-switched chains for each training text, passages in one, and words of a passage.
 MIXED, PASSAGES, PASSAGE_WORDS = 0.5, 4, (2, 40)
 EPOCHS = 25
 RATE = 0.3
 DECAY = 1e-4
 GRAM_BITS, AFFIX_BITS, LEXICON_BITS = 16, 15, 16
-CHUNK = 64
+#: Words of a chunk of a chain; a chunk's transfer matrix costs the cube of the number of languages, so beyond CHUNK_LANGS chains stay whole.
+CHUNK, CHUNK_LANGS = 64, 16
 UNKNOWN = "und"
 
 #: Lower-cased letters and all bytes beyond ASCII stay, everything else parts words.
@@ -133,15 +141,16 @@ def forward_backward(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray
     step = np.exp(trans.astype(np.float64))
     alpha, beta = np.empty((n, k)), np.empty((n, k))
     lengths = np.diff(first)
-    per = -(-lengths // CHUNK)
+    chunk = CHUNK if k <= CHUNK_LANGS else max(1, int(lengths.max(initial=0)))
+    per = -(-lengths // chunk)
     chain = np.repeat(np.arange(len(lengths)), per)
     begin_chunk = np.concatenate([[0], np.cumsum(per)])
     number = np.arange(len(chain)) - begin_chunk[chain]
-    start = first[chain] + number * CHUNK
-    size = np.minimum(CHUNK, first[chain + 1] - start)
+    start = first[chain] + number * chunk
+    size = np.minimum(chunk, first[chain + 1] - start)
     order = np.argsort(-size, kind="stable")
     start_o, size_o = start[order], size[order]
-    alive = [int(np.searchsorted(-size_o, -t, side="left")) for t in range(CHUNK + 1)]  # chunks of more than t words
+    alive = np.searchsorted(-size_o, -np.arange(chunk + 1), side="left").tolist()  # chunks of more than t words
     most = int(size.max()) if len(size) else 0
     # Transfer matrices, only of chains with several chunks.
     enter_a = np.full((len(chain), k), 1.0 / k)
@@ -182,13 +191,14 @@ def posteriors(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray) -> n
 
 
 def mixed_chains(rows: list[tuple[str, str]], seed: int = 7) -> list[list[tuple[str, str]]]:
-    """Chains of passages (text, lang) from texts of different languages, in a fixed random order."""
+    """Chains of passages (text, lang) from texts of different languages, in a fixed random order; no more words than the texts have."""
     rng = np.random.default_rng(seed)
     words = [(lang, parts) for text, lang in rows if (parts := text.split())]
     if len({lang for lang, _ in words}) < 2:
         return []
     chains = []
-    for _ in range(int(MIXED * len(words))):
+    most = sum(len(parts) for _, parts in words) // (PASSAGES * PASSAGE_WORDS[1] // 2)
+    for _ in range(min(int(MIXED * len(words)), max(1, most))):
         chain: list[tuple[str, str]] = []
         while len(chain) < PASSAGES:
             lang, parts = words[rng.integers(len(words))]
@@ -221,18 +231,32 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
         return model
     number = {lang: j for j, lang in enumerate(langs)}
     word_label = np.repeat(np.array([number[lang] for chain in chains for _, lang in chain]), np.diff(f.first))
-    gram_word = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.concatenate([f.gram_word, [len(f.grams)]])))
-    tables = [(model.grams, f.grams, gram_word), (model.prefix, f.prefix, None), (model.suffix, f.suffix, None), (model.lexicon, f.lexicon, None)]
-    squares = [np.full_like(t, 1e-8) for t, _, _ in tables] + [np.full_like(model.trans, 1e-8)]
+    bounds = np.append(f.gram_word, len(f.grams))
+    params = [model.grams, model.prefix, model.suffix, model.lexicon, model.trans]
+    squares = [np.full_like(t, 1e-8) for t in params]
+    # Batches of whole chains, of bounded size in words times languages.
+    edges = [0]
+    for c in range(1, len(first)):
+        if (first[c] - first[edges[-1]]) * k > BATCH_CELLS and c - 1 > edges[-1]:
+            edges.append(c - 1)
+    edges.append(len(first) - 1)
     for _ in range(epochs):
-        error, trans = gradient(model.emissions(f), model.trans, first, word_label)
-        grads = []
-        for t, ids, words in tables:
-            each = (np.ascontiguousarray(error[:, j]) for j in range(k))  # one label at a time
-            grads.append(np.stack([np.bincount(ids, x if words is None else x[words], len(t)) for x in each], 1))
-        grads.append(trans)
-        for t, g, s in zip([model.grams, model.prefix, model.suffix, model.lexicon, model.trans], grads, squares, strict=True):
-            g = (g / n - DECAY * t / len(grads)).astype(np.float32)
+        grads = [np.zeros(t.shape, np.float32) for t in params]
+        for c0, c1 in zip(edges[:-1], edges[1:], strict=True):
+            a, b = int(first[c0]), int(first[c1])
+            if a == b:
+                continue
+            own = Features(f.grams[bounds[a] : bounds[b]], f.gram_word[a:b] - bounds[a], f.prefix[a:b], f.suffix[a:b], f.lexicon[a:b], first[c0 : c1 + 1] - a)
+            error, trans = gradient(model.emissions(own), model.trans, own.first, word_label[a:b])
+            gram_word = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds[a : b + 1]))
+            for g, ids, words in zip(grads, (own.grams, own.prefix, own.suffix, own.lexicon), (gram_word, None, None, None), strict=False):
+                for j in range(k):  # one label at a time
+                    x = np.ascontiguousarray(error[:, j])
+                    g[:, j] += np.bincount(ids, x if words is None else x[words], len(g))
+            grads[-1] += trans
+        for t, g, s in zip(params, grads, squares, strict=True):
+            g /= n
+            g -= DECAY / 5 * t
             s += g * g
             t += RATE * g / np.sqrt(s)
     return model
@@ -269,22 +293,26 @@ def gradient(emissions: np.ndarray, trans: np.ndarray, first: np.ndarray, labels
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The bounded sample (t, l): for each language at most ``TRAIN_DOCS`` different texts of smallest hash of id and
-    text, ``TRAIN_TOTAL`` code points in all (but one text a language at least).
+    """The bounded sample (d, t, l): for each language at most ``TRAIN_DOCS`` different texts of smallest hash of id and
+    text, ``TRAIN_TOTAL`` code points in all, and no more than ``TRAIN_CELLS`` over the number of languages (but one text a language at least).
 
-    Rows without a text or a language are left out; without any others the sample is empty.  The filter on the hash is set from the language's row count, so no more than
-    a small multiple of the sample is ever moved.
+    Of a text above ``TRAIN_CHARS`` code points a passage of that length is taken, at a place that its hash tells, so a language that has
+    only long texts is learned too.  Rows without a text or a language are left out; without any others the sample is empty.  The filter on the
+    hash is set from the language's row count, so no more than a small multiple of the sample is ever moved.
     """
-    fit = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
+    fit = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in fit.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     where = F.lit(False)
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30))
-    share = TRAIN_TOTAL // max(1, len(counts))
+    langs = max(1, len(counts))
+    share = min(TRAIN_TOTAL, TRAIN_CELLS // langs) // langs
+    over = F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(0)) + 1
+    passage = F.substring(F.col(text_col), (F.pmod(F.xxhash64(text_col), over) + 1).cast("int"), F.lit(TRAIN_CHARS))
     for lang, n in counts.items():
         where = where | ((F.col(lang_col) == lang) & (draw < int(min(1.0, 1.5 * TRAIN_DOCS / n + 20 / n) * (1 << 30))))
-    got = fit.where(where).groupBy(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).agg(F.min(draw).alias("d"))
+    got = fit.where(where).groupBy(F.col(lang_col).alias("l"), passage.alias("t")).agg(F.min(draw).alias("d"))
     upto = F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("d", "t"))
     place = F.row_number().over(Window.partitionBy("l").orderBy("d", "t"))
     kept = got.withColumn("upto", upto).withColumn("place", place).where((F.col("place") <= TRAIN_DOCS) & ((F.col("upto") <= share) | (F.col("place") == 1)))
@@ -350,17 +378,18 @@ def word_labels(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[lis
     return [rows[a:b] for a, b in zip(f.first[:-1].tolist(), f.first[1:].tolist(), strict=True)]
 
 
-def over_batches(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...] | None, made: dict[str, str], work) -> DataFrame:
-    """``keep`` columns of ``docs`` with those that ``work(model, bytes, offsets)`` makes, as lists by name."""
+def over_batches(docs: DataFrame, model, langs: int, text_col: str, keep: tuple[str, ...] | None, made: dict[str, str], work) -> DataFrame:
+    """``keep`` columns of ``docs`` with those that ``work(model, bytes, offsets)`` makes, as lists by name, for a model of ``langs`` languages."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     frame = docs.select(*names, F.col(text_col).alias("_sw_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + [f"{c} {t}" for c, t in made.items()])
     types = [f.type for f in to_arrow_schema(StructType.fromDDL(", ".join(f"{c} {t}" for c, t in made.items())))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    limit = min(1 << 20, PIECE_CELLS // max(1, langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in pieces_by_bytes(big, "_sw_text", 1 << 20):
+            for batch in pieces_by_bytes(big, "_sw_text", limit):
                 values = work(shared.value, *utf8_of(batch.column("_sw_text")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, values, types)], names=[*names, *made])
 
@@ -382,7 +411,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         n = len(offsets) - 1
         return [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
 
-    return over_batches(docs, model, text_col, keep, {"lang_pred": "string", "score": "double", "n_switches": "bigint"}, work)
+    return over_batches(docs, model, len(model.langs), text_col, keep, {"lang_pred": "string", "score": "double", "n_switches": "bigint"}, work)
 
 
 def label_words(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -396,4 +425,4 @@ def label_words(docs: DataFrame, model: Model, text_col: str = "text", keep: tup
     def work(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
         return ((word_labels(model, data, offsets) if model.langs else [[] for _ in offsets[1:]]),)
 
-    return over_batches(docs, model, text_col, keep, {"words": "array<struct<start: bigint, end: bigint, label: string, probability: double>>"}, work)
+    return over_batches(docs, model, len(model.langs), text_col, keep, {"words": "array<struct<start: bigint, end: bigint, label: string, probability: double>>"}, work)

@@ -22,6 +22,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strandweave.llm._common import cut, pieces_by_bytes
 
@@ -91,7 +92,9 @@ def encoder(path: str):
     gives the same ids about five times as fast.  The file's added tokens are found in
     a text before all else, as the library does whether or not it is to add special
     tokens of its own; those with flags that widen or narrow the match are refused.
-    A worker process keeps the encoder.
+    The pattern's matcher gives up on several 100,000 characters of white space in a row;
+    texts with such a run are encoded by the tokenizers library itself.  A worker process
+    keeps the encoder.
     """
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
@@ -102,7 +105,15 @@ def encoder(path: str):
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added and all(c in to_byte for c in token)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: fast.encode_to_numpy(text, allowed_special="all")
+    whole = functools.cache(lambda: Tokenizer.from_file(path))
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def pieces_of(ids: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:

@@ -21,6 +21,8 @@ from strandweave.llm._common import cut
 
 #: Rows that one task ranks at a time.
 RANK_ROWS = 50_000
+#: Marks of groups with more rows than that; a fixed number, so they may be broadcast whatever there is.
+HOT_MARKS = 1 << 16
 
 
 def _literals(values: list[int]) -> Column:
@@ -74,6 +76,20 @@ def _ranked(rows: DataFrame, keys: list[str], buckets: Column, order: list[str],
     return inner.join(sizes, [*keys, "_b"]).withColumn(out, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 
+def _with_plan(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """``base`` with the plan of each row's group, if it has one.
+
+    The rows of a group above ``RANK_ROWS``, and of those few that share its mark, are dealt over several tasks, to which the group's plan is copied.
+    """
+    mark = F.pmod(F.xxhash64("g"), F.lit(HOT_MARKS)).cast("int")
+    hot = plan.where(F.col("group_n") > RANK_ROWS).groupBy(mark.alias("mark")).agg(F.max("group_n").alias("n"))
+    hot = hot.select("mark", F.ceil(F.col("n") / RANK_ROWS).cast("int").alias("ways"))
+    ways = lambda df: df.withColumn("mark", mark).join(F.broadcast(hot), "mark", "left").withColumn("ways", F.coalesce("ways", F.lit(1))).drop("mark")
+    dealt = ways(base).withColumn("way", F.pmod(F.xxhash64("h", "id", F.lit(5)), "ways").cast("int")).drop("ways")
+    copied = ways(plan).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+    return dealt.join(copied, ["g", "way"], "left").drop("way")
+
+
 def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, size (UTF-8 bytes of the text plus 8), text_crc32, shard, slot.
 
@@ -105,7 +121,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 12, id_col:
     plan = cells.groupBy("g").agg(F.sum("n").alias("group_n"), F.array_sort(F.collect_list(F.struct(F.col("shard"), F.col("n")))).alias("parts"))
 
     # Members of a group take its cells in the order of their rank within the group.
-    tagged = base.join(plan, "g", "left")
+    tagged = _with_plan(base, plan)
     singles = tagged.where("group_n is null").select("id", "size", "text_crc32", "g", "h", F.lit(shards).alias("kind"))
     members = tagged.where("group_n is not null").withColumn("buckets", F.ceil(F.col("group_n") / RANK_ROWS))
     members = _ranked(members, ["g"], F.col("buckets"), ["h", "id"], "rank")

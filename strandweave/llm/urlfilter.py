@@ -20,6 +20,8 @@ PROBES = 4
 PER_BLOCK = 5
 #: Largest filter (in blocks of 16 bytes with their key) that is broadcast; beyond it the probe is a shuffled join.
 BROADCAST_BLOCKS = 1 << 20
+#: Tasks over which the pages that probe one block are dealt where that join is shuffled.
+SALTS = 8
 #: Query parameters that do not change what a URL names.
 TRACKING = ("utm_", "ref=")
 #: Rules as (host, path prefix, verdict).
@@ -86,26 +88,38 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col(key), blocks).alias("_sw_block")).agg(F.bit_or(_bits(F.col(key))).alias("_sw_mask"))
 
 
+def _dealt_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Left join of rows whose keys may repeat without limit with a table of different keys, which is copied for each of ``SALTS`` parts of them."""
+    dealt = left.withColumn("_sw_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    copied = right.withColumn("_sw_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, (dealt[left_key] == copied[right_key]) & (dealt["_sw_salt"] == copied["_sw_copy"]), "left").drop("_sw_salt", "_sw_copy")
+
+
 def listed_hits(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with boolean ``is_listed``: whether the canonical URL is in ``listed.url``.
 
-    Null URLs and URLs without ``://`` are never listed.  Rows of ``listed`` may
-    repeat.  Of clashing names, ``is_listed`` made here wins.
+    Null URLs and URLs without ``://`` are never listed, and take part in no join; the pages
+    of one URL are dealt over several tasks to probe the filter.  Rows of ``listed`` may repeat.  Of clashing names, ``is_listed`` made here wins.
     """
     keys = cut(listed.select(canonical(F.col("url")).alias("_sw_listed")).where(F.col("_sw_listed").isNotNull()).distinct())
     count = keys.count()
     blocks = max(1, -(-count // PER_BLOCK))
     filt = bloom_blocks(keys, "_sw_listed", blocks)
-    filt = F.broadcast(filt) if blocks <= BROADCAST_BLOCKS else filt
-    probe = pages.drop("is_listed").withColumn("_sw_key", canonical(F.col(url_col)))
-    probe = probe.withColumn("_sw_probe", _block(F.col("_sw_key"), blocks))
-    mask = F.col("_sw_mask").bitwiseAND(_bits(F.col("_sw_key")))
-    probe = probe.join(filt, probe["_sw_probe"] == filt["_sw_block"], "left").withColumn("_sw_maybe", F.coalesce(mask == _bits(F.col("_sw_key")), F.lit(False)))
+    keyed = pages.drop("is_listed").withColumn("_sw_key", canonical(F.col(url_col)))
     names = [F.col(c) for c in pages.columns if c != "is_listed"]
+    outside = keyed.where(F.col("_sw_key").isNull()).select(*names, F.lit(False).alias("is_listed"))
+    probe = keyed.where(F.col("_sw_key").isNotNull()).withColumn("_sw_probe", _block(F.col("_sw_key"), blocks))
+    if blocks <= BROADCAST_BLOCKS:
+        probe = probe.join(F.broadcast(filt), probe["_sw_probe"] == filt["_sw_block"], "left")
+    else:
+        probe = _dealt_join(probe, filt, "_sw_probe", "_sw_block")
+    mask = F.col("_sw_mask").bitwiseAND(_bits(F.col("_sw_key")))
+    probe = probe.withColumn("_sw_maybe", F.coalesce(mask == _bits(F.col("_sw_key")), F.lit(False)))
     rejected = probe.where(~F.col("_sw_maybe")).select(*names, F.lit(False).alias("is_listed"))
     possible = probe.where("_sw_maybe")
+    # A shuffled left join whose left side is skewed is split by adaptive execution.
     exact = possible.join(keys, possible["_sw_key"] == keys["_sw_listed"], "left")
-    return rejected.unionByName(exact.select(*names, F.col("_sw_listed").isNotNull().alias("is_listed")))
+    return outside.unionByName(rejected).unionByName(exact.select(*names, F.col("_sw_listed").isNotNull().alias("is_listed")))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = DEFAULT_RULES, url_col: str = "url") -> DataFrame:

@@ -3,16 +3,19 @@
 Records lie one behind the other in archives.  A record's place is the archive and
 the byte offset at which it starts.  The records that start within ``RANGE_BYTES`` of
 an archive make a range, whose hash is that of their offsets, lengths and SHA-256 in
-order; ``FANOUT`` consecutive ranges make a branch, and all branches the archive's root.
-The nodes of both replicas are built once, in one table.  Roots are compared first,
-then the branches of archives whose roots differ, then the ranges of differing
-branches, and only the records of differing ranges, so an intact archive costs one
-comparison.  Offsets are hashed too, so records that moved or were padded are found.
+order; ``FANOUT`` consecutive nodes make one of the level above, up to the archive's root, in
+as many levels as the longest archive needs.  Every node has at most ``FANOUT`` children, so none
+gathers an archive.  The nodes of both replicas are built once.  Roots are compared first, then
+level by level the children of nodes that differ, and only the records of differing ranges, so
+an intact archive costs one comparison.  Offsets are hashed too, so records that moved or were
+padded are found.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +30,16 @@ RANGE_BYTES = 64 << 10
 #: A record that starts beyond this many bytes goes to the next archive.
 ARCHIVE_BYTES = RANGE_BYTES * FANOUT * FANOUT
 _MAGIC = "WARC/1.0\r\n"
+#: What the first line of every record begins with, whatever the version.
+_SEPARATOR = "WARC/1."
+_FIRST_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: Bytes of records that the reader passes on at a time.
 BATCH_BYTES = 4 << 20
-_LENGTH = re.compile(rb"^Content-Length: *(\d+) *\r?$", re.I | re.M)
-_ID = re.compile(rb"^WARC-Record-ID: *<urn:page:(-?\d{1,18})> *\r?$", re.I | re.M)
+#: A record whose head announces more than this counts as truncated.
+RECORD_BYTES = 1 << 30
+_LENGTH = re.compile(rb"^Content-Length: *(\d{1,18}) *\r?$", re.I | re.M)
+_ID = re.compile(rb"^WARC-Record-ID: *<?([^>\r\n]*)>? *\r?$", re.I | re.M)
+_OWN_ID = re.compile(r"urn:page:(-?\d{1,18})")
 _URL = re.compile(rb"^WARC-Target-URI: *([^\r\n]*)", re.I | re.M)
 
 
@@ -86,88 +95,133 @@ def write_archives(records: DataFrame, path: str, column: str = "record") -> Non
     dealt.select("archive", body.alias(column)).write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, int, str | None]]:
-    """Start, end, start of the payload and flaw of each record of an archive; together they cover all of its bytes.
+def frames(segments: Iterator[bytes]) -> Iterator[tuple[int, bytes, int, str | None]]:
+    """Offset, bytes, start of the payload in them and flaw of each record of an archive; together they cover all of its bytes.
 
-    Records are framed by their Content-Length, so a payload may hold anything.  Where that does not lead to
-    the record's closing line ends, the record is ``truncated`` and ends before the next line
-    ``WARC/1.0``; bytes that no record's head begins are ``garbage``.
+    ``segments`` are the archive cut before each ``WARC/1.``.  Records are framed by their Content-Length, so a payload may hold
+    anything.  Where that does not lead to the record's closing line ends, the record is ``truncated`` and ends before the
+    next first line of a record; bytes that no record's head begins are ``garbage``.  Beyond one record, nothing is held.
     """
-    magic, at, n = _MAGIC.encode(), 0, len(data)
-    while at < n:
-        head = data.find(b"\r\n\r\n", at) if data.startswith(magic, at) else -1
-        length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
-        body = head + 4 if length else at
-        if length and data[body + int(length[1]) : body + int(length[1]) + 4] == b"\r\n\r\n":
-            end, flaw = body + int(length[1]) + 4, None
-        else:
-            end = data.find(magic, max(body, at + 1))
-            end, flaw = n if end < 0 else end, "truncated" if length else "garbage"
-        yield at, end, body, flaw
-        at = end
+    ahead: deque[bytes] = deque()
+
+    def taken() -> bytes | None:
+        return ahead.popleft() if ahead else next(segments, None)
+
+    at = 0
+    while (own := taken()) is not None:
+        # What does not begin a record belongs to what is before it.
+        parts = [own]
+        while (more := taken()) is not None and not _FIRST_LINE.match(more):
+            parts.append(more)
+        if more is not None:
+            ahead.appendleft(more)
+        own = b"".join(parts)
+        if not own:
+            continue
+        head = own.find(b"\r\n\r\n") if _FIRST_LINE.match(own) else -1
+        length = _LENGTH.search(own, 0, head + 2) if head >= 0 else None
+        body, flaw = (head + 4, "truncated") if length else (0, "garbage")
+        if length and int(length[1]) <= RECORD_BYTES:
+            end = body + int(length[1]) + 4
+            whole, size = [own], len(own)
+            while size < end and (more := taken()) is not None:
+                whole.append(more)
+                size += len(more)
+            joined = b"".join(whole)
+            if joined[end - 4 : end] == b"\r\n\r\n":
+                own, flaw = joined[:end], None
+                if joined[end:]:
+                    ahead.appendleft(joined[end:])
+            else:
+                ahead.extendleft(reversed(whole[1:]))
+        yield at, own, body, flaw
+        at += len(own)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``, an archive in a task.
+    """All records of the archives below ``path``, plain or compressed by gzip (one member or many), of any size.
 
-    Columns: archive (of the folder ``archive=...``, else the path), offset, id, url, record (binary), payload
-    (binary) and flaw, null for a sound record; see ``frames``.  Flawed ones are returned like the others.
+    Columns: archive (of the folder ``archive=...``, else the path), offset (of a compressed archive: in what it holds), record_id (what stands in
+    the head's WARC-Record-ID without its brackets), id (the number in an id that ``record`` made, else null), url, record (binary), payload
+    (binary) and flaw, null for a sound record; see ``frames``.  Flawed ones are returned like the others.  A record is a row, so
+    one of more than ``RECORD_BYTES`` counts as truncated.  An archive is read in parts, which one task puts together again as they
+    stream by; a first line that ends a compressed archive without anything behind it is not seen.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # Spark cuts the files before each separator, which it takes out.
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", _SEPARATOR).text(path)
+    cut_up = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"),
+        F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"),
+    )
+    dealt = cut_up.repartition("path").sortWithinPartitions("path", "part", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("path", "offset", "id", "url", "record", "payload", "flaw")
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string())
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, rows, size = content.as_py(), [], 0
-                for a, b, body, flaw in frames(data):
-                    head = data[a:body]
-                    id_, url = _ID.search(head), _URL.search(head)
-                    payload = data[body : b if flaw else b - 4] if body > a else b""
-                    rows.append((name, a, int(id_[1]) if id_ else None, url[1].decode("utf-8", "replace") if url else None, data[a:b], payload, flaw))
-                    size += b - a
-                    if size >= BATCH_BYTES:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield batch_of(rows)
-
-    found = files.mapInArrow(run, "path string, offset bigint, id bigint, url string, record binary, payload binary, flaw string")
+        names = ("path", "offset", "record_id", "id", "url", "record", "payload", "flaw")
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string())
+        said = lambda found: found[1].decode("utf-8", "replace") if found else None
+
+        def segments(lines: Iterator[tuple[str, int, bytes]]) -> Iterator[bytes]:
+            """One file's bytes, each separator before what it begins."""
+            total, size, compressed = -len(_SEPARATOR), 0, False
+            for name, size, value in lines:
+                compressed = name.endswith(".gz")
+                yield value if total < 0 else _SEPARATOR.encode() + value
+                total += len(_SEPARATOR) + len(value)
+            if not compressed and 0 <= total < size:
+                yield _SEPARATOR.encode()
+
+        rows = ((name, size, value.as_py()) for batch in batches for name, size, value in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), batch.column("value"), strict=True))
+        for name, lines in itertools.groupby(rows, key=lambda r: r[0]):
+            out, held = [], 0
+            for at, data, body, flaw in frames(segments(lines)):
+                head = data[:body]
+                record_id = said(_ID.search(head))
+                own = _OWN_ID.fullmatch(record_id or "")
+                payload = data[body : len(data) if flaw else -4] if body else b""
+                out.append((name, at, record_id, int(own[1]) if own else None, said(_URL.search(head)), data, payload, flaw))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    found = dealt.mapInArrow(run, "path string, offset bigint, record_id string, id bigint, url string, record binary, payload binary, flaw string")
     named = F.regexp_extract("path", "/archive=([^/]*)/[^/]*$", 1)
-    return found.select(F.when(named != "", named).otherwise(F.col("path")).alias("archive"), "offset", "id", "url", "record", "payload", "flaw")
+    return found.select(F.when(named != "", named).otherwise(F.col("path")).alias("archive"), "offset", "record_id", "id", "url", "record", "payload", "flaw")
 
 
-def leaves(read: DataFrame) -> DataFrame:
+def leaves(read: DataFrame, id_col: str = "id") -> DataFrame:
     """Columns archive, offset, length, sha256 and id of records with ``archive`` and ``offset``."""
-    return read.select("archive", "offset", F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), "id")
+    return read.select("archive", "offset", F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), F.col(id_col).alias("id"))
 
 
 def _digest(children: Column, text) -> Column:
     return F.sha2(F.array_join(F.transform(children, text), ";"), 256)
 
 
-def tree(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Nodes (archive, level, node, hash) of leaves: ranges (level 0), branches (1) and the root (2)."""
+def ranges_of(records: DataFrame, keys: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lowest nodes (keys, node, hash) of leaves."""
     at = F.floor(F.col("offset") / range_bytes).cast("bigint").alias("node")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "length", "sha256")))
-    ranges = records.groupBy("archive", at).agg(_digest(ordered, lambda r: F.concat_ws(":", r.offset.cast("string"), r.length.cast("string"), r.sha256)).alias("hash"))
-    own = ranges.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c0"))
-    spell = lambda c: F.concat_ws(":", c.node.cast("string"), c.hash)
-    above = lambda c: F.shiftright(c.node, FANOUT.bit_length() - 1)
-    branch = lambda p: F.struct(p.alias("node"), _digest(F.filter("c0", lambda c: above(c) == p), spell).alias("hash"))
-    own = own.withColumn("c1", F.transform(F.array_distinct(F.transform("c0", above)), branch))
-    own = own.withColumn("c2", F.array(F.struct(F.lit(0).cast("bigint").alias("node"), _digest(F.col("c1"), spell).alias("hash"))))
+    return records.groupBy(*keys, at).agg(_digest(ordered, lambda r: F.concat_ws(":", r.offset.cast("string"), r.length.cast("string"), r.sha256)).alias("hash"))
 
-    def level(k: int) -> Column:
-        return F.transform(f"c{k}", lambda c: F.struct(F.lit(k).alias("level"), c.node.alias("node"), c.hash.alias("hash")))
 
-    levels = [level(k) for k in range(3)]
-    return own.select("archive", F.explode(F.concat(*levels)).alias("n")).select("archive", "n.level", "n.node", "n.hash")
+def level_above(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes of which each has at most ``FANOUT`` of ``nodes`` as children."""
+    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    parent = F.shiftright("node", FANOUT.bit_length() - 1).alias("node")
+    return nodes.groupBy(*keys, parent).agg(_digest(children, lambda c: F.concat_ws(":", c.node.cast("string"), c.hash)).alias("hash"))
+
+
+def tree(records: DataFrame, keys: list[str], range_bytes: int = RANGE_BYTES) -> list[DataFrame]:
+    """Levels of nodes (keys, node, hash), from ranges to roots, each written down; the driver sees only the largest node number."""
+    levels = [cut(ranges_of(records, keys, range_bytes))]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last:
+        levels.append(cut(level_above(levels[-1], keys)))
+        last //= FANOUT
+    return levels
 
 
 def mismatches(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -177,19 +231,17 @@ def mismatches(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES
     stands elsewhere in the archive, where the left side has another; ``extra``: only the right side has one.
     """
     sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    nodes = cut(tree(left, range_bytes).withColumn("side", F.lit(0)).unionByName(tree(right, range_bytes).withColumn("side", F.lit(1))))
-
-    def differing(level: int) -> DataFrame:
-        return nodes.where(F.col("level") == level).drop("level")
 
     def compared(found: DataFrame) -> DataFrame:
         by_side = [F.max(F.when(F.col("side") == k, F.col("hash"))).alias(f"h{k}") for k in (0, 1)]
         return found.groupBy("archive", "node").agg(*by_side).where(~F.col("h0").eqNullSafe(F.col("h1"))).select("archive", "node")
 
-    roots = compared(differing(2)).select("archive")
-    branches = compared(differing(1).join(roots, "archive", "left_semi")).withColumnRenamed("node", "branch")
-    ranges = differing(0).withColumn("branch", F.shiftright("node", FANOUT.bit_length() - 1)).join(branches, ["archive", "branch"], "left_semi")
-    ranges = cut(compared(ranges))
+    *below, roots = tree(sides, ["archive", "side"], range_bytes)
+    ranges = compared(roots)
+    for nodes in reversed(below):
+        parents = ranges.withColumnRenamed("node", "parent")
+        ranges = compared(nodes.withColumn("parent", F.shiftright("node", FANOUT.bit_length() - 1)).join(parents, ["archive", "parent"], "left_semi"))
+    ranges = cut(ranges)
     near = sides.withColumn("node", F.floor(F.col("offset") / range_bytes).cast("bigint")).join(ranges, ["archive", "node"], "left_semi")
     what = F.struct("length", "sha256")
     found = near.groupBy("archive", "offset").agg(
