@@ -1,18 +1,20 @@
 """Ordered analytics on traces: one row per sample (key, i, t_us, value), i counting from 0 within a key.
 
-All windows are partitioned by key, so keys run in parallel.
+Windows are partitioned by key, so keys run in parallel.  What carries a state along a key (peaks, the exponential
+filter, sustained runs, unwrapped angles) or needs a bounded neighbourhood (trailing means) is spread over tasks within a key too.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandweave.operators import scan
+
+#: Samples of one key to a task where only a bounded neighbourhood counts.
+BLOCK = 1 << 18
+
 
 def by_key(key: str = "key", order: str = "i") -> Window:
     return Window.partitionBy(key).orderBy(order)
@@ -24,37 +26,41 @@ def numbered(rows: DataFrame, key: str, order: list[str], **columns: Column) ->
     return rows.select(F.col(key).alias("key"), i.alias("i"), *[c.alias(n) for n, c in columns.items()])
 
 
-def trailing_min(value: Column, width: int, current: bool) -> Column:
+def trailing_min(value: Column, width: int, current: bool, w: Window | None = None) -> Column:
     """Least of the last ``width`` samples, with or without the current one."""
-    w = by_key()
+    w = by_key() if w is None else w
     return F.min(value).over(w.rowsBetween(-(width - 1), 0) if current else w.rowsBetween(-width, -1))
 
 
-def is_peak(value: Column) -> Column:
+def with_halo(rows: DataFrame, place: Column, block: int, before: int, after: int) -> DataFrame:
+    """``rows`` dealt into blocks of ``block`` along ``place``, with those up to ``before`` in front of a block and ``after`` behind
+    it once more: ``_block``, and ``_own`` for the block that a row belongs to.  A row without a place is in block null."""
+    home = F.floor(place / block)
+    each = F.sequence(F.floor((place - after) / block), F.floor((place + before) / block))
+    dealt = rows.withColumn("_home", home).withColumn("_block", F.explode(F.coalesce(each, F.array(F.lit(None).cast("bigint")))))
+    return dealt.withColumn("_own", F.col("_block").eqNullSafe(F.col("_home"))).drop("_home")
+
+
+def is_peak(value: Column, w: Window | None = None) -> Column:
     """v[i] >= v[i-1] and v[i] > v[i+1]: of a plateau the last sample; never the first or last of a trace."""
-    w = by_key()
+    w = by_key() if w is None else w
     return F.coalesce((value >= F.lag(value).over(w)) & (value > F.lead(value).over(w)), F.lit(False))
 
 
 def peaks(trace: DataFrame, prominence: float, width: int, refractory: int, least: float | None = None) -> DataFrame:
     """(key, i, value) of peaks that rise ``prominence`` above the ``width`` samples before them and lie more
-    than ``refractory`` samples behind the last accepted one, which one pass along each key decides."""
-    rise = F.col("value") - trailing_min(F.col("value"), width, current=False)
-    found = trace.withColumn("_ok", is_peak(F.col("value")) & (rise >= prominence)).where("_ok")
-    found = found.where(F.col("value") >= least) if least is not None else found
-    found = found.select("key", "i", "value").repartition("key").sortWithinPartitions("key", "i")
+    than ``refractory`` samples behind the last accepted one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, None
-        for batch in batches:
-            taken = []
-            for k, (key, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key != now or last is None or i - last > refractory:
-                    now, last = key, i
-                    taken.append(k)
-            yield batch.take(pa.array(taken, pa.int64()))
-
-    return found.mapInArrow(run, found.schema)
+    Candidates are found in blocks of one key, and accepted by a scan along it, so a long trace is spread over tasks.
+    A null sample is no peak, and neither are its neighbours.
+    """
+    near = with_halo(trace.select("key", "i", "value"), F.col("i"), BLOCK, max(width, 1), 1)
+    w = Window.partitionBy("key", "_block").orderBy("i")
+    rise = F.col("value") - trailing_min(F.col("value"), width, False, w)
+    found = near.withColumn("_ok", is_peak(F.col("value"), w) & (rise >= prominence)).where("_ok and _own")
+    found = found.where(F.col("value") >= least) if least is not None else found
+    i, value = (trace.schema[c].dataType.simpleString() for c in ("i", "value"))
+    return scan.along(found.select("key", "i", "value"), "i", scan.Refractory(refractory), f"i {i}, value {value}")
 
 
 def intervals(events: DataFrame, at: str = "t_us") -> DataFrame:
@@ -103,11 +109,12 @@ def exact_mean(value: Column, width: int) -> Column:
 
 
 def unwrap(trace: DataFrame, angle: str, out: str) -> DataFrame:
-    """Adds the angle (radians) without jumps: the first one plus the sum of differences wrapped to half a turn each way."""
-    w, turn = by_key(), 2 * math.pi
-    d = F.col(angle) - F.lag(angle).over(w)
-    step = trace.withColumn("_d", F.coalesce(d - turn * F.floor((d + math.pi) / turn), F.lit(0.0)))
-    return step.withColumn(out, F.first(angle).over(w) + F.sum("_d").over(w)).drop("_d")
+    """(key, i, ``out``): the angle (radians) without jumps, the first one plus the sum of differences wrapped to half a turn each way.
+
+    A null angle gives null and is passed over.
+    """
+    own = trace.select("key", "i", F.col(angle).cast("double").alias("angle"))
+    return scan.along(own, "i", scan.Unwrapped(out), f"i {own.schema['i'].dataType.simpleString()}, angle double, {out} double").select("key", "i", out)
 
 
 def true_blocks(trace: DataFrame, holds: Column) -> DataFrame:
@@ -122,12 +129,12 @@ def first_true_block(trace: DataFrame, holds: Column) -> DataFrame:
 
 
 def longest_sustained(trace: DataFrame, holds: Column) -> DataFrame:
-    """(key, sustained_us): each holding sample adds the time since the sample before it; the first adds none."""
-    w = by_key()
-    own = trace.withColumn("_ok", F.coalesce(holds, F.lit(False))).withColumn("_dt", F.coalesce(F.col("t_us") - F.lag("t_us").over(w), F.lit(0)))
-    island = F.col("i") - F.row_number().over(Window.partitionBy("key", "_ok").orderBy("i"))
-    runs = own.withColumn("_g", island).groupBy("key", "_ok", "_g").agg(F.sum("_dt").alias("_s"))
-    return runs.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("_ok"), F.col("_s"))), F.lit(0)).cast("bigint").alias("sustained_us"))
+    """(key, sustained_us): each holding sample adds the time since the sample before it; the first adds none.
+
+    A condition that is null does not hold; samples without a time are left out.
+    """
+    own = trace.where("t_us is not null").select("key", "i", F.col("t_us").cast("bigint").alias("t_us"), F.coalesce(holds, F.lit(False)).alias("ok"))
+    return scan.along(own, "i", scan.Sustained(), "sustained_us bigint").groupBy("key").agg(F.max("sustained_us").alias("sustained_us"))
 
 
 def step_window(trace: DataFrame) -> DataFrame:
@@ -187,25 +194,22 @@ def decayed_sum(value: Column, span: int, decay: float) -> Column:
 
 
 def exponential_filter(trace: DataFrame, value: Column, a: float, out: str) -> DataFrame:
-    """r[i] = r[i-1] * a + x[i] * (1 - a), from 0, in one pass along each key that carries r from batch to batch."""
-    own = trace.select("key", "i", value.cast("double").alias(out)).repartition("key").sortWithinPartitions("key", "i")
+    """(key, i, ``out``): r[i] = r[i-1] * a + x[i] * (1 - a), from 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, r, begun = None, 0.0, False
-        for batch in batches:
-            filtered = []
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not begun or key != now:
-                    now, r, begun = key, 0.0, True
-                r = None if x is None or r is None else r * a + x * (1 - a)
-                filtered.append(r)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(filtered, pa.float64())], names=["key", "i", out])
+    A null sample changes nothing: r keeps its value, 0 before the first sample.  A NaN stays in r.
+    """
+    own = trace.select("key", "i", value.cast("double").alias("x"))
+    return scan.along(own, "i", scan.Affine(a, "i", out), f"i {own.schema['i'].dataType.simpleString()}, {out} double")
 
-    return own.mapInArrow(run, own.schema)
 
+def time_means(trace: DataFrame, value: Column, width_us: int, out: str) -> DataFrame:
+    """``trace`` with ``out``, the mean over the last ``width_us`` with the current sample and those of its time.
 
-def time_mean(value: Column, width_us: int) -> Column:
-    return F.avg(value).over(Window.partitionBy("key").orderBy("t_us").rangeBetween(-width_us, 0))
+    A key is dealt into stretches of at least ``width_us``, each with what it looks back to.
+    """
+    near = with_halo(trace.withColumn("_value", value), F.col("t_us"), max(1, width_us) * 8, width_us, 0)
+    mean = F.avg("_value").over(Window.partitionBy("key", "_block").orderBy("t_us").rangeBetween(-width_us, 0))
+    return near.withColumn(out, mean).where("_own").drop("_value", "_block", "_own")
 
 
 def baseline_thresholds(trace: DataFrame, width_us: int, k_on: float, k_off: float, floor: float) -> DataFrame:

@@ -183,7 +183,7 @@ def exp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:  # W24 SM06
 
 @query(f"WITH RECURSIVE {_TR} SELECT key, i, round(avg(value) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW), 6) AS mean FROM tr")
 def windowed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:  # W25
-    return trace(spark, sf_dir).select("key", "i", F.round(W.time_mean(F.col("value"), 86_400_000_000), 6).alias("mean"))
+    return W.time_means(trace(spark, sf_dir), F.col("value"), 86_400_000_000, "mean").select("key", "i", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH RECURSIVE {_TR}, b AS (SELECT key, avg(value) AS m, greatest(stddev_pop(value), 0.5) AS d FROM (SELECT *, min(t_us) OVER (PARTITION BY key) AS s FROM tr) WHERE t_us - s <= 172800000000 GROUP BY key)
