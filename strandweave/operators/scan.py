@@ -9,6 +9,7 @@ all partitions are gone through again with the states known.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 from typing import Any, Protocol
@@ -126,31 +127,18 @@ def _floats(column: pa.Array) -> np.ndarray:
 class Affine:
     """r = r * a + x * (1 - a), from 0; a null sample leaves r as it is."""
 
-    BLOCK = 64
-
     def __init__(self, a: float, order: str, out: str):
         self.a, self.order, self.out, self.start = a, order, out, 0.0
-        step = np.arange(self.BLOCK)[:, None] - np.arange(self.BLOCK)
-        self.inner = np.where(step >= 0, float(a) ** np.maximum(step, 0), 0.0)
 
     def filtered(self, x: np.ndarray, state: float) -> np.ndarray:
-        """States behind steps r -> r * a + x."""
-        n = len(x)
-        blocks = -(-n // self.BLOCK)
-        padded = np.zeros(blocks * self.BLOCK)
-        padded[:n] = x
-        own = padded.reshape(blocks, self.BLOCK) @ self.inner.T
-        # The state before each block, from the last ones of those before it.
-        far, before = float(self.a) ** self.BLOCK, np.empty(blocks)
-        for k in range(blocks):
-            before[k] = state
-            state = state * far + own[k, -1]
-        return (own + before[:, None] * float(self.a) ** np.arange(1, self.BLOCK + 1)).ravel()[:n]
+        """The state and those behind the steps r -> r * a + x, one after the other, so that all rows round alike."""
+        a = self.a
+        return np.array(list(itertools.accumulate(x.tolist(), lambda r, y: r * a + y, initial=state)))
 
     def map_of(self, rows: Columns) -> tuple[float, float]:
         x = _floats(rows["x"])
         x = x[~np.isnan(x)] if rows["x"].null_count else x
-        return (float(self.a) ** len(x), float(self.filtered(x * (1 - self.a), 0.0)[-1]) if len(x) else 0.0)
+        return (float(self.a) ** len(x), float(self.filtered(x * (1 - self.a), 0.0)[-1]))
 
     def compose(self, first: tuple[float, float], then: tuple[float, float]) -> tuple[float, float]:
         return first[0] * then[0], first[1] * then[0] + then[1]
@@ -161,7 +149,7 @@ class Affine:
     def apply(self, state: float, rows: Columns) -> pa.RecordBatch:
         x = _floats(rows["x"])
         there = rows["x"].is_valid().to_numpy(zero_copy_only=False)
-        r = np.concatenate([[state], self.filtered(x[there] * (1 - self.a), state)])[np.cumsum(there)]
+        r = self.filtered(x[there] * (1 - self.a), state)[np.cumsum(there)]
         return pa.RecordBatch.from_arrays([rows[self.order], pa.array(r)], names=[self.order, self.out])
 
 
