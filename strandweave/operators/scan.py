@@ -274,3 +274,26 @@ class Unwrapped:
             out[there] = begun + np.concatenate([[0.0], np.cumsum(self._wrapped(np.diff(x)))])
         names = [c for c in rows if c != self.out]
         return pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(out, mask=~there)], names=[*names, self.out])
+
+
+class LastSeen:
+    """Adds ``out``, the last value of ``column`` that is not null up to each row."""
+
+    def __init__(self, column: str, out: str):
+        self.column, self.out, self.start = column, out, None
+
+    def map_of(self, rows: Columns) -> Any:
+        known = rows[self.column].drop_null()
+        return known[-1].as_py() if len(known) else None
+
+    def compose(self, first: Any, then: Any) -> Any:
+        return first if then is None else then
+
+    def after(self, state: Any, step: Any) -> Any:
+        return state if step is None else step
+
+    def apply(self, state: Any, rows: Columns) -> pa.RecordBatch:
+        own = rows[self.column]
+        filled = pc.fill_null_forward(own)
+        filled = filled if state is None else pc.fill_null(filled, pa.scalar(state, own.type))
+        return pa.RecordBatch.from_arrays([*rows.values(), filled], names=[*rows, self.out])

@@ -9,18 +9,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandweave.errors import LimitError
-from strandweave.operators.ordered import cut
+from strandweave.operators import scan
+from strandweave.operators.ordered import cut, quantiles
 
 
-#: Most objects of a scene that are broadcast to each point.
-SCENE = 10_000
+#: About so many objects share a leaf of a scene's tree; a scene of no more is looked at whole.
+LEAF = 256
+#: Nodes of a level of the tree that may be broadcast; a larger level is met by a shuffled join.
+BROADCAST_NODES = 1 << 12
+#: Levels of a tree at most, for scenes in which most objects stand in one place.
+DEEPEST = 16
 
 
-def _scene(objects: DataFrame) -> DataFrame:
-    if objects.limit(SCENE + 1).count() > SCENE:
-        raise LimitError(f"a scene has at most {SCENE} objects")
-    return F.broadcast(objects)
+class _Tree:
+    """Square cells, halved level by level, over objects (ox, oy): ``level(k)`` has the nodes that hold any, with aggregates made on the way up."""
+
+    def __init__(self, objects: DataFrame, leaf_aggs: dict[str, Column], up_aggs: dict[str, Column], keys: tuple[str, ...] = ()):
+        box = objects.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("ox", "oy") for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.size = box["n"]
+        self.depth = min(DEEPEST, max(0, math.ceil(math.log(max(1, self.size) / LEAF, 4))))
+        if not self.size:
+            return
+        self.lo = (box["loox"], box["looy"])
+        self.side = max(box["hiox"] - box["loox"], box["hioy"] - box["looy"], 1e-300)
+        cells = 1 << self.depth
+        at = lambda c, lo: F.least(F.floor((F.col(c) - lo) / self.side * cells), F.lit(cells - 1)).cast("bigint")
+        self.objects = cut(objects.withColumn("ix", at("ox", self.lo[0])).withColumn("iy", at("oy", self.lo[1])))
+        nodes = self.objects.groupBy(*keys, "ix", "iy").agg(*[c.alias(n) for n, c in leaf_aggs.items()])
+        self.levels = [cut(nodes)]
+        for _ in range(self.depth):
+            up = self.levels[0].withColumn("ix", F.shiftright("ix", 1)).withColumn("iy", F.shiftright("iy", 1))
+            self.levels.insert(0, cut(up.groupBy(*keys, "ix", "iy").agg(*[c.alias(n) for n, c in up_aggs.items()])))
+
+    def level(self, k: int) -> DataFrame:
+        # A level has at most 4 ** k nodes.
+        return F.broadcast(self.levels[k]) if 4**k <= BROADCAST_NODES else self.levels[k]
+
+
+def _children(frontier: DataFrame) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    opened = frontier.withColumn("_k", each)
+    return opened.withColumn("ix", F.col("ix") * 2 + F.col("_k.a")).withColumn("iy", F.col("iy") * 2 + F.col("_k.b")).drop("_k")
+
+
+def _least_gap(c: str, lo: str, hi: str) -> Column:
+    """Distance from a coordinate to an interval."""
+    return F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
 
 
 def occupied(points: DataFrame, group: list[str], edge: float, bin_volume: float) -> DataFrame:
@@ -104,21 +138,75 @@ def angular_radius(radius: Column, distance: Column) -> Column:
 def field_drive(cells: DataFrame, objects: DataFrame, blur: float, per_degree: float, half: float, base: float, span: float) -> DataFrame:
     """(cell, rate): each cell takes its strongest object, a Gaussian of its distance times loom times gain.
 
-    Objects (ox, oy, alpha, gain) are a scene's few, all of which every cell sees; more than ``SCENE`` are refused.
+    Objects are (ox, oy, alpha, gain), as many as there are.  They are sorted into a tree of square cells; from its root down, each
+    cell of the field keeps the nodes whose bound (their largest weight and width at their least distance) is not below the drive of
+    the best object known to it, and looks at the objects of the leaves that are left.  The result is exact.
+    Objects without a coordinate or a drive take no part; with no object at all there is no row.
     """
-    o = _scene(objects)
-    sigma = F.lit(blur) + F.col("alpha") * per_degree
+    whole = objects.select(*[F.col(c).cast("double").alias(c) for c in ("ox", "oy", "alpha", "gain")])
+    weight = F.col("alpha") / (F.col("alpha") + half) * F.col("gain")
+    own = whole.withColumn("w", weight).withColumn("s", F.abs(F.lit(blur) + F.col("alpha") * per_degree))
+    # Drives that are not above 0 count as 0, and of objects in one place and of one width only the heaviest matters.
+    own = own.where("w > 0 and ox is not null and oy is not null").groupBy("ox", "oy", "s").agg(F.max("w").alias("w"))
+    widest = {"lox": F.min("ox"), "hix": F.max("ox"), "loy": F.min("oy"), "hiy": F.max("oy"), "w": F.max("w"), "s": F.max("s"), "best": F.max(F.struct("w", "s", "ox", "oy"))}
+    up = {"lox": F.min("lox"), "hix": F.max("hix"), "loy": F.min("loy"), "hiy": F.max("hiy"), "w": F.max("w"), "s": F.max("s"), "best": F.max("best")}
+    tree = _Tree(own, widest, up)
+    if not tree.size:
+        some = F.broadcast(whole.limit(1).select(F.lit(0.0).alias("_d")))
+        return cells.select("cell").distinct().join(some, F.lit(True)).select("cell", F.lit(base).cast("double").alias("rate"))
+    drive = lambda d2, s, w: F.exp(-d2 / (2 * s * s)) * w
+    front = cells.select("cell", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).cast("bigint").alias("ix"), F.lit(0).cast("bigint").alias("iy"))
+    for k in range(1, tree.depth + 1):
+        met = _children(front).join(tree.level(k), ["ix", "iy"])
+        near = _least_gap("x", "lox", "hix") ** 2 + _least_gap("y", "loy", "hiy") ** 2
+        there = (F.col("x") - F.col("best.ox")) ** 2 + (F.col("y") - F.col("best.oy")) ** 2
+        met = met.withColumn("_most", drive(near, F.col("s"), F.col("w"))).withColumn("_has", drive(there, F.col("best.s"), F.col("best.w")))
+        known = F.max("_has").over(Window.partitionBy("cell"))
+        front = cut(met.withColumn("_known", known).where(F.col("_most") >= F.col("_known") * (1 - 1e-12)).select("cell", "x", "y", "ix", "iy"))
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    drive = F.exp(-d2 / (2 * sigma * sigma)) * (F.col("alpha") / (F.col("alpha") + half)) * F.col("gain")
-    top = cells.join(o, F.lit(True)).groupBy("cell").agg(F.max(drive).alias("_d"))
-    return top.select("cell", (base + F.least(F.greatest("_d", F.lit(0.0)), F.lit(1.0)) * span).alias("rate"))
+    leaves = F.broadcast(tree.objects) if tree.depth == 0 else tree.objects
+    top = front.join(leaves, ["ix", "iy"]).groupBy("cell").agg(F.max(drive(d2, F.col("s"), F.col("w"))).alias("_d"))
+    rate = base + F.least(F.greatest(F.coalesce("_d", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * span
+    return cells.select("cell").distinct().join(top, "cell", "left").select("cell", rate.alias("rate"))
+
 
+def odour(points: DataFrame, sources: DataFrame, soften: float, tolerance: float = 1e-4) -> DataFrame:
+    """(point_id, odour): saturating sum c / (1 + c) of c = strength / (d2 + soften) over all sources (sx, sy, strength).
 
-def odour(points: DataFrame, sources: DataFrame, soften: float) -> DataFrame:
-    """(point_id, odour): saturating sum of strength / (d2 + soften) over the sources, ``SCENE`` at most."""
-    o = _scene(sources)
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    raw = points.join(o, F.lit(True)).groupBy("point_id").agg(F.sum(F.col("strength") / (d2 + soften)).alias("_c"))
+    Sources are sorted into a tree of square cells, positive and negative ones apart.  A node far enough from a point counts as if
+    all its strength stood at its centre: with q the least d2 + soften of the node's box, the error is at most 3 / q ** 2
+    times the strength times the squared distances from the centre, and a node is opened unless that is at most ``tolerance``
+    of the least it can give.  So c is off by ``tolerance`` of the sum of its terms without their signs at most; near nodes, and scenes of
+    ``LEAF`` sources or fewer, are summed source by source.  Sources without a coordinate or strength take no part; without any there is no row.
+    """
+    own = sources.select(F.col("sx").cast("double").alias("ox"), F.col("sy").cast("double").alias("oy"), F.col("strength").cast("double").alias("strength"))
+    own = own.where("ox is not null and oy is not null and strength is not null").groupBy("ox", "oy", (F.col("strength") < 0).alias("neg")).agg(F.sum("strength").alias("strength"))
+    a = F.abs("strength")
+    sums = {"lox": F.min("ox"), "hix": F.max("ox"), "loy": F.min("oy"), "hiy": F.max("oy"), "m": F.sum(a), "mx": F.sum(a * F.col("ox")), "my": F.sum(a * F.col("oy")), "mm": F.sum(a * (F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy")))}
+    up = {"lox": F.min("lox"), "hix": F.max("hix"), "loy": F.min("loy"), "hiy": F.max("hiy"), **{c: F.sum(c) for c in ("m", "mx", "my", "mm")}}
+    tree = _Tree(own, sums, up, ("neg",))
+    p = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if not tree.size:
+        return p.select("point_id", F.lit(0.0).alias("odour")).limit(0)
+    sign = F.when(F.col("neg"), -1.0).otherwise(1.0)
+    front = p.withColumn("neg", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("ix", F.lit(0).cast("bigint")).withColumn("iy", F.lit(0).cast("bigint"))
+    parts = []
+    for k in range(1, tree.depth + 1):
+        met = _children(front).join(tree.level(k), ["neg", "ix", "iy"])
+        cx, cy = F.col("mx") / F.col("m"), F.col("my") / F.col("m")
+        # Strength times squared distance from the centre, not below what rounding may hide.
+        spread = F.greatest(F.col("mm") - (F.col("mx") * cx + F.col("my") * cy), F.col("mm") * 1e-12)
+        q = _least_gap("x", "lox", "hix") ** 2 + _least_gap("y", "loy", "hiy") ** 2 + soften
+        far = F.greatest(F.abs(F.col("x") - F.col("lox")), F.abs(F.col("x") - F.col("hix"))) ** 2 + F.greatest(F.abs(F.col("y") - F.col("loy")), F.abs(F.col("y") - F.col("hiy"))) ** 2 + soften
+        met = met.withColumn("_whole", F.coalesce(3 * spread / (q * q) <= tolerance * F.col("m") / far, F.lit(False)))
+        d2 = (F.col("x") - cx) ** 2 + (F.col("y") - cy) ** 2
+        met = cut(met.withColumn("_c", sign * F.col("m") / (d2 + soften)).select("point_id", "x", "y", "neg", "ix", "iy", "_whole", "_c"))
+        parts.append(met.where("_whole").select("point_id", "_c"))
+        front = met.where("not _whole").select("point_id", "x", "y", "neg", "ix", "iy")
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    leaves = F.broadcast(tree.objects) if tree.depth == 0 else tree.objects
+    parts.append(front.join(leaves, ["neg", "ix", "iy"]).select("point_id", (F.col("strength") / (d2 + soften)).alias("_c")))
+    raw = reduce(DataFrame.unionByName, parts).groupBy("point_id").agg(F.sum("_c").alias("_c"))
     return raw.select("point_id", (F.col("_c") / (1 + F.col("_c"))).alias("odour"))
 
 
@@ -142,22 +230,20 @@ def unit_box(points: DataFrame, group: list[str]) -> DataFrame:
 def clearest_direction(path: DataFrame, obstacles: DataFrame, candidates: int) -> DataFrame:
     """(candidate, clearance), the direction whose median clearance over the path is largest first.
 
-    Clearance at a path point is the least perpendicular distance of the obstacles to the ray in that direction.
+    Clearance at a path point is the least perpendicular distance of the obstacles to the ray in that direction.  Both are sorted by
+    their distance to the ray's line through the origin, where only the next obstacle on each side counts; those are carried along by a
+    scan over range partitions, so one direction is spread over tasks.  Without obstacles there is no row.
     """
-    c = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))
-    rays = path.withColumn("candidate", c).withColumn("_t", F.col("candidate") * (2 * math.pi / candidates))
-    if obstacles.limit(SCENE + 1).count() <= SCENE:
-        d = F.abs((F.col("ox") - F.col("x")) * F.sin("_t") - (F.col("oy") - F.col("y")) * F.cos("_t"))
-        least = rays.join(F.broadcast(obstacles), F.lit(True)).groupBy("candidate", "point_id").agg(F.min(d).alias("_c"))
-    else:
-        # Many obstacles are sorted by their distance to the ray's line through the origin; only the next on each side counts.
-        own = rays.select("candidate", "point_id", (F.col("x") * F.sin("_t") - F.col("y") * F.cos("_t")).alias("_p"), F.lit(None).cast("double").alias("_o"))
-        others = obstacles.withColumn("candidate", c).withColumn("_t", F.col("candidate") * (2 * math.pi / candidates))
-        others = others.select("candidate", (F.col("ox") * F.sin("_t") - F.col("oy") * F.cos("_t")).alias("_p")).withColumn("_o", F.col("_p"))
-        both = own.unionByName(others, allowMissingColumns=True).withColumn("_path", F.col("_o").isNull())
-        w = Window.partitionBy("candidate")
-        up, down = w.orderBy("_p"), w.orderBy(F.desc("_p"))
-        both = both.withColumn("_lo", F.max("_o").over(up)).withColumn("_hi", F.min("_o").over(down)).where("_path")
-        gap = F.least(F.col("_p") - F.col("_lo"), F.col("_hi") - F.col("_p"))
-        least = both.groupBy("candidate", "point_id").agg(F.min(gap).alias("_c"))
-    return least.groupBy("candidate").agg(F.median("_c").alias("clearance"))
+    turned = lambda df: df.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("_t", F.col("key") * (2 * math.pi / candidates))
+    off = lambda x, y: F.col(x) * F.sin("_t") - F.col(y) * F.cos("_t")
+    kind = path.schema["point_id"].dataType.simpleString()
+    own = turned(path).select("key", "point_id", off("x", "y").alias("p"), F.lit(None).cast("double").alias("o"))
+    others = turned(obstacles.where("ox is not null and oy is not null")).select("key", F.lit(None).cast(kind).alias("point_id"), off("ox", "oy").alias("p")).withColumn("o", F.col("p"))
+    # An obstacle in the very place of a path point comes before it in either order.
+    ordered = lambda df, p: df.withColumn("at", F.struct(p.alias("p"), F.col("o").isNull().alias("path")))
+    seen = f"point_id {kind}, p double, o double, at struct<p: double, path: boolean>"
+    up = scan.along(ordered(own.unionByName(others).where("p is not null"), F.col("p")), "at", scan.LastSeen("o", "lo"), f"{seen}, lo double")
+    down = scan.along(ordered(up.drop("at"), -F.col("p")), "at", scan.LastSeen("o", "hi"), f"point_id {kind}, p double, o double, lo double, at struct<p: double, path: boolean>, hi double")
+    gap = F.least(F.col("p") - F.col("lo"), F.col("hi") - F.col("p"))
+    least = down.where("o is null").groupBy(F.col("key").alias("candidate"), "point_id").agg(F.min(gap).alias("_c"))
+    return quantiles(least, ["candidate"], "_c", (0.5,)).select("candidate", F.col("q")[0].alias("clearance"))

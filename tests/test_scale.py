@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.errors import LimitError
 from strandweave.operators import graph, integrity, ordered, spatial, traces
 
 
@@ -92,12 +91,59 @@ def test_nearest_by_growing_cells(spark, axes):
     assert spatial.nearest(p, o.limit(0), axes).count() == spatial.nearest(p.limit(0), o, axes).count() == 0
 
 
-def test_scenes_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "SCENE", 2)
-    points = spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, x double, y double")
-    sources = spark.createDataFrame([(float(i), 0.0, 1.0) for i in range(3)], "sx double, sy double, strength double")
-    with pytest.raises(LimitError):
-        spatial.odour(points, sources, 1.0)
+def scene(n, seed):
+    """Objects in clusters, many in one place."""
+    rng = np.random.default_rng(seed)
+    at = rng.uniform(-1000, 1000, (12, 2))[rng.integers(0, 12, n)] + rng.normal(size=(n, 2)) * 30
+    at[: n // 4] = at[0]
+    return at, rng
+
+
+@pytest.mark.parametrize("leaf", [256, 4])
+def test_strongest_object_of_a_large_scene(spark, monkeypatch, leaf):
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    at, rng = scene(20_000 if leaf == 256 else 600, 1)
+    alpha, gain = rng.uniform(0, 9, len(at)), rng.uniform(-0.2, 1, len(at))
+    where = np.concatenate([rng.uniform(-1500, 1500, (60, 2)), at[-20:]])
+    objects = spark.createDataFrame([(*map(float, p), float(a), float(g)) for p, a, g in zip(at, alpha, gain)] + [(None, 1.0, 1.0, 1.0), (0.0, 0.0, None, 1.0)], "ox double, oy double, alpha double, gain double")
+    cells = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(where)], "cell long, x double, y double")
+    got = {r["cell"]: r["rate"] for r in spatial.field_drive(cells, objects, 40.0, 5.0, 3.0, 5.0, 95.0).collect()}
+    for i, p in enumerate(where):
+        drive = np.exp(-((at - p) ** 2).sum(1) / (2 * (40.0 + alpha * 5.0) ** 2)) * (alpha / (alpha + 3.0)) * gain
+        assert got[i] == pytest.approx(5.0 + min(max(drive.max(), 0.0), 1.0) * 95.0, rel=1e-12)
+    assert spatial.field_drive(cells, objects.limit(0), 40.0, 5.0, 3.0, 5.0, 95.0).count() == 0
+    assert {r["rate"] for r in spatial.field_drive(cells, objects.where("gain < 0"), 40.0, 5.0, 3.0, 5.0, 95.0).collect()} == {5.0}
+
+
+def test_odour_of_a_large_scene_is_within_its_bound(spark):
+    at, rng = scene(20_000, 2)
+    strength = rng.uniform(-20, 200, len(at))
+    where = np.concatenate([rng.uniform(-30_000, 30_000, (40, 2)), at[-20:]])
+    sources = spark.createDataFrame([(*map(float, p), float(s)) for p, s in zip(at, strength)] + [(None, 1.0, 1.0)], "sx double, sy double, strength double")
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(where)], "point_id long, x double, y double")
+    got = {r["point_id"]: r["odour"] for r in spatial.odour(points, sources, 25.0, 1e-3).collect()}
+    for i, p in enumerate(where):
+        term = 1 / (((at - p) ** 2).sum(1) + 25.0)
+        c, most = (strength * term).sum(), (np.abs(strength) * term).sum()
+        found = got[i] / (1 - got[i])
+        assert abs(found - c) <= 1e-3 * most + 1e-9
+    exact = spatial.odour(points, sources.limit(200), 25.0, 0.0)
+    assert exact.count() == len(where) and spatial.odour(points, sources.limit(0), 25.0).count() == 0
+
+
+def test_clearance_of_many_obstacles(spark):
+    at, rng = scene(20_000, 3)
+    path = rng.uniform(-1500, 1500, (40, 2))
+    path[0] = at[0]
+    obstacles = spark.createDataFrame([tuple(map(float, p)) for p in at] + [(None, 0.0)], "ox double, oy double")
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(path)], "point_id long, x double, y double")
+    got = {r["candidate"]: r["clearance"] for r in spatial.clearest_direction(points, obstacles, 5).collect()}
+    for k in range(5):
+        t = k * 2 * math.pi / 5
+        project = lambda p: p[:, 0] * math.sin(t) - p[:, 1] * math.cos(t)  # noqa: B023, E731
+        least = np.abs(project(at)[:, None] - project(path)[None, :]).min(0)
+        assert got[k] == pytest.approx(float(np.median(least)), abs=1e-9)
+    assert spatial.clearest_direction(points, obstacles.limit(0), 5).count() == 0
 
 
 def test_draws_are_those_of_a_full_ranking(spark):

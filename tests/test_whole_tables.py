@@ -6,7 +6,6 @@ from collections import Counter
 
 import pytest
 
-from strandweave.operators import spatial
 from strandweave.plans import catalog
 
 
@@ -32,9 +31,7 @@ def test_consumed_guard_all_asks_for_every_customer(run):
     assert sorted(r["key"] for r in got) == [1, 5, 6]
 
 
-@pytest.mark.parametrize("scene", [0, 10_000])
-def test_clearance_by_label_uses_every_point(run, monkeypatch, scene):
-    monkeypatch.setattr(spatial, "SCENE", scene)
+def test_clearance_by_label_uses_every_point(run):
     rows = [(i, i % 3, [((i * 37) % 101) / 100, ((i * 53) % 89) / 100, 0.0]) for i in range(40)]
     got = {r["candidate"]: r["clearance"] for r in run("clearance_search", embeddings=(rows, "vec_id long, label int, embedding array<double>"))}
     p = [(label, math.floor(e[0] * 1000), math.floor(e[1] * 1000)) for _, label, e in rows]
