@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.errors import IntegrityError
-from strandweave.operators import ordered
+from strandweave.operators import ordered, reach
+from strandweave.operators.integrity import logical_digest
 from strandweave.operators.ordered import cut
 
 # Signs of transmitters.
@@ -44,6 +45,20 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
+def identity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nodes, edges, digest) of a selected circuit: its different nodes and the edges between them, whatever the layout or order.
+
+    The digest is that of the rows (src, dst, weight), a node being one with itself as both ends and no weight.
+    """
+    own = nodes.select("node").distinct()
+    inside = induced(edges, own)
+    rows = inside.select("src", "dst", "weight").unionByName(own.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast(edges.schema["weight"].dataType).alias("weight")))
+    whole = logical_digest(rows, ["src", "dst", "weight"])
+    counts = rows.agg(F.count_if(F.col("weight").isNull()).alias("nodes"), F.count_if(F.col("weight").isNotNull()).alias("edges"))
+    # One row each.
+    return counts.join(F.broadcast(whole.select("digest")), F.lit(True)).select("nodes", "edges", "digest")
+
+
 def endpoint_status(requested: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
     """(node, status): ``kept``, ``pathless`` (in the graph, but not kept) or ``unavailable``."""
     present = nodes_of(edges).withColumn("_in", F.lit(True))
@@ -54,18 +69,18 @@ def endpoint_status(requested: DataFrame, edges: DataFrame, kept: DataFrame) ->
 
 def hops(edges: DataFrame, seeds: DataFrame, limit: int, reverse: bool = False) -> DataFrame:
     """(node, hop) of all nodes within ``limit`` steps of the seeds, by layers; each layer is the
-    neighbours of the last one that were not met before."""
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    links = cut(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct())
+    neighbours of the last one that were not met before, read from adjacency blocks."""
+    blocks = reach.adjacency(edges, reverse)
     present = nodes_of(edges)
     layers = [cut(seeds.select("node").distinct().join(present, "node", "left_semi").withColumn("hop", F.lit(0)))]
     for hop in range(1, limit + 1):
-        step = links.join(layers[-1].select(F.col("node").alias("_a")), "_a", "left_semi").select(F.col("_b").alias("node")).distinct()
+        step = reach.spread(blocks.df, layers[-1].select("node")).distinct()
         met = reduce(DataFrame.unionByName, layers)
         layer = cut(step.join(met, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if layer.isEmpty():
             break
         layers.append(layer)
+    blocks.drop()  # all layers are written down
     return reduce(DataFrame.unionByName, layers)
 
 

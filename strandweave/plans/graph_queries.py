@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.predicates import selectivity
-from strandweave.operators import graph, populations
+from strandweave.operators import graph, populations, reach
 from strandweave.operators.ordered import cut, with_next
 from strandweave.plans._registry import query, table
 
@@ -242,6 +242,42 @@ def bounded_equals_shortest_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.agg(F.count_if(F.col("b") > F.col("s")).alias("only_bounded"), F.count_if(F.col("s") > F.col("b")).alias("only_shortest"), F.sum("b").alias("bounded"), F.sum("s").alias("shortest"))
 
 
+_CHANNELS = f"""{_E}, ch AS MATERIALIZED (SELECT user_id AS node, min(event_id) % 100 AS "set" FROM events GROUP BY ALL),
+present AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+walk("set", node, hop) AS (SELECT "set", node, 0 FROM ch WHERE node IN (SELECT node FROM present) UNION SELECT "set", dst, hop + 1 FROM walk JOIN e ON src = node WHERE hop < 3),
+f AS MATERIALIZED (SELECT "set", node, min(hop)::INTEGER AS hop FROM walk GROUP BY ALL)"""
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred seed sets, in two batches of 64: each user is in one."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg((F.min("event_id") % 100).alias("set"))
+
+
+@query(f'WITH RECURSIVE {_CHANNELS} SELECT "set", hop, count(*) AS nodes, sum(node)::BIGINT AS node_sum FROM f GROUP BY ALL')
+def channel_hops(spark: SparkSession, sf_dir: str) -> DataFrame:  # G02
+    found = reach.hops(user_graph(spark, sf_dir), _channels(spark, sf_dir), 3)
+    return found.groupBy("set", "hop").agg(F.count("*").alias("nodes"), F.sum("node").cast("bigint").alias("node_sum"))
+
+
+@query(f"""WITH RECURSIVE {_CHANNELS}, {_LABEL},
+back(node, hop) AS (SELECT node, 0 FROM lab WHERE label = 'view' AND node IN (SELECT node FROM present) UNION SELECT src, hop + 1 FROM back JOIN e ON dst = node WHERE hop < 3),
+r AS MATERIALIZED (SELECT node, min(hop)::INTEGER AS hop FROM back GROUP BY node)
+SELECT "set", f.node, f.hop AS forward, r.hop AS backward FROM f JOIN r USING (node) WHERE f.hop + r.hop <= 2""")
+def channel_bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:  # G03 G04
+    edges = user_graph(spark, sf_dir)
+    return reach.bounded_paths(edges, _channels(spark, sf_dir), _ends(spark, sf_dir)[1], 2)
+
+
+@query(f"""WITH {_E}, k AS MATERIALIZED (SELECT user_id AS node FROM events GROUP BY ALL HAVING min(event_id) % 3 = 0),
+r AS (SELECT sha256(concat_ws('|', src::VARCHAR, dst::VARCHAR, weight::VARCHAR)) AS d, 1 AS edge FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)
+UNION ALL SELECT sha256(concat_ws('|', node::VARCHAR, node::VARCHAR, '\\N')), 0 FROM k),
+g AS (SELECT d[1:2] AS g, sha256(string_agg(d, '' ORDER BY d)) AS h, sum(edge) AS edges, count(*) AS n FROM r GROUP BY ALL)
+SELECT (sum(n) - sum(edges))::BIGINT AS nodes, sum(edges)::BIGINT AS edges, sha256(string_agg(h, '' ORDER BY g)) AS digest FROM g""")
+def circuit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:  # G05
+    nodes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.min("event_id").alias("f")).where("f % 3 = 0").select("node")
+    return graph.identity(user_graph(spark, sf_dir), nodes)
+
+
 _FLOW = f"""{_E}, i AS (SELECT dst, sum(weight) AS w FROM e GROUP BY dst), sh AS MATERIALIZED (SELECT src, e.dst, weight / greatest(w, 1) AS share FROM e JOIN i ON i.dst = e.dst),
 lab2 AS (SELECT user_id AS node, min(event_id) % 4 AS g FROM events GROUP BY ALL),
 s0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS mass FROM lab2 WHERE g = 0),
