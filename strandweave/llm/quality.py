@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from strandweave.llm._common import pieces_by_bytes, utf8_of
 from strandweave.llm._words import runs, words_of
 
-#: (bytes below which the band holds, least ratio, largest ratio).  The largest ratio lies above that of clean prose of the length, from 1 KiB on also above prose of few syllables (3.3 to 3.9);
-#: the least one lies between clean prose and random letters and digits.  Below 128 bytes the two cannot be told apart.
-BANDS = (
-    (128, 0.0, 1.9), (192, 1.0, 1.9), (256, 1.12, 2.0), (384, 1.18, 2.2), (512, 1.25, 2.4), (768, 1.32, 2.65), (1024, 1.4, 2.65), (1536, 1.52, 3.6),
-    (2048, 1.56, 4.2), (4096, 1.6, 4.2), (16384, 1.7, 4.3), (65536, 1.7, 4.4), (1 << 62, 1.7, 4.5),
-)
+#: (bytes below which it holds, least ratio): between clean prose and random letters and digits.  Below 128 bytes the two cannot be told apart.
+FLOORS = ((128, 0.0), (192, 1.0), (256, 1.12), (384, 1.18), (512, 1.25), (768, 1.32), (1024, 1.4), (1536, 1.52), (2048, 1.56), (4096, 1.6), (1 << 62, 1.7))
+#: (bytes, largest ratio), on a line between them by the length's logarithm.  It lies above clean prose (1.5 to 2.8) and above prose of few syllables (2 at
+#: 300 bytes, up to 3.6 at 1 KiB and 3.9 later).  So each word two or three times in a row passes, five times does not; four times lies about the line.
+CEILINGS = ((128, 1.9), (192, 1.9), (256, 2.05), (384, 2.4), (512, 2.65), (768, 3.1), (1024, 3.6), (2048, 4.2), (4096, 4.2), (16384, 4.3), (65536, 4.4), (1 << 20, 4.5))
+_CEILING_AT, _CEILING = np.log2([n for n, _ in CEILINGS]), [r for _, r in CEILINGS]
 CHUNK = 4096
 CHUNK_BAND = (1.65, 4.2)
 #: Texts of more bytes a code point than this have a least ratio smaller by WIDE_FLOOR: words of a few letters from a large set look like noise.
@@ -94,7 +94,8 @@ def dup_lines(text: bytes) -> int:
 def compression(text: bytes, press: zstandard.ZstdCompressor) -> tuple[bool, float, int, int, int]:
     """Verdict, whole ratio, chunks below and above their band, number of chunks."""
     n = len(text)
-    _, least, most = next(b for b in BANDS if n < b[0])
+    least = next(r for at, r in FLOORS if n < at)
+    most = float(np.interp(np.log2(max(n, 1)), _CEILING_AT, _CEILING))
     whole = n / len(press.compress(text)) if n else 0.0
     # Scripts of two or three bytes a letter compress the better for it.
     wide = n / max(1, len(text.decode("utf-8", "replace")))

@@ -519,6 +519,21 @@ def test_compression_rejects_word_runs():
     assert quality.compression("".join(rnd.choices("абвгдежзиклмнопрст ", range(19, 0, -1), k=3000)).encode(), press)[0]
 
 
+def test_ceilings_rise_without_a_jump():
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    rnd = random.Random(4)
+    few = ["ba", "lo", "mi", "ka", "te"]
+    for n in (200, 300, 450, 600, 760, 780, 900, 1000, 1030, 1200, 1500, 1700, 2500, 6000, 20000):
+        ceiling = lambda size: np.interp(np.log2(size), quality._CEILING_AT, quality._CEILING)
+        assert 0 <= ceiling(1.05 * n) - ceiling(n) < 0.1
+        for _ in range(5):
+            # Prose of few syllables is kept, and so is each word twice in a row; from five times on it is not.
+            prose = " ".join("".join(rnd.choices(few, k=rnd.randint(1, 4))) for _ in range(n))[:n]
+            twice, often = (" ".join(" ".join([w] * k) for w in _words(rnd, n // k))[:n] for k in (2, 5))
+            assert quality.compression(prose.encode(), press)[0] and quality.compression(twice.encode(), press)[0], n
+            assert not quality.compression(often.encode(), press)[0], n
+
+
 def test_compression_rejects_noise_in_letters():
     press = zstandard.ZstdCompressor(level=quality.LEVEL)
     rnd = random.Random(5)
