@@ -25,7 +25,7 @@ from strandweave.llm._words import runs, words_of
 FLOORS = ((128, 0.0), (192, 1.0), (256, 1.12), (384, 1.18), (512, 1.25), (768, 1.32), (1024, 1.4), (1536, 1.52), (2048, 1.56), (4096, 1.6), (1 << 62, 1.7))
 #: (bytes, largest ratio), on a line between them by the length's logarithm.  It lies above clean prose (1.5 to 2.8) and above prose of few syllables (2 at
 #: 300 bytes, up to 3.6 at 1 KiB and 3.9 later).  So each word two or three times in a row passes, five times does not; four times lies about the line.
-CEILINGS = ((128, 1.9), (192, 1.9), (256, 2.05), (384, 2.4), (512, 2.65), (768, 3.1), (1024, 3.6), (2048, 4.2), (4096, 4.2), (16384, 4.3), (65536, 4.4), (1 << 20, 4.5))
+CEILINGS = ((128, 1.9), (192, 2.0), (256, 2.2), (384, 2.4), (512, 2.65), (768, 3.1), (1024, 3.6), (2048, 4.2), (4096, 4.2), (16384, 4.3), (65536, 4.4), (1 << 20, 4.5))
 _CEILING_AT, _CEILING = np.log2([n for n, _ in CEILINGS]), [r for _, r in CEILINGS]
 CHUNK = 4096
 CHUNK_BAND = (1.65, 4.2)

@@ -525,7 +525,7 @@ def test_ceilings_rise_without_a_jump():
     few = ["ba", "lo", "mi", "ka", "te"]
     for n in (200, 300, 450, 600, 760, 780, 900, 1000, 1030, 1200, 1500, 1700, 2500, 6000, 20000):
         ceiling = lambda size: np.interp(np.log2(size), quality._CEILING_AT, quality._CEILING)
-        assert 0 <= ceiling(1.05 * n) - ceiling(n) < 0.1
+        assert 0 <= ceiling(1.05 * n) - ceiling(n) < 0.1, n
         for _ in range(5):
             # Prose of few syllables is kept, and so is each word twice in a row; from five times on it is not.
             prose = " ".join("".join(rnd.choices(few, k=rnd.randint(1, 4))) for _ in range(n))[:n]
