@@ -18,6 +18,18 @@ def unmatched(rows: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame
     return rows.join(reference.select(*on).distinct(), on, "left_anti")
 
 
+def unresolved(rows: DataFrame, reference: DataFrame, on: tuple[str, str], agree: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Rows whose key meets no reference row with the same attributes; pairs name a column of either side, nulls agree with nothing.
+
+    The join is by key alone, with the attributes compared behind it, so that tables bucketed by key need no exchange.
+    """
+    a, b = rows.alias("a"), reference.select(*{on[1], *[y for _, y in agree]}).alias("b")
+    met = F.col(f"a.{on[0]}") == F.col(f"b.{on[1]}")
+    for x, y in agree:
+        met = met & F.col(f"a.{x}").between(F.col(f"b.{y}"), F.col(f"b.{y}"))  # not an equality, which would be a join key
+    return a.join(b, met, "left_anti")
+
+
 def reconcile(observed: DataFrame, official: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """Keys whose re-aggregated weight is not the official one, with both (null where absent)."""
     a = observed.select(*keys, F.col(weight).alias("observed_weight"))

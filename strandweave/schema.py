@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,21 +49,29 @@ def normalised_ids(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if c == "sv" or c == "point_id" or c.startswith("body") else F.col(c) for c in df.columns])
 
 
-def violation_counts(edges: DataFrame, ids: tuple[str, ...] = ("src", "dst"), weight: str = "weight", limit: int = (1 << 32) - 1) -> DataFrame:
-    """One row: null ids, negative ids, and weights that are null, not positive or too large."""
+def violations(ids: tuple[str, ...] = ("src", "dst"), weight: str = "weight", limit: int = (1 << 32) - 1) -> list[Column]:
+    """Counts of null ids, negative ids, and weights that are null, not positive or too large."""
     any_of = lambda test: F.coalesce(F.count_if(F.expr(" OR ".join(test(c) for c in ids))), F.lit(0))
-    return edges.agg(
+    return [
         any_of(lambda c: f"{c} IS NULL").alias("null_ids"),
         any_of(lambda c: f"{c} < 0").alias("negative_ids"),
         F.count_if(F.col(weight).isNull()).alias("null_weights"),
         F.count_if(F.col(weight) <= 0).alias("nonpositive_weights"),
         F.count_if(F.col(weight) > limit).alias("overflow_weights"),
-    )
+    ]
 
 
-def require_valid(edges: DataFrame) -> DataFrame:
-    row = violation_counts(edges).first().asDict()
-    bad = {k: v for k, v in row.items() if v}
+def violation_counts(edges: DataFrame, ids: tuple[str, ...] = ("src", "dst"), weight: str = "weight", limit: int = (1 << 32) - 1) -> DataFrame:
+    """One row of ``violations``."""
+    return edges.agg(*violations(ids, weight, limit))
+
+
+def refuse_violations(counts: dict[str, int]) -> None:
+    bad = {k: v for k, v in counts.items() if v}
     if bad:
         raise IntegrityError(f"invalid edges: {bad}")
+
+
+def require_valid(edges: DataFrame) -> DataFrame:
+    refuse_violations(violation_counts(edges).first().asDict())
     return edges
