@@ -83,6 +83,8 @@ def import_edges_counted(raw: DataFrame, path: str, bodies: DataFrame | None = N
     seen, kept = Observation(), Observation()
     sound = [*violations(), F.count("*").alias("raw_edges")]
     edges = raw.observe(seen, *sound)
+    if raw._jdf.queryExecution().sparkPlan().outputPartitioning().toString().startswith("SinglePartition"):
+        edges = edges.repartition(2)  # else nothing would part the counts from the range sampling, which would count again
     if bodies is not None:
         edges = _marked(edges, bodies).observe(kept, *_left_out()).where("_in")
     edges = aggregated(edges, "src", "dst", F.col("weight")).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
