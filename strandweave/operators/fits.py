@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandweave.functions.tails import chi_square_upper
 from strandweave.operators import plasticity
@@ -210,80 +211,96 @@ def fit_family(name: str, observed: list[tuple[float, int, float, float]], seed:
     return value, p, edge
 
 
-def _jobs(spark: SparkSession, jobs: list[tuple[str, int]], run: Callable[[str, int], list[tuple]], schema: str) -> DataFrame:
-    """One task for each (family, replicate)."""
+def observations(responses: DataFrame, least_error: float = 1e-3) -> DataFrame:
+    """(specimen, gap, pulse, mean, error) of responses (specimen, gap, pulse, response): the mean of each later pulse as a multiple of the
+    first one's, and its standard error, ``least_error`` at least.  Trains without a first pulse, and pulses with one response, have none."""
+    own = responses.groupBy("specimen", "gap", "pulse").agg(F.avg("response").alias("_m"), (F.stddev_samp("response") / F.sqrt(F.count("*"))).alias("_e"))
+    first = own.where("pulse = 1 and _m <> 0").select("specimen", "gap", F.col("_m").alias("_first"))
+    joined = own.where("pulse > 1 and _e is not null").join(first, ["specimen", "gap"])
+    return joined.select("specimen", "gap", F.col("pulse").cast("int").alias("pulse"), (F.col("_m") / F.col("_first")).alias("mean"), F.greatest(F.col("_e") / F.abs("_first"), F.lit(least_error)).alias("error"))
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(", ")]
-        for frame in frames:
-            yield pd.DataFrame([r for f, k in zip(frame["family"], frame["replicate"], strict=True) for r in run(f, int(k))], columns=names)
 
-    return spark.createDataFrame(jobs, "family string, replicate int").repartition(min(64, len(jobs)), "replicate").mapInPandas(each, schema)
+def _jobs(observed: DataFrame, families: list[str], replicates: int | None, run: Callable[[str, int, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``run(family, replicate, observations)`` for each specimen, family and replicate, in groups of their own; without a number of
+    replicates, one for each observation.  A specimen's observations are as many as its gaps and pulses."""
+    kind = observed.schema["specimen"].dataType.simpleString()
+    own = observed.select("specimen", F.col("gap").cast("double").alias("gap"), F.col("pulse").cast("int").alias("pulse"), "mean", "error").withColumn("family", F.explode(F.array(*[F.lit(f) for f in families])))
+    count = F.lit(replicates) if replicates is not None else F.count("*").over(Window.partitionBy("specimen", "family"))
+    own = own.withColumn("_n", count.cast("int")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    names = ["specimen", *[f.split()[0] for f in schema.split(", ")]]
 
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["gap", "pulse", "mean"])
+        given = [(float(g), int(p), float(m), float(e)) for g, p, m, e in frame[["gap", "pulse", "mean", "error"]].itertuples(index=False)]
+        rows = run(frame["family"].iloc[0], int(frame["replicate"].iloc[0]), given)
+        return pd.DataFrame([(frame["specimen"].iloc[0], *r) for r in rows], columns=names)
 
-def fit_families(spark: SparkSession, observed: list[tuple[float, int, float, float]], families: list[str], restarts: int = 4) -> DataFrame:
-    """(family, loss, parameters, at_edge, gof_p, first_use): the best of the restarts for each family, over all observations,
-    trains and pairs alike; without a degree of freedom there is no ``gof_p``."""
-    degrees = {f: len(observed) - len(plasticity.FAMILIES[f][1]) for f in families}
+    return own.groupBy("specimen", "family", "replicate").applyInPandas(each, f"specimen {kind}, {schema}")
 
-    def run(family: str, seed: int) -> list[tuple]:
-        loss, p, edge = fit_family(family, observed, seed)
-        gof = chi_square_upper(loss, degrees[family]) if degrees[family] > 0 else None
+
+def fit_families(observed: DataFrame, families: list[str], restarts: int = 4) -> DataFrame:
+    """(specimen, family, loss, parameters, at_edge, gof_p, first_use): the best of the restarts for each family, over all observations
+    (specimen, gap, pulse, mean, error), trains and pairs (pulse 0) alike; without a degree of freedom there is no ``gof_p``."""
+
+    def run(family: str, seed: int, given: list[tuple]) -> list[tuple]:
+        loss, p, edge = fit_family(family, given, seed)
+        degrees = len(given) - len(plasticity.FAMILIES[family][1])
+        gof = chi_square_upper(loss, degrees) if degrees > 0 else None
         return [(family, loss, p.tolist(), edge, gof, plasticity.terms(family, p).first_use())]
 
-    rows = _jobs(spark, [(f, k) for f in families for k in range(restarts)], run, "family string, loss double, parameters array<double>, at_edge boolean, gof_p double, first_use double")
-    return best(rows, ["family"], "loss", ["parameters", "at_edge", "gof_p", "first_use"])
+    rows = _jobs(observed, families, restarts, run, "family string, loss double, parameters array<double>, at_edge boolean, gof_p double, first_use double")
+    return best(rows, ["specimen", "family"], "loss", ["parameters", "at_edge", "gof_p", "first_use"])
 
 
-def leave_one_out(spark: SparkSession, observed: list[tuple[float, int, float, float]], families: list[str]) -> DataFrame:
-    """(family, left_out, residual): each observation predicted from the others, in its errors."""
+def leave_one_out(observed: DataFrame, families: list[str]) -> DataFrame:
+    """(specimen, family, left_out, residual): each observation, in the order of gap and pulse, predicted from the specimen's others, in its errors."""
 
-    def run(family: str, k: int) -> list[tuple]:
-        _, p, _ = fit_family(family, observed[:k] + observed[k + 1 :], k)
-        _, _, y, e = observed[k]
-        return [(family, k, float((y - predicted(family, p, observed[k : k + 1])[0]) / e))]
+    def run(family: str, k: int, given: list[tuple]) -> list[tuple]:
+        _, p, _ = fit_family(family, given[:k] + given[k + 1 :], k)
+        _, _, y, e = given[k]
+        return [(family, k, float((y - predicted(family, p, given[k : k + 1])[0]) / e))]
 
-    return _jobs(spark, [(f, k) for f in families for k in range(len(observed))], run, "family string, left_out int, residual double")
+    return _jobs(observed, families, None, run, "family string, left_out int, residual double")
 
 
-def bootstrap_band(spark: SparkSession, observed: list[tuple[float, int, float, float]], family: str, gap: float, pulses: int, replicates: int = 200) -> DataFrame:
-    """(pulse, low, middle, high): 5, 50 and 95 % of predictions refitted to observations drawn around the given ones."""
+def bootstrap_band(observed: DataFrame, family: str, gap: float, pulses: int, replicates: int = 200) -> DataFrame:
+    """(specimen, pulse, low, middle, high): 5, 50 and 95 % of predictions refitted to observations drawn around the given ones."""
 
-    def run(name: str, k: int) -> list[tuple]:
+    def run(name: str, k: int, given: list[tuple]) -> list[tuple]:
         rng = np.random.default_rng(1000 + k)
-        drawn = [(g, n, y + e * rng.standard_normal(), e) for g, n, y, e in observed]
+        drawn = [(g, n, y + e * rng.standard_normal(), e) for g, n, y, e in given]
         _, p, _ = fit_family(name, drawn, k, starts=4)
         return [(i + 1, float(v)) for i, v in enumerate(plasticity.train(name, p, gap, pulses))]
 
-    rows = _jobs(spark, [(family, k) for k in range(replicates)], run, "pulse int, value double")
+    rows = _jobs(observed, [family], replicates, run, "pulse int, value double")
     q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy("pulse").agg(q.alias("q")).select("pulse", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    return rows.groupBy("specimen", "pulse").agg(q.alias("q")).select("specimen", "pulse", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+
 
+def recovery(design: DataFrame, family: str, truth: list[float], replicates: int = 10) -> DataFrame:
+    """(specimen, replicate, worst_relative_error) of parameters recovered from observations that the family makes at the design's gaps and pulses, with its errors."""
 
-def recovery(spark: SparkSession, family: str, truth: list[float], gaps: list[float], pulses: int, error: float, replicates: int = 10) -> DataFrame:
-    """(replicate, worst_relative_error) of parameters recovered from synthetic observations."""
-    def run(name: str, k: int) -> list[tuple]:
+    def run(name: str, k: int, given: list[tuple]) -> list[tuple]:
         rng = np.random.default_rng(k)
-        data = [(g, i + 1, float(v + error * rng.standard_normal()), error) for g in gaps for i, v in enumerate(plasticity.train(name, truth, g, pulses))]
+        data = [(g, n, float(v + e * rng.standard_normal()), e) for (g, n, _, e), v in zip(given, predicted(name, truth, given), strict=True)]
         _, p, _ = fit_family(name, data, k)
         return [(k, float(np.max(np.abs(p - truth) / np.abs(truth))))]
 
-    return _jobs(spark, [(family, k) for k in range(replicates)], run, "replicate int, worst_relative_error double")
+    return _jobs(design, [family], replicates, run, "replicate int, worst_relative_error double")
 
 
-def discrimination(spark: SparkSession, family: str, truth: list[float], rival: str, observed: list[tuple[float, int, float, float]], replicates: int = 200, starts: int = 4) -> DataFrame:
-    """(wins, median_margin, high_margin): how often ``family`` fits data that it made better than ``rival`` does, and by how
+def discrimination(observed: DataFrame, family: str, truth: list[float], rival: str, replicates: int = 200, starts: int = 4) -> DataFrame:
+    """(specimen, wins, median_margin, high_margin): how often ``family`` fits data that it made better than ``rival`` does, and by how
     much (median and 95 %) of weighted squares.  The data are drawn around its values with the observations' errors."""
-    values = predicted(family, truth, observed)
 
-    def run(name: str, k: int) -> list[tuple]:
+    def run(name: str, k: int, given: list[tuple]) -> list[tuple]:
         rng = np.random.default_rng(k)
-        drawn = [(g, n, float(v + e * rng.standard_normal()), e) for (g, n, _, e), v in zip(observed, values, strict=True)]
+        drawn = [(g, n, float(v + e * rng.standard_normal()), e) for (g, n, _, e), v in zip(given, predicted(name, truth, given), strict=True)]
         return [(k, fit_family(rival, drawn, k, starts)[0] - fit_family(name, drawn, k, starts)[0])]
 
-    rows = _jobs(spark, [(family, k) for k in range(replicates)], run, "replicate int, margin double")
+    rows = _jobs(observed, [family], replicates, run, "replicate int, margin double")
     q = F.percentile("margin", F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.agg(F.avg((F.col("margin") > 0).cast("double")).alias("wins"), q.alias("q")).select("wins", F.get("q", F.lit(0)).alias("median_margin"), F.get("q", F.lit(1)).alias("high_margin"))
+    return rows.groupBy("specimen").agg(F.avg((F.col("margin") > 0).cast("double")).alias("wins"), q.alias("q")).select("specimen", "wins", F.get("q", F.lit(0)).alias("median_margin"), F.get("q", F.lit(1)).alias("high_margin"))
 
 
 def rate_grid_fit(curves: DataFrame, specimen: str, grids: dict[str, list[float]], model: Callable[..., Column]) -> DataFrame:

@@ -182,8 +182,8 @@ def sensitivity(df: DataFrame, value: str, others: list[str], factors: tuple[flo
     out = rows[0]
     for row in rows[1:]:
         out = out.unionByName(row)
-    spread = [F.max(f"rho_{o}").over(Window.partitionBy(F.lit(1))) - F.min(f"rho_{o}").over(Window.partitionBy(F.lit(1))) for o in others]  # a row for each factor
     steady = F.lit(True)
-    for x in spread:
-        steady = steady & F.coalesce(x <= 1e-9, F.lit(True))
-    return out.withColumn("invariant", steady)
+    for o in others:
+        steady = steady & F.coalesce(F.max(f"rho_{o}") - F.min(f"rho_{o}") <= 1e-9, F.lit(True))
+    out = ordered.cut(out)  # a row for each factor
+    return out.join(F.broadcast(out.agg(steady.alias("invariant"))), F.lit(True))

@@ -82,9 +82,13 @@ def protocol_summary(sweeps: DataFrame, cell: str) -> DataFrame:
     return own.join(medians, cell, "left")
 
 
-def free_asymptote(samples: DataFrame, dt_ms: float, taus: int = 600) -> DataFrame:
+# Range (ms) and number of the time constants of a fit without a known asymptote.
+TAU_RANGE, TAUS = (0.5, 2000.0), 600
+
+
+def free_asymptote(samples: DataFrame, dt_ms: float, taus: int = TAUS) -> DataFrame:
     """(sweep, tau_ms, asymptote, amplitude, r2, samples) of voltage = amplitude * exp(-t / tau) + asymptote: least squares for each time
-    constant of a geometric grid from 0.5 to 2000 ms.  Sweeps of less than 10 samples have nulls."""
+    constant of a geometric grid.  Sweeps of less than 10 samples, and those whose voltage does not vary, have nulls."""
     kind = samples.schema["sweep"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -92,8 +96,8 @@ def free_asymptote(samples: DataFrame, dt_ms: float, taus: int = 600) -> DataFra
         t, v = (frame["i"].to_numpy(float) - frame["i"].min()) * dt_ms, frame["voltage"].to_numpy(float)
         n = len(v)
         row: list = [frame["sweep"].iloc[0], None, None, None, None, n]
-        if n >= 10:
-            grid = np.geomspace(0.5, 2000.0, taus)
+        if n >= 10 and v.min() < v.max():
+            grid = np.geomspace(*TAU_RANGE, taus)
             e = np.exp(-t[None, :] / grid[:, None])
             me, mv = e.mean(1), v.mean()
             see, sev = ((e - me[:, None]) ** 2).sum(1), ((e - me[:, None]) * (v - mv)).sum(1)

@@ -125,8 +125,9 @@ def universe_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:  # A05
 
 
 @query("""
-WITH s AS (SELECT least(1 - l_discount, 1 - l_tax) AS v FROM lineitem), t(threshold) AS (VALUES (0.91), (0.93), (0.95), (0.97), (0.99))
-SELECT threshold::DOUBLE AS threshold, (SELECT count(*) FROM s WHERE v >= threshold::DOUBLE) AS kept, true AS monotone FROM t
+WITH s AS (SELECT least(1 - l_discount, 1 - l_tax) AS v FROM lineitem), t(threshold) AS (VALUES (0.91), (0.93), (0.95), (0.97), (0.99)),
+k AS (SELECT threshold::DOUBLE AS threshold, (SELECT count(*) FROM s WHERE v >= threshold::DOUBLE) AS kept FROM t)
+SELECT threshold, kept, (SELECT bool_and(kept <= coalesce(before, kept)) FROM (SELECT kept, lag(kept) OVER (ORDER BY threshold) AS before FROM k)) AS monotone FROM k
 """)
 def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:  # F08 W13
     rows = table(spark, sf_dir, "lineitem")
@@ -159,14 +160,21 @@ def claimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:  # J23
 
 
 @query("""
-SELECT 'lineitem' AS name, count(*)::DOUBLE AS measured, 6e4::DOUBLE AS published, round(abs(count(*) - 6e4) / 6e4, 9) AS relative_error, abs(count(*) - 6e4) / 6e4 <= 0.02 AS passed FROM lineitem
-UNION ALL SELECT 'users', count(DISTINCT user_id)::DOUBLE, 140.0::DOUBLE, round(abs(count(DISTINCT user_id) - 140) / 140, 9), abs(count(DISTINCT user_id) - 140) / 140 <= 0.02 FROM events
+WITH m(name, measured, published) AS (
+  SELECT 'lines_per_order', (SELECT count(*) FROM lineitem) / (SELECT count(*) FROM orders)::DOUBLE, 4.0::DOUBLE
+  UNION ALL SELECT 'orders_per_customer', (SELECT count(*) FROM orders) / (SELECT count(*) FROM customer)::DOUBLE, 10.0::DOUBLE
+  UNION ALL SELECT 'parts_per_supplier', (SELECT count(*) FROM part) / (SELECT count(*) FROM supplier)::DOUBLE, 25.0::DOUBLE
+)
+SELECT name, round(measured, 9) AS measured, published, round(abs(measured - published) / published, 9) AS relative_error, abs(measured - published) / published <= 0.02 AS passed FROM m
 """)
 def structural_review(spark: SparkSession, sf_dir: str) -> DataFrame:  # G18
-    lines = table(spark, sf_dir, "lineitem").agg(F.lit("lineitem").alias("name"), F.count("*").cast("double").alias("measured"))
-    users = table(spark, sf_dir, "events").agg(F.lit("users").alias("name"), F.count_distinct("user_id").cast("double").alias("measured"))
-    published = spark.createDataFrame([("lineitem", 6e4), ("users", 140.0)], "name string, published double")
-    return contacts.structural_review(lines.unionByName(users), published).withColumn("relative_error", F.round("relative_error", 9))
+    """Figures that hold at any scale factor."""
+    size = lambda name: table(spark, sf_dir, name).agg(F.count("*").cast("double").alias("n"))
+    wanted = [("lines_per_order", "lineitem", "orders", 4.0), ("orders_per_customer", "orders", "customer", 10.0), ("parts_per_supplier", "part", "supplier", 25.0)]
+    rows = [size(a).join(size(b).withColumnRenamed("n", "d"), F.lit(True)).select(F.lit(name).alias("name"), (F.col("n") / F.col("d")).alias("measured")) for name, a, b, _ in wanted]  # one row each
+    measured = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    published = spark.createDataFrame([(name, value) for name, _, _, value in wanted], "name string, published double")
+    return contacts.structural_review(measured, published).withColumn("measured", F.round("measured", 9)).withColumn("relative_error", F.round("relative_error", 9))
 
 
 @query("""

@@ -217,8 +217,9 @@ def functional_weights(spark: SparkSession, sf_dir: str) -> DataFrame:  # G14
 
 
 @query("""WITH f(factor) AS (VALUES (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)), v AS (SELECT factor, p_retailprice * (0.8::DOUBLE / factor) AS v, p_size AS s FROM part, f),
-k AS (SELECT factor, v, rank() OVER (PARTITION BY factor ORDER BY v) + (count(*) OVER (PARTITION BY factor, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor ORDER BY s) + (count(*) OVER (PARTITION BY factor, s) - 1) / 2.0 AS b FROM v)
-SELECT factor, round(median(v), 6) AS median, round(corr(a, b), 9) AS rho_p_size, true AS invariant FROM k GROUP BY factor""")
+k AS (SELECT factor, v, rank() OVER (PARTITION BY factor ORDER BY v) + (count(*) OVER (PARTITION BY factor, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY factor ORDER BY s) + (count(*) OVER (PARTITION BY factor, s) - 1) / 2.0 AS b FROM v),
+r AS (SELECT factor, median(v) AS median, corr(a, b) AS rho FROM k GROUP BY factor)
+SELECT factor, round(median, 6) AS median, round(rho, 9) AS rho_p_size, (SELECT max(rho) - min(rho) <= 1e-9 FROM r) AS invariant FROM r""")
 def sensitivity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST11
     out = stats.sensitivity(table(spark, sf_dir, "part").select("p_retailprice", "p_size"), "p_retailprice", ["p_size"], (0.7, 0.8, 0.9), 0.8)
     return out.withColumn("median", F.round("median", 6)).withColumn("rho_p_size", F.round("rho_p_size", 9))
@@ -239,16 +240,16 @@ def class_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:  # A30
     return own.join(q, "class").select("class", "n", "units", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "least", "most")
 
 
-# Current steps: each nation is a sweep, each region a cell; at 0.5 ms a pulse from sample 60 to 219 charges the membrane, and strong ones fire.
+# Current steps: each supplier is a sweep, 25 of them a cell; at 0.5 ms a pulse from sample 60 to 219 charges the membrane, and strong ones fire.
 
-_SWEEP = """m AS (SELECT n_nationkey AS sweep, n_regionkey AS cell, n_nationkey * 4.0::DOUBLE - 20 AS level, 6.0::DOUBLE + n_nationkey % 5 AS tau FROM nation), i AS (SELECT unnest(range(0, 400)) AS i),
+_SWEEP = """m AS (SELECT s_suppkey AS sweep, s_suppkey // 25 AS cell, s_suppkey % 25 * 4.0::DOUBLE - 20 AS level, 6.0::DOUBLE + s_suppkey % 5 AS tau FROM supplier), i AS (SELECT unnest(range(0, 400)) AS i),
 p AS (SELECT sweep, cell, tau, i, CASE WHEN i BETWEEN 60 AND 219 THEN level ELSE 0 END AS current, level,
   -60 + 0.2 * level * (CASE WHEN i < 60 THEN 0 WHEN i <= 219 THEN 1 - exp(-(i - 60) * 0.5 / tau) ELSE (1 - exp(-159 * 0.5 / tau)) * exp(-(i - 219) * 0.5 / tau) END)
   + CASE WHEN level > 30 AND i BETWEEN 70 AND 219 AND (i - 70) % (60 - level / 2)::BIGINT = 0 THEN 50 ELSE 0 END AS voltage FROM m, i)"""
 
 
 def _sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sweep"), F.col("n_regionkey").alias("cell"), (F.col("n_nationkey") * 4.0 - 20).alias("level"), (6.0 + F.col("n_nationkey") % 5).alias("tau"))
+    m = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sweep"), F.floor(F.col("s_suppkey") / 25).alias("cell"), (F.col("s_suppkey") % 25 * 4.0 - 20).alias("level"), (6.0 + F.col("s_suppkey") % 5).alias("tau"))
     p = m.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(399).cast("bigint"))))
     i, tau = F.col("i"), F.col("tau")
     share = F.when(i < 60, 0.0).when(i <= 219, 1 - F.exp(-(i - 60) * 0.5 / tau)).otherwise((1 - F.exp(-159 * 0.5 / tau)) * F.exp(-(i - 219) * 0.5 / tau))
@@ -295,11 +296,12 @@ def free_sweep_features(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST15
     return out.select("sweep", "samples", "seconds", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query(f"""WITH {_SWEEP}, t AS (SELECT sweep, (i - 220) * 0.5 AS t, voltage FROM p WHERE i >= 220 AND level <> 0), g AS (SELECT 0.5 * pow(4000, k / 599.0::DOUBLE) AS tau FROM range(0, 600) r(k)),
+@query(f"""WITH {_SWEEP}, t AS (SELECT sweep, (i - 220) * 0.5 AS t, voltage FROM p WHERE i >= 220), g AS (SELECT 0.5 * pow(4000, k / 599.0::DOUBLE) AS tau FROM range(0, 600) r(k)),
 f AS (SELECT sweep, tau, regr_slope(voltage, exp(-t / tau)) AS slope, regr_intercept(voltage, exp(-t / tau)) AS intercept, regr_r2(voltage, exp(-t / tau)) AS r2, count(*) AS samples FROM t, g GROUP BY ALL)
-SELECT sweep, round(arg_max(tau, r2), 6) AS tau_ms, round(arg_max(intercept, r2), 6) AS asymptote, round(arg_max(slope, r2), 6) AS amplitude, max(samples) AS samples FROM f GROUP BY sweep""")
+SELECT f.sweep, CASE WHEN lo < hi THEN round(arg_max(tau, r2), 6) END AS tau_ms, CASE WHEN lo < hi THEN round(arg_max(intercept, r2), 6) END AS asymptote, CASE WHEN lo < hi THEN round(arg_max(slope, r2), 6) END AS amplitude, max(samples) AS samples
+FROM f JOIN (SELECT sweep, min(voltage) AS lo, max(voltage) AS hi FROM t GROUP BY sweep) w ON w.sweep = f.sweep GROUP BY f.sweep, lo, hi""")
 def free_asymptote_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST14
-    tails = _sweeps(spark, sf_dir).where("i >= 220 AND sweep <> 5")
+    tails = _sweeps(spark, sf_dir).where("i >= 220")
     out = sweeps.free_asymptote(tails, 0.5)
     return out.select("sweep", *[F.round(c, 6).alias(c) for c in ("tau_ms", "asymptote", "amplitude")], "samples")
 

@@ -40,12 +40,19 @@ def sign_test_counts(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST04
 
 @query()
 def sign_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST03 ST04 ST05 ST08
-    row = stats.sign_counts(table(spark, sf_dir, "supplier"), F.col("s_acctbal") - 5000).first()
-    values = [
-        ("sign_test", tails.sign_test(row["positive"], row["negative"])), ("t_two_sided", tails.t_two_sided(2.5, 9)),
-        ("t_quantile", tails.t_quantile(9)), ("chi_square", tails.chi_square_upper(12.3, 5)), ("spearman", tails.spearman_p(0.42, 30)),
-    ]
-    return spark.createDataFrame(values, "name string, value double")
+    """Tail probabilities of what the lines of each flag give: signs and mean of discount less tax, its correlation with quantity, and line numbers against equal shares."""
+    d = F.col("l_discount") - F.col("l_tax")
+    lines = table(spark, sf_dir, "lineitem")
+    each = lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(d > 0).alias("positive"), F.count_if(d < 0).alias("negative"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.corr(d, "l_quantity").alias("rho"))
+    numbers = lines.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("c")).groupBy("l_returnflag").agg(F.count("*").alias("kinds"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    rows = []
+    for r in each.join(numbers, "l_returnflag").collect():  # a row for each flag
+        chi = r["squares"] * r["kinds"] / r["all"] - r["all"]
+        rows += [
+            (r["l_returnflag"], "sign_test", tails.sign_test(r["positive"], r["negative"])), (r["l_returnflag"], "t_two_sided", tails.t_two_sided(r["mean"] / r["sd"] * r["n"] ** 0.5, r["n"] - 1)),
+            (r["l_returnflag"], "t_quantile", tails.t_quantile(r["n"] - 1)), (r["l_returnflag"], "chi_square", tails.chi_square_upper(chi, r["kinds"] - 1)), (r["l_returnflag"], "spearman", tails.spearman_p(r["rho"], r["n"])),
+        ]
+    return spark.createDataFrame(rows, "flag string, name string, value double")
 
 
 _T5 = ", ".join(f"({n}, {tails.t_quantile(n - 1)!r})" for n in range(2, 60))
@@ -133,20 +140,20 @@ def unthin_correct(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST10
     return _rounded(stats.corrected(x, 0.8), 9, "q_true", "predicted", "floor", "exact_mean")
 
 
-@query("""SELECT gap, u, round(1 - u * exp(-gap / 200.0), 9) AS ppr, round((1 - exp(-gap / 200.0)) / (1 - (1 - u) * exp(-gap / 200.0)), 9) AS steady
-FROM (SELECT x * 25.0::DOUBLE AS gap FROM range(1, 41) t(x)), (SELECT y * 0.1::DOUBLE AS u FROM range(1, 10) s(y))""")
+@query("""SELECT p_partkey, round(1 - u * exp(-gap / 200.0), 9) AS ppr, round((1 - exp(-gap / 200.0)) / (1 - (1 - u) * exp(-gap / 200.0)), 9) AS steady
+FROM (SELECT p_partkey, p_size * 25.0::DOUBLE AS gap, (1 + p_partkey % 9) * 0.1::DOUBLE AS u FROM part)""")
 def paired_pulse_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST19
-    grid = spark.range(1, 41).select((F.col("id") * 25.0).alias("gap"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda y: y * 0.1)).alias("u"))
+    own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 25.0).alias("gap"), ((1 + F.col("p_partkey") % 9) * 0.1).alias("u"))
     tau = F.lit(200.0)
-    return grid.select("gap", "u", F.round(stats.paired_pulse_ratio(F.col("u"), F.col("gap"), tau), 9).alias("ppr"), F.round(stats.train_steady_state(F.col("u"), F.col("gap"), tau), 9).alias("steady"))
+    return own.select("p_partkey", F.round(stats.paired_pulse_ratio(F.col("u"), F.col("gap"), tau), 9).alias("ppr"), F.round(stats.train_steady_state(F.col("u"), F.col("gap"), tau), 9).alias("steady"))
 
 
-@query("""WITH RECURSIVE r(gap, k, v) AS (SELECT x * 25.0::DOUBLE, 1, 1.0::DOUBLE FROM range(1, 41) t(x) UNION ALL SELECT gap, k + 1, 1 - (1 - v * 0.6::DOUBLE) * exp(-gap / 200.0) FROM r WHERE k < 12)
-SELECT gap, k AS pulse, round(v, 9) AS resource FROM r""")
+@query("""WITH RECURSIVE r(p_partkey, gap, k, v) AS (SELECT p_partkey, p_size * 25.0::DOUBLE, 1, 1.0::DOUBLE FROM part UNION ALL SELECT p_partkey, gap, k + 1, 1 - (1 - v * 0.6::DOUBLE) * exp(-gap / 200.0) FROM r WHERE k < 12)
+SELECT p_partkey, k AS pulse, round(v, 9) AS resource FROM r""")
 def train_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST19
-    rows = spark.range(1, 41).select((F.col("id") * 25.0).alias("gap"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 25.0).alias("gap"))
     rows = rows.withColumn("r", stats.train_resource(F.lit(0.4), F.col("gap"), F.lit(200.0), 12))
-    return rows.select("gap", F.posexplode("r").alias("p", "v")).select("gap", (F.col("p") + 1).alias("pulse"), F.round("v", 9).alias("resource"))
+    return rows.select("p_partkey", F.posexplode("r").alias("p", "v")).select("p_partkey", (F.col("p") + 1).alias("pulse"), F.round("v", 9).alias("resource"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size * 1.2::DOUBLE > 15 THEN 1000 / (2.0 + 20 * ln(p_size * 1.2::DOUBLE / (p_size * 1.2::DOUBLE - 15))) ELSE 0 END, 6) AS rate FROM part")

@@ -100,7 +100,7 @@ def truncated_nb_grid(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST09
     return fits.truncated_nb(h, ["label"])
 
 
-_KERNELS = """d AS (SELECT n_regionkey AS g, n_nationkey AS curve, t::DOUBLE AS t, (1 + n_nationkey) * (exp(-t / (8.0::DOUBLE + 4 * n_regionkey)) - exp(-t / (1.0::DOUBLE + n_regionkey))) AS y FROM nation, range(0, 61) r(t)),
+_KERNELS = """d AS (SELECT s_suppkey % 5 AS g, s_suppkey AS curve, t::DOUBLE AS t, (1 + s_suppkey % 25) * (exp(-t / (8.0::DOUBLE + 4 * (s_suppkey % 5))) - exp(-t / (1.0::DOUBLE + s_suppkey % 5))) AS y FROM supplier, range(0, 61) r(t)),
 k AS (SELECT rise::DOUBLE AS rise, decay::DOUBLE AS decay, rise * decay / (decay - rise)::DOUBLE * ln(decay / rise::DOUBLE) AS top FROM (SELECT unnest([1, 2, 3, 4, 5]) AS rise), (SELECT unnest([6, 8, 12, 16, 20, 24]) AS decay)),
 v AS (SELECT g, curve, rise, decay, y, (exp(-t / decay) - exp(-t / rise)) / (exp(-top / decay) - exp(-top / rise)) AS k FROM d, k),
 a AS (SELECT g, curve, rise, decay, greatest(0, sum(y * k) / sum(k * k)) AS a, greatest(1e-12, max(abs(y)) * 0.1) AS s FROM v GROUP BY ALL),
@@ -111,30 +111,50 @@ m AS (SELECT g, rise, decay, avg(l) AS l FROM l GROUP BY ALL)"""
 @query(f"WITH {_KERNELS} SELECT g, arg_min(rise, l) AS rise, arg_min(decay, l) AS decay, round(min(l), 9) AS loss FROM m GROUP BY g")
 def kernel_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST12
     t = F.explode(F.sequence(F.lit(0), F.lit(60))).alias("t")
-    rows = table(spark, sf_dir, "nation").select((F.col("n_regionkey")).alias("g"), F.col("n_nationkey").alias("curve"), t)
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("g"), F.col("s_suppkey").alias("curve"), t)
     rise, decay = 1.0 + F.col("g"), 8.0 + 4 * F.col("g")
-    rows = rows.select("g", "curve", F.col("t").cast("double").alias("t"), ((1 + F.col("curve")) * (F.exp(-F.col("t") / decay) - F.exp(-F.col("t") / rise))).alias("y"))
+    rows = rows.select("g", "curve", F.col("t").cast("double").alias("t"), ((1 + F.col("curve") % 25) * (F.exp(-F.col("t") / decay) - F.exp(-F.col("t") / rise))).alias("y"))
     return fits.kernel_grid_fit(rows, "g", [1.0, 2.0, 3.0, 4.0, 5.0], [6.0, 8.0, 12.0, 16.0, 20.0, 24.0]).withColumn("loss", F.round("loss", 9))
 
 
-def _observed() -> list[tuple[float, int, float, float]]:
-    return [(g, i + 1, float(v), 0.02) for g in (20.0, 50.0, 200.0) for i, v in enumerate(plasticity.train("depression", (0.4, 150.0), g, 6)) if i]
+_TRAINS = """q AS (SELECT l_returnflag AS specimen, CASE l_suppkey % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 50.0 ELSE 200.0 END::DOUBLE AS gap, l_linenumber AS pulse, avg(l_quantity) AS m, stddev_samp(l_quantity) / sqrt(count(*)) AS e FROM lineitem GROUP BY ALL),
+one AS (SELECT specimen, gap, m AS first FROM q WHERE pulse = 1)"""
+
+
+def _trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to the pulses of trains, of the lines of each flag: a third of the suppliers has each gap, the line's number is the pulse."""
+    gap = F.element_at(F.array(F.lit(20.0), F.lit(50.0), F.lit(200.0)), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("specimen"), gap.alias("gap"), F.col("l_linenumber").alias("pulse"), F.col("l_quantity").alias("response"))
+    return fits.observations(lines)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of pairs, of the first two lines, by four gaps."""
+    gap = F.element_at(F.array(F.lit(10.0), F.lit(30.0), F.lit(100.0), F.lit(300.0)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_returnflag").alias("specimen"), gap.alias("gap"), F.col("l_linenumber").alias("pulse"), F.col("l_quantity").alias("response"))
+    return fits.observations(lines).withColumn("pulse", F.lit(0))
+
+
+@query(f"WITH {_TRAINS} SELECT q.specimen, q.gap, pulse::INTEGER AS pulse, round(m / first, 9) AS mean, round(greatest(e / first, 1e-3), 9) AS error FROM q JOIN one ON one.specimen = q.specimen AND one.gap = q.gap WHERE pulse > 1")
+def train_observations(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST20
+    """What the family fits are given."""
+    return _trains(spark, sf_dir).withColumn("mean", F.round("mean", 9)).withColumn("error", F.round("error", 9))
 
 
 @query()
 def family_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST20
-    return fits.fit_families(spark, _observed(), list(plasticity.FAMILIES), 2)
+    return fits.fit_families(_trains(spark, sf_dir), list(plasticity.FAMILIES), 2)
 
 
 @query()
 def joint_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST23
-    pairs = [(g, 0, plasticity.paired_pulse("depression", (0.4, 150.0), g), 0.02) for g in (10.0, 30.0, 100.0, 300.0)]
-    return fits.fit_families(spark, _observed() + pairs, ["depression", "facilitation_depression", "two_time_facilitation"], 2)
+    both = _trains(spark, sf_dir).unionByName(_pairs(spark, sf_dir))
+    return fits.fit_families(both, ["depression", "facilitation_depression", "two_time_facilitation"], 2)
 
 
 @query()
 def family_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
-    return fits.discrimination(spark, "depression", [0.4, 150.0], "published_depression", _observed(), 40)
+    return fits.discrimination(_trains(spark, sf_dir), "depression", [0.4, 150.0], "published_depression", 20)
 
 
 #: A setting of each family.
@@ -174,12 +194,12 @@ def plasticity_trains(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST19
 
 @query()
 def family_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
-    return fits.leave_one_out(spark, _observed(), ["depression"])
+    return fits.leave_one_out(_trains(spark, sf_dir), ["depression"])
 
 
 @query()
 def bootstrap_band(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST21
-    return fits.bootstrap_band(spark, _observed(), "depression", 100.0, 5)
+    return fits.bootstrap_band(_trains(spark, sf_dir), "depression", 100.0, 5, 60)
 
 
 @query("""WITH c AS (SELECT l_returnflag AS specimen, l_linenumber::DOUBLE AS x, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY ALL), g AS (SELECT a, b FROM (SELECT unnest([20.0, 24.0, 25.0, 26.0]::DOUBLE[]) AS a), (SELECT unnest([-0.5, 0.0, 0.5]::DOUBLE[]) AS b)),
@@ -257,9 +277,9 @@ def steering_commands(spark: SparkSession, sf_dir: str) -> DataFrame:  # SM09
 @query()
 def two_decay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:  # ST12
     t = F.explode(F.sequence(F.lit(0), F.lit(120))).alias("t")
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("curve"), t)
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("g"), F.col("s_suppkey").alias("curve"), t)
     x, fast, slow = F.greatest(F.col("t") - 20, F.lit(0)), 6.0 + F.col("g"), 40.0 + 10 * F.col("g")
-    y = (1 + F.col("curve")) * F.when(F.col("t") >= 20, 0.7 * F.exp(-x / fast) + 0.3 * F.exp(-x / slow) - F.exp(-x / 1.5)).otherwise(0.0)
+    y = (1 + F.col("curve") % 25) * F.when(F.col("t") >= 20, 0.7 * F.exp(-x / fast) + 0.3 * F.exp(-x / slow) - F.exp(-x / 1.5)).otherwise(0.0)
     return fits.two_decay_fit(rows.select("g", "curve", F.col("t").cast("double").alias("t"), y.alias("y")), "g", [18.0, 20.0, 22.0], [1.0, 1.5, 2.0], [5.0, 6.0, 7.0, 8.0, 9.0, 10.0], [30.0, 40.0, 50.0, 60.0, 70.0, 80.0], [0.5, 0.7, 0.9])
 
 

@@ -145,13 +145,12 @@ def decayed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:  # W19
     return trace(spark, sf_dir).select("key", "i", F.round(W.decayed_sum((F.col("value") > 20).cast("double"), 6, 0.8), 9).alias("glow"))
 
 
-@query("SELECT k, round(sum(ln(3.5 + k)) OVER (ORDER BY k), 9) AS log_product, round(exp(sum(ln((3.5 + k) / (k + 1))) OVER (ORDER BY k)), 6) AS binomial FROM range(0, 30) t(k)")
+@query(f"""WITH RECURSIVE {_TR} SELECT key, i, round(sum(ln(3.5 + value)) OVER k, 6) AS log_product, round(sum(ln((3.5 + i) / (i + 1))) OVER k, 6) AS log_binomial
+FROM tr WHERE value >= 0 WINDOW k AS (PARTITION BY key ORDER BY i)""")
 def cumulative_product_table(spark: SparkSession, sf_dir: str) -> DataFrame:  # W20
-    from pyspark.sql.window import Window
-
-    upto = Window.orderBy("k")  # the table's own size is the limit
-    rows = spark.range(30).withColumnRenamed("id", "k")
-    return rows.select("k", F.round(F.sum(F.ln(3.5 + F.col("k"))).over(upto), 9).alias("log_product"), F.round(F.exp(F.sum(F.ln((3.5 + F.col("k")) / (F.col("k") + 1))).over(upto)), 6).alias("binomial"))
+    own, upto = trace(spark, sf_dir).where("value >= 0"), W.by_key()
+    total = lambda x: F.round(F.sum(x).over(upto), 6)
+    return own.select("key", "i", total(F.ln(3.5 + F.col("value"))).alias("log_product"), total(F.ln((3.5 + F.col("i")) / (F.col("i") + 1))).alias("log_binomial"))
 
 
 @query(f"""WITH RECURSIVE {_TR}, q AS (SELECT *, min(t_us) OVER (PARTITION BY key) AS s FROM tr),

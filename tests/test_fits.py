@@ -78,8 +78,27 @@ def test_joint_fit_recovers_what_made_the_data(family):
 
 def test_a_rival_of_another_kind_loses(spark):
     shape = [(g, k, 0.0, 0.02) for g in (20.0, 80.0) for k in (2, 4)] + [(10.0, 0, 0.0, 0.02)]
-    r = fits.discrimination(spark, "two_time_facilitation", list(THETA["two_time_facilitation"]), "depression", shape, replicates=3, starts=2).first()
-    assert r["wins"] == 1.0 and r["high_margin"] >= r["median_margin"] > 10
+    observed = spark.createDataFrame([("s", *o) for o in shape], "specimen string, gap double, pulse int, mean double, error double")
+    r = fits.discrimination(observed, "two_time_facilitation", list(THETA["two_time_facilitation"]), "depression", replicates=3, starts=2).first()
+    assert r["specimen"] == "s" and r["wins"] == 1.0 and r["high_margin"] >= r["median_margin"] > 10
+
+
+def test_specimens_are_fitted_apart(spark):
+    """Responses made by two settings of a family, each found again; what cannot be an observation is left out."""
+    truth = {"a": (0.4, 150.0), "b": (0.15, 400.0)}
+    rows = [(s, g, i + 1, 7.0 * float(v) * (1 + d)) for s, t in truth.items() for g in (20.0, 60.0) for i, v in enumerate(plasticity.train("depression", t, g, 6)) for d in (-0.001, 0.001)]
+    rows += [("a", 99.0, 2, 1.0), ("a", 20.0, 9, 1.0), (None, 20.0, 2, 1.0)]
+    observed = fits.observations(spark.createDataFrame(rows, "specimen string, gap double, pulse int, response double"))
+    assert observed.count() == 20 and {r["error"] for r in observed.collect()} >= {1e-3}
+    got = {r["specimen"]: r for r in fits.fit_families(observed, ["depression"], 2).collect()}
+    for s, t in truth.items():
+        assert got[s]["parameters"] == pytest.approx(t, rel=0.02) and got[s]["gof_p"] > 0.9
+    left = fits.leave_one_out(observed, ["depression"]).collect()
+    assert sorted((r["specimen"], r["left_out"]) for r in left) == [(s, k) for s in "ab" for k in range(10)] and max(abs(r["residual"]) for r in left) < 1
+    band = fits.bootstrap_band(observed, "depression", 40.0, 3, 8).collect()
+    assert len(band) == 6 and all(r["low"] <= r["middle"] <= r["high"] for r in band)
+    assert all(r["worst_relative_error"] < 0.1 for r in fits.recovery(observed, "depression", [0.4, 150.0], 2).collect())
+    assert fits.fit_families(observed.limit(0), ["depression"], 1).count() == 0
 
 
 def test_synapses_are_carried_along_keys(spark):
