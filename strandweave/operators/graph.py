@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,11 @@ from strandweave.operators import ordered, reach
 from strandweave.operators.integrity import logical_digest
 from strandweave.operators.ordered import cut
 
+#: Bins whose sizes are broadcast; more are met by a shuffled join.
+BROADCAST_BINS = 1 << 16
+#: Numbers of a bin from which one task draws at a time.
+SKIP_BLOCK = 1 << 16
+
 # Signs of transmitters.
 EXCITATORY = ("acetylcholine", "dopamine", "octopamine", "serotonin")
 INHIBITORY = ("gaba", "glutamate")
@@ -198,7 +206,8 @@ def matched_draws(bins: DataFrame, sources: DataFrame, draws: int, seed: str = "
     sizes = bins.groupBy("bin").agg(F.count("*").alias("_all")).join(wanted, "bin")
     # The first of a draw are among the nodes whose hash is small; of the others only few are ranked.
     share = (F.col("_want") + 8 * F.sqrt("_want") + 32) / F.col("_all")
-    pool = bins.join(F.broadcast(sizes.withColumn("_share", share)), "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    sizes = cut(sizes.withColumn("_share", share))
+    pool = bins.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_BINS else sizes, "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     pool = pool.withColumn("_k", F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("node").cast("string"), F.lit(seed))))
     first = cut(pool.where(F.conv(F.substring("_k", 1, 8), 16, 10).cast("double") < F.col("_share") * float(1 << 32)).select("draw", "bin", "node", "_k", "_want"))
     short = sizes.select("bin", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).join(first.groupBy("draw", "bin").agg(F.count("*").alias("_n")), ["draw", "bin"], "left")
@@ -209,6 +218,42 @@ def matched_draws(bins: DataFrame, sources: DataFrame, draws: int, seed: str = "
     return first.withColumn("_r", place).where("_r <= _want").select("draw", "node")
 
 
+def skip_draws(bins: DataFrame, sources: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, bin, node): ``draws`` random samples without replacement with the sources' number of nodes in each bin.
+
+    Nodes are numbered within their bin once.  For each draw, the wanted number is dealt over blocks of numbers (by the
+    multivariate hypergeometric law), and within a block the accepted numbers are drawn, so the work follows the samples and
+    not nodes times draws.  Every set of the wanted size is as likely as any other.  A node in several bins counts in each; null bins are left out.
+    """
+    own = bins.where("bin is not null and node is not null").select("bin", "node").distinct()
+    kind = own.schema["bin"].dataType.simpleString()
+    placed = cut(ordered.positions(own, ["bin", "node"], "_at"))
+    wanted = own.join(sources.select("node").distinct(), "node", "left_semi").groupBy("bin").agg(F.count("*").alias("want"))
+    sizes = placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("_at").alias("start")).join(wanted, "bin")
+    jobs = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition("bin", "draw")
+
+    def rng_of(*key: int) -> np.random.Generator:
+        return np.random.default_rng([seed, *(k % (1 << 63) for k in key)])
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                blocks = np.minimum(SKIP_BLOCK, r.n - np.arange(0, r.n, SKIP_BLOCK))
+                counts = rng_of(r.draw, r.start).multivariate_hypergeometric(blocks, r.want, method="marginals")
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({"draw": r.draw, "begin": r.start + at * SKIP_BLOCK, "size": blocks[at], "count": counts[at]})
+
+    def accepted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                own = np.sort(rng_of(r.draw, r.begin, 1).choice(r.size, r.count, replace=False, shuffle=False))
+                yield pd.DataFrame({"draw": r.draw, "_at": r.begin + own})
+
+    blocks = jobs.select("draw", "start", "n", "want").mapInPandas(dealt, "draw int, begin bigint, size bigint, count bigint")
+    drawn = blocks.repartition("draw", "begin").mapInPandas(accepted, "draw int, _at bigint")
+    return drawn.join(placed, "_at").select("draw", F.col("bin").cast(kind).alias("bin"), "node")
+
+
 def null_ratio(observed: DataFrame, null: DataFrame, group: list[str], value: str) -> DataFrame:
     """Observed value against the draws: ratio to their median, and percentile."""
     one = observed.select(*group, F.col(value).alias("observed"))
@@ -393,8 +438,14 @@ def convergence_profile(pairs: DataFrame) -> DataFrame:
 
 
 def rollup(profile: DataFrame) -> DataFrame:
-    """Per label: targets, mean of source counts, median of medians, mean of totals."""
-    return profile.groupBy("label").agg(F.count("*").alias("targets"), F.avg("sources").alias("mean_sources"), F.median("median").alias("median_of_medians"), F.avg("total").alias("mean_total"))
+    """Per label: targets, mean of source counts, median of medians, mean of totals.
+
+    The median is taken over range partitions, so a label may have any number of targets.
+    """
+    own = cut(profile.select("label", "sources", "median", "total"))
+    middle = ordered.quantiles(own, ["label"], "median", (0.5,)).select(F.col("label").alias("_label"), F.get("q", F.lit(0)).alias("median_of_medians"))
+    means = own.groupBy("label").agg(F.count("*").alias("targets"), F.avg("sources").alias("mean_sources"), F.avg("total").alias("mean_total"))
+    return means.join(middle, means["label"].eqNullSafe(middle["_label"]), "left").select("label", "targets", "mean_sources", "median_of_medians", "mean_total")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -326,6 +326,17 @@ def matched_null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:  # G09 O0
     return out.select("group", F.round("observed", 9).alias("observed"), F.round("null_median", 9).alias("null_median"), F.round("ratio", 6).alias("ratio"), "percentile")
 
 
+@query(f"""WITH {_FLOW}, d AS (SELECT src AS node, sum(weight)::BIGINT AS value FROM e GROUP BY ALL), q AS (SELECT quantile_cont(value, [0, 0.25, 0.5, 0.75, 1]) AS q FROM d),
+bn AS (SELECT node, greatest(least(len(list_filter(q, lambda x: x <= value)) - 1, 3), 0) AS bin FROM d, q), want AS (SELECT bin, count(*) AS n FROM bn WHERE node IN (SELECT node FROM s0) GROUP BY bin)
+SELECT draw::INTEGER AS draw, bin::INTEGER AS bin, n AS drawn, n AS nodes FROM want, range(1, 51) t(draw)""")
+def skip_draw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:  # G09 O06
+    """Sizes and different nodes of fifty matched draws, which are random and so have no SQL of their own."""
+    edges, groups = user_graph(spark, sf_dir), _groups(spark, sf_dir)
+    d = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("value"))
+    draws = graph.skip_draws(populations.quantile_bins(d, "node", "value", 4), groups.where("group = 0").select("node"), 50)
+    return draws.groupBy("draw", F.col("bin").cast("int").alias("bin")).agg(F.count("*").alias("drawn"), F.count_distinct("node").alias("nodes"))
+
+
 @query(f"""WITH {_FLOW}, a AS (SELECT g, sum(mass) / (SELECT count(*) FROM lab2 x WHERE x.g = lab2.g) AS arrival FROM s2 JOIN lab2 USING (node) GROUP BY g)
 SELECT count(*) AS channels, round(max(arrival) / median(arrival), 9) AS dispersion FROM a HAVING count(*) >= 2""")
 def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:  # G10

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +160,33 @@ def test_draws_are_those_of_a_full_ranking(spark):
     assert out == want
 
 
+def test_skip_draws_are_exact_and_uniform(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SKIP_BLOCK", 7)
+    bins = [(i, i % 3) for i in range(90)] + [(5, None), (None, 1)]
+    sources = list(range(0, 30, 2))
+    frame = spark.createDataFrame(bins, "node long, bin int")
+    out = graph.skip_draws(frame, spark.createDataFrame([(i,) for i in sources], "node long"), 400, 3).collect()
+    per = Counter((r["draw"], r["bin"]) for r in out)
+    assert per == {(d, b): sum(i % 3 == b for i in sources) for d in range(1, 401) for b in range(3)}
+    assert len({(r["draw"], r["node"]) for r in out}) == len(out) and all(r["node"] % 3 == r["bin"] for r in out)
+    # 5 of 30 in each draw: a node is in 66.7 of 400 draws, with a deviation of 7.5.
+    times = Counter(r["node"] for r in out)
+    assert len(times) == 90 and abs(statistics.mean(times.values()) - 400 * 5 / 30) < 1e-9 and 5 < statistics.pstdev(times.values()) < 10
+    # Pairs too, within a block and across blocks.
+    together = Counter((min(a, b), max(a, b)) for d in range(1, 401) for a in [r["node"] for r in out if r["draw"] == d and r["bin"] == 0] for b in (0, 3, 60) if b in [r["node"] for r in out if r["draw"] == d and r["bin"] == 0] and a != b)
+    assert 2 < statistics.mean(together.values()) < 16
+    again = graph.skip_draws(frame.repartition(5), spark.createDataFrame([(i,) for i in sources], "node long"), 3, 3).collect()
+    assert {(r["draw"], r["node"]) for r in again} == {(r["draw"], r["node"]) for r in out if r["draw"] <= 3}
+    assert graph.skip_draws(frame.limit(0), frame.select("node"), 3).count() == 0
+
+
+def test_rollup_of_a_label_with_many_targets(spark):
+    profile = spark.range(50_000).select(F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.lit("x")).alias("label"), F.col("id").alias("sources"), (F.col("id") % 1001).cast("double").alias("median"), F.lit(2).alias("total"))
+    got = {r["label"]: r for r in graph.rollup(profile).collect()}
+    for label, ids in (("x", [i for i in range(50_000) if i % 5]), (None, list(range(0, 50_000, 5)))):
+        assert (got[label]["targets"], got[label]["median_of_medians"]) == (len(ids), statistics.median(i % 1001 for i in ids))
+
+
 def test_trial_rates_count_empty_trials(spark):
     trials = spark.createDataFrame([(t,) for t in range(4)], "trial int")
     ids = spark.createDataFrame([("a",), ("b",)], "key string")
