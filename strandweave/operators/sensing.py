@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandweave.errors import CausalityError, IntegrityError
+from strandweave.operators.ordered import cut, next_from
 
 
 def transduced(quantity: Column, threshold: Column, half: Column, most: Column) -> Column:
@@ -42,16 +43,16 @@ def channel_frames(samples: DataFrame, bindings: DataFrame) -> DataFrame:
     What a sensor shows at one frame (0 if nothing) arrives a delay later, at the first frame from then on; of several
     that arrive together the latest counts.  Until something has arrived, and at frames where nothing does, the channel is silent.
     """
-    times = samples.select("t_us").distinct()
-    shown = times.crossJoin(F.broadcast(bindings.select("channel", "sensor", "delay_us")))  # each channel has a row for each frame, as the result has
-    shown = shown.join(samples.groupBy("sensor", "t_us").agg(F.max("value").alias("value")), ["sensor", "t_us"], "left")
-    frames = shown.select("channel", F.col("t_us").alias("at"), F.col("t_us").alias("frame"), F.lit(None).cast("bigint").alias("sent"), F.lit(None).cast("double").alias("value"))
-    due = shown.select("channel", (F.col("t_us") + F.col("delay_us")).alias("at"), F.lit(None).cast("bigint").alias("frame"), F.col("t_us").alias("sent"), F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))
-    # Behind a sample the next frame; samples come before the frame of the same time.
-    ahead = Window.partitionBy("channel").orderBy("at", F.col("frame").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = frames.unionByName(due).withColumn("to", F.first("frame", ignorenulls=True).over(ahead)).where("to is not null")
-    arrived = met.groupBy("channel", F.col("to").alias("t_us")).agg(F.max_by(F.when(F.col("sent").isNotNull(), F.col("value")), F.col("sent")).alias("quantity"))
-    own = arrived.withColumn("quantity", F.coalesce("quantity", F.lit(0.0))).join(bindings, "channel")
+    values = cut(samples.where("t_us is not null").groupBy("sensor", "t_us").agg(F.max("value").cast("double").alias("value")))
+    times, none = values.select("t_us").distinct(), F.lit(None).cast("bigint")
+    # Frames are those of all channels, so what arrives at which of them is told once for each delay.
+    frames = times.select(none.alias("delay_us"), F.col("t_us").alias("at"), F.col("t_us").alias("frame"), none.alias("sent"))
+    due = times.crossJoin(F.broadcast(bindings.select(F.col("delay_us").cast("bigint")).distinct())).select("delay_us", (F.col("t_us") + F.col("delay_us")).alias("at"), none.alias("frame"), F.col("t_us").alias("sent"))
+    # Samples come before the frame of the same time.
+    met = next_from(frames.unionByName(due).withColumn("_is", F.col("frame").isNotNull()), ["at", "_is"], "frame", "to").where("sent is not null and to is not null")
+    arrived = met.groupBy("delay_us", F.col("to").alias("t_us")).agg(F.max("sent").alias("sent"))
+    own = times.crossJoin(F.broadcast(bindings)).join(arrived, ["delay_us", "t_us"], "left")  # each channel has a row for each frame, as the result has
+    own = own.join(values.select("sensor", F.col("t_us").alias("sent"), "value"), ["sensor", "sent"], "left").withColumn("quantity", F.coalesce("value", F.lit(0.0)))
     rate = F.when(F.col("enabled"), transduced(F.col("quantity"), F.col("threshold"), F.col("half"), F.col("most")) * F.col("gain")).otherwise(0.0)
     return own.select("t_us", "channel", "quantity", rate.alias("rate"))
 
