@@ -42,8 +42,10 @@ def features(samples: DataFrame, dt_ms: float, settle_ms: float = 1.0, steady_ms
     after it, rate_hz, first_spike_ms, least interval; subthreshold; resistance (of subthreshold sweeps, 1000 * mV / level); and the charging time
     constant within the pulse (subthreshold sweeps) and after it (no spikes after), each with its verdict.
     """
+    # Samples may be made of few rows, whose size says nothing of theirs: without the hint they would be broadcast.
+    merged = lambda df: df.hint("merge")
     pulse = traces.step_window(samples.select(F.col("sweep").alias("key"), "i", F.col("current").alias("value"))).where("valid").select(F.col("key").alias("sweep"), "first", "last", "level")
-    own = samples.join(pulse, "sweep")
+    own = samples.join(merged(pulse), "sweep")
     settle, steady = max(1, round(settle_ms / dt_ms)), max(1, round(steady_ms / dt_ms))
     inside = F.col("i").between(F.col("first"), F.col("last"))
     base = own.groupBy("sweep", "first", "last", "level").agg(
@@ -51,17 +53,17 @@ def features(samples: DataFrame, dt_ms: float, settle_ms: float = 1.0, steady_ms
         F.max(F.when(F.col("i") == F.col("last"), F.col("voltage"))).alias("at_end"),
     )
     found = traces.peaks(samples.select(F.col("sweep").alias("key"), "i", F.col("voltage").alias("value")), prominence, width, refractory).select(F.col("key").alias("sweep"), "i")
-    spikes = found.join(pulse, "sweep").where(F.col("i") >= F.col("first"))
+    spikes = found.join(merged(pulse), "sweep").where(F.col("i") >= F.col("first"))
     gap = F.when(inside, F.col("i") - F.lag(F.when(inside, F.col("i"))).over(Window.partitionBy("sweep").orderBy("i")))
     per = spikes.withColumn("gap", gap).groupBy("sweep").agg(F.count_if(inside).alias("_in"), F.count_if(~inside).alias("_after"), F.min(F.when(inside, (F.col("i") - F.col("first")) * dt_ms)).alias("first_spike_ms"), (F.min("gap") * dt_ms).alias("least_interval_ms"))
-    one = base.join(per, "sweep", "left").withColumn("spikes", F.coalesce("_in", F.lit(0))).withColumn("spikes_after", F.coalesce("_after", F.lit(0)))
+    one = base.join(merged(per), "sweep", "left").withColumn("spikes", F.coalesce("_in", F.lit(0))).withColumn("spikes_after", F.coalesce("_after", F.lit(0)))
     one = one.withColumn("subthreshold", F.col("spikes") == 0).withColumn("rate_hz", F.col("spikes") / ((F.col("last") - F.col("first") + 1) * dt_ms / 1000))
     one = ordered.cut(one.withColumn("resistance", F.when(F.col("subthreshold") & (F.col("level") != 0), 1000 * (F.col("steady") - F.col("baseline")) / F.col("level"))).drop("_in", "_after"))
-    near = samples.select("sweep", "i", "voltage").join(one.select("sweep", "first", "last", "baseline", "steady", "at_end", "subthreshold", "spikes_after"), "sweep")
+    near = samples.select("sweep", "i", "voltage").join(merged(one.select("sweep", "first", "last", "baseline", "steady", "at_end", "subthreshold", "spikes_after")), "sweep")
     bounds = (least_span, low, high, least_r2, longest, dt_ms)
     rise = charging(near.where(F.col("subthreshold") & inside), F.col("baseline"), F.col("steady"), *bounds)
     fall = charging(near.where((F.col("spikes_after") == 0) & (F.col("i") > F.col("last"))), F.col("at_end"), F.col("baseline"), *bounds)
-    kept = lambda df, p: df.select("sweep", *[F.col(c).alias(f"{p}_{c}") for c in ("tau_ms", "r2", "verdict")])
+    kept = lambda df, p: merged(df).select("sweep", *[F.col(c).alias(f"{p}_{c}") for c in ("tau_ms", "r2", "verdict")])
     joined = one.join(kept(rise, "charge"), "sweep", "left").join(kept(fall, "relax"), "sweep", "left")
     return joined.withColumn("charge_verdict", F.coalesce("charge_verdict", F.lit("spikes"))).withColumn("relax_verdict", F.coalesce("relax_verdict", F.lit("spikes"))).drop("at_end")
 

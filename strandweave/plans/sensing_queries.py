@@ -285,7 +285,7 @@ SELECT cell, count(*) AS sweeps, max(level) FILTER (WHERE subthreshold AND (firi
        round(median(charge_tau_ms), 6) AS median_tau_ms, round(median(resistance), 6) AS median_resistance FROM x GROUP BY cell""")
 def step_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:  # A29
     samples = _sweeps(spark, sf_dir)
-    cells = samples.select("sweep", "cell").distinct()
+    cells = samples.select("sweep", "cell").distinct().hint("merge")
     out = sweeps.protocol_summary(sweeps.features(samples, 0.5).join(cells, "sweep"), "cell")
     return out.withColumn("median_tau_ms", F.round("median_tau_ms", 6)).withColumn("median_resistance", F.round("median_resistance", 6))
 
