@@ -124,14 +124,14 @@ def contact_audit_full(spark: SparkSession, sf_dir: str) -> DataFrame:  # P05
     rows, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     count = lambda df: df.agg(F.count("*").alias("observed"))
     z, y, x = F.col("l_quantity").cast("bigint"), F.col("l_orderkey"), F.col("l_linenumber")
-    packed = rows.select(z.alias("z"), y.alias("y"), x.alias("x"), P.packed_key(z, y, x).alias("key"))
+    packed = rows.select(z.alias("z"), y.alias("y"), x.alias("x"), P.packed_bits(z, y, x).alias("key"))
     a, b, c = P.unpacked(F.col("key"))
     pre = contacts.unmatched(rows, orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("l_linestatus")), ["l_orderkey", "l_linestatus"])
     post = contacts.unmatched(rows, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), ["l_partkey"])
     pairs = contacts.reconcile(graph.aggregated(rows, "l_suppkey", "l_partkey"), graph.aggregated(rows.where("l_returnflag <> 'R'"), "l_suppkey", "l_partkey"), ["src", "dst"])
     attributes = rows.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left").where(F.col("o_orderkey").isNull() | P.outside_unit(["l_discount", "l_tax"]))
     checks = contacts.audit([
-        ("packed_id_bijection", count(packed.where((a != F.col("z")) | (b != F.col("y")) | (c != F.col("x")))), 0), ("point_id_uniqueness", contacts.duplicates(rows, P.packed_key(F.lit(0), y, x)), 0),
+        ("packed_id_bijection", count(packed.where((a != F.col("z")) | (b != F.col("y")) | (c != F.col("x")))), 0), ("point_id_uniqueness", contacts.duplicates(rows, P.packed_bits(F.lit(0), y, x)), 0),
         ("pre_endpoint_resolution", count(pre), 0), ("post_endpoint_resolution", count(post), 0), ("endpoint_resolution", count(pre.select("l_orderkey").unionByName(post.select("l_orderkey"))), 0),
         ("pair_reconciliation", count(pairs), 0), ("attribute_resolution", count(attributes), 0),
     ])
