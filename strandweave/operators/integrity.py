@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,39 @@ def row_digest(columns: list[str]) -> Column:
 GROUP_ROWS = 4096
 
 
-def logical_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n, h) of sorted (g, d, n): the hash of each group's digests one behind the other, of which none but the batch is held."""
+    now, n, h, names = None, 0, None, ["g", "n", "h"]
+    kinds = [pa.string(), pa.int64(), pa.string()]
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, n, h.hexdigest()), kinds, strict=True)], names=names)
+    for batch in batches:
+        for g, d, k in zip(*(batch.column(c).to_pylist() for c in ("g", "d", "n")), strict=True):
+            if g != now:
+                if h is not None:
+                    yield row()
+                now, n, h = g, 0, hashlib.sha256()
+            h.update((d if k == 1 else f"{d}*{k}").encode())
+            n += k
+    if h is not None:
+        yield row()
+
+
+def logical_digest(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
     """(rows, digest) independent of layout and order.
 
+    With ``digits`` the digests are hashed within each group of so many equal first digits, and then the groups' hashes, whatever the
+    table's size; a group is read as a sorted stream, so it may be of any size too.  Without it:
+
     Equal row digests are counted.  The digests (with their counts, where above 1) are sorted and hashed within each
     group of equal first digits, as many as make groups of about ``GROUP_ROWS``, 2 at least; then the groups' hashes within groups
     of two digits less, and so on, so no task holds more than a few thousand of them.
     """
-    rows = cut(df.groupBy(row_digest(columns).alias("d")).agg(F.count("*").alias("n")))
-    prefix = 2
+    rows = df.groupBy(row_digest(columns).alias("d")).agg(F.count("*").alias("n"))
+    whole = lambda group: group.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    if digits is not None:
+        own = rows.select(F.substring("d", 1, digits).alias("g"), "d", "n").repartition(16**digits, "g").sortWithinPartitions("g", "d")
+        return whole(own.mapInArrow(_hashed, "g string, n bigint, h string"))
+    rows, prefix = cut(rows), 2
     while GROUP_ROWS * 16**prefix < rows.count():
         prefix += 2
     spelled = F.when(F.col("n") > 1, F.concat_ws("*", "d", F.col("n").cast("string"))).otherwise(F.col("d"))
@@ -43,7 +69,7 @@ def logical_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     for k in range(prefix - 2, 0, -2):
         ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
         group = group.groupBy(F.substring("g", 1, k).alias("g")).agg(F.sum("n").alias("n"), F.sha2(ordered, 256).alias("h"))
-    return group.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    return whole(group)
 
 
 def additive_digest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -170,7 +170,7 @@ def group_mean_readout(spark: SparkSession, sf_dir: str) -> DataFrame:  # L09
 g AS (SELECT d[1:2] AS g, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM r GROUP BY ALL) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY g)) AS digest FROM g""")
 def entry_union_digest(spark: SparkSession, sf_dir: str) -> DataFrame:  # U06
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), "c_mktsegment")
-    return integrity.logical_digest(populations.entry_union(nodes.where("c_mktsegment <> 'MACHINERY'"), nodes.where("c_mktsegment = 'MACHINERY'")), ["node"])
+    return integrity.logical_digest(populations.entry_union(nodes.where("c_mktsegment <> 'MACHINERY'"), nodes.where("c_mktsegment = 'MACHINERY'")), ["node"], 2)
 
 
 _RECORDS = [("AUTOMOBILE", "p1", True), ("BUILDING", "p2", False), ("MACHINERY", "p1", True)]

@@ -267,7 +267,7 @@ def clearance_search(spark: SparkSession, sf_dir: str) -> DataFrame:  # P3-7
 g AS (SELECT d[1:2] AS g, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS h FROM r GROUP BY ALL) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY g)) AS digest FROM g""")
 def logical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:  # P02
     part = table(spark, sf_dir, "part").withColumn("kind", F.expr("nullif(p_type, 'ECONOMY')"))
-    return integrity.logical_digest(part.repartition(5), ["p_partkey", "p_brand", "p_size", "kind"])
+    return integrity.logical_digest(part.repartition(5), ["p_partkey", "p_brand", "p_size", "kind"], 2)
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_key FROM documents GROUP BY ALL HAVING count(*) > 1")
